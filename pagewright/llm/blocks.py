@@ -177,10 +177,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def typed(df: DataFrame, **types: str) -> DataFrame:
+    """The named columns; cast only where needed, as a cast in one use of a scan keeps Spark from reusing its exchange."""
+    have = dict(df.dtypes)
+    return df.select(*[df[c] if have[c] == t else df[c].cast(t).alias(c) for c, t in types.items()])
+
+
 def shared_folder(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     return (found or f"{spark.conf.get('spark.sql.warehouse.dir')}/staging").rstrip("/")
-
-
-def arrow_out(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name] for f in schema], schema=schema)

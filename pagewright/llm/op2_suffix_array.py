@@ -20,57 +20,68 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK, byte_symbols, mix, powers, spans, text_buffer
-from .repeats import covered, repeated, with_texts
+from .blocks import byte_symbols, mix, powers, text_buffer, typed
+from .repeats import covered, removed, with_texts
 
 WIDTH, SEED = 100, 16
 NAME = "op2_suffix_array_dedup"
-_CONTENT = "h long, doc_id long, pos long, content binary, w1 long, w2 long"
-_PART = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int64()), ("content", pa.binary()), ("w1", pa.int64()), ("w2", pa.int64())])
-_RANGES = "doc_id long, pos long, n long"
-_RANGE = pa.schema([("doc_id", pa.int64()), ("pos", pa.int64()), ("n", pa.int64())])
 
 
-def two_stage_order(text: np.ndarray, depth: int) -> np.ndarray:
+def two_stage_order(text: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
     """Suffixes of a byte string in order of their first depth bytes; its end sorts first.
 
     Suffixes smaller than their successor are sorted directly; the others are
     induced: buckets of first bytes are scanned upwards, and the predecessor of
     each suffix met goes, in that order, to the front of its own bucket.
+    wanted marks the suffixes to put in order (default all); those that are
+    needed to induce them come along.
     """
     n = len(text)
     if not n:
         return np.zeros(0, np.int64)
     t = text.astype(np.int16)
     # smaller[i]: suffix i < suffix i + 1; over a run of one byte the run's end decides
-    nxt = np.append(t[1:], -1)
-    change = np.flatnonzero(nxt != t)
-    smaller = (nxt > t)[change[np.searchsorted(change, np.arange(n))]]
-    direct = np.flatnonzero(smaller)
-    padded = np.concatenate((text, np.zeros(depth, np.uint8)))
-    keys = np.lib.stride_tricks.sliding_window_view(padded, depth)
-    order = direct
-    if len(direct):
-        rows = np.ascontiguousarray(keys[direct]).view(f"S{depth}").ravel()
-        order = direct[np.argsort(rows, kind="stable")]
-    lead = t[order]
-    bounds = np.searchsorted(lead, np.arange(257))
+    change = np.flatnonzero(np.append(t[1:], -1) != t)
+    end = change[np.searchsorted(change, np.arange(n))]
+    smaller = (np.append(t[1:], -1) > t)[end]
+    use = np.ones(n, bool)
+    if wanted is not None:  # an induced suffix needs its successors up to the first that is sorted directly
+        direct_at = np.flatnonzero(smaller)
+        upto = np.append(direct_at, n - 1)[np.searchsorted(direct_at, np.arange(n))]
+        mark = np.zeros(n + 1, np.int64)
+        np.add.at(mark, np.flatnonzero(wanted), 1)
+        np.add.at(mark, upto[wanted] + 1, -1)
+        use = np.cumsum(mark[:n]) > 0
+    order = np.flatnonzero(smaller & use)
+    if len(order):
+        padded = np.concatenate((text, np.zeros(depth, np.uint8)))
+        keys = np.lib.stride_tricks.sliding_window_view(padded, depth)
+        order = order[np.argsort(np.ascontiguousarray(keys[order]).view(f"S{depth}").ravel(), kind="stable")]
+    bounds = np.searchsorted(t[order], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
-    waiting[t[n - 1]].append(np.array([n - 1]))  # the last suffix follows the empty one
+    if use[n - 1]:
+        waiting[t[n - 1]].append(np.array([n - 1]))  # the last suffix follows the empty one
     out = []
     for c in range(256):
         front = np.concatenate(waiting[c]) if waiting[c] else np.zeros(0, np.int64)
+        direct = order[bounds[c] : bounds[c + 1]]
+        if not len(front) + len(direct):
+            continue
         grown = [front]
         while len(front):  # predecessors within this bucket, one step of a run at a time
             p = front[front > 0] - 1
-            front = p[(t[p] == c) & ~smaller[p]]
+            front = p[(t[p] == c) & ~smaller[p] & use[p]]
             grown.append(front)
-        bucket = np.concatenate([*grown, order[bounds[c] : bounds[c + 1]]])
+        bucket = np.concatenate([*grown, direct])
         out.append(bucket)
         p = bucket[bucket > 0] - 1
-        p = p[t[p] > c]
-        for v in np.unique(t[p]):
-            waiting[v].append(p[t[p] == v])
+        p = p[(t[p] > c) & use[p]]
+        if len(p):
+            lead = t[p]
+            rank = np.argsort(lead, kind="stable")
+            p, lead = p[rank], lead[rank]
+            for part in np.split(p, np.flatnonzero(np.diff(lead)) + 1):
+                waiting[t[part[0]]].append(part)
     return np.concatenate(out)
 
 
@@ -98,14 +109,14 @@ def repeats_in(contents: list[bytes], doc: np.ndarray, pos: np.ndarray, width: i
     sizes = np.fromiter(map(len, contents), np.int64, len(contents))
     text = np.frombuffer(b"".join(contents), np.uint8)
     start = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-    order = two_stage_order(text, width)
+    room = np.repeat(start + sizes, sizes) - np.arange(len(text))
+    order = two_stage_order(text, width, room >= width)
+    order = order[room[order] >= width]
     lcp = common_prefixes(text, order, width)
     owner = np.searchsorted(start, order, side="right") - 1
     off = order - start[owner]
-    whole = off + width <= sizes[owner]
     # a run of neighbours with a common prefix of the full width is a set of equal windows
     run = np.cumsum(lcp < width)
-    order, owner, off, run = order[whole], owner[whole], off[whole], run[whole]
     d, p = doc[owner], pos[owner] + off
     rank = np.lexsort((p, d, run))
     owner, off, run, d, p = owner[rank], off[rank], run[rank], d[rank], p[rank]
@@ -116,40 +127,6 @@ def repeats_in(contents: list[bytes], doc: np.ndarray, pos: np.ndarray, width: i
     return owner[later], off[later]
 
 
-def ranges_of(key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of successive positions for each key: (key, first position, length)."""
-    rank = np.lexsort((at, key))
-    key, at = key[rank], at[rank]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (at[1:] > at[:-1] + 1)
-    starts = np.flatnonzero(new)
-    ends = np.append(starts[1:], len(key)) - 1
-    return key[starts], at[starts], at[ends] - at[starts] + 1 if len(starts) else at[starts]
-
-
-def _contents(batches, width: int):
-    """Compared segments with their bytes; those of hot keys as one row for each window."""
-    for batch in batches:
-        ids = batch.column(0).to_pylist()
-        buf, offsets = text_buffer(batch.column(1))
-        lists = batch.column(2)
-        for first, end in spans(offsets, 4 * BLOCK):
-            out = {f.name: [] for f in _PART}
-            for i in range(first, end):
-                data = buf[offsets[i] : offsets[i + 1]]
-                for r in lists[i].as_py():
-                    part = data[r["pos"] : r["pos"] + r["n"] + width - 1]
-                    if r["hot"]:
-                        w1, w2 = window_hashes(part, width)
-                        new = {"h": w1, "doc_id": [ids[i]] * len(w1), "pos": range(r["pos"], r["pos"] + len(w1)), "content": [None] * len(w1), "w1": w1, "w2": w2}
-                    else:
-                        new = {"h": [r["h"]], "doc_id": [ids[i]], "pos": [r["pos"]], "content": [part.tobytes()], "w1": [None], "w2": [None]}
-                    for k, v in new.items():
-                        out[k].extend(v)
-            if out["h"]:
-                yield pa.RecordBatch.from_pydict(out, schema=_PART)
-
-
 def window_hashes(part: np.ndarray, width: int) -> tuple[list[int], list[int]]:
     """Two 64-bit hashes of every window."""
     up, down = powers(len(part) + 1)
@@ -160,27 +137,11 @@ def window_hashes(part: np.ndarray, width: int) -> tuple[list[int], list[int]]:
     return out[0], out[1]
 
 
-def _compare(batches, width: int, size: int):
-    """Rows in order of h: a suffix array for each run of whole keys of about size bytes."""
-    held: list[tuple] = []
-    weight = 0
-
-    def flush(rows):
-        h, doc, pos, content = zip(*rows, strict=True)
-        doc, pos = np.array(doc), np.array(pos)
-        owner, off = repeats_in(list(content), doc, pos, width)
-        who, at, n = ranges_of(owner, off)
-        return pa.RecordBatch.from_arrays([pa.array(doc[who]), pa.array(pos[who] + at), pa.array(n)], schema=_RANGE)
+def cutter(data: np.ndarray, width: int):
+    def windows(pos: int, n: int):
+        return window_hashes(data[pos : pos + n + width - 1], width)
 
-    for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if weight > size and row[0] != held[-1][0]:
-                yield flush(held)
-                held, weight = [], 0
-            held.append(row)
-            weight += len(row[3])
-    if held:
-        yield flush(held)
+    return lambda pos, n: data[pos : pos + n + width - 1].tobytes(), windows
 
 
 def _result(batches, width: int):
@@ -203,22 +164,13 @@ def _result(batches, width: int):
         yield pa.RecordBatch.from_arrays([ids, *(pa.array(out[x], t) for x, t in zip(names[1:], (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))], names=list(names))
 
 
-def removed_ranges(docs: DataFrame, width: int = WIDTH, seed: int = SEED, array_bytes: int = 1 << 20) -> DataFrame:
-    """(doc_id, pos, n): runs of n windows from byte pos on that started earlier in the corpus."""
-    found = repeated(docs, "byte", width, seed, across=False)
-    parts = with_texts(docs, found.where("h is not null"), "inner").mapInArrow(lambda it: _contents(it, width), _CONTENT)
-    dealt = parts.where("w1 is null").select("h", "doc_id", "pos", "content").repartition("h").sortWithinPartitions("h")
-    compared = dealt.mapInArrow(lambda it: _compare(it, width, array_bytes), _RANGES)
-    single = parts.where("w1 is not null").select("w1", "w2", "doc_id", "pos")
-    first = single.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
-    later = single.join(first, ["w1", "w2"]).where("struct(doc_id, pos) > first").select("doc_id", "pos", F.lit(1).cast("long").alias("n"))
-    return found.where("h is null").select("doc_id", "pos", "n").unionByName(compared).unionByName(later)
-
-
-def suffix_array_dedup(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
+def suffix_array_dedup(docs: DataFrame, width: int = WIDTH, seed: int = SEED, array_bytes: int = 2 << 20) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept, the remaining bytes."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = with_texts(texts, removed_ranges(texts, width, seed), "left")
+    texts = typed(docs, doc_id="bigint", text="string")
+    known = texts.where("doc_id is not null")
+    gone = removed(known, "byte", width, seed, False, lambda data: cutter(data, width), lambda c, d, p: repeats_in(c, d, p, width), array_bytes)
+    none = texts.where("doc_id is null").withColumn("ranges", F.lit(None).cast("array<struct<pos:long,n:long>>"))
+    joined = with_texts(known, gone, "left").unionByName(none)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return joined.mapInArrow(lambda it: _result(it, width), schema)
 

@@ -21,6 +21,10 @@ from .blocks import BLOCK, block_words, byte_symbols, hash_ranges, segments, spa
 
 SEEDS = "h long, ch long, doc_id long, pos long, n long"
 FOUND = "doc_id long, pos long, n long, h long, hot boolean"
+PARTS = "h long, w2 long, doc_id long, pos long, content binary"
+RANGES = "doc_id long, pos long, n long"
+_PARTS = pa.schema([("h", pa.int64()), ("w2", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int64()), ("content", pa.binary())])
+_RANGE = pa.schema([("doc_id", pa.int64()), ("pos", pa.int64()), ("n", pa.int64())])
 _SEEDS = pa.schema([("h", pa.int64()), ("ch", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int64()), ("n", pa.int64())])
 _FOUND = pa.schema([("doc_id", pa.int64()), ("pos", pa.int64()), ("n", pa.int64()), ("h", pa.int64()), ("hot", pa.bool_())])
 
@@ -116,24 +120,103 @@ def _and_end(batches):
 
 
 def repeated(docs: DataFrame, unit: str, width: int, k: int, across: bool, hot: int = 4096) -> DataFrame:
-    """Rows (doc_id, pos, n, h, hot): n windows from pos on that are repeats (h null), or that must be compared under h.
+    """docs: doc_id long, never null, and text. Rows (doc_id, pos, n, h, hot): n windows from pos on that are repeats (h null), or that must be compared under h.
 
     across: only an occurrence in a document of smaller id counts, else also an
     earlier one in the same document. hot marks keys with more than `hot`
     contents; their windows are to be grouped one by one.
     """
-    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seeds = texts.mapInArrow(lambda it: _seeds(it, unit, width, k, across), SEEDS)
+    seeds = docs.mapInArrow(lambda it: _seeds(it, unit, width, k, across), SEEDS)
     dealt = seeds.repartition(F.coalesce("h", "doc_id")).sortWithinPartitions("h", "ch", "doc_id", "pos")
     return staged(dealt.mapInArrow(lambda it: _settle(it, across, hot), FOUND), f"repeats-{unit}")
 
 
 def with_texts(docs: DataFrame, ranges: DataFrame, how: str) -> DataFrame:
-    """docs with their ranges as an array; the texts are dealt by doc_id, once for all uses in a plan, and not sorted."""
+    """docs, none with a null id, with their ranges as an array; the texts are dealt by doc_id, once for all uses in a plan, and not sorted."""
     lists = ranges.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in ranges.columns if c != "doc_id"])).alias("ranges"))
     return docs.join(lists.hint("shuffle_hash"), "doc_id", how)
 
 
+def _contents(batches, cutter):
+    """Compared segments with their symbols; those of hot keys as one row for each window, keyed by its two hashes."""
+    for batch in batches:
+        ids = batch.column(0).to_pylist()
+        buf, offsets = text_buffer(batch.column(1))
+        lists = batch.column(2)
+        for first, end in spans(offsets, 4 * BLOCK):
+            out: list[list] = [[] for _ in _PARTS]
+            for i in range(first, end):
+                part, windows = cutter(buf[offsets[i] : offsets[i + 1]])
+                for r in lists[i].as_py():
+                    pos, n = r["pos"], r["n"]
+                    if r["hot"]:
+                        w1, w2 = windows(pos, n)
+                        new = (w1, w2, [ids[i]] * n, range(pos, pos + n), [None] * n)
+                    else:
+                        new = ((r["h"],), (None,), (ids[i],), (pos,), (part(pos, n),))
+                    for column, values in zip(out, new, strict=True):
+                        column.extend(values)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, _PARTS, strict=True)], schema=_PARTS)
+
+
+def _compared(batches, repeats_in, across: bool, size: int):
+    """Rows in order of (h, w2, doc, pos): segments are compared in runs of whole keys of about size bytes, windows of hot keys as they pass."""
+    held: list[tuple] = []
+    weight, last = 0, (None, None, None, None)
+
+    def flush(rows):
+        _, doc, pos, content = zip(*rows, strict=True)
+        doc, pos = np.array(doc), np.array(pos)
+        who, at, n = ranges_of(*repeats_in(list(content), doc, pos))
+        return pa.RecordBatch.from_arrays([pa.array(doc[who]), pa.array(pos[who] + at), pa.array(n)], schema=_RANGE)
+
+    for batch in batches:
+        whole = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+        if not whole.all():
+            h, w, doc, pos = (batch.column(i).filter(pa.array(~whole)).to_numpy(zero_copy_only=False) for i in range(4))
+            new = np.append((h[0], w[0]) != last[:2], (h[1:] != h[:-1]) | (w[1:] != w[:-1]))
+            at = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
+            d0, p0 = np.where(at < 0, last[2] if last[2] is not None else 0, doc[at]), np.where(at < 0, last[3] if last[3] is not None else 0, pos[at])
+            later = (doc != d0) if across else (doc != d0) | (pos != p0)
+            last = (h[-1], w[-1], d0[-1], p0[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[later]), pa.array(pos[later]), pa.array(np.ones(int(later.sum()), np.int64))], schema=_RANGE)
+        if whole.any():
+            rows = batch.filter(pa.array(whole))
+            for row in zip(*(rows.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+                if weight > size and row[0] != held[-1][0]:
+                    yield flush(held)
+                    held, weight = [], 0
+                held.append(row)
+                weight += len(row[3])
+    if held:
+        yield flush(held)
+
+
+def removed(docs: DataFrame, unit: str, width: int, k: int, across: bool, cutter, repeats_in, size: int) -> DataFrame:
+    """(doc_id, pos, n): runs of n windows from pos on that are repeats.
+
+    cutter gives, for the bytes of a text, functions of (pos, n) to the content
+    of a segment and to the hashes of its windows; repeats_in compares contents.
+    """
+    found = repeated(docs, unit, width, k, across)
+    parts = with_texts(docs, found.where("h is not null"), "inner").mapInArrow(lambda it: _contents(it, cutter), PARTS)
+    dealt = parts.repartition("h").sortWithinPartitions("h", "w2", "doc_id", "pos")
+    compared = dealt.mapInArrow(lambda it: _compared(it, repeats_in, across, size), RANGES)
+    return found.where("h is null").select("doc_id", "pos", "n").unionByName(compared)
+
+
+def ranges_of(key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of successive positions for each key: (key, first position, length)."""
+    rank = np.lexsort((at, key))
+    key, at = key[rank], at[rank]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (at[1:] > at[:-1] + 1)
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(key)) - 1
+    return key[starts], at[starts], at[ends] - at[starts] + 1 if len(starts) else at[starts]
+
+
 def covered(ranges: list[dict] | None, n: int, width: int) -> np.ndarray:
     """Which of n symbols lie in a window that the ranges (pos, n) start."""
     mark = np.zeros(n + 1, np.int32)
