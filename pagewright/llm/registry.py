@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import op2_suffix_array
+from . import op1_license_scan, op2_suffix_array, op3_quality_rules, op5_suffix_trees, op6_lsh_forest, op9_decontamination
 
-_MODULES = (op2_suffix_array,)
+_MODULES = (op1_license_scan, op2_suffix_array, op3_quality_rules, op5_suffix_trees, op6_lsh_forest, op9_decontamination)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in getattr(m, "ORACLES", {}).items()}
