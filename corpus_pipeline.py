@@ -1,11 +1,65 @@
-"""The corpus pipeline: quality rules, near duplicates, repeated passages, benchmark leaks, packing."""
+"""The corpus pipeline: quality rules, near duplicates, repeated passages, benchmark leaks, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
+as Parquet and read again as the next one's docs. All but the last return the
+columns of documents. Rows with a null doc_id pass the stages that compare
+documents; an empty table stays empty; further columns of docs are kept.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagewright.llm.blocks import staged
+from pagewright.llm.containment import contained
+from pagewright.llm.op3_quality_rules import passing
+from pagewright.llm.op5_suffix_trees import without_repeats
+from pagewright.llm.op6_lsh_forest import near_dedup
+from pagewright.llm.op8_hilbert_packing import pack
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return passing(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies, that of the smallest id."""
+    gone = near_dedup(docs).where(~F.col("kept")).select("doc_id")
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that one of smaller id also has; one that is nothing else goes."""
+    return without_repeats(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    leaks = contained(docs.select("doc_id", "text"), items).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents, in sequences of 1024 tokens."""
+    return pack(docs).drop("ids")
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("near_duplicates", near_duplicates),
+    ("substring_dedup", repeated_passages),
+    ("benchmark_decontamination", decontaminate),
+    ("packing", packing),
+]
+#: Encoding and connected components of estimated candidates have no SQL; tests/llm holds the run against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -73,16 +73,30 @@ def host_rates(rows: DataFrame) -> DataFrame:
     return hosts.withColumn("one", F.lit(1)).join(F.broadcast(prior), "one").select("host", "n", "failed", ((F.col("failed") + F.col("m") * F.col("strength")) / (F.col("n") + F.col("strength"))).alias("rate"))
 
 
-def quality_rules(docs: DataFrame, most_failing: float = MOST_FAILING, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: doc_id, the measures, base_failed, kept, host and host_rejected, and the columns named in extra."""
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    rows = staged(measures(docs, extra).withColumn("base_failed", failed), "measures")
+def base_failed() -> Column:
+    return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+
+
+def rejected_hosts(rows: DataFrame, most_failing: float) -> DataFrame:
     rates = host_rates(rows.select("host", F.col("base_failed").alias("failed")))
-    rejected = rates.where(F.col("rate") > most_failing).select("host", F.lit(True).alias("host_rejected"))
-    out = rows.join(rejected, "host", "left").withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
+    return rates.where(F.col("rate") > most_failing).select("host", F.lit(True).alias("host_rejected"))
+
+
+def quality_rules(docs: DataFrame, most_failing: float = MOST_FAILING) -> DataFrame:
+    """Per row: doc_id, the measures, base_failed, kept, host and host_rejected."""
+    rows = staged(measures(docs).withColumn("base_failed", base_failed()), "measures")
+    out = rows.join(rejected_hosts(rows, most_failing), "host", "left").withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
+def passing(docs: DataFrame, most_failing: float = MOST_FAILING) -> DataFrame:
+    """The rows of docs, with all their columns, that the rules keep. Texts are measured twice rather than written."""
+    rejected = staged(rejected_hosts(measures(docs).withColumn("base_failed", base_failed()), most_failing), "rejected")
+    rows = measures(docs.withColumn("__row", F.struct(*docs.columns)), ("__row",)).withColumn("base_failed", base_failed())
+    rows = rows.select("__row", "host", "base_failed").join(rejected, "host", "left_anti")
+    return rows.where("not base_failed").select("__row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

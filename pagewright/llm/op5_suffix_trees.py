@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .blocks import text_buffer, typed
+from .blocks import text_buffer, typed, words_of
 from .repeats import covered, removed, with_texts
 
 WIDTH, SEED = 13, 5
@@ -94,39 +95,63 @@ def cutter(data: np.ndarray, width: int):
     return lambda pos, n: b" ".join(words[pos : pos + n + width - 1]), windows
 
 
-def _result(batches, width: int):
-    names = ("doc_id", "n_words", "n_removed", "kept_sha256", "kept")
+def _result(batches, width: int, names: list[str]):
     for batch in batches:
         buf, offsets = text_buffer(batch.column(1))
-        lists, ids = batch.column(2), batch.column(0)
-        out: dict[str, list] = {x: [] for x in names[1:]}
-        for i in range(len(ids)):
-            words = buf[offsets[i] : offsets[i + 1]].tobytes().split()
-            left = words
+        lists = batch.column(batch.num_columns - 1)
+        out: dict[str, list] = {x: [] for x in ("n_words", "n_removed", "kept_sha256", "kept", "cut")}
+        for i in range(len(batch)):
+            text = buf[offsets[i] : offsets[i + 1]]
+            words = text.tobytes().split()
+            left, cut = words, text.tobytes()
             if ranges := lists[i].as_py():
-                left = [w for w, gone in zip(words, covered(ranges, len(words), width).tolist(), strict=True) if not gone]
+                gone = covered(ranges, len(words), width)
+                left = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+                start, _ = words_of(text)
+                # a removed word goes with the white space behind it
+                mark = np.zeros(len(text) + 1, np.int32)
+                mark[start[gone]] += 1
+                mark[np.append(start, len(text))[1:][gone]] -= 1
+                cut = text[np.cumsum(mark[:-1]) == 0].tobytes()
             kept = b" ".join(left)
-            out["n_words"].append(len(words))
-            out["n_removed"].append(len(words) - len(left))
-            out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-            out["kept"].append(kept)
-        yield pa.RecordBatch.from_arrays([ids, *(pa.array(out[x], t) for x, t in zip(names[1:], (pa.int64(), pa.int64(), pa.string(), pa.binary())))], names=list(names))
+            for name, value in zip(out, (len(words), len(words) - len(left), hashlib.sha256(kept).hexdigest(), kept, cut), strict=True):
+                out[name].append(value)
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+        measured = {x: pa.array(v, k) for (x, v), k in zip(out.items(), kinds, strict=True)} | {"doc_id": batch.column(0)}
+        yield pa.RecordBatch.from_arrays([measured[x] if x in measured else batch.column(batch.schema.get_field_index(x)) for x in names], names=names)
 
 
-def suffix_tree_dedup(docs: DataFrame, width: int = WIDTH, seed: int = SEED, tree_bytes: int = 2 << 20) -> DataFrame:
-    """Per document: doc_id, n_words, n_removed, kept_sha256 and kept, the remaining words joined by one space."""
-    texts = typed(docs, doc_id="bigint", text="string")
+def _dedup(texts: DataFrame, width: int, seed: int, size: int, schema: StructType) -> DataFrame:
     known = texts.where("doc_id is not null")
-    gone = removed(known, "word", width, seed, True, lambda data: cutter(data, width), lambda c, d, _: repeats_in(c, d, width), tree_bytes)
+    gone = removed(known, "word", width, seed, True, lambda data: cutter(data, width), lambda c, d, _: repeats_in(c, d, width), size)
     none = texts.where("doc_id is null").withColumn("ranges", F.lit(None).cast("array<struct<pos:long,n:long>>"))
-    joined = with_texts(known, gone, "left").unionByName(none)
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary"
-    return joined.mapInArrow(lambda it: _result(it, width), schema)
+    names = schema.names
+    return with_texts(known, gone, "left").unionByName(none).mapInArrow(lambda it: _result(it, width, names), schema)
+
+
+def suffix_tree_dedup(docs: DataFrame, width: int = WIDTH, seed: int = SEED, tree_bytes: int = 2 << 20) -> DataFrame:
+    """Per document: doc_id, n_words, n_removed, kept_sha256, kept (the remaining words joined by one space), cut (the text without the removed words)."""
+    schema = StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, cut string")
+    return _dedup(typed(docs, doc_id="bigint", text="string"), width, seed, tree_bytes, schema)
+
+
+def without_repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED, tree_bytes: int = 2 << 20) -> DataFrame:
+    """The rows of docs with their texts cut and n_chars, where there is one, counted anew; a text of which nothing is left goes."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    row = F.struct(F.lit(0).alias("0"), *others).alias("row")
+    texts = docs.select(docs["doc_id"], docs["text"], row)
+    schema = StructType([texts.schema["doc_id"], *StructType.fromDDL("n_words long, n_removed long, cut string"), texts.schema["row"]])
+    out = _dedup(texts, width, seed, tree_bytes, schema)
+    out = out.where("n_removed = 0 or n_removed < n_words")
+    new = {"doc_id": F.col("doc_id"), "text": F.col("cut")}
+    if "n_chars" in others:
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("cut").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("row.n_chars"))
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return suffix_tree_dedup(docs).drop("kept")
+    return suffix_tree_dedup(docs).drop("kept", "cut")
 
 
 QUERIES = {NAME: query}

@@ -1,7 +1,29 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import op1_license_scan, op2_suffix_array, op3_quality_rules, op5_suffix_trees, op6_lsh_forest, op9_decontamination
+from . import (
+    op10_length_histogram,
+    op1_license_scan,
+    op2_suffix_array,
+    op3_quality_rules,
+    op4_html_extraction,
+    op5_suffix_trees,
+    op6_lsh_forest,
+    op7_hidden_markov,
+    op8_hilbert_packing,
+    op9_decontamination,
+)
 
-_MODULES = (op1_license_scan, op2_suffix_array, op3_quality_rules, op5_suffix_trees, op6_lsh_forest, op9_decontamination)
+_MODULES = (
+    op1_license_scan,
+    op2_suffix_array,
+    op3_quality_rules,
+    op4_html_extraction,
+    op5_suffix_trees,
+    op6_lsh_forest,
+    op7_hidden_markov,
+    op8_hilbert_packing,
+    op9_decontamination,
+    op10_length_histogram,
+)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in getattr(m, "ORACLES", {}).items()}

@@ -126,7 +126,7 @@ def repeated(docs: DataFrame, unit: str, width: int, k: int, across: bool, hot:
     earlier one in the same document. hot marks keys with more than `hot`
     contents; their windows are to be grouped one by one.
     """
-    seeds = docs.mapInArrow(lambda it: _seeds(it, unit, width, k, across), SEEDS)
+    seeds = docs.select("doc_id", "text").mapInArrow(lambda it: _seeds(it, unit, width, k, across), SEEDS)
     dealt = seeds.repartition(F.coalesce("h", "doc_id")).sortWithinPartitions("h", "ch", "doc_id", "pos")
     return staged(dealt.mapInArrow(lambda it: _settle(it, across, hot), FOUND), f"repeats-{unit}")
 
@@ -142,7 +142,7 @@ def _contents(batches, cutter):
     for batch in batches:
         ids = batch.column(0).to_pylist()
         buf, offsets = text_buffer(batch.column(1))
-        lists = batch.column(2)
+        lists = batch.column(batch.num_columns - 1)
         for first, end in spans(offsets, 4 * BLOCK):
             out: list[list] = [[] for _ in _PARTS]
             for i in range(first, end):
