@@ -1,6 +1,6 @@
 """The registered queries and the SQL that each is checked against."""
 
-from .plans import geometry_queries, normaliser_queries  # noqa: F401
+from .plans import geometry_queries, normaliser_queries, relational_queries  # noqa: F401
 from .plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
