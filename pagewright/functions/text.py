@@ -257,7 +257,7 @@ def formula_candidates(c: Column) -> Column:
     raw = strip(c)
     no_double = strip(F.regexp_replace(raw, r"(?s)\A\$\$(.*)\$\$\z", "$1"))
     plain = strip(F.regexp_replace(no_double, r"(?s)\A\$(.*)\$\z", "$1"))
-    forms = F.array(raw, no_double, plain, F.regexp_replace(plain, r"\n", r"\\\\\\\\"), F.regexp_replace(plain, r"\s*\n\s*", " "))
+    forms = F.array(raw, no_double, plain, F.regexp_replace(plain, r"\n", r"\\\\"), F.regexp_replace(plain, r"\s*\n\s*", " "))
     return F.array_distinct(F.filter(forms, lambda x: x != ""))
 
 
