@@ -65,8 +65,8 @@ SELECT layout_id, page_id, CASE WHEN seed % 11 = 0 THEN 'text' ELSE cls END AS c
        CASE seed % 8 WHEN 0 THEN 'failed' WHEN 1 THEN 'manual' WHEN 2 THEN ' OK ' WHEN 3 THEN 'odd' ELSE 'ok' END AS extraction_status,
        CASE WHEN seed % 8 = 0 THEN 'timeout' ELSE NULL END AS error_message,
        concat('2024-01-', lpad(CAST(1 + (seed * 3) % 28 AS STRING), 2, '0'), 'T00:00:00+00:00') AS updated_at
-FROM (SELECT l.*, substr(d.text, 1, 400) AS body FROM {d_layouts_n} l CROSS JOIN (SELECT count(*) AS n FROM {documents}) c
-      JOIN {documents} d ON d.doc_id = l.layout_id % c.n WHERE l.seed % 7 <> 0) t"""
+FROM (SELECT l.*, substr(d.text, 1, 400) AS body FROM (SELECT *, layout_id % (SELECT count(*) FROM {documents}) AS k FROM {d_layouts_n} WHERE seed % 7 <> 0) l
+      JOIN {documents} d ON d.doc_id = l.k) t"""
 
 VIEWS["d_bindings"] = """
 SELECT layout_id AS caption_layout_id, target AS target_layout_id FROM (
