@@ -2,12 +2,17 @@
 
 Each document's set of word shingles gives one MinHash signature; a tree of the
 forest is an order of the signatures by its own sequence of values. Documents
-that share a tree's first `DEPTH` values are in one region. Where a region is
-dense, neighbours with the longest common prefix (twice as deep) and the
-region's first document are compared first; what these links do not join is
-then compared within the region. So depth adapts to the region, and no pair of
-different components that shares a region goes without a comparison on its
-full sets.
+that share a tree's first `DEPTH` values are in one region. In each region,
+neighbours with the longest common prefix (twice as deep) and the region's
+first document are compared first. What these links leave in different
+components is then compared with all others of the region: in a sparse region
+as pairs, in a dense one in blocks of bounded size inside a task, which sends on
+at most one link from a document to a component. Pairs are looked at only if
+their sizes allow the similarity and their signatures' last bits do not rule it
+out.
+
+The chance that a link of similarity 0.85 is never compared is below 1e-6; there
+is no cap on partners or candidates.
 
 Equal sets are one class from the start. Links are confirmed on full shingle
 sets (64-bit hashes of shingles, no signature estimate).
@@ -29,10 +34,18 @@ from pyspark.sql import functions as F
 from .blocks import BLOCK, LOWER, U, block_words, hash_ranges, mix, spans, staged, text_buffer, typed
 
 NAME = "op6_lsh_forest_dedup"
-SHINGLE, TREES, DEPTH = 3, 20, 4  # at Jaccard 0.85 a pair shares no region with probability 4e-7
+SHINGLE, VALUES = 3, 256
+TREES, DEPTH = 20, 4  # at Jaccard 0.85 a pair shares no region with probability 4e-7
+DENSE = 32  # regions of more documents are compared in blocks
+BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1 << 20  # of a block, on average
+MOST_ODD_BITS = 43  # of VALUES last bits; at Jaccard 0.85 some 19 differ, and more than 43 with probability 1e-7
 _rng = np.random.default_rng(6)
-_MUL = _rng.integers(0, 2**32, TREES * DEPTH, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-_XOR = _rng.integers(0, 2**32, TREES * DEPTH, dtype=np.uint64).astype(np.uint32)
+_MUL = _rng.integers(0, 2**32, VALUES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+_XOR = _rng.integers(0, 2**32, VALUES, dtype=np.uint64).astype(np.uint32)
+_ORDERS = [list(range(t * DEPTH, t * DEPTH + 2 * DEPTH)) for t in range(TREES)]
+
+
+_BITS = [f"bits{i}" for i in range(VALUES // 64)]
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, k: int, fold: bool = True):
@@ -78,7 +91,7 @@ def _binary(a: np.ndarray, width: int) -> pa.Array:
 
 
 def _signed(batches, k: int):
-    names = ["doc_id", "n_shingles", "fp", "sig"]
+    names = ["doc_id", "n_shingles", "fp", "sig", *_BITS]
     for batch in batches:
         buf, offsets = text_buffer(batch.column(1))
         for first, end, row, h in shingle_sets(buf, offsets, k):
@@ -86,38 +99,39 @@ def _signed(batches, k: int):
             count = np.bincount(row, minlength=m)
             has = np.flatnonzero(count)
             fp = np.zeros((m, 2), np.uint64)
-            sig = np.zeros((m, len(_MUL)), np.uint32)
+            sig = np.zeros((m, VALUES), np.uint16)
             if len(has):
                 at = np.concatenate(([0], np.cumsum(count)))[has]
                 fp[has, 0] = np.add.reduceat(mix(h), at)
                 fp[has, 1] = np.add.reduceat(mix(h ^ U(0xC2B2AE3D27D4EB4F)), at)
                 x = (h >> U(32)).astype(np.uint32)
                 for j, (a, b) in enumerate(zip(_MUL, _XOR)):
-                    sig[has, j] = np.minimum.reduceat((x ^ b) * a, at)
+                    sig[has, j] = np.minimum.reduceat((x ^ b) * a, at) & np.uint32(0xFFFF)
             empty = pa.array(count == 0)
             null = pa.scalar(None, pa.binary())
-            fps, sigs = _binary(fp, 16), _binary(sig, 4 * len(_MUL))
+            fps, sigs = _binary(fp, 16), _binary(sig, 2 * VALUES)
+            bits = np.packbits(sig & 1, axis=1).view(np.int64)
             if len(has) < m:
                 fps, sigs = (pa.compute.if_else(empty, null, x) for x in (fps, sigs))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, m), pa.array(count.astype(np.int64)), fps, sigs], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, m), pa.array(count.astype(np.int64)), fps, sigs, *map(pa.array, bits.T.copy())], names=names)
 
 
-def _planted(batches):
-    """A row for each tree: its number, the keys of the region and of the same at twice the depth."""
+def _planted(batches, orders: list[list[int]]):
+    """A row for each tree: the keys of the region at half the depth of its order and at all of it."""
     for batch in batches:
-        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(len(batch), -1).astype(np.uint64)
+        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(len(batch), -1).astype(np.uint64)
         rep = batch.column(0).to_numpy(zero_copy_only=False)
         out = []
-        for t in range(TREES):
+        for t, order in enumerate(orders):
             h = np.full(len(rep), t + 1, np.uint64)
             keys = []
-            for j in range(2 * DEPTH):
-                h = mix(h * U(0x9FB21C651E98DF25) + sig[:, (t * DEPTH + j) % sig.shape[1]])
-                if j in (DEPTH - 1, 2 * DEPTH - 1):
+            for j, value in enumerate(order):
+                h = mix(h * U(0x9FB21C651E98DF25) + sig[:, value])
+                if j in (len(order) // 2 - 1, len(order) - 1):
                     keys.append(h)
             out.append(keys)
         region, deep = (np.concatenate([x[i] for x in out]).view(np.int64) for i in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(np.tile(rep, TREES)), pa.array(region), pa.array(deep)], names=["rep", "region", "deep"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.tile(rep, len(orders))), pa.array(region), pa.array(deep)], names=["rep", "region", "deep"])
 
 
 def _confirmed(batches, k: int, percent: int):
@@ -142,6 +156,70 @@ def _confirmed(batches, k: int, percent: int):
         yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
 
+def _compared(batches, k: int, percent: int):
+    """Rows of one block pair after another: links between documents of different components, one for a document and a component."""
+    columns: list | None = None
+    for batch in batches:
+        at = batch.schema.get_field_index
+        now = [batch.column(at(x)).to_numpy(zero_copy_only=False) for x in ("group", "i", "j", "block", "rep", "c", "n_shingles", *_BITS)]
+        now.append(np.array(batch.column(at("text")).to_pylist(), dtype=object))
+        columns = now if columns is None else [np.concatenate(x) for x in zip(columns, now)]
+        key = columns[0], columns[1], columns[2]
+        cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in key], axis=0)) + 1
+        for lo, hi in zip([0, *cuts[:-1]], cuts):
+            yield _block_pair([x[lo:hi] for x in columns], k, percent)
+        if len(cuts):
+            columns = [x[cuts[-1] :] for x in columns]
+    if columns is not None and len(columns[0]):
+        yield _block_pair(columns, k, percent)
+
+
+def _block_pair(rows: list[np.ndarray], k: int, percent: int) -> pa.RecordBatch:
+    _, i, j, block, rep, c, n, *bits, text = rows
+    buf, offsets = text_buffer(pa.array(text, pa.string()))
+    found: list[np.ndarray] = []
+    for first, end, row, h in shingle_sets(buf, offsets, k):
+        cut = np.searchsorted(row, np.arange(end - first + 1))
+        found += [h[cut[x] : cut[x + 1]] for x in range(end - first)]
+    known, count = np.unique(c, return_counts=True)
+    main = known[np.argmax(count)]
+    two = i[0] != j[0]
+    links: set[tuple[int, int]] = set()
+    bits = np.stack(bits, axis=1)
+    for x in np.flatnonzero(c != main):
+        y = (c != c[x]) & ((c == main) | (rep > rep[x])) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
+        if two:
+            y &= block != block[x]
+        y = np.flatnonzero(y)
+        y = y[np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1) <= MOST_ODD_BITS]
+        done = set()
+        for other in y:
+            if c[other] not in done:
+                inter = len(np.intersect1d(found[x], found[other], assume_unique=True))
+                if 100 * inter >= percent * (len(found[x]) + len(found[other]) - inter):
+                    done.add(c[other])
+                    links.add((min(rep[x], rep[other]), max(rep[x], rep[other])))
+    a, b = zip(*links) if links else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _block_links(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links across components within groups of regions that share documents.
+
+    A group is split into blocks and each pair of blocks meets in one task, so
+    a task's size is bounded whatever the size of a group.
+    """
+    groups = components(members.select(F.col("first").alias("a"), F.col("rep").alias("b")), "groups")
+    reps = members.dropDuplicates(["rep"]).drop("region", "crowd", "first").join(groups, F.col("rep") == F.col("node"), "left").withColumn("group", F.coalesce("component", "rep")).drop("node", "component")
+    sizes = reps.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
+    rows = reps.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
+    with_text = docs.withColumnRenamed("doc_id", "rep").join(rows.hint("shuffle_hash"), "rep")
+    dealt = with_text.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
+    return dealt.mapInArrow(lambda it: _compared(it, k, percent), "a long, b long")
+
+
 def _links(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose documents' sets are similar; the texts are dealt by id once for both sides."""
     left = pairs.hint("shuffle_hash").join(docs.withColumnRenamed("doc_id", "b").withColumnRenamed("text", "text_b"), "b")
@@ -170,31 +248,49 @@ def components(links: DataFrame, name: str) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+def _across(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components within a region; members: region, rep, c, n_shingles and bits.
+
+    What is outside a region's largest component is paired with all others in
+    it: pairs within a component need no comparison.
+    """
+    sizes = members.groupBy("region", "c").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("region").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    open_ = members.join(main.select("region", "main"), "region")
+    x = open_.where("c <> main").select("region", *[F.col(k).alias(f"x_{k}") for k in ("rep", "c", "n_shingles", *_BITS)])
+    y = open_.select("region", "main", *[F.col(k).alias(f"y_{k}") for k in ("rep", "c", "n_shingles", *_BITS)])
+    odd = sum((F.bit_count(F.col(f"x_{k}").bitwiseXOR(F.col(f"y_{k}"))) for k in _BITS), F.lit(0))
+    alike = F.least("x_n_shingles", "y_n_shingles") * 100 >= F.greatest("x_n_shingles", "y_n_shingles") * percent
+    wanted = (x["region"] == y["region"]) & (F.col("x_c") != F.col("y_c")) & ((F.col("y_c") == F.col("main")) | (F.col("x_rep") < F.col("y_rep"))) & alike & (odd <= MOST_ODD_BITS)
+    return x.join(y, wanted).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
+
+
 def near_dedup(docs: DataFrame, k: int = SHINGLE, percent: int = 85) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept, and set_id, equal for documents of equal sets."""
     texts = typed(docs, doc_id="bigint", text="string")
-    signed = staged(texts.mapInArrow(lambda it: _signed(it, k), "doc_id long, n_shingles long, fp binary, sig binary"), "signatures")
+    schema = "doc_id long, n_shingles long, fp binary, sig binary, " + ", ".join(f"{x} long" for x in _BITS)
+    signed = staged(texts.mapInArrow(lambda it: _signed(it, k), schema), "signatures")
     known = signed.where("fp is not null and doc_id is not null")
     classes = known.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    reps = known.select(F.col("doc_id").alias("rep"), "fp", "sig").join(classes, ["fp", "rep"], "left_semi").dropDuplicates(["rep"])
-    forest = reps.select("rep", "sig").mapInArrow(_planted, "rep long, region long, deep long")
+    reps = known.withColumnRenamed("doc_id", "rep").join(classes, ["fp", "rep"], "left_semi").dropDuplicates(["rep"])
+    schema = "rep long, region long, deep long"
+    forest = reps.select("rep", "sig").mapInArrow(lambda it: _planted(it, _ORDERS), schema)
     crowd = forest.groupBy("region").agg(F.count("*").alias("crowd"), F.min("rep").alias("first")).where("crowd > 1")
     regions = staged(forest.join(crowd, "region"), "regions")
     near = regions.select("rep", "first", F.lead("rep").over(Window.partitionBy("deep").orderBy("rep")).alias("next"))
     both = near.select("first", "rep").unionAll(near.select("rep", "next")).toDF("a", "b")
     pairs = staged(both.where("a <> b").distinct(), "pairs")
-    ids = texts.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    ids = texts.where(F.col("doc_id").isNotNull())
     links = staged(_links(pairs, ids, k, percent), "links")
     comp = components(links, "stars")
-    # regions that still hold several components: what is outside a region's main component against all others in it
-    placed = regions.select("region", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("region", "rep", F.coalesce("component", "rep").alias("c"))
-    sizes = placed.groupBy("region", "c").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("region").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = staged(placed.join(main.select("region", "main"), "region"), "open")
-    rest = open_.where("c <> main").select("region", F.col("rep").alias("x"), F.col("c").alias("cx"))
-    cross = rest.join(open_.select("region", F.col("rep").alias("y"), F.col("c").alias("cy"), "main"), "region")
-    cross = cross.where("cx <> cy and (cy = main or x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = staged(_links(cross.join(pairs, ["a", "b"], "left_anti"), ids, k, percent), "links")
+    size = reps.select("rep", "n_shingles", *_BITS)
+    placed = regions.select("region", "rep", "crowd", "first").join(comp, F.col("rep") == F.col("node"), "left").withColumn("c", F.coalesce("component", "rep"))
+    mixed = placed.groupBy("region").agg((F.min("c") < F.max("c")).alias("mixed")).where("mixed").select("region")
+    placed = staged(placed.join(mixed, "region").join(size, "rep").select("region", "rep", "crowd", "first", "c", "n_shingles", *_BITS), "placed")
+    cross = _across(placed.where(F.col("crowd") <= DENSE), percent)
+    dense = placed.where(F.col("crowd") > DENSE)
+    blocks = _block_links(dense, ids, k, percent)
+    more = staged(_links(cross.join(pairs, ["a", "b"], "left_anti"), ids, k, percent).unionByName(blocks), "links")
     comp = components(links.unionByName(more), "stars")
     place = classes.join(comp, F.col("rep") == F.col("node"), "left").select("fp", F.col("rep").alias("set_id"), F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "fp").join(place, "fp", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
