@@ -25,3 +25,18 @@ def applied(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """Orders from an explicit list of ids a page, of which repeats count once; adds new_order and changed."""
     places = wanted.select("page_id", F.posexplode(F.array_distinct("ids")).alias("at", "layout_id"))
     return rows.join(places, ["page_id", "layout_id"]).withColumn("new_order", F.col("at") + 1).withColumn("changed", F.col("new_order") != F.col("reading_order"))
+
+
+def natural_key(c: Column) -> Column:
+    """A key by which names sort without regard to case and runs of digits by their value."""
+    parts = F.regexp_extract_all(F.lower(c), F.lit(r"(\d+|\D+)"), F.lit(1))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), 20, "0")).otherwise(p)), "")
+
+
+def visit_history(visits: DataFrame, user: str, page: str, at: str, most: int = 200) -> DataFrame:
+    """(user, history): pages in order of visit without repeats in a row, the last `most` of each user."""
+    order = Window.partitionBy(user).orderBy(at)
+    rows = visits.withColumn("before", F.lag(page).over(order)).where(F.col("before").isNull() | (F.col("before") != F.col(page)))
+    rows = rows.withColumn("back", F.row_number().over(Window.partitionBy(user).orderBy(F.desc(at)))).where(F.col("back") <= most)
+    lists = rows.groupBy(user).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(page).alias("page")))).alias("h"))
+    return lists.select(user, F.transform("h", lambda x: x["page"]).alias("history"))
