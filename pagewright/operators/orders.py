@@ -40,3 +40,31 @@ def visit_history(visits: DataFrame, user: str, page: str, at: str, most: int =
     rows = rows.withColumn("back", F.row_number().over(Window.partitionBy(user).orderBy(F.desc(at)))).where(F.col("back") <= most)
     lists = rows.groupBy(user).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(page).alias("page")))).alias("h"))
     return lists.select(user, F.transform("h", lambda x: x["page"]).alias("history"))
+
+
+def guessed_by_height(middle: Column) -> Column:
+    """Aggregate: the order of the first box, in order, that lies below a height, else one more than there are boxes."""
+    below = (F.col("y1") + F.col("y2")) / 2 > middle
+    return F.coalesce(F.min(F.when(below, F.col("reading_order"))), F.count("*") + 1)
+
+
+def closed_up(order: Column, removed: int) -> Column:
+    """Orders after the box at one place was removed."""
+    return F.when(order > removed, order - 1).otherwise(order)
+
+
+def dragged(ids: Column, moved_id: Column, target: Column, before: bool = False) -> Column:
+    """A list of ids with one taken out and put behind, or before, another; null if either is not in it."""
+    own = F.array_distinct(ids)
+    rest = F.array_remove(own, moved_id)
+    at = F.array_position(rest, target).cast("int") - (1 if before else 0)
+    new = F.concat(F.slice(rest, F.lit(1), at), F.array(moved_id), F.slice(rest, at + 1, F.greatest(F.lit(0), F.size(rest) - at)))
+    return F.when(~F.array_contains(own, moved_id) | ~F.array_contains(own, target), None).when(moved_id == target, own).otherwise(new)
+
+
+def swapped(ids: Column, moved_id: Column, place: int) -> Column:
+    """A list of ids in which one changes places with that at a place, which is kept within the list."""
+    own = F.array_distinct(ids)
+    to = F.greatest(F.lit(1), F.least(F.lit(place), F.size(own)))
+    other = own[to - 1]
+    return F.transform(own, lambda x: F.when(x == moved_id, other).when(x == other, moved_id).otherwise(x))

@@ -83,3 +83,14 @@ def transcribed(crops: DataFrame, make: Callable[[], Callable[[str], str]], retr
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.int32()))], names=["layout_id", "raw", "error", "requests"]) if rows else pa.RecordBatch.from_pylist([], schema=pa.schema([("layout_id", pa.int64()), ("raw", pa.string()), ("error", pa.string()), ("requests", pa.int32())]))
 
     return crops.select("layout_id", "prompt").mapInArrow(run, schema)
+
+
+def prompt_sheet(spark, template: str) -> DataFrame:
+    """One row with the prompts of all classes as a text."""
+    from ..functions.normalise import CLASSES, expected_format
+
+    rows = spark.range(1).select(F.posexplode(F.array(*map(F.lit, CLASSES))).alias("n", "cls")).withColumn("f", expected_format(F.col("cls")))
+    prompt = rendered_prompt(template, F.translate("cls", "_", " "), F.col("f"), F.col("cls"))
+    part = F.concat(F.lit("## "), F.col("cls"), F.lit("\n- format: "), F.col("f"), F.lit("\n"), F.when(F.col("f") == "skip", "not sent").otherwise(prompt))
+    parts = F.array_sort(F.collect_list(F.struct("n", part.alias("p"))))
+    return rows.agg(F.array_join(F.transform(parts, lambda x: x["p"]), "\n").alias("sheet"))
