@@ -1,56 +1,86 @@
 """Scores of detected boxes against true ones: greedy matching and interpolated average precision.
 
 A page's boxes of one class meet in arrays, whose length is bounded by the
-boxes of a page, and are folded inside the row; nothing but the grouping by
-page and class is shuffled.
+boxes of a page; nothing but the grouping by page and class is shuffled. The
+arrays of a whole Arrow batch are then matched together, box by box in order of
+confidence, under all thresholds at once, without a loop over rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import iou
-
 THRESHOLDS = tuple(x / 100 for x in range(50, 100, 5))
+CELLS = 1 << 21  # found x true boxes that are compared at once
 
 
 def _box(s: Column):
     return tuple(s[c] for c in ("x1", "y1", "x2", "y2"))
 
 
-def candidates(truth: Column, found: Column) -> Column:
-    """For each found box in order, the true boxes that it overlaps at all well: (overlap, -place), best and first last."""
-    scored = lambda p: F.transform(truth, lambda g, i: F.struct(iou(_box(g), _box(p)).alias("o"), (-i).alias("i")))
-    return F.transform(found, lambda p: F.filter(scored(p), lambda s: s["o"] >= THRESHOLDS[0]))
-
-
-def taken(options: Column, threshold: float) -> Column:
-    """For each found box, the place of the free true box that it overlaps most, the first on ties, else -1."""
-
-    def step(used, c):
-        best = F.array_max(F.filter(c, lambda s: (s["o"] >= threshold) & ~F.array_contains(used, -s["i"])))
-        return F.concat(used, F.array(F.coalesce(-best["i"], F.lit(-1))))
-
-    return F.aggregate(options, F.array().cast("array<int>"), step)
-
-
-def average_precision(places: Column, n_true: Column) -> Column:
-    """Mean over 101 recalls of the best precision at that recall or beyond.
-
-    One pass from the last found box to the first: the best precision so far
-    holds for every recall step that the box at hand adds.
-    """
-    hits = F.size(F.filter(places, lambda p: p >= 0))
-    start = F.struct(F.size(places).alias("k"), hits.alias("tp"), F.lit(0.0).alias("best"), F.lit(0.0).alias("sum"))
-
-    def step(a, p):
-        best = F.greatest(a["best"], a["tp"] / a["k"])
-        hit = (p >= 0).cast("int")
-        steps = F.floor(100 * a["tp"] / n_true) - F.floor(100 * (a["tp"] - hit) / n_true)
-        return F.struct((a["k"] - 1).alias("k"), (a["tp"] - hit).alias("tp"), best.alias("best"), (a["sum"] + best * steps).alias("sum"))
-
-    return F.aggregate(F.reverse(places), start, step, lambda a: (a["sum"] + a["best"]) / 101)
+def _padded(column: pa.ListArray, rows: np.ndarray, width: int) -> np.ndarray:
+    """(4, rows, width) corners of the boxes of some rows, padded with empty boxes."""
+    offsets = column.offsets.to_numpy()
+    at = offsets[rows][:, None] + np.arange(width)
+    inside = at < offsets[rows + 1][:, None]
+    boxes = column.values
+    fields = [boxes.field(c).to_numpy(zero_copy_only=False) for c in ("x1", "y1", "x2", "y2")]
+    return np.stack([np.where(inside, f[np.minimum(at, max(0, len(f) - 1))], 0.0) if len(f) else np.zeros(at.shape) for f in fields])
+
+
+def overlaps(found: np.ndarray, truth: np.ndarray) -> np.ndarray:
+    """(rows, found, true) intersection over union of padded boxes."""
+    a, b = found[:, :, :, None], truth[:, :, None, :]
+    wide = np.minimum(a[2], b[2]) - np.maximum(a[0], b[0])
+    high = np.minimum(a[3], b[3]) - np.maximum(a[1], b[1])
+    common = np.where((wide > 0) & (high > 0), wide * high, 0.0)
+    area = lambda x: np.maximum(0, x[2] - x[0]) * np.maximum(0, x[3] - x[1])
+    union = area(a) + area(b) - common
+    return np.where(union > 0, common / np.where(union > 0, union, 1), 0.0)
+
+
+def precisions(found: np.ndarray, truth: np.ndarray, n_found: np.ndarray, n_true: np.ndarray) -> np.ndarray:
+    """(rows, thresholds) average precision; a found box takes the free true box that it overlaps most, the first on ties."""
+    o = overlaps(found, truth)
+    rows, p, _ = o.shape
+    least = np.array(THRESHOLDS)
+    free = np.repeat((np.arange(o.shape[2]) < n_true[:, None])[:, None, :], len(least), axis=1)
+    hits = np.zeros((p, rows, len(least)), bool)
+    r, t = np.indices((rows, len(least)))
+    for k in range(p):
+        score = np.where(free & (o[:, k, None, :] >= least[None, :, None]), o[:, k, None, :], -1.0)
+        best = score.argmax(axis=2)
+        hits[k] = (score[r, t, best] >= 0) & (k < n_found)[:, None]
+        free[r, t, best] &= ~hits[k]
+    tp = hits.cumsum(axis=0)
+    here = (np.arange(1, p + 1)[:, None] <= n_found)[:, :, None]
+    precision = np.where(here, tp / np.arange(1, p + 1)[:, None, None], 0.0)
+    best = np.maximum.accumulate(precision[::-1], axis=0)[::-1]
+    n = np.maximum(1, n_true)[None, :, None]
+    steps = 100 * tp // n - 100 * (tp - hits) // n  # recalls, in hundredths, that a hit adds
+    return ((best * steps).sum(axis=0) + best[0]) / 101
+
+
+def _scores(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        truth, found = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+        n_true, n_found = (np.diff(c.offsets.to_numpy()) for c in (truth, found))
+        ap = np.zeros((len(batch), len(THRESHOLDS)))
+        todo = np.flatnonzero((n_true > 0) & (n_found > 0))
+        todo = todo[np.argsort(n_true[todo] * n_found[todo], kind="stable")]
+        while len(todo):
+            # rows of like size together; at least one
+            cells = np.maximum.accumulate(n_true[todo]) * np.maximum.accumulate(n_found[todo]) * np.arange(1, len(todo) + 1)
+            take = max(1, int(np.searchsorted(cells, CELLS)))
+            now, todo = todo[:take], todo[take:]
+            ap[now] = precisions(_padded(found, now, n_found[now].max()), _padded(truth, now, n_true[now].max()), n_found[now], n_true[now])
+        fixed = [batch.column(i) for i in range(batch.num_columns - 2)]
+        yield pa.RecordBatch.from_arrays([*fixed, pa.array(ap[:, 0]), pa.array(ap.mean(axis=1))], names=[*batch.schema.names[:-2], "ap50", "ap"])
 
 
 def class_scores(truth: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
@@ -67,12 +97,9 @@ def class_scores(truth: DataFrame, found: DataFrame, keys: list[str]) -> DataFra
     # settings are a small grid: each page and class of the truth is scored under each
     wide = t.withColumn("one", F.lit(1)).join(F.broadcast(pages.withColumn("one", F.lit(1))), "one").drop("one")
     both = wide.join(p, [*keys, "page_id", "cls"], "full").withColumn("truth", F.coalesce("truth", empty_t)).withColumn("found", F.coalesce("found", empty_p))
-    n = F.size("truth")
-    both = both.select(*keys, "page_id", "cls", n.alias("n"), candidates(F.col("truth"), F.col("found")).alias("options"))
-    both = both.select("*", *[taken(F.col("options"), x).alias(f"t_{i}") for i, x in enumerate(THRESHOLDS)])
-    scores = [F.when((F.col("n") > 0) & (F.size("options") > 0), average_precision(F.col(f"t_{i}"), F.col("n"))).otherwise(0.0) for i in range(len(THRESHOLDS))]
-    out = both.select(*keys, "page_id", "cls", *[s.alias(f"ap_{i}") for i, s in enumerate(scores)])
-    return out.select(*keys, "page_id", "cls", F.col("ap_0").alias("ap50"), (sum((F.col(f"ap_{i}") for i in range(len(scores))), F.lit(0.0)) / len(scores)).alias("ap"))
+    kinds = dict(both.dtypes)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in [*keys, "page_id", "cls"]), "ap50 double", "ap double"])
+    return both.select(*keys, "page_id", "cls", "truth", "found").mapInArrow(lambda it: _scores(it, keys), schema)
 
 
 def page_scores(classes: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
