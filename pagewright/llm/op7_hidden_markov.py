@@ -26,6 +26,8 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,7 +36,7 @@ from .blocks import LOWER, U, block_words, hash_ranges, spans, staged, text_buff
 
 NAME = "op7_hidden_markov"
 STATES, ROUNDS, FREQUENT, SHAPES = 8, 6, 2048, 4096
-CHUNK = 12 << 20  # bytes of text whose distinct words are counted together
+CHUNK = 15 << 20  # bytes of text whose distinct words are counted together
 STRIP, LANES = 64, 8192  # training runs over strips of so many tokens, so many side by side
 _END = U(1)
 
@@ -51,8 +53,9 @@ def _shapes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 def _chunks(batches):
     """Two kinds of rows: a chunk's distinct words with their counts, and its texts as places in that list."""
-    names = ["chunk", "word", "place", "shape", "n", "n_train", "doc_id", "held_out", "places"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+    names = ["chunk", "word", "place", "shape", "n_train", "doc_id", "held_out", "places"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+    pack = zstandard.ZstdCompressor(level=1).compress
     chunk = TaskContext.get().partitionId() << 32
     for batch in batches:
         ids = batch.column(0)
@@ -70,10 +73,10 @@ def _chunks(batches):
             own = ids.slice(first, end - first)
             held = np.array([x.is_valid and zlib.crc32(str(x.as_py()).encode()) % 5 == 1 for x in own])
             n_train = np.bincount(place[~held[row]], minlength=len(known))
-            yield _rows(names, kinds, len(known), chunk=np.full(len(known), chunk), word=known.view(np.int64), place=np.arange(len(known), dtype=np.int32), shape=shape.astype(np.int32), n=np.bincount(place), n_train=n_train)
+            yield _rows(names, kinds, len(known), chunk=np.full(len(known), chunk), word=known.view(np.int64), place=np.arange(len(known), dtype=np.int32), shape=shape.astype(np.int32), n_train=n_train)
             cut = np.searchsorted(row, np.arange(end - first + 1))
             place = place.astype("<u4")
-            yield _rows(names, kinds, end - first, chunk=np.full(end - first, chunk), doc_id=own, held_out=held, places=[place[cut[i] : cut[i + 1]].tobytes() for i in range(end - first)])
+            yield _rows(names, kinds, end - first, chunk=np.full(end - first, chunk), doc_id=own, held_out=held, places=[pack(place[cut[i] : cut[i + 1]].tobytes()) for i in range(end - first)])
             chunk += 1
 
 
@@ -82,35 +85,69 @@ def _rows(names, kinds, size, /, **columns):
     return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def _classed(batches, tokens: int, distinct: int):
+def _packed_words(batches):
+    """Words of chunks as one compressed block for each chunk and about a million rows: places, classes and counts."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    held: list[list[np.ndarray]] = []
+    size = 0
+
+    def flush():
+        chunk, place, kind, c = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((place, chunk))
+        chunk, place, kind, c = chunk[order], place[order], kind[order], c[order]
+        runs = _runs(chunk)
+        blocks = [pack(np.diff(place[a:b], prepend=0).astype("<u4").tobytes() + kind[a:b].astype("<u2").tobytes() + c[a:b].astype("<i8").tobytes()) for a, b in runs]
+        return pa.RecordBatch.from_arrays([pa.array(chunk[[a for a, _ in runs]]), pa.array(blocks, pa.binary())], names=["chunk", "words"])
+
+    for batch in batches:
+        held.append([batch.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in range(4)])
+        size += len(batch)
+        if size > 1 << 20:
+            yield flush()
+            held, size = [], 0
+    if size:
+        yield flush()
+
+
+def _unpacked_words(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Classes and counts of a chunk's words by place."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    parts = []
+    for raw in map(unpack, blocks):
+        n = len(raw) // 14
+        parts.append((np.cumsum(np.frombuffer(raw, "<u4", n).astype(np.int64)), np.frombuffer(raw, "<u2", n, 4 * n), np.frombuffer(raw, "<i8", n, 6 * n)))
+    place, kind, c = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(place)
+    return kind[order].astype(np.int64), c[order]
+
+
+def _classed(batches, tokens: int, distinct: int, class_c: np.ndarray, class_v: np.ndarray):
     """Rows of a chunk, its words first: texts as class sequences, with the base score and the share within classes."""
+    unpack = zstandard.ZstdDecompressor().decompress
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "within", "classes"]
-    now, table, parts = None, None, []
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
+    now, table, blocks = None, None, []
     for batch in batches:
         chunks = batch.column(0).to_numpy(zero_copy_only=False)
         for lo, hi in _runs(chunks):
             part = batch.slice(lo, hi - lo)
             if now != chunks[lo]:
-                now, table, parts = chunks[lo], None, []
-            is_word = part.column(1).is_valid().to_numpy(zero_copy_only=False)
-            if is_word.any():
-                parts.append(part.filter(pa.array(is_word)))
-            part = part.filter(pa.array(~is_word))
+                now, table, blocks = chunks[lo], None, []
+            is_word = part.column(1).is_valid()
+            blocks += part.column(1).filter(is_word).to_pylist()
+            part = part.filter(pa.compute.invert(is_word))
             if not len(part):
                 continue
             if table is None:
-                words = pa.Table.from_batches(parts)
-                place, kind, c, within = (words.column(x).to_numpy() for x in (1, 2, 3, 4))
-                order = np.argsort(place)
-                c = c[order]
-                table = kind[order].astype(np.uint16), c > 0, np.log10((c + 0.5) / (tokens + 0.5 * (distinct + 1))), within[order]
+                kind, c = _unpacked_words(blocks)
+                share = np.where(kind < FREQUENT, 0, np.log10((c + 0.5) / (class_c[kind] + 0.5 * (class_v[kind] + 1))))
+                table = kind.astype(np.uint16), c > 0, np.log10((c + 0.5) / (tokens + 0.5 * (distinct + 1))), share
             out: dict[str, list] = {x: [] for x in names[2:]}
-            for coded in part.column(7):
-                p = np.frombuffer(coded.as_py(), "<u4")
+            for coded in part.column(4):
+                p = np.frombuffer(unpack(coded.as_py()), "<u4")
                 for name, value in zip(names[2:], (len(p), int(table[1][p].sum()), float(table[2][p].sum()), float(table[3][p].sum()), table[0][p].tobytes())):
                     out[name].append(value)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(5), part.column(6), *(pa.array(out[x], k) for x, k in zip(names[2:], kinds))], names=names)
+            yield pa.RecordBatch.from_arrays([part.column(2), part.column(3), *(pa.array(out[x], k) for x, k in zip(names[2:], kinds))], names=names)
 
 
 def _runs(a: np.ndarray):
@@ -259,28 +296,30 @@ class Model:
 
 def classed_documents(docs: DataFrame) -> tuple[DataFrame, list, int, int]:
     """(texts as class sequences, [(class, training tokens)], all training tokens, distinct training words)."""
-    schema = "chunk long, word long, place int, shape int, n long, n_train long, doc_id long, held_out boolean, places binary"
+    schema = "chunk long, word long, place int, shape int, n_train long, doc_id long, held_out boolean, places binary"
     rows = staged(typed(docs, doc_id="bigint", text="string").mapInArrow(_chunks, schema), "chunks")
     # a word has one row for each chunk, so no word's rows grow with its tokens
     word = Window.partitionBy("word")
     words = rows.where("word is not null").select("chunk", "word", "place", "shape", "n_train").withColumn("c", F.sum("n_train").over(word))
-    words = staged(words.withColumn("first", F.col("chunk") == F.min("chunk").over(word)), "words")
+    words = staged(words.withColumn("first", F.col("chunk") == F.min("chunk").over(word)).drop("n_train"), "words")
     distinct = words.where("first and c > 0")
     tokens, v = distinct.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = distinct.orderBy(F.desc("c"), "word").limit(FREQUENT).select("word", (F.row_number().over(Window.orderBy(F.desc("c"), "word")) - 1).alias("top"))
     words = words.join(F.broadcast(top), "word", "left").withColumn("kind", F.coalesce("top", F.col("shape") + FREQUENT))  # at most FREQUENT rows
     sizes = words.where("first and c > 0").groupBy("kind").agg(F.sum("c").alias("class_c"), F.count("*").alias("class_v"))
     # at most FREQUENT + SHAPES rows; a class without training words has none
-    within = F.log10((F.col("c") + 0.5) / (F.coalesce("class_c", F.lit(0)) + 0.5 * (F.coalesce("class_v", F.lit(0)) + 1)))
-    words = words.join(F.broadcast(sizes), "kind", "left").select("chunk", "place", "kind", "c", F.when(F.col("top").isNotNull(), 0.0).otherwise(within).alias("within"))
-    texts = rows.where("word is null").select("chunk", "doc_id", "held_out", "places")
-    none = {x: F.lit(None).cast(t) for x, t in (("place", "int"), ("kind", "int"), ("c", "long"), ("within", "double"))}
-    both = words.select("*", *[F.lit(None).cast(t).alias(x) for x, t in (("doc_id", "long"), ("held_out", "boolean"), ("places", "binary"))]).unionByName(texts.withColumns(none))
-    both = both.select("chunk", "place", "kind", "c", "within", "doc_id", "held_out", "places")
-    dealt = both.repartition("chunk").sortWithinPartitions("chunk", F.col("place").isNull())
+    known = [tuple(r) for r in sizes.collect()]
+    class_c, class_v = np.zeros(FREQUENT + SHAPES), np.zeros(FREQUENT + SHAPES)
+    for kind, c, n in known:
+        class_c[kind], class_v[kind] = c, n
+    blocks = words.select("chunk", "place", "kind", "c").mapInArrow(_packed_words, "chunk long, words binary")
+    null = {x: F.lit(None).cast(t).alias(x) for x, t in (("words", "binary"), ("doc_id", "long"), ("held_out", "boolean"), ("places", "binary"))}
+    both = blocks.select("chunk", "words", null["doc_id"], null["held_out"], null["places"])
+    both = both.unionAll(rows.where("word is null").select("chunk", null["words"], "doc_id", "held_out", "places"))
+    dealt = both.repartition("chunk").sortWithinPartitions("chunk", F.col("words").isNull())
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, within double, classes binary"
-    done = staged(dealt.mapInArrow(lambda it: _classed(it, tokens, v), schema), "classes")
-    return done, [(r[0], r[1]) for r in sizes.select("kind", "class_c").collect()], tokens, v
+    done = staged(dealt.mapInArrow(lambda it: _classed(it, tokens, v, class_c, class_v), schema), "classes")
+    return done, [r[:2] for r in known], tokens, v
 
 
 def train(classes: DataFrame, sizes: list, states: int = STATES, rounds: int = ROUNDS) -> Model:
