@@ -42,7 +42,8 @@ _FOR_TAGS = frozenset(("article", "main"))
 _AGAINST = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation menu "
     "breadcrumb breadcrumbs sidebar aside footer header masthead comment comments respond reply replies discussion disqus related recommended share sharing social newsletter subscribe signup "
-    "login search widget widgets pagination pager skip copyright legal toolbar tags contentinfo complementary form".split()
+    "login search widget widgets pagination pager skip copyright legal toolbar tags contentinfo complementary form "
+    "teaser trending popular subscription paywall toast notification disclaimer topbar sidenav feedback advertising advertorial cookiebar".split()
 )
 _FOR = frozenset("article content post entry story main text body".split())
 _HEADING = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -117,14 +118,14 @@ def _speaks(tag: str, attrs: str, inside: bool) -> tuple[bool, bool]:
     for_ = tag in _FOR_TAGS
     if attrs and tag != "a":
         for name, *values in _ATTR.findall(attrs):
-            value = "".join(values).lower()
+            value = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", "".join(values)).lower()
             name = name.lower()
             if name == "style":
                 against |= "display:none" in value.replace(" ", "")
             elif name in ("hidden", "aria-hidden"):
                 against |= value != "false"
             else:
-                terms = set(re.split(r"[^a-z0-9]+", value))
+                terms = set(re.split(r"[^a-z]+", value))
                 bad = bool(terms & _AGAINST) and not (tag in ("article", "main", "body") or inside and tag == "header")
                 against |= bad
                 for_ |= not bad and bool(terms & _FOR) and tag != "body"
@@ -187,6 +188,7 @@ LABELLED = (
     """<body><main><p>+The lake froze in the first week of the year and stayed frozen until the end of March.</p><p>+Then it thawed</p></main></body>""",
     """<body><div class="entry"><h2>+Old maps</h2><p>+Maps of the time show the river where the market is today.</p><p>+It was moved.</p><p><a href=/3>+See the map of the whole valley</a></p><p><a href=/4>+Sources</a></p></div></body>""",
     """<body><p>-Menu</p><p>+The train left at six in the morning and reached the border by noon, where it stood for two hours in the sun.</p><p>+Nobody was let off until the papers had been stamped, and by then the last connection south was gone for the day.</p></body>""",
+    """<body><p><a href=/1>-Ten things that you did not know about the oldest bridge of the whole country and the many people who built it</a></p><p>+The first bridge was made of oak and stood for a hundred years until the ice of a hard winter took away its piers.</p><p>+The second was built of stone by masons who came from the other side of the mountains and stayed for good.</p><p><a href=/2>-Everything about the new tunnel below the river and the long dispute about what it may cost and who is to pay</a></p></body>""",
     """<body><article class="post"><header><h1>+Letters from the island</h1></header><p>+Rain.</p><p>+On the second day the ferry did not come, and we walked along the cliffs to the lighthouse and back.</p><blockquote>+Nobody leaves in winter, the keeper said.</blockquote><div class="share">-Share this with friends</div><div class="related"><p>-Letters from the mountain, a series of ten parts by the same writer</p></div><footer>-Filed under travel by the editors of the magazine</footer></article></body>""",
 )
 
