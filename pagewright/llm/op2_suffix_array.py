@@ -181,3 +181,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {NAME: query}
+ORACLES = {
+    NAME: """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(0, length(h) // 2 - 99))) AS i FROM d)),
+f AS (SELECT s, min(doc_id * 4294967296 + i) AS first FROM win GROUP BY s),
+hit AS (SELECT doc_id, i FROM win JOIN f USING (s) WHERE doc_id * 4294967296 + i > first),
+b AS (SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS x FROM (SELECT doc_id, h, unnest(range(length(h) // 2)) AS i FROM d)),
+c AS (SELECT b.doc_id, b.i, x, coalesce(max(hit.i) OVER (PARTITION BY b.doc_id ORDER BY b.i ROWS UNBOUNDED PRECEDING), -999) >= b.i - 99 AS gone
+      FROM b LEFT JOIN hit ON b.doc_id = hit.doc_id AND b.i = hit.i),
+g AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM c),
+k AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS r, count(*) FILTER (begins) AS p, string_agg(x, '' ORDER BY i) FILTER (NOT gone) AS kept FROM g GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_bytes, coalesce(r, 0) AS n_removed, coalesce(p, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+}
