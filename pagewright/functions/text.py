@@ -33,6 +33,7 @@ LOOKALIKES = (
 )
 _ALIKE = {ord(c): target for chars, target in LOOKALIKES for c in chars}
 _CYRILLIC = re.compile("[\u0400-\u04ff]")
+_WORD = re.compile(r"\w+")
 MOST_WARNINGS = 200
 
 
@@ -153,7 +154,9 @@ def lookalike_warnings(text: str, most: int = MOST_WARNINGS) -> list[dict]:
     """Words with letters that only look like those of their alphabet, outside of code."""
     found: list[dict] = []
     fence = ""
-    for n, line in enumerate(unicodedata.normalize("NFC", text or "").splitlines()):
+    if not text or not _CYRILLIC.search(text):  # every warning needs a Cyrillic letter near
+        return found
+    for n, line in enumerate(unicodedata.normalize("NFC", text).splitlines()):
         mark = re.match(r"`{3,}|~{3,}", line)
         if mark:
             if not fence:
@@ -164,13 +167,14 @@ def lookalike_warnings(text: str, most: int = MOST_WARNINGS) -> list[dict]:
         if fence:
             continue
         for part, at in outside_code(line):
-            around = bool(_CYRILLIC.search(part))
-            for m in re.finditer(r"\w+", part):
+            if not _CYRILLIC.search(part):
+                continue
+            for m in _WORD.finditer(part):
                 word = m[0]
                 plain = word.translate(_ALIKE)
                 if plain == word:
                     continue
-                if _CYRILLIC.search(word) or around and sum(map(str.isalpha, word)) == 1:
+                if _CYRILLIC.search(word) or sum(map(str.isalpha, word)) == 1:
                     swaps = [{"from": a, "to": b} for a, b in zip(word, plain) if a != b]
                     found.append({"line_index": n, "token": word, "normalized_token": plain, "token_start": at + m.start(), "token_end": at + m.end(), "replacements": swaps})
                     if len(found) >= most:
