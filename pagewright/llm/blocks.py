@@ -12,9 +12,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U = np.uint64
 BLOCK = 1 << 20  # bytes that are hashed at once
+#: A table of a number or two a row is broadcast up to this many rows (some 64 MB); above, it is joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
 _POS = U((1 << 24) - 1)
 _ROOT = U(0x9E3779B97F4A7C15)
 _BYTE = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) | U(1)
@@ -183,6 +186,11 @@ def typed(df: DataFrame, **types: str) -> DataFrame:
     return df.select(*[df[c] if have[c] == t else df[c].cast(t).alias(c) for c, t in types.items()])
 
 
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df marked for broadcast if it is counted to have at most so many rows, else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     return (found or f"{spark.conf.get('spark.sql.warehouse.dir')}/staging").rstrip("/")

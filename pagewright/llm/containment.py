@@ -21,8 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A table of shingles is broadcast up to this many rows of two numbers (some 64 MB); above, it is joined by a shuffle.
-BROADCAST_ROWS = 1 << 20
+from .blocks import bounded
 
 
 def words(text: Column) -> Column:
@@ -45,11 +44,6 @@ def bands(threshold: float, miss: float) -> int:
     return math.ceil(math.log(miss) / math.log(1 - least))
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it is counted to have at most so many rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def signature(values: Column, n: int) -> Column:
     seeds = F.sequence(F.lit(1), F.lit(n))
     return F.transform(seeds, lambda s: F.array_min(F.transform(values, lambda v: F.xxhash64(v, s))))

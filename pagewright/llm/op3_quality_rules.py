@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import staged
+from .blocks import bounded, staged
 
 NAME = "op3_quality_rules"
 WINDOW, LEAST_WORDS, MOST_REPEATED, MOST_FAILING = 8, 20, 30, 0.5
@@ -85,7 +85,8 @@ def rejected_hosts(rows: DataFrame, most_failing: float) -> DataFrame:
 def quality_rules(docs: DataFrame, most_failing: float = MOST_FAILING) -> DataFrame:
     """Per row: doc_id, the measures, base_failed, kept, host and host_rejected."""
     rows = staged(measures(docs).withColumn("base_failed", base_failed()), "measures")
-    out = rows.join(rejected_hosts(rows, most_failing), "host", "left").withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
+    # rejected hosts are few: broadcast, rows of a host with a third of all need no deal
+    out = rows.join(bounded(staged(rejected_hosts(rows, most_failing), "rejected")), "host", "left").withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
@@ -95,7 +96,7 @@ def passing(docs: DataFrame, most_failing: float = MOST_FAILING) -> DataFrame:
     rows = measures(docs.withColumn("__row", F.struct(*docs.columns)), ("__row",))
     # the id keeps Spark from moving the filter, and with it the measures, below the steps that share their parts
     rows = rows.select("__row", "host", base_failed().alias("base_failed"), F.monotonically_increasing_id().alias("fence"))
-    return rows.where("not base_failed and fence >= 0").join(rejected, "host", "left_anti").select("__row.*")
+    return rows.where("not base_failed and fence >= 0").join(bounded(rejected), "host", "left_anti").select("__row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
