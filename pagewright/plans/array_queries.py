@@ -97,9 +97,11 @@ def page_gutters(spark, sf):
     return rows.select("page_id", F.round(F.least(F.lit(0.65), F.greatest(F.lit(0.35), (F.col("l") + F.col("r")) / 2)), 9).alias("gutter"))
 
 
-@query("compacted_orders", "SELECT layout_id, row_number() OVER (PARTITION BY page_id ORDER BY reading_order, layout_id) AS new_order FROM {d_layouts} WHERE seed % 4 <> 0")
+@query("compacted_orders", "SELECT layout_id, row_number() OVER (PARTITION BY page_id ORDER BY reading_order, layout_id) AS new_order FROM {d_layouts} WHERE layout_id IN (SELECT layout_id FROM {d_outputs})")
 def compacted_orders(spark, sf):
-    return frame(spark, sf, "d_layouts").where("seed % 4 <> 0").select("layout_id", F.row_number().over(Window.partitionBy("page_id").orderBy("reading_order", "layout_id")).cast("long").alias("new_order"))
+    """Orders without gaps after the boxes that have no output were removed."""
+    kept = frame(spark, sf, "d_layouts").join(frame(spark, sf, "d_outputs").select("layout_id"), "layout_id", "left_semi")
+    return kept.select("layout_id", F.row_number().over(Window.partitionBy("page_id").orderBy("reading_order", "layout_id")).cast("long").alias("new_order"))
 
 
 @query(
@@ -130,10 +132,12 @@ def applied_orders(spark, sf):
     return applied(layouts, wanted).select("page_id", "layout_id", F.col("new_order").cast("long").alias("new_order"), "changed")
 
 
-@query("contiguous_orders", "SELECT page_id, count(*) = max(reading_order) AND count(*) = count(DISTINCT reading_order) AND min(reading_order) = 1 AS contiguous FROM {d_layouts} WHERE seed % 9 <> 0 GROUP BY page_id")
+@query("contiguous_orders", "SELECT page_id, count(*) = max(reading_order) AND count(*) = count(DISTINCT reading_order) AND min(reading_order) = 1 AS contiguous FROM {d_layouts} WHERE layout_id IN (SELECT layout_id FROM {d_outputs}) GROUP BY page_id")
 def contiguous_orders(spark, sf):
     o = F.col("reading_order")
-    return frame(spark, sf, "d_layouts").where("seed % 9 <> 0").groupBy("page_id").agg(((F.count("*") == F.max(o)) & (F.count("*") == F.count_distinct(o)) & (F.min(o) == 1)).alias("contiguous"))
+    """Whether the boxes that have an output are numbered from 1 without gaps."""
+    kept = frame(spark, sf, "d_layouts").join(frame(spark, sf, "d_outputs").select("layout_id"), "layout_id", "left_semi")
+    return kept.groupBy("page_id").agg(((F.count("*") == F.max(o)) & (F.count("*") == F.count_distinct(o)) & (F.min(o) == 1)).alias("contiguous"))
 
 
 @query("page_fingerprints", """SELECT page_id, sha256(string_agg(printf('%d|%s|%.6f|%.6f|%.6f|%.6f', reading_order, cls, x1, y1, x2, y2), ';' ORDER BY reading_order, layout_id)) AS fingerprint FROM {d_layouts_n} WHERE cls <> 'picture_text' GROUP BY page_id""")

@@ -24,13 +24,12 @@ def stage_membership(spark, sf):
     return frame(spark, sf, "d_pages").agg(*[F.count_if(live & (s == v)).alias(k) for k, v in pending.items()], *[F.count_if(s.isin(*v)).alias(k) for k, v in seen.items()])
 
 
-@query("natural_page_order", "SELECT page_id, row_number() OVER (ORDER BY lower(split_part(rel_path, '/', 1)), CAST(regexp_extract(rel_path, '/(\\d+)\\.png$', 1) AS BIGINT), page_id) AS place FROM {d_pages} WHERE page_id < 300")
-def natural_page_order(spark, sf):
-    """Names in natural order: without regard to case, runs of digits by value."""
+@query("natural_page_keys", "SELECT page_id, array_to_string(list_transform(regexp_extract_all(lower(rel_path), '(\\d+|\\D+)'), lambda x: CASE WHEN regexp_matches(x, '^\\d') THEN lpad(x, 20, '0') ELSE x END), '') AS key FROM {d_pages}")
+def natural_page_keys(spark, sf):
+    """Keys by which names sort in natural order: without regard to case, runs of digits by value."""
     from ..operators.orders import natural_key
 
-    rows = frame(spark, sf, "d_pages").where("page_id < 300")
-    return rows.select("page_id", F.row_number().over(Window.orderBy(natural_key(F.col("rel_path")), "page_id")).cast("long").alias("place"))
+    return frame(spark, sf, "d_pages").select("page_id", natural_key(F.col("rel_path")).alias("key"))
 
 
 @query("client_leaderboard", "SELECT model, image_size, round(avg(score), 9) AS mean, min(score) AS least FROM {d_results} GROUP BY model, image_size ORDER BY mean DESC, least DESC, model, image_size LIMIT 3")
@@ -105,12 +104,12 @@ def crop_boxes(spark, sf):
     return frame(spark, sf, "d_layouts").select("layout_id", p["left"].alias("left"), p["top"].alias("top"), (p["right"] - p["left"]).alias("wide"), (p["bottom"] - p["top"]).alias("high"), (N.orientation(F.col("orientation")) == "vertical").alias("rotate"))
 
 
-@query("normalised_predictions", """SELECT page_id, pred_id, cls, c AS confidence FROM (SELECT page_id, pred_id, CASE WHEN cls = 'title' THEN 'section_header' ELSE cls END AS cls, TRY_CAST(CASE pred_id % 4 WHEN 0 THEN 'bad' WHEN 1 THEN '0.5' WHEN 2 THEN NULL ELSE '1' END AS DOUBLE) AS c FROM {d_predictions} WHERE cfg = 0) WHERE cls <> 'picture_text' AND cls <> ''""")
+@query("normalised_predictions", """SELECT page_id, cfg, pred_id, cls, c AS confidence FROM (SELECT page_id, cfg, pred_id, CASE WHEN cls = 'title' THEN 'section_header' ELSE cls END AS cls, TRY_CAST(CASE pred_id % 4 WHEN 0 THEN 'bad' WHEN 1 THEN '0.5' WHEN 2 THEN NULL ELSE '1' END AS DOUBLE) AS c FROM {d_predictions}) WHERE cls <> 'picture_text' AND cls <> ''""")
 def normalised_predictions(spark, sf):
     """Stored predictions as far as they can be used: a bad confidence is none, an excluded or blank class drops the row."""
     k = F.col("pred_id") % 4
     raw = F.when(k == 0, "bad").when(k == 1, "0.5").when(k == 3, "1")
-    rows = frame(spark, sf, "d_predictions").where("cfg = 0").select("page_id", "pred_id", N.class_benchmark(F.col("cls")).alias("cls"), raw.try_cast("double").alias("confidence"))
+    rows = frame(spark, sf, "d_predictions").select("page_id", "cfg", "pred_id", N.class_benchmark(F.col("cls")).alias("cls"), raw.try_cast("double").alias("confidence"))
     return rows.where("cls IS NOT NULL AND cls <> ''")
 
 
@@ -127,11 +126,11 @@ def stored_predictions(spark, sf):
 @query("detection_chain")
 def detection_chain(spark, sf):
     """Detections as they are stored: class remapped, overlaps dropped, numbered after the boxes that a page has."""
-    rows = frame(spark, sf, "d_predictions").where("cfg = 0").withColumn("cls", N.class_detected(F.col("cls")))
-    kept = matching.without_overlaps(rows, ["page_id"])
+    rows = frame(spark, sf, "d_predictions").withColumn("cls", N.class_detected(F.col("cls")))
+    kept = matching.without_overlaps(rows, ["page_id", "cfg"])
     have = frame(spark, sf, "d_layouts").groupBy("page_id").agg(F.max("reading_order").alias("last"))
-    place = F.row_number().over(Window.partitionBy("page_id").orderBy("y1", "x1", "pred_id"))
-    return kept.join(have, "page_id", "left").select("page_id", "pred_id", "cls", (F.coalesce("last", F.lit(0)) + place).alias("reading_order"))
+    place = F.row_number().over(Window.partitionBy("page_id", "cfg").orderBy("y1", "x1", "pred_id"))
+    return kept.join(have, "page_id", "left").select("page_id", "cfg", "pred_id", "cls", (F.coalesce("last", F.lit(0)) + place).alias("reading_order"))
 
 
 @query("migrated_values", """SELECT layout_id, CASE WHEN o IN ('vertical', 'v', 'ver') THEN 'vertical' WHEN o IN ('horizontal', 'h', 'hor') THEN 'horizontal' WHEN y2 - y1 >= (x2 - x1) * 2.0 THEN 'vertical' ELSE 'horizontal' END AS orientation FROM (SELECT *, lower(trim(replace(orientation, '_', '-'))) AS o FROM {d_layouts})""")
@@ -181,19 +180,20 @@ def run_status(spark, sf):
     return runs.agg(F.max("id").alias("id"), F.max_by("processed", "id").alias("processed"), F.max_by(ratio, "id").alias("ratio"))
 
 
-@query("foreign_layouts", "SELECT a.layout_id FROM (SELECT layout_id, page_id FROM {d_layouts} WHERE seed % 50 = 0) a WHERE NOT EXISTS (SELECT 1 FROM {d_layouts} l WHERE l.layout_id = a.layout_id AND l.page_id = 7)")
+@query("foreign_layouts", "SELECT layout_id FROM {d_layouts} WHERE seed % 50 = 0")
 def foreign_layouts(spark, sf):
-    """Selected boxes that are not of the page they were selected for."""
-    mine = frame(spark, sf, "d_layouts").where("page_id = 7").select("layout_id")
-    return frame(spark, sf, "d_layouts").where("seed % 50 = 0").select("layout_id").join(mine, "layout_id", "left_anti")
+    """Selected boxes that are not of the page they were selected for; here one in fifty was selected for the next page."""
+    rows = frame(spark, sf, "d_layouts")
+    wanted = rows.select("layout_id", F.when(F.col("seed") % 50 == 0, F.col("page_id") + 1).otherwise(F.col("page_id")).alias("page_id"))
+    return wanted.join(rows.select("layout_id", "page_id"), ["layout_id", "page_id"], "left_anti").select("layout_id")
 
 
-@query("visit_histories", "SELECT user_id, list_slice(list(event_id ORDER BY event_id), -200, -1) AS history FROM (SELECT * FROM events WHERE event_id % 2 = 0) GROUP BY user_id")
+@query("visit_histories", "SELECT user_id, list_slice(list(event_id ORDER BY event_id), -200, -1) AS history FROM events GROUP BY user_id")
 def visit_histories(spark, sf):
     """Pages that a user visited in order, the last two hundred."""
     from ..operators.orders import visit_history
 
-    return visit_history(frame(spark, sf, "events").where("event_id % 2 = 0"), "user_id", "event_id", "event_id").select("user_id", "history")
+    return visit_history(frame(spark, sf, "events"), "user_id", "event_id", "event_id").select("user_id", "history")
 
 
 @query("visible_boxes", "SELECT layout_id, x1 < 0.7 AND x2 > 0.2 AND y1 < 0.8 AND y2 > 0.3 AS visible, round((x1 - 0.2) / 0.5 * 100, 6) AS left_percent FROM {d_layouts}")

@@ -107,11 +107,11 @@ def latest_states(spark, sf):
     return J.latest_states(frame(spark, sf, "d_events"))
 
 
-@query("upserted_results", "SELECT page_id, cfg, score FROM (SELECT *, row_number() OVER (PARTITION BY page_id, cfg ORDER BY updated_at DESC, result_id DESC) AS n FROM (SELECT page_id, cfg, score, updated_at, result_id FROM {d_results} UNION ALL SELECT page_id, cfg, score / 2, '2024-03-01', result_id FROM {d_results} WHERE page_id % 3 = 0)) WHERE n = 1")
+@query("upserted_results", "SELECT page_id, cfg, score FROM (SELECT *, row_number() OVER (PARTITION BY page_id, cfg ORDER BY updated_at DESC, result_id DESC, score DESC) AS n FROM (SELECT page_id, cfg, score, updated_at, result_id FROM {d_results} UNION ALL SELECT page_id, cfg, score / 2, '2024-02-15', result_id FROM {d_results})) WHERE n = 1")
 def upserted_results(spark, sf):
     old = frame(spark, sf, "d_results").select("page_id", "cfg", "score", "updated_at", "result_id")
-    new = old.where("page_id % 3 = 0").withColumn("score", F.col("score") / 2).withColumn("updated_at", F.lit("2024-03-01"))
-    return J.upserted(old, new, ["page_id", "cfg"], ["updated_at", "result_id"]).select("page_id", "cfg", "score")
+    new = old.withColumn("score", F.col("score") / 2).withColumn("updated_at", F.lit("2024-02-15"))
+    return J.upserted(old, new, ["page_id", "cfg"], ["updated_at", "result_id", "score"]).select("page_id", "cfg", "score")
 
 
 @query("stage_progress", "SELECT count(*) AS total, count(*) FILTER (lower(status) NOT IN ('new', 'layout_detecting')) AS detected, count(*) FILTER (lower(status) IN ('layout_reviewed', 'ocr_extracting', 'ocr_done', 'ocr_failed', 'ocr_reviewed')) AS reviewed, count(*) FILTER (lower(status) IN ('ocr_done', 'ocr_reviewed')) AS extracted, count(*) FILTER (lower(status) = 'ocr_reviewed') AS accepted FROM {d_pages} WHERE NOT is_missing")
@@ -134,10 +134,10 @@ def edited_layouts(spark, sf):
     return both.select("layout_id", box.alias("bbox_changed"), cls.alias("class_changed"), (F.col("new_order") != F.col("reading_order")).alias("order_changed"), F.when(box | cls, "2024-05-01").otherwise(F.col("updated_at")).alias("updated_at"))
 
 
-@query("removed_page_counts", "SELECT p.page_id, (SELECT count(*) FROM {d_layouts} l WHERE l.page_id = p.page_id) AS layouts, (SELECT count(*) FROM {d_outputs} o WHERE o.page_id = p.page_id) AS outputs, (SELECT count(*) FROM {d_jobs} j WHERE j.page_id = p.page_id) AS jobs FROM {d_pages} p WHERE p.page_id % 50 = 0")
+@query("removed_page_counts", "SELECT p.page_id, (SELECT count(*) FROM {d_layouts} l WHERE l.page_id = p.page_id) AS layouts, (SELECT count(*) FROM {d_outputs} o WHERE o.page_id = p.page_id) AS outputs, (SELECT count(*) FROM {d_jobs} j WHERE j.page_id = p.page_id) AS jobs FROM {d_pages} p")
 def removed_page_counts(spark, sf):
-    """Rows that go with a page when it is removed."""
-    pages = frame(spark, sf, "d_pages").where("page_id % 50 = 0").select("page_id")
+    """Rows that would go with each page if it were removed."""
+    pages = frame(spark, sf, "d_pages").select("page_id")
     out = pages
     for name, table in (("layouts", "d_layouts"), ("outputs", "d_outputs"), ("jobs", "d_jobs")):
         out = out.join(frame(spark, sf, table).join(pages, "page_id", "left_semi").groupBy("page_id").agg(F.count("*").alias(name)), "page_id", "left")
