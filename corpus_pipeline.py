@@ -25,8 +25,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies, that of the smallest id."""
-    gone = near_dedup(docs).where(~F.col("kept")).select("doc_id")
+    """One document of each component of near copies, that of the smallest id: five-word shingles, similarity 0.8 or more."""
+    gone = near_dedup(docs, k=5, percent=80).where(~F.col("kept")).select("doc_id")
     return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -11,7 +11,7 @@ at most one link from a document to a component. Pairs are looked at only if
 their sizes allow the similarity and their signatures' last bits do not rule it
 out.
 
-The chance that a link of similarity 0.85 is never compared is below 1e-6; there
+The chance that a link of the least similarity is never compared is below 1e-6; there
 is no cap on partners or candidates.
 
 Equal sets are one class from the start. Links are confirmed on full shingle
@@ -26,24 +26,38 @@ component; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK, LOWER, U, block_words, hash_ranges, mix, spans, staged, text_buffer, typed
+from .blocks import LOWER, U, block_words, hash_ranges, mix, spans, staged, text_buffer, typed
 
 NAME = "op6_lsh_forest_dedup"
 SHINGLE, VALUES = 3, 256
-TREES, DEPTH = 20, 4  # at Jaccard 0.85 a pair shares no region with probability 4e-7
+DEPTH, MISS = 4, 4e-7  # values of a region's key; chance that a pair of the least similarity shares no region
 DENSE = 32  # regions of more documents are compared in blocks
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1 << 20  # of a block, on average
-MOST_ODD_BITS = 43  # of VALUES last bits; at Jaccard 0.85 some 19 differ, and more than 43 with probability 1e-7
 _rng = np.random.default_rng(6)
 _MUL = _rng.integers(0, 2**32, VALUES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _XOR = _rng.integers(0, 2**32, VALUES, dtype=np.uint64).astype(np.uint32)
-_ORDERS = [list(range(t * DEPTH, t * DEPTH + 2 * DEPTH)) for t in range(TREES)]
+
+
+
+
+def orders(percent: int) -> list[list[int]]:
+    """The trees' orders of signature values: as many as the chance to miss asks for, 20 at 85 per cent and 28 at 80."""
+    trees = math.ceil(math.log(MISS) / math.log(1 - (min(percent, 99) / 100) ** DEPTH))
+    return [[(t * DEPTH + j) % VALUES for j in range(2 * DEPTH)] for t in range(trees)]
+
+
+def most_odd_bits(percent: int) -> int:
+    """How many of the VALUES last bits may differ: at Jaccard 0.85 some 19 do, and more than these 43 with probability 2e-7."""
+    p = (1 - percent / 100) / 2
+    return math.floor(VALUES * p + 5.65 * math.sqrt(VALUES * p * (1 - p)))
 
 
 _BITS = [f"bits{i}" for i in range(VALUES // 64)]
@@ -192,7 +206,7 @@ def _block_pair(rows: list[np.ndarray], k: int, percent: int) -> pa.RecordBatch:
         if two:
             y &= block != block[x]
         y = np.flatnonzero(y)
-        y = y[np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1) <= MOST_ODD_BITS]
+        y = y[np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1) <= most_odd_bits(percent)]
         done = set()
         for other in y:
             if c[other] not in done:
@@ -262,12 +276,16 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
     y = open_.select("region", "main", *[F.col(k).alias(f"y_{k}") for k in ("rep", "c", "n_shingles", *_BITS)])
     odd = sum((F.bit_count(F.col(f"x_{k}").bitwiseXOR(F.col(f"y_{k}"))) for k in _BITS), F.lit(0))
     alike = F.least("x_n_shingles", "y_n_shingles") * 100 >= F.greatest("x_n_shingles", "y_n_shingles") * percent
-    wanted = (x["region"] == y["region"]) & (F.col("x_c") != F.col("y_c")) & ((F.col("y_c") == F.col("main")) | (F.col("x_rep") < F.col("y_rep"))) & alike & (odd <= MOST_ODD_BITS)
+    wanted = (x["region"] == y["region"]) & (F.col("x_c") != F.col("y_c")) & ((F.col("y_c") == F.col("main")) | (F.col("x_rep") < F.col("y_rep"))) & alike & (odd <= most_odd_bits(percent))
     return x.join(y, wanted).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
 
 
 def near_dedup(docs: DataFrame, k: int = SHINGLE, percent: int = 85) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept, and set_id, equal for documents of equal sets."""
+    """Per document: doc_id, n_shingles, component_id, kept, and set_id, equal for documents of equal sets.
+
+    The number of trees follows from percent; from 65 on they use each signature
+    value once.
+    """
     texts = typed(docs, doc_id="bigint", text="string")
     schema = "doc_id long, n_shingles long, fp binary, sig binary, " + ", ".join(f"{x} long" for x in _BITS)
     signed = staged(texts.mapInArrow(lambda it: _signed(it, k), schema), "signatures")
@@ -275,7 +293,7 @@ def near_dedup(docs: DataFrame, k: int = SHINGLE, percent: int = 85) -> DataFram
     classes = known.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     reps = known.withColumnRenamed("doc_id", "rep").join(classes, ["fp", "rep"], "left_semi").dropDuplicates(["rep"])
     schema = "rep long, region long, deep long"
-    forest = reps.select("rep", "sig").mapInArrow(lambda it: _planted(it, _ORDERS), schema)
+    forest = reps.select("rep", "sig").mapInArrow(lambda it: _planted(it, orders(percent)), schema)
     crowd = forest.groupBy("region").agg(F.count("*").alias("crowd"), F.min("rep").alias("first")).where("crowd > 1")
     regions = staged(forest.join(crowd, "region"), "regions")
     near = regions.select("rep", "first", F.lead("rep").over(Window.partitionBy("deep").orderBy("rep")).alias("next"))
@@ -290,9 +308,12 @@ def near_dedup(docs: DataFrame, k: int = SHINGLE, percent: int = 85) -> DataFram
     placed = staged(placed.join(mixed, "region").join(size, "rep").select("region", "rep", "crowd", "first", "c", "n_shingles", *_BITS), "placed")
     cross = _across(placed.where(F.col("crowd") <= DENSE), percent)
     dense = placed.where(F.col("crowd") > DENSE)
-    blocks = _block_links(dense, ids, k, percent)
-    more = staged(_links(cross.join(pairs, ["a", "b"], "left_anti"), ids, k, percent).unionByName(blocks), "links")
-    comp = components(links.unionByName(more), "stars")
+    found = _links(cross.join(pairs, ["a", "b"], "left_anti"), ids, k, percent)
+    if not dense.isEmpty():
+        found = found.unionByName(_block_links(dense, ids, k, percent))
+    more = staged(found, "links")
+    if not more.isEmpty():
+        comp = components(links.unionByName(more), "stars")
     place = classes.join(comp, F.col("rep") == F.col("node"), "left").select("fp", F.col("rep").alias("set_id"), F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "fp").join(place, "fp", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), F.coalesce("set_id", "doc_id").alias("set_id"))

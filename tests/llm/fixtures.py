@@ -87,8 +87,8 @@ def shingle_set(text, k=3):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
 
 
-def near_components(rows, percent=85):
-    sets = {d: shingle_set(t) for d, t in rows}
+def near_components(rows, percent=85, k=3):
+    sets = {d: shingle_set(t, k) for d, t in rows}
     root = {d: d for d in sets}
 
     def find(x):

@@ -90,6 +90,13 @@ def test_near_dedup_in_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == near_components(rows)
 
 
+def test_near_dedup_of_five_words(spark):
+    rows = corpus(5)
+    out = op6_lsh_forest.near_dedup(frame(spark, rows), k=5, percent=80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == near_components(rows, 80, 5)
+    assert len(op6_lsh_forest.orders(85)) == 20 and len(op6_lsh_forest.orders(80)) == 28
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in op6_lsh_forest.components(links, "chain").collect()}

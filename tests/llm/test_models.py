@@ -197,7 +197,7 @@ def test_pipeline(spark):
         docs = staged(stage(spark, docs, SF), name)
         seen.append(docs.count())
         if name == "near_duplicates":
-            want = {d for d, (_, c) in near_components(before).items() if d == c}
+            want = {d for d, (_, c) in near_components(before, 80, 5).items() if d == c}
             assert {r.doc_id for r in docs.collect()} == want
         if name == "substring_dedup":
             want = removed_words(before, 13)
