@@ -1,17 +1,18 @@
-"""Size-partitioned MinHash containment search of short items in long texts, with DataFrame functions only.
-
-Items are partitioned by the number of their shingle positions into classes
-[size / 2, size) of powers of two. For each class the texts are cut into
-overlapping windows of twice the class's size, one starting at every multiple
-of the size, so that every occurrence of an item lies whole in some window and
-a window is never much larger than an item. MinHash signatures of windows and
-items are compared in bands of one value; the number of bands follows from the
-least Jaccard similarity that a window which contains an item can have.
-Candidates are verified by counting the item's distinct shingles in the window.
-
-A band can only collide on a shingle that some item of the class has, so
-windows are reduced to such shingles first: this drops no collision, and text
-that shares nothing with any item costs one lookup a shingle.
+"""Containment search of short items in long texts by sketches of the items, with DataFrame functions only.
+
+An item matches a text that has enough of its distinct shingles, wherever they
+stand in it. Of an item of n shingles of which m must be found, any n - m + 1
+include one that the text has: so each item is looked up by a sketch of so many,
+the rarest among the items and then the least by hash, and no match is missed.
+Candidates are verified by counting the item's distinct shingles in the whole
+text; the work grows with the candidates, not with all items that share a shingle.
+
+Only for the place of a match, items are partitioned by the number of their
+shingle positions into classes [size / 2, size) of powers of two, and texts are
+cut into windows of twice the size, one at every multiple of the size.
+
+Texts are reduced to shingles that some item has first: text that shares
+nothing with any item costs one lookup a shingle.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import bounded
+from .blocks import bounded, staged
 
 
 def words(text: Column) -> Column:
@@ -38,31 +39,37 @@ def bands(threshold: float, miss: float) -> int:
     """How many bands of one value find an item contained to the threshold but for the chance `miss`.
 
     A window has at most 2 size shingles and the item at least size / 2, of which
-    threshold lie in it.
+    threshold lie in it. The search itself has no chance of a miss and draws no bands.
     """
     least = 0.5 * threshold / (2 + 0.5 * (1 - threshold))
     return math.ceil(math.log(miss) / math.log(1 - least))
 
 
-def signature(values: Column, n: int) -> Column:
-    seeds = F.sequence(F.lit(1), F.lit(n))
-    return F.transform(seeds, lambda s: F.array_min(F.transform(values, lambda v: F.xxhash64(v, s))))
+def sketched(own: DataFrame, percent: int) -> DataFrame:
+    """(key, h): of each item as many shingles as make sure that a text with percent of them has one; own: key, h."""
+    held = own.groupBy("h").agg(F.count("*").alias("n_items"))
+    ranked = own.join(held, "h").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n_items", F.xxhash64("h").alias("order"), "h"))).alias("item"))
+    n = F.size("item")
+    return ranked.select("key", F.explode_outer(F.slice("item", F.lit(1), (n - F.ceil(n * percent / 100) + 1).cast("int"))["h"]).alias("h"))
 
 
-def contained(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-4) -> DataFrame:
-    """(doc_id, item_id, n_shingles, n_found, first_word) for each item of which a window of the text has enough shingles.
+def contained(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, item_id, n_shingles, n_found, first_word) for each item of which the text has enough shingles.
 
     docs: doc_id, text; items: item_id, text. n_shingles: distinct shingles of
-    the item; n_found: the most of them in one window; first_word: the word of
-    the text at which the first such window's matches begin. A null text has no
-    words; an item of fewer than k words has no shingle and matches nothing;
-    rows of one doc_id or item_id are taken together; ids may be null.
+    the item; n_found: those that stand anywhere in the text; first_word: the
+    word of the text at which the matches of the first window with the most of
+    them begin. A null text has no words; an item of fewer than k words has no
+    shingle and matches nothing; rows of one doc_id or item_id are taken
+    together; ids may be null.
     """
-    n = bands(percent / 100, miss)
     # the outer forms of explode keep Spark from pushing a filter on the generated array, and with it the array's computation, into the scan
     own = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") >= k).select("item_id", shingles(F.col("w"), k).alias("h"))
     own = own.select("item_id", F.array_distinct("h").alias("item"), F.pow(F.lit(2), F.floor(F.log2(F.size("h"))) + 1).cast("long").alias("size"))
-    vocabulary = own.select("size", F.explode_outer("item").alias("h")).groupBy("h").agg(F.collect_set("size").alias("sizes"))
+    # ids may be null or repeated, keys are neither
+    own = staged(own.withColumn("key", F.xxhash64("item_id", "item", "size")).dropDuplicates(["key"]), "items")
+    single = own.select("key", "size", F.explode_outer("item").alias("h"))
+    vocabulary = single.groupBy("h").agg(F.collect_set("size").alias("sizes"))
     found = (
         docs.select("doc_id", words(F.col("text")).alias("w"))
         .select("doc_id", shingles(F.col("w"), k).alias("h"))
@@ -71,12 +78,14 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80,
         .select("doc_id", "pos", "h", F.explode("sizes").alias("size"))
         .select("doc_id", "pos", "h", "size", F.explode(F.array(F.floor(F.col("pos") / F.col("size")), F.floor(F.col("pos") / F.col("size")) - 1)).alias("window"))
     )
-    windows = found.groupBy("doc_id", "size", "window").agg(F.collect_set("h").alias("has"), F.min("pos").alias("first_word"))
-    left = windows.select("*", F.posexplode_outer(signature(F.col("has"), n)).alias("band", "least"))
-    right = own.select("item_id", "item", "size", F.posexplode_outer(signature(F.col("item"), n)).alias("band", "least"))
-    pairs = left.join(right, ["size", "band", "least"]).dropDuplicates(["doc_id", "size", "window", "item_id"])
-    pairs = pairs.select("doc_id", "item_id", "first_word", F.size("item").alias("n_shingles"), F.size(F.array_intersect("has", "item")).alias("n_found"))
-    pairs = pairs.where(F.col("n_found") * 100 >= F.col("n_shingles") * percent)
-    return pairs.groupBy("doc_id", "item_id").agg(
+    windows = staged(found.groupBy("doc_id", "size", "window").agg(F.collect_set("h").alias("has"), F.min("pos").alias("first_word")), "windows")
+    at = windows.select(F.struct("doc_id").alias("doc"), "size", "window", "first_word", F.explode_outer("has").alias("h"))
+    sketch = sketched(single, percent).join(own.select("key", "size"), "key")
+    candidates = at.select("doc", "size", "h").join(bounded(sketch), ["size", "h"]).select("doc", "key").distinct()
+    hits = candidates.join(bounded(single), "key").join(at, ["doc", "size", "h"])
+    pairs = hits.groupBy("doc", "key", "window").agg(F.collect_list("h").alias("has"), F.min("first_word").alias("first_word"))
+    pairs = pairs.groupBy("doc", "key").agg(F.size(F.array_distinct(F.flatten(F.collect_list("has")))).alias("n_found"), F.min_by("first_word", F.struct(-F.size("has"), "first_word")).alias("first_word"))
+    pairs = pairs.join(bounded(own.select("key", "item_id", F.size("item").alias("n_shingles"))), "key").where(F.col("n_found") * 100 >= F.col("n_shingles") * percent)
+    return pairs.groupBy(F.col("doc.doc_id").alias("doc_id"), "item_id").agg(
         F.max("n_shingles").cast("long").alias("n_shingles"), F.max("n_found").cast("long").alias("n_found"), F.min_by("first_word", F.struct(-F.col("n_found"), "first_word")).cast("long").alias("first_word")
     )

@@ -1,7 +1,7 @@
 """License scan: which license notices stand in which documents.
 
-MinHash bands over overlapping text windows retrieve the templates and exact
-shingle containment verifies them; see containment.contained for the method,
+Sketches of the templates retrieve them and exact shingle containment in the
+whole text verifies them; see containment.contained for the method,
 null and short texts. Defined results: an empty table gives an empty result;
 further columns are ignored.
 """

@@ -1,8 +1,8 @@
 """Benchmark decontamination: which documents hold which test items.
 
 Method, null and short texts: see containment.contained. Defined results: a
-document matches an item when one window of it holds at least 80 of 100 of the
-item's distinct five-word shingles; empty tables give an empty result; further
+document matches an item when it holds, wherever they stand, at least 80 of 100
+of the item's distinct five-word shingles; empty tables give an empty result; further
 columns are ignored.
 """
 

@@ -47,6 +47,25 @@ def test_shuffled_vocabulary_finds_the_same(spark, monkeypatch):
     assert [(r.doc_id, r.n_shingles, r.n_found, r.first_word) for r in got.collect()] == [(1, 26, 26, 3)]
 
 
+@pytest.mark.parametrize("n, inserted", [(31, (10, 20, 60)), (63, (30, 60, 200))])
+def test_items_with_inserted_words_are_found_at_every_offset(spark, n, inserted):
+    item = [f"w{j}" for j in range(n + 4)]
+    cuts = [(len(item) // 2, m) for m in inserted] + [(len(item) // 3, inserted[0])]
+    texts = [" ".join([*(f"a{j}" for j in range(offset)), *item[:cut], *(f"b{j}" for j in range(m)), *item[cut:]]) for cut, m in cuts for offset in range(0, 2 * n + 2)]
+    got = containment.contained(frame(spark, list(enumerate(texts))).select("doc_id", "text"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    assert {(r.doc_id, r.n_shingles, r.n_found) for r in got.collect()} == {(d, n, n - 4) for d in range(len(texts))}
+
+
+def test_scattered_shared_and_null_ids_match_whole_texts(spark):
+    shared = [f"s{j}" for j in range(20)]
+    items = [(i, " ".join([*shared, *(f"i{i}w{j}" for j in range(i))])) for i in (3, 9, 20)] + [(None, " ".join(f"n{j}" for j in range(12)))]
+    parts = [" ".join(items[2][1].split()[a : a + 14]) for a in range(0, 40, 10)]
+    docs = [(1, (" " + "x " * 90).join(parts)), (2, " ".join(shared)), (None, items[3][1]), (4, " ".join(t for _, t in items))]
+    got = containment.contained(frame(spark, docs).select("doc_id", "text"), spark.createDataFrame(items, "item_id long, text string"))
+    want = matches(docs, items)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want and {(1, 20), (2, 3), (None, None), (4, 9)} <= want
+
+
 def test_license_notices(spark):
     docs = [(1, "x\nLicensed under the Apache License, Version 2.0."), (2, "released UNDER the mit license"), (3, "no license"), (4, None), (5, "Licensed under the Apache")]
     got = {(r.doc_id, r.license) for r in op1_license_scan.license_scan(frame(spark, docs)).collect()}
