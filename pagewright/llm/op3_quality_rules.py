@@ -5,6 +5,10 @@ Each document is measured once. Failures of the rules are counted by host
 whose parameters are fitted to the hosts' rates by moments; hosts whose shrunk
 rate is above the limit are rejected, and the verdict is joined back.
 
+The query judges by base_failed alone, as its SQL has it. The pipeline's stage
+(passing) also fails texts with many symbols or many repeated lines, itself and
+in the failures by host.
+
 Defined results: a null text has no words, so it fails; a null source is the
 host ''; rows with null or repeated ids are judged row by row; an empty table
 gives an empty result; further columns are ignored.
@@ -19,6 +23,8 @@ from .blocks import bounded, staged
 
 NAME = "op3_quality_rules"
 WINDOW, LEAST_WORDS, MOST_REPEATED, MOST_FAILING = 8, 20, 30, 0.5
+#: Per cent of symbols to the characters of words, and of lines that repeat an earlier one: no document labelled clean at sf0.1 has more.
+MOST_SYMBOLS, MOST_DUP_LINES = 10, 40
 _WHITE = r"[ \t\n\x0B\f\r]+"
 
 
@@ -44,7 +50,7 @@ def measures(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     out = out.withColumn("at", F.sort_array(repeated_positions(F.col("order"))))
     gaps = F.aggregate(F.sequence(F.lit(1), F.size("at") - 1), F.lit(WINDOW), lambda a, j: a + F.least(F.lit(WINDOW), F.col("at")[j] - F.col("at")[j - 1]))
     return out.select(
-        "doc_id", "host", *extra, "n_words", "word_chars", "n_symbols",
+        "doc_id", "host", *extra, "n_words", "word_chars", "n_symbols", F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("at").isNull(), 0).otherwise(gaps).cast("long").alias("n_repeat_words"),
     )
@@ -77,8 +83,13 @@ def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
 
-def rejected_hosts(rows: DataFrame, most_failing: float) -> DataFrame:
-    rates = host_rates(rows.select("host", F.col("base_failed").alias("failed")))
+def stage_failed() -> Column:
+    """base_failed, or too many symbols or repeated lines."""
+    return base_failed() | (100 * F.col("n_symbols") > MOST_SYMBOLS * F.col("word_chars")) | (100 * F.col("n_dup_lines") > MOST_DUP_LINES * F.col("n_lines"))
+
+
+def rejected_hosts(rows: DataFrame, most_failing: float, failed: str = "base_failed") -> DataFrame:
+    rates = host_rates(rows.select("host", F.col(failed).alias("failed")))
     return rates.where(F.col("rate") > most_failing).select("host", F.lit(True).alias("host_rejected"))
 
 
@@ -91,12 +102,12 @@ def quality_rules(docs: DataFrame, most_failing: float = MOST_FAILING) -> DataFr
 
 
 def passing(docs: DataFrame, most_failing: float = MOST_FAILING) -> DataFrame:
-    """The rows of docs, with all their columns, that the rules keep. Texts are measured twice rather than written."""
-    rejected = staged(rejected_hosts(measures(docs).withColumn("base_failed", base_failed()), most_failing), "rejected")
+    """The rows of docs, with all their columns, that the stage's rules keep. Texts are measured twice rather than written."""
+    rejected = staged(rejected_hosts(measures(docs).withColumn("failed", stage_failed()), most_failing, "failed"), "rejected")
     rows = measures(docs.withColumn("__row", F.struct(*docs.columns)), ("__row",))
     # the id keeps Spark from moving the filter, and with it the measures, below the steps that share their parts
-    rows = rows.select("__row", "host", base_failed().alias("base_failed"), F.monotonically_increasing_id().alias("fence"))
-    return rows.where("not base_failed and fence >= 0").join(bounded(rejected), "host", "left_anti").select("__row.*")
+    rows = rows.select("__row", "host", stage_failed().alias("failed"), F.monotonically_increasing_id().alias("fence"))
+    return rows.where("not failed and fence >= 0").join(bounded(rejected), "host", "left_anti").select("__row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,6 +107,24 @@ def test_host_verdicts(spark):
     assert op3_quality_rules.passing(docs).count() == 30
 
 
+def test_the_stage_fails_symbols_and_repeated_lines(spark):
+    good = "\n".join(" ".join(f"w{i}" for i in range(j, j + 6)) for j in range(0, 60, 6))
+    symbols = " ".join(f"word{i} #$%" for i in range(40))
+    lines = "\n".join(f"a{i} b{i} c{i} d{i} e{i} f{i} g{i}\nx" for i in range(10))
+    docs = spark.createDataFrame([(1, good, "a"), (2, symbols, "a"), (3, lines, "a"), (4, good, "b"), *((i, symbols, "b") for i in range(10, 40))], "doc_id long, text string, source string")
+    docs = docs.union(spark.createDataFrame([(i, good, "a") for i in range(100, 130)], docs.schema))
+    assert not any(r.base_failed for r in op3_quality_rules.quality_rules(docs).collect())
+    assert {r.doc_id for r in op3_quality_rules.passing(docs).collect()} == {1, *range(100, 130)}
+
+
+def test_the_stage_keeps_documents_labelled_clean(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    base = op3_quality_rules.quality_rules(docs).where("kept").select("doc_id").join(labels, "doc_id")
+    stage = op3_quality_rules.passing(docs).select("doc_id").join(labels, "doc_id")
+    n = lambda rows, quality: rows.where(f"quality = {quality}").count()
+    assert n(stage, 1) == n(base, 1) and n(stage, 0) < n(base, 0)
+
+
 def test_passing_keeps_clashing_columns(spark):
     docs = frame(spark, corpus(6, 20)).withColumnRenamed("block", "host").withColumnRenamed("word", "w")
     out = op3_quality_rules.passing(docs)
