@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from fixtures import corpus, frame, lower, words
 
+from pagewright.llm import encoding
 from pagewright.llm import op4_html_extraction as op4
 from pagewright.llm import op7_hidden_markov as op7
 from pagewright.llm import op8_hilbert_packing as op8
@@ -32,6 +33,24 @@ def test_ids_equal_the_json_vocabulary():
     assert [x.tolist() for x in encoded(pa.array(texts, pa.string()), default_vocabulary())] == tokens(texts)
 
 
+@pytest.mark.parametrize("run", [" " * 600_000, "\n" * 600_000, "\t" * 600_000, " \n\t" * 200_000, "\u00a0" * 300_000])
+def test_long_white_space_is_encoded_by_the_json_vocabulary(spark, run):
+    """The pattern matcher of the faster library refuses such runs."""
+    rows = [(1, f"a b{run}c d"), (2, run), (3, "a")]
+    check_packing(rows, op8.pack(frame(spark, rows)).collect())
+    n = Counter(len(t) for t in tokens([t for _, t in rows]))
+    assert {r.length: r.n_docs for r in op10.length_histogram(frame(spark, rows)).collect()} == n
+
+
+def test_vocabularies_without_merge_ranks_are_read_as_json():
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert encoding.ranked(path) is None
+    assert encoding.encoder(path)("some words").tolist() == encoding.whole(path).encode("some words", add_special_tokens=False).ids
+    assert encoding.ranked(default_vocabulary()) is not None
+
+
 PAGES = (
     ("<body><nav><a href=/>Home</a></nav><article><h1>T &amp; U</h1><p>One\n two.<br>Three<p><b>Four</article><footer>f</footer>", "T & U One two. Three Four"),
     ("<div class='cookie-banner'>We use cookies on all of these many pages for you</div><main><p>Short.</p></main><div id=comments><p>I like this very much and so does my whole family at home</p></div>", "Short."),
