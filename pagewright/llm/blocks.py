@@ -168,18 +168,39 @@ def segments(sym: np.ndarray, row_start: np.ndarray, row_end: np.ndarray, width:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df into the shared checkpoint folder and read it back: lineage ends here.
 
-    The folder is spark.checkpoint.dir of the session, which all executors share;
-    where it is unset, as in tests, a folder below the warehouse is used.
+    The folder is spark.checkpoint.dir of the session, which all executors
+    share. What is written lives as long as the session's driver, or until it
+    is given to `discarded`.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     del df
-    # shuffle files of the finished job go when the JVM notices that nobody holds them
-    spark.sparkContext._jvm.System.gc()
+    jvm, folder = _folder(spark, path)
+    if jvm is not None:
+        folder[0].deleteOnExit(folder[1])
+        # shuffle files of the finished job go when the JVM notices that nobody holds them
+        jvm.System.gc()
     return spark.read.parquet(path)
 
 
+def discarded(df: DataFrame) -> None:
+    """Remove the files of a staged table that nothing will read again."""
+    files = df.inputFiles()
+    jvm, folder = _folder(df.sparkSession, files[0].rsplit("/", 1)[0] if files else "")
+    if files and jvm is not None:
+        folder[0].delete(folder[1], True)
+
+
+def _folder(spark: SparkSession, path: str):
+    """(JVM, (file system, path)); without a JVM at hand, as in a remote session, (None, None)."""
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is None or not path:
+        return None, None
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, (at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at)
+
+
 def typed(df: DataFrame, **types: str) -> DataFrame:
     """The named columns; cast only where needed, as a cast in one use of a scan keeps Spark from reusing its exchange."""
     have = dict(df.dtypes)
@@ -192,5 +213,8 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir; only a local session, as in tests, may be without it and then uses a folder below the warehouse."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (found or f"{spark.conf.get('spark.sql.warehouse.dir')}/staging").rstrip("/")

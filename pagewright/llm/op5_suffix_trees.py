@@ -1,10 +1,13 @@
 """Substring dedup: words that lie in a long passage which a document of smaller id also has are removed.
 
-The suffixes that must be compared are split by variable-length prefixes into
-groups of bounded size. Each group becomes one subtree of the suffix tree,
-built from its sorted suffixes and their common prefixes; the subtree's nodes
-of depth `width` or more are the repeats, and the smallest document below such
-a node decides which of its leaves are covered.
+Suffixes that may begin a repeat are dealt by prefixes of variable length: the
+suffixes that begin with each word are counted, and a prefix that too many
+begin with is taken one word longer, until all groups are of the size that a
+task is to have. Each group is one subtree of the suffix tree, read off its
+sorted suffixes and the common prefixes of neighbours; the nodes of depth
+`width` are the repeats, and the smallest document below such a node decides
+which of its leaves are covered. What repeats within one batch of texts is
+found by the same trees, built in memory, before anything is dealt.
 
 Defined results: a null text has no words; a text of fewer words than the
 width keeps all; rows with a null id keep all their words and remove nothing
@@ -23,10 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .blocks import text_buffer, typed, words_of
-from .repeats import covered, removed, with_texts
+from .blocks import BLOCK, U, block_words, hash_ranges, mix, spans, staged, text_buffer, typed, words_of
+from .repeats import RANGES, covered, equal_neighbours, found_repeats, range_lists, repeat_rows, slices, with_texts
 
 WIDTH, SEED = 13, 5
+GROUP = 1 << 18  # suffixes of a prefix group, some 20 MB
 NAME = "op5_suffix_tree_dedup"
 
 
@@ -48,24 +52,29 @@ def prefix_groups(words: np.ndarray, start: np.ndarray, width: int, most: int) -
         todo.extend((x, depth + 1) for x in np.split(group[order], cuts))
 
 
-def subtree(words: np.ndarray, group: np.ndarray, depth: int, width: int) -> list[np.ndarray]:
-    """The leaves below each topmost node of depth `width` in the suffix tree of one prefix group."""
-    if len(group) < 2:
-        return []
-    if depth >= width:
-        return [group]
-    keys = np.stack([words[group + j] for j in range(depth, width)])
-    order = np.lexsort(keys[::-1])
-    same = (keys[:, order[1:]] == keys[:, order[:-1]]).all(axis=0)  # common prefix of full width with the suffix before
-    cuts = np.flatnonzero(~same) + 1
-    leaves = group[order]
-    bounds = np.concatenate(([0], cuts, [len(leaves)]))
-    inner = np.flatnonzero(np.diff(bounds) > 1)
-    return [leaves[bounds[i] : bounds[i + 1]] for i in inner]
-
-
-def repeats_in(contents: list[bytes], doc: np.ndarray, width: int, most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
-    """(content, offset) of every window that also starts in a content of a smaller document."""
+def subtree(words: np.ndarray, group: np.ndarray, depth: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix tree of one prefix group down to depth width: its leaves in order, and the common prefix of each with the one before."""
+    keys = np.stack([words[group + j] for j in range(depth, width)]) if depth < width else np.zeros((1, len(group)), np.int64)
+    leaves = np.lexsort(keys[::-1])
+    lcp = np.full(len(group), depth)
+    agree = np.ones(len(group) - 1, bool)
+    for row in keys[:, leaves] if depth < width else ():
+        agree &= row[1:] == row[:-1]
+        lcp[1:] += agree
+    lcp[:1] = 0
+    return group[leaves], lcp
+
+
+def deep_nodes(leaves: np.ndarray, lcp: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(leaf, node) of the topmost internal nodes of depth width or more: runs of leaves whose common prefixes reach it."""
+    deep = lcp >= width
+    inner = deep.copy()
+    inner[:-1] |= deep[1:]
+    return leaves[inner], np.cumsum(~deep)[inner]
+
+
+def equal_windows(contents: list[bytes], width: int, most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(content, offset, node) of the windows below the deep nodes of the subtrees of all contents."""
     ids: dict[bytes, int] = {}
     split = [c.split() for c in contents]
     sizes = np.fromiter(map(len, split), np.int64, len(split))
@@ -74,38 +83,134 @@ def repeats_in(contents: list[bytes], doc: np.ndarray, width: int, most: int = 1
     owner = np.repeat(np.arange(len(split)), sizes)
     at = np.arange(len(words))
     start = at[begin[owner + 1] - at >= width]
-    hits = []
+    found, nodes, count = [start[:0]], [start[:0]], 0
     for group, depth in prefix_groups(words, start, width, most):
-        for leaves in subtree(words, group, depth, width):
-            d = doc[owner[leaves]]
-            if d.min() != d.max():
-                hits.append(leaves[d > d.min()])
-    hit = np.concatenate(hits) if hits else np.zeros(0, np.int64)
-    return owner[hit], hit - begin[owner[hit]]
+        if len(group) > 1:
+            leaf, node = deep_nodes(*subtree(words, group, depth, width), width)
+            found.append(leaf)
+            nodes.append(node + count)
+            count += len(group) + 1
+    leaf, node = np.concatenate(found), np.concatenate(nodes)
+    return owner[leaf], leaf - begin[owner[leaf]], node
 
 
-def cutter(data: np.ndarray, width: int):
-    words = data.tobytes().split()
+def _stretches(batches, width: int):
+    """What is to be compared of each text, its words joined by one space: adjacent segments as one stretch."""
+    for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        buf, offsets = text_buffer(batch.column(1))
+        bounds, r = range_lists(batch.column(2))
+        out: list[list] = [[], [], []]
+        for i in range(len(ids)):
+            pos, n = r["pos"][bounds[i] : bounds[i + 1]], r["n"][bounds[i] : bounds[i + 1]]
+            words = buf[offsets[i] : offsets[i + 1]].tobytes().split()
+            start = np.bincount(pos, minlength=len(words) + 1) - np.bincount(pos + n, minlength=len(words) + 1)
+            edge = np.diff((np.cumsum(start) > 0).view(np.int8), prepend=0)
+            for x, y in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
+                for column, value in zip(out, (ids[i], x, b" ".join(words[x : y + width - 1])), strict=True):
+                    column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "pos", "content"])
+
+
+def _labelled(batch: pa.RecordBatch, width: int, crowded: list[np.ndarray]):
+    """Of the suffixes of each block of stretches: texts, word places, rows, first words, the label of each one's prefix, and whether its length is the last one counted.
+
+    A prefix that is in crowded is taken one word longer.
+    """
+    buf, offsets = text_buffer(batch.column(2))
+    for first, end in spans(offsets, BLOCK):
+        lo = int(offsets[first])
+        data, bounds = buf[lo : int(offsets[end])], offsets[first : end + 1] - lo
+        ws, we, row = block_words(data, bounds)
+        words = hash_ranges(data, ws, we)
+        last = np.searchsorted(row, np.arange(end - first), side="right")
+        start = np.flatnonzero(np.arange(len(row)) <= last[row] - width)
+        label = mix(words[start])
+        open_ = np.arange(len(start))
+        for depth, full in enumerate(crowded, 1):
+            open_ = open_[np.isin(label[open_], full)]
+            label[open_] = mix(label[open_] * U(0x9FB21C651E98DF25) + words[start[open_] + depth])
+        begin = np.searchsorted(row, np.arange(end - first), side="left")
+        yield data, ws, we, row + first, start, start - begin[row[start]], label, open_
+
+
+def _counted(batches, width: int, crowded: list[np.ndarray]):
+    for batch in batches:
+        for *_, label, open_ in _labelled(batch, width, crowded):
+            found, n = np.unique(label[open_], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["label", "n"])
+
+
+def prefixes(stretches: DataFrame, width: int, most: int) -> list[np.ndarray]:
+    """For each length from one word on, the labels of the prefixes that more suffixes begin with than a group is to have.
+
+    A group has at most `most` suffixes, or a millionth of all if that is more,
+    so at most a million labels of each length come to the driver.
+    """
+    crowded: list[np.ndarray] = []
+    while len(crowded) < width - 1:
+        counts = stretches.mapInArrow(lambda it: _counted(it, width, crowded), "label long, n long").groupBy("label").agg(F.sum("n").alias("n"))
+        if not crowded:
+            counts = staged(counts, "prefixes")
+            most = max(most, (counts.agg(F.sum("n")).first()[0] or 0) >> 20)
+        full = np.array([r.label for r in counts.where(F.col("n") > most).select("label").collect()], np.int64)
+        if not len(full):
+            break
+        crowded = [*crowded, full.view(np.uint64)]
+    return crowded
+
+
+def _suffixes(batches, width: int, crowded: list[np.ndarray]):
+    """Each suffix to the depth of width under the label of its prefix."""
+    for batch in batches:
+        doc, pos = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        for data, ws, we, row, start, off, label, _ in _labelled(batch, width, crowded):
+            for at in range(0, len(start), 1 << 15):
+                x = slice(at, at + (1 << 15))
+                s = start[x]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(label[x].view(np.int64)), slices(data, ws[s], we[s + width - 1]), pa.array(doc[row[s]]), pa.array(pos[row[s]] + off[x])], names=["label", "suffix", "doc_id", "pos"]
+                )
+
+
+def _below_nodes(batches):
+    """Subtrees as they pass, suffixes in order: leaves below a deep node that do not belong to the node's smallest document.
+
+    Suffixes are cut at the width, so neighbours that are equal are below one
+    node of that depth; its leaves come in order of documents.
+    """
+    last, owner = None, 0
+    for batch in batches:
+        doc, pos = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+        deep = equal_neighbours(batch.column(1), last)
+        at = np.maximum.accumulate(np.where(deep, -1, np.arange(len(deep))))
+        least = np.where(at < 0, owner, doc[at])
+        last, owner = batch.column(1)[-1].as_py(), least[-1]
+        yield repeat_rows(doc[doc != least], pos[doc != least], np.ones(int((doc != least).sum()), np.int64))
 
-    def windows(pos: int, n: int):
-        found = b"".join(hashlib.md5(b" ".join(words[p : p + width])).digest() for p in range(pos, pos + n))
-        both = np.frombuffer(found, np.int64).reshape(-1, 2)
-        return both[:, 0].tolist(), both[:, 1].tolist()
 
-    return lambda pos, n: b" ".join(words[pos : pos + n + width - 1]), windows
+def repeated_ranges(docs: DataFrame, width: int, seed: int, size: int, most: int) -> DataFrame:
+    """(doc_id, pos, n): runs of n windows from pos on that also start in a document of smaller id."""
+    found = found_repeats(docs, "word", width, seed, True, lambda c: equal_windows(c, width), size)
+    stretches = staged(with_texts(docs.select("doc_id", "text"), found.where("h is not null").select("doc_id", "pos", "n"), "inner").mapInArrow(lambda it: _stretches(it, width), "doc_id long, pos long, content binary"), "stretches")
+    crowded = prefixes(stretches, width, most)
+    dealt = stretches.mapInArrow(lambda it: _suffixes(it, width, crowded), "label long, suffix binary, doc_id long, pos long").repartition("label")
+    leaves = dealt.sortWithinPartitions("label", "suffix", "doc_id").mapInArrow(_below_nodes, RANGES)
+    return staged(found.where("h is null").select("doc_id", "pos", "n").unionByName(leaves), "ranges")
 
 
 def _result(batches, width: int, names: list[str]):
     for batch in batches:
         buf, offsets = text_buffer(batch.column(1))
-        lists = batch.column(batch.num_columns - 1)
+        bounds, r = range_lists(batch.column(batch.num_columns - 1))
         out: dict[str, list] = {x: [] for x in ("n_words", "n_removed", "kept_sha256", "kept", "cut")}
         for i in range(len(batch)):
             text = buf[offsets[i] : offsets[i + 1]]
             words = text.tobytes().split()
             left, cut = words, text.tobytes()
-            if ranges := lists[i].as_py():
-                gone = covered(ranges, len(words), width)
+            if bounds[i] < bounds[i + 1]:
+                own = slice(bounds[i], bounds[i + 1])
+                gone = covered(r["pos"][own], r["n"][own], len(words), width)
                 left = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 start, _ = words_of(text)
                 # a removed word goes with the white space behind it
@@ -121,27 +226,27 @@ def _result(batches, width: int, names: list[str]):
         yield pa.RecordBatch.from_arrays([measured[x] if x in measured else batch.column(batch.schema.get_field_index(x)) for x in names], names=names)
 
 
-def _dedup(texts: DataFrame, width: int, seed: int, size: int, schema: StructType) -> DataFrame:
+def _dedup(texts: DataFrame, width: int, seed: int, size: int, most: int, schema: StructType) -> DataFrame:
     known = texts.where("doc_id is not null")
-    gone = removed(known, "word", width, seed, True, lambda data: cutter(data, width), lambda c, d, _: repeats_in(c, d, width), size)
+    gone = repeated_ranges(known, width, seed, size, most)
     none = texts.where("doc_id is null").withColumn("ranges", F.lit(None).cast("array<struct<pos:long,n:long>>"))
     names = schema.names
     return with_texts(known, gone, "left").unionByName(none).mapInArrow(lambda it: _result(it, width, names), schema)
 
 
-def suffix_tree_dedup(docs: DataFrame, width: int = WIDTH, seed: int = SEED, tree_bytes: int = 2 << 20) -> DataFrame:
+def suffix_tree_dedup(docs: DataFrame, width: int = WIDTH, seed: int = SEED, tree_bytes: int = 2 << 20, group: int = GROUP) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256, kept (the remaining words joined by one space), cut (the text without the removed words)."""
     schema = StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, cut string")
-    return _dedup(typed(docs, doc_id="bigint", text="string"), width, seed, tree_bytes, schema)
+    return _dedup(typed(docs, doc_id="bigint", text="string"), width, seed, tree_bytes, group, schema)
 
 
-def without_repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED, tree_bytes: int = 2 << 20) -> DataFrame:
+def without_repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED, tree_bytes: int = 2 << 20, group: int = GROUP) -> DataFrame:
     """The rows of docs with their texts cut and n_chars, where there is one, counted anew; a text of which nothing is left goes."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     row = F.struct(F.lit(0).alias("0"), *others).alias("row")
     texts = docs.select(docs["doc_id"], docs["text"], row)
     schema = StructType([texts.schema["doc_id"], *StructType.fromDDL("n_words long, n_removed long, cut string"), texts.schema["row"]])
-    out = _dedup(texts, width, seed, tree_bytes, schema)
+    out = _dedup(texts, width, seed, tree_bytes, group, schema)
     out = out.where("n_removed = 0 or n_removed < n_words")
     new = {"doc_id": F.col("doc_id"), "text": F.col("cut")}
     if "n_chars" in others:

@@ -1,6 +1,9 @@
 """Substring and near-duplicate operators against plain versions."""
 
+import os
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import corpus, frame, near_components, removed_bytes, removed_words
 
@@ -14,14 +17,46 @@ def test_suffix_array_dedup(spark, seed):
     assert got == removed_bytes(rows, 100)
 
 
-def test_suffix_array_dedup_of_hot_keys_and_periodic_text(spark, monkeypatch):
-    monkeypatch.setitem(repeats.repeated.__kwdefaults__ or {}, "hot", 1) if repeats.repeated.__kwdefaults__ else monkeypatch.setattr(repeats.repeated, "__defaults__", (1,))
-    rows = [*corpus(3, 30), (1000, "ab" * 400), (1001, "x" + "ab" * 90 + "y"), (1002, "a" * 350), (1003, None)]
-    docs = frame(spark, rows)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op2_suffix_array.suffix_array_dedup(docs).collect()}
-    assert got == removed_bytes(rows, 100)
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in op5_suffix_trees.suffix_tree_dedup(docs).collect()}
-    assert got == removed_words(rows, 13)
+def test_keys_that_no_task_holds_whole_and_periodic_text(spark, monkeypatch):
+    monkeypatch.setattr(repeats.repeated, "__defaults__", (1,))
+    monkeypatch.setattr(op5_suffix_trees.suffix_tree_dedup, "__defaults__", (13, 5, 1 << 12, 3))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # most repeats are found across batches
+    try:
+        rows = [*corpus(3, 30), (1000, "ab" * 400), (1001, "x" + "ab" * 90 + "y"), (1002, "a" * 350), (1003, None)]
+        docs = frame(spark, rows).repartition(5)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op2_suffix_array.suffix_array_dedup(docs).collect()}
+        assert got == removed_bytes(rows, 100)
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in op5_suffix_trees.suffix_tree_dedup(docs).collect()}
+        assert got == removed_words(rows, 13)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("across", [False, True])
+def test_rows_of_shared_keys_are_passed_on_in_bounded_memory(across):
+    r = np.random.default_rng(1)
+    key = np.sort(np.concatenate((np.repeat([3, 9, 12], [400, 2, 1]), r.integers(20, 200, 300))))
+    doc = np.concatenate([np.sort(r.integers(0, 5, n)) for n in np.unique(key, return_counts=True)[1]])
+    rows = pa.table({"h": key, "doc_id": doc, "pos": np.arange(len(key)), "n": np.ones(len(key), np.int64)})
+    got = pa.Table.from_batches(repeats._shared(iter(rows.to_batches(max_chunksize=50)), across, 20)).to_pylist()
+    want = [k for k in np.unique(key) if (len(set(doc[key == k])) if across else (key == k).sum()) > 1]
+    assert sorted(x["pos"] for x in got) == sorted(np.flatnonzero(np.isin(key, want)).tolist())
+    assert {x["h"] for x in got if x["hot"]} == {k for k in want if (key == k).sum() > 20}
+
+
+def test_judged_windows_by_brute_force():
+    r = np.random.default_rng(2)
+    for across in (False, True):
+        contents = [bytes(r.integers(97, 99, r.integers(3, 9)).astype(np.uint8)) for _ in range(60)]
+        doc, pos = r.integers(0, 12, 60), np.arange(60) * 100
+        n = np.array([len(c) - 2 for c in contents])
+        who, at, m, gone = repeats.judged(contents, doc, pos, n, across, lambda c: op2_suffix_array.equal_windows(c, 3))
+        got = {(int(w), int(a) + j): bool(g) for w, a, m_, g in zip(who, at, m, gone) for j in range(m_)}
+        where = {(w, o): contents[w][o : o + 3] for w in range(60) for o in range(n[w])}
+        assert got.keys() == where.keys()
+        for (w, o), s in where.items():
+            mine = (doc[w],) if across else (doc[w], pos[w] + o)
+            assert got[w, o] == any(t == s and ((doc[v],) if across else (doc[v], pos[v] + p)) < mine for (v, p), t in where.items())
 
 
 def test_long_texts_are_cut_in_tiles(spark, monkeypatch):
@@ -43,12 +78,21 @@ def test_two_stage_order_is_the_order_of_suffixes():
         b = text.tobytes()
         assert order.tolist() == sorted(range(n), key=lambda i: b[i:])
         lcp = op2_suffix_array.common_prefixes(text, order, 7)
+        assert lcp[:1].tolist() == [0] * min(1, n)
         for x, y, c in zip(order, order[1:], lcp[1:]):
             s, t = b[x : x + 7].ljust(7, b"\0"), b[y : y + 7].ljust(7, b"\0")
             want = next((i for i in range(7) if s[i] != t[i]), 7)
             assert c == want
 
 
+@pytest.mark.parametrize("width", [9, 17, 25, 100])
+def test_common_prefixes_of_any_width(width):
+    text = np.frombuffer(b"ab" * 90, np.uint8)
+    order = op2_suffix_array.two_stage_order(text, width)
+    for x, y, c in zip(order, order[1:], op2_suffix_array.common_prefixes(text, order, width)[1:]):
+        assert c == min(width, len(text) - max(x, y)) if abs(x - y) % 2 == 0 else c == 0
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_suffix_tree_dedup(spark, seed):
     rows = corpus(seed)
@@ -58,10 +102,28 @@ def test_suffix_tree_dedup(spark, seed):
 
 def test_small_prefix_groups_find_the_same():
     contents = [b"a b c d e f", b"x a b c d e", b"b c d e f g"]
-    doc = np.array([1, 2, 3])
-    whole = op5_suffix_trees.repeats_in(contents, doc, 3)
-    small = op5_suffix_trees.repeats_in(contents, doc, 3, most=1)
-    assert sorted(zip(*whole)) == sorted(zip(*small)) == [(1, 1), (1, 2), (1, 3), (2, 0), (2, 1), (2, 2)]
+    found = [sorted(zip(*op5_suffix_trees.equal_windows(contents, 3, most)[:2])) for most in (1 << 16, 1)]
+    assert found[0] == found[1] == [(0, 0), (0, 1), (0, 2), (0, 3), (1, 1), (1, 2), (1, 3), (2, 0), (2, 1), (2, 2)]
+
+
+def test_subtrees_have_the_common_prefixes_of_sorted_suffixes():
+    words = np.random.default_rng(3).integers(0, 3, 300)
+    start = np.arange(290)
+    for group, depth in op5_suffix_trees.prefix_groups(words, start, 9, 40):
+        leaves, lcp = op5_suffix_trees.subtree(words, group, depth, 9)
+        rows = [tuple(words[x : x + 9]) for x in leaves]
+        assert rows == sorted(rows) and len({x[:depth] for x in rows}) == 1 and (len(group) <= 40 or depth == 9)
+        assert [next((j for j in range(9) if a[j] != b[j]), 9) for a, b in zip(rows, rows[1:])] == lcp[1:].tolist()
+
+
+def test_prefixes_grow_until_groups_are_small(spark):
+    rows = [(1, 0, " ".join("ab"[int(x)] for x in np.random.default_rng(4).integers(0, 2, 400)).encode())]
+    table = spark.createDataFrame(rows, "doc_id long, pos long, content binary")
+    crowded = op5_suffix_trees.prefixes(table, 6, 30)
+    assert [len(x) for x in crowded][:3] == [2, 4, 8]
+    out = table.mapInArrow(lambda it: op5_suffix_trees._suffixes(it, 6, crowded), "label long, suffix binary, doc_id long, pos long")
+    sizes = [r["count"] for r in out.groupBy("label").count().collect()]
+    assert sum(sizes) == 395 and max(sizes) <= 30
 
 
 def test_without_repeats_keeps_white_space_and_columns(spark):
@@ -116,3 +178,22 @@ def test_staged_uses_the_shared_folder(spark):
     df = blocks.staged(spark.range(3).toDF("x"), "probe")
     assert df.inputFiles()[0].startswith("file:") and "/checkpoints/probe-" in df.inputFiles()[0]
     assert df.count() == 3
+
+
+def test_staged_tables_can_be_discarded_and_need_a_shared_folder(spark, monkeypatch):
+    df = blocks.staged(spark.range(3).toDF("x"), "probe")
+    folder = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(folder)
+    blocks.discarded(df)
+    assert not os.path.exists(folder)
+
+    class Conf(dict):
+        pass
+
+    class Session:
+        conf = Conf({"spark.master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        blocks.shared_folder(Session())
+    Session.conf |= {"spark.master": "local[2]", "spark.sql.warehouse.dir": "/w"}
+    assert blocks.shared_folder(Session()) == "/w/staging"
