@@ -4,14 +4,16 @@ Every distinct word has a class of its own if it is among the most frequent,
 else the class of its first and last letters. A hidden Markov model with few
 states runs over the classes; within a class a word has its smoothed share of
 the class's training tokens, so the counts of all words of the corpus are part
-of the model and its size grows with the corpus. Baum-Welch counts are added up
-in each task, then over all tasks by class; the model that a round needs has
-states x classes numbers, a documented bound. The scaled forward recursion
-gives the exact likelihood of each whole text.
+of the model and its size grows with the corpus. What the states tell apart does
+not: FREQUENT + SHAPES classes, a documented bound. Baum-Welch runs forward and
+backward over whole texts; its counts are added up in each task, then over all
+tasks by class. The scaled forward recursion gives the exact likelihood of each
+whole text.
 
 Words are counted without moving the tokens: each chunk of texts sends its
-distinct words once, gets their counts back, and its texts are rewritten as
-class sequences, on which all rounds and the scoring run without a shuffle.
+distinct words once, gets their counts back (those of words in many chunks by
+broadcast, the others by a join), and its texts are rewritten as class
+sequences, on which all rounds and the scoring run without a shuffle.
 
 Defined results: a null or empty text is the end token alone; a null id is not
 held out; rows with repeated ids are scored row by row; an empty table gives an
@@ -37,7 +39,8 @@ from .blocks import LOWER, U, block_words, hash_ranges, spans, staged, text_buff
 NAME = "op7_hidden_markov"
 STATES, ROUNDS, FREQUENT, SHAPES = 8, 6, 2048, 4096
 CHUNK = 12 << 20  # bytes of text whose distinct words are counted together
-STRIP, LANES = 64, 8192  # training runs over strips of so many tokens, so many side by side
+PIECE = 1 << 19  # tokens whose forward and backward values are held at once
+OFTEN = 1 << 20  # words that are in so many chunks that their counts are broadcast: at most so many
 _END = U(1)
 
 
@@ -51,7 +54,7 @@ def _shapes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return ((key * U(0x9E3779B97F4A7C15)) >> U(52)).astype(np.int64) % SHAPES
 
 
-def _chunks(batches):
+def _chunks(batches, size: int):
     """Two kinds of rows: a chunk's distinct words with their counts, and its texts as places in that list."""
     names = ["chunk", "word", "place", "shape", "n_train", "doc_id", "held_out", "places"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
@@ -60,7 +63,7 @@ def _chunks(batches):
     for batch in batches:
         ids = batch.column(0)
         buf, offsets = text_buffer(batch.column(1))
-        for first, end in spans(offsets, CHUNK):
+        for first, end in spans(offsets, size):
             lo = int(offsets[first])
             data = LOWER[buf[lo : int(offsets[end])]]
             start, stop, row = block_words(data, offsets[first : end + 1] - lo)
@@ -121,7 +124,7 @@ def _unpacked_words(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return kind[order].astype(np.int64), c[order]
 
 
-def _classed(batches, tokens: int, distinct: int, class_c: np.ndarray, class_v: np.ndarray):
+def _classed(batches, tokens: int, distinct: int, class_c: np.ndarray, class_v: np.ndarray, frequent: int):
     """Rows of a chunk, its words first: texts as class sequences, with the base score and the share within classes."""
     unpack = zstandard.ZstdDecompressor().decompress
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "within", "classes"]
@@ -140,7 +143,7 @@ def _classed(batches, tokens: int, distinct: int, class_c: np.ndarray, class_v:
                 continue
             if table is None:
                 kind, c = _unpacked_words(blocks)
-                share = np.where(kind < FREQUENT, 0, np.log10((c + 0.5) / (class_c[kind] + 0.5 * (class_v[kind] + 1))))
+                share = np.where(kind < frequent, 0, np.log10((c + 0.5) / (class_c[kind] + 0.5 * (class_v[kind] + 1))))
                 table = kind.astype(np.uint16), c > 0, np.log10((c + 0.5) / (tokens + 0.5 * (distinct + 1))), share
             out: dict[str, list] = {x: [] for x in names[2:]}
             for coded in part.column(4):
@@ -156,114 +159,141 @@ def _runs(a: np.ndarray):
     return [(int(x), int(y)) for x, y in zip(bounds[:-1], bounds[1:]) if y > x]
 
 
-def strips_of(sequences: list[np.ndarray], strip: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, lengths, fresh): texts cut into rows of at most strip tokens, padded with 0; fresh marks a text's first row."""
-    rows = [s[i : i + strip] for s in sequences for i in range(0, len(s), strip)]
-    fresh = np.array([i == 0 for s in sequences for i in range(0, len(s), strip)])
-    length = np.array([len(r) for r in rows])
-    out = np.zeros((len(rows), strip), np.int64)
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    out[np.arange(strip)[None, :] < length[:, None]] = flat
-    return out, length, fresh
-
-
-def expected_counts(tokens: np.ndarray, length: np.ndarray, fresh: np.ndarray, start: np.ndarray, steady: np.ndarray, move: np.ndarray, emit: np.ndarray):
-    """Scaled forward and backward passes over strips: expected counts (starts, moves, emissions by class, states)."""
-    n, t_max = tokens.shape
-    k = len(start)
-    b = np.ascontiguousarray(emit.T)[tokens]  # rows, time, states
-    alpha = np.empty((t_max, n, k), b.dtype)
-    scale = np.empty((t_max, n, 1), b.dtype)
-    live = np.arange(t_max)[:, None] < length[None, :]
-    a = np.where(fresh[:, None], start, steady).astype(b.dtype) * b[:, 0]
-    for t in range(t_max):
-        if t:
-            a = (a @ move) * b[:, t]
-        scale[t] = a.sum(axis=1, keepdims=True)
-        a = a / scale[t]
-        a = np.where(live[t][:, None], a, 1.0 / k).astype(b.dtype)
-        alpha[t] = a
-    beta = np.ones((n, k), b.dtype)
-    moves = np.zeros((k, k))
-    gamma = np.empty((n, t_max, k), b.dtype)
-    for t in range(t_max - 1, -1, -1):
-        g = alpha[t] * beta
-        g = g / g.sum(axis=1, keepdims=True)
-        gamma[:, t] = np.where(live[t][:, None], g, 0)
-        if t:
-            w = b[:, t] * beta / scale[t]
-            w[~live[t]] = 0
-            moves += alpha[t - 1].T.astype(np.float64) @ w
-            beta = np.where(live[t][:, None], w @ move.T, 1).astype(b.dtype)
-    flat, kinds = gamma.reshape(-1, k), tokens.ravel()
-    out = np.stack([np.bincount(kinds, weights=flat[:, j], minlength=emit.shape[1]) for j in range(k)])
-    return gamma[fresh, 0].sum(axis=0), moves * move, out
-
-
-def _trained(batches, model):
+def side_by_side(sequences: list[np.ndarray], most: int):
+    """(order, pieces): sequences by falling length, stepped through together, in pieces of time of about `most` tokens.
+
+    A piece is (tokens, lanes): what is at each step's sequences, step after
+    step, and how many sequences each step has, the longest ones first.
+    """
+    length = np.array([len(s) for s in sequences], np.int64)
+    order = np.argsort(-length, kind="stable")
+    length = length[order]
+    flat = np.concatenate([sequences[i] for i in order])
+    begin = np.cumsum(length) - length
+    steps = np.arange(int(length[0]))
+    lanes = len(length) - np.searchsorted(length[::-1], steps, side="right")
+    before = np.cumsum(lanes) - lanes
+    cuts = np.flatnonzero(np.diff(before // most, prepend=-1))
+    pieces = []
+    for lo, hi in zip(cuts, np.append(cuts[1:], len(steps))):
+        n = lanes[lo:hi]
+        lane = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        pieces.append((flat[begin[lane] + np.repeat(steps[lo:hi], n)], n))
+    return order, pieces
+
+
+def _forward(b: np.ndarray, lanes: np.ndarray, before: np.ndarray | None, start: np.ndarray, move: np.ndarray):
+    """Scaled alphas and scales of a piece; b: emission of each token, before: alphas of the step ahead of it."""
+    alpha, scale = np.empty_like(b), np.empty((len(b), 1), b.dtype)
+    at, a = 0, before
+    for n in lanes.tolist():
+        x = alpha[at : at + n]
+        if a is None:
+            np.multiply(start, b[at : at + n], out=x)
+        else:
+            np.matmul(a[:n], move, out=x)
+            x *= b[at : at + n]
+        s = scale[at : at + n]
+        np.sum(x, axis=1, keepdims=True, out=s)
+        x /= s
+        a, at = x, at + n
+    return alpha, scale
+
+
+def expected_counts(sequences: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray, most: int = PIECE):
+    """Expected counts (starts, moves, emissions by state and class) of whole sequences by scaled forward and backward recursion.
+
+    Where the sequences are longer than a piece, the forward pass keeps the
+    alphas between pieces alone and each piece's are computed again when the
+    backward pass comes to it.
+    """
+    k, kinds = emit.shape
+    by_class = np.ascontiguousarray(emit.T)
+    _, pieces = side_by_side(sequences, most)
+    entry: list[np.ndarray | None] = [None]
+    for tokens, lanes in pieces[:-1]:
+        entry.append(_forward(by_class[tokens], lanes, entry[-1], start, move)[0][-lanes[-1] :].copy())
+    starts, moves, out = np.zeros(k), np.zeros((k, k)), np.zeros((k, kinds))
+    turned = np.ascontiguousarray(move.T)
+    later = np.zeros((0, k), by_class.dtype)  # emission times beta over scale at the step behind, for the sequences that reach it
+    for (tokens, lanes), before in zip(pieces[::-1], entry[::-1]):
+        b = by_class[tokens]
+        alpha, scale = _forward(b, lanes, before, start, move)
+        beta, weight = np.ones_like(b), b / scale
+        at = len(b)
+        for n in lanes[::-1].tolist():
+            at -= n
+            np.matmul(later, turned, out=beta[at : at + len(later)])
+            later = weight[at : at + n]
+            later *= beta[at : at + n]
+        # each token's alphas of the step before; the first step of all has none
+        ahead = alpha[np.arange(int(lanes[0]), len(b)) - np.repeat(lanes[:-1], lanes[1:])]
+        moves += ahead.T.astype(np.float64) @ weight[lanes[0] :]
+        if before is not None:
+            moves += before[: lanes[0]].T.astype(np.float64) @ weight[: lanes[0]]
+        gamma = alpha * beta
+        gamma /= gamma.sum(axis=1, keepdims=True)
+        if before is None:
+            starts += gamma[: lanes[0]].sum(axis=0)
+        for j in range(k):
+            out[j] += np.bincount(tokens, weights=gamma[:, j], minlength=kinds)
+        later = later.copy()
+    return starts, moves * move, out
+
+
+def forward_scores(sequences: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray, most: int = PIECE) -> np.ndarray:
+    """log10 likelihood of whole sequences: the scaled forward recursion, over all of them side by side."""
+    order, pieces = side_by_side(sequences, most)
+    out = np.zeros(len(sequences))
+    by_class = np.ascontiguousarray(emit.T)
+    before = None
+    for tokens, lanes in pieces:
+        alpha, scale = _forward(by_class[tokens], lanes, before, start, move)
+        lane = np.arange(len(tokens)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        out[order[: lanes[0]]] += np.bincount(lane, weights=np.log10(scale[:, 0]), minlength=lanes[0])
+        before = alpha[-lanes[-1] :].copy()
+    return out
+
+
+def _alike(sizes: np.ndarray, most: int):
+    """Groups of rows of similar size, of about `most` in sum."""
+    order = np.argsort(sizes, kind="stable")
+    full = (np.cumsum(sizes[order]) - sizes[order]) // most
+    return np.split(order, np.flatnonzero(np.diff(full)) + 1) if len(order) else []
+
+
+def _sequences(column: pa.Array, rows) -> list[np.ndarray]:
+    return [np.frombuffer(column[i].as_buffer(), np.uint16) for i in rows.tolist()]
+
+
+def _trained(batches, model, most: int):
     """Expected counts of a task, by class: one row for each class, and one each for starts and moves."""
-    start, steady, move, emit = model
-    k, m = emit.shape
+    k, m = model[2].shape
     starts, moves, emitted = np.zeros(k), np.zeros((k, k)), np.zeros((k, m))
     single = tuple(x.astype(np.float32) for x in model)
     for batch in batches:
-        held: list[np.ndarray] = []
-        size = 0
-        for i, coded in enumerate(batch.column(0)):
-            held.append(np.frombuffer(coded.as_py(), np.uint16).astype(np.int64))
-            size += -(-len(held[-1]) // STRIP)
-            if size >= LANES or i == len(batch) - 1:
-                tokens, length, fresh = strips_of(held, STRIP)
-                for at in range(0, len(tokens), LANES):  # a very long text fills several
-                    s, mv, e = expected_counts(tokens[at : at + LANES], length[at : at + LANES], fresh[at : at + LANES], *single)
-                    starts += s
-                    moves += mv
-                    emitted += e
-                held, size = [], 0
+        sizes = pa.compute.binary_length(batch.column(0)).to_numpy(zero_copy_only=False) // 2
+        for rows in _alike(sizes.astype(np.int64), most):
+            s, mv, e = expected_counts(_sequences(batch.column(0), rows), *single, most)
+            starts += s
+            moves += mv
+            emitted += e
     rows = [[-1, *starts], *([-2 - i, *moves[i]] for i in range(k)), *([c, *emitted[:, c]] for c in np.flatnonzero(emitted.sum(axis=0)))]
     yield pa.RecordBatch.from_arrays([pa.array([int(r[0]) for r in rows]), pa.array([list(r[1:]) for r in rows], pa.list_(pa.float64()))], names=["kind", "counts"])
 
 
-def forward_scores(sequences: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> np.ndarray:
-    """log10 likelihood of whole sequences: the scaled forward recursion, over all of them side by side."""
-    length = np.array([len(s) for s in sequences])
-    order = np.argsort(-length, kind="stable")
-    out = np.zeros(len(sequences))
-    a = None
-    flat = np.concatenate([sequences[i] for i in order]) if len(order) else np.zeros(0, np.int64)
-    begin = np.concatenate(([0], np.cumsum(length[order])))[:-1]
-    left = len(order)
-    by_class = np.ascontiguousarray(emit.T)
-    for t in range(int(length.max()) if len(length) else 0):
-        while left and length[order[left - 1]] <= t:
-            left -= 1
-        b = by_class[flat[begin[:left] + t]]
-        a = start * b if a is None else (a[:left] @ move) * b
-        s = a.sum(axis=1, keepdims=True)
-        a = a / s
-        out[order[:left]] += np.log10(s[:, 0])
-    return out
-
-
-def _scored(batches, model):
-    start, _, move, emit = model
+def _scored(batches, model, most: int):
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
     for batch in batches:
-        within = batch.column(5).to_numpy(zero_copy_only=False)
-        total = np.zeros(len(batch))
-        coded = batch.column(6)
-        lo, size = 0, 0
-        for i in range(len(batch)):
-            size += len(coded[i].as_buffer()) // 2
-            if size > 1 << 22 or i == len(batch) - 1:
-                seqs = [np.frombuffer(coded[j].as_buffer(), np.uint16).astype(np.int64) for j in range(lo, i + 1)]
-                total[lo : i + 1] = forward_scores(seqs, start, move, emit)
-                lo, size = i + 1, 0
-        yield pa.RecordBatch.from_arrays([*(batch.column(j) for j in range(5)), pa.array(total + within)], names=names)
+        total = batch.column(5).to_numpy(zero_copy_only=False).copy()
+        sizes = pa.compute.binary_length(batch.column(6)).to_numpy(zero_copy_only=False) // 2
+        for rows in _alike(sizes.astype(np.int64), most):
+            total[rows] += forward_scores(_sequences(batch.column(6), rows), *model, most)
+        yield pa.RecordBatch.from_arrays([*(batch.column(j) for j in range(5)), pa.array(total)], names=names)
 
 
 class Model:
-    """start, steady (of a strip within a text), move and emit probabilities; bounded by states x classes."""
+    """start, move and emit probabilities; bounded by states x classes."""
 
     def __init__(self, states: int, kinds: np.ndarray, weight: np.ndarray, classes: int):
         share = np.full(classes, 0.5)
@@ -273,10 +303,10 @@ class Model:
         self.emit /= self.emit.sum(axis=1, keepdims=True)
         self.move = np.full((states, states), 0.1 / max(1, states - 1))
         np.fill_diagonal(self.move, 0.9 if states > 1 else 1.0)
-        self.start = self.steady = np.full(states, 1 / states)
+        self.start = np.full(states, 1 / states)
 
     def parts(self):
-        return self.start, self.steady, self.move, self.emit
+        return self.start, self.move, self.emit
 
     def learn(self, counts: list) -> None:
         """One maximisation step, with half a count added to each possible event."""
@@ -290,35 +320,43 @@ class Model:
             else:
                 move[-2 - kind] += values
         self.emit = emit / emit.sum(axis=1, keepdims=True)
-        self.steady = emit.sum(axis=1) / emit.sum()
         self.move = move / move.sum(axis=1, keepdims=True)
 
 
 def classed_documents(docs: DataFrame) -> tuple[DataFrame, list, int, int]:
     """(texts as class sequences, [(class, training tokens)], all training tokens, distinct training words)."""
     schema = "chunk long, word long, place int, shape int, n_train long, doc_id long, held_out boolean, places binary"
-    rows = staged(typed(docs, doc_id="bigint", text="string").mapInArrow(_chunks, schema), "chunks")
-    # a word has one row for each chunk, so no word's rows grow with its tokens
-    word = Window.partitionBy("word")
-    words = rows.where("word is not null").select("chunk", "word", "place", "shape", "n_train").withColumn("c", F.sum("n_train").over(word))
-    words = staged(words.withColumn("first", F.col("chunk") == F.min("chunk").over(word)).drop("n_train"), "words")
-    distinct = words.where("first and c > 0")
+    rows = staged(typed(docs, doc_id="bigint", text="string").mapInArrow(lambda it: _chunks(it, CHUNK), schema), "chunks")
+    # a word has one row for each chunk, so no word's rows grow with its tokens; sums are partial before they are dealt
+    words = rows.where("word is not null").select("chunk", "word", "place", "shape", "n_train")
+    totals = staged(words.groupBy("word").agg(F.sum("n_train").alias("c"), F.min("shape").alias("shape"), F.count("*").alias("chunks")), "words")
+    distinct = totals.where("c > 0")
     tokens, v = distinct.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = distinct.orderBy(F.desc("c"), "word").limit(FREQUENT).select("word", (F.row_number().over(Window.orderBy(F.desc("c"), "word")) - 1).alias("top"))
-    words = words.join(F.broadcast(top), "word", "left").withColumn("kind", F.coalesce("top", F.col("shape") + FREQUENT))  # at most FREQUENT rows
-    sizes = words.where("first and c > 0").groupBy("kind").agg(F.sum("c").alias("class_c"), F.count("*").alias("class_v"))
+    kinds = totals.join(F.broadcast(top), "word", "left").withColumn("kind", F.coalesce("top", F.col("shape") + FREQUENT))  # at most FREQUENT rows
+    kinds = staged(kinds.select("word", "c", "chunks", "kind"), "kinds")
+    sizes = kinds.where("c > 0").groupBy("kind").agg(F.sum("c").alias("class_c"), F.count("*").alias("class_v"))
     # at most FREQUENT + SHAPES rows; a class without training words has none
     known = [tuple(r) for r in sizes.collect()]
     class_c, class_v = np.zeros(FREQUENT + SHAPES), np.zeros(FREQUENT + SHAPES)
     for kind, c, n in known:
         class_c[kind], class_v[kind] = c, n
-    blocks = words.select("chunk", "place", "kind", "c").mapInArrow(_packed_words, "chunk long, words binary")
+    # words in more than an OFTEN-th of all rows are fewer than OFTEN: they are broadcast, so that only words of few rows are dealt by word
+    least = (totals.agg(F.sum("chunks")).first()[0] or 0) // OFTEN
+    table = kinds.select("word", "c", "kind", "chunks")
+    often, seldom = (table.where(F.col("chunks") > least).drop("chunks"), table.where(F.col("chunks") <= least).drop("chunks")) if least else (None, table.drop("chunks"))
+    words = words.select("chunk", "word", "place")
+    if often is None:
+        placed = words.join(F.broadcast(seldom), "word")
+    else:
+        placed = words.join(F.broadcast(often), "word").unionByName(words.join(F.broadcast(often.select("word")), "word", "left_anti").join(seldom, "word"))
+    blocks = placed.select("chunk", "place", "kind", "c").mapInArrow(_packed_words, "chunk long, words binary")
     null = {x: F.lit(None).cast(t).alias(x) for x, t in (("words", "binary"), ("doc_id", "long"), ("held_out", "boolean"), ("places", "binary"))}
     both = blocks.select("chunk", "words", null["doc_id"], null["held_out"], null["places"])
     both = both.unionAll(rows.where("word is null").select("chunk", null["words"], "doc_id", "held_out", "places"))
     dealt = both.repartition("chunk").sortWithinPartitions("chunk", F.col("words").isNull())
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, within double, classes binary"
-    done = staged(dealt.mapInArrow(lambda it: _classed(it, tokens, v, class_c, class_v), schema), "classes")
+    done = staged(dealt.mapInArrow(lambda it: _classed(it, tokens, v, class_c, class_v, FREQUENT), schema), "classes")
     return done, [r[:2] for r in known], tokens, v
 
 
@@ -329,7 +367,7 @@ def train(classes: DataFrame, sizes: list, states: int = STATES, rounds: int = R
     texts = classes.where("not held_out").select("classes")
     for _ in range(rounds if sizes else 0):
         parts = model.parts()
-        counts = texts.mapInArrow(lambda it, parts=parts: _trained(it, parts), "kind long, counts array<double>")
+        counts = texts.mapInArrow(lambda it, parts=parts: _trained(it, parts, PIECE), "kind long, counts array<double>")
         sums = counts.groupBy("kind").agg(F.array(*[F.sum(F.col("counts")[j]) for j in range(states)]).alias("counts"))
         model.learn([(r[0], r[1]) for r in sums.collect()])
     return model
@@ -340,7 +378,7 @@ def language_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
     classes, sizes, tokens, _ = classed_documents(docs)
     parts = train(classes, sizes, states, rounds).parts()
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    scored = classes.select("doc_id", "held_out", "n_tokens", "n_known", "base_score", "within", "classes").mapInArrow(lambda it: _scored(it, parts), schema)
+    scored = classes.select("doc_id", "held_out", "n_tokens", "n_known", "base_score", "within", "classes").mapInArrow(lambda it: _scored(it, parts, PIECE), schema)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -99,14 +99,94 @@ def test_scaled_recursion_equals_the_sum_over_all_paths():
         assert got[0] == pytest.approx(math.log10(p)) and got[1] == pytest.approx(math.log10((start * emit[:, 2]).sum()))
 
 
-def test_expected_counts_are_consistent():
+@pytest.mark.parametrize("most", [1 << 19, 5, 1])
+def test_expected_counts_equal_the_sum_over_all_paths(most):
     r = np.random.default_rng(2)
-    start, move, emit = r.dirichlet(np.ones(2)), r.dirichlet(np.ones(2), 2), r.dirichlet(np.ones(5), 2)
-    rows, length, fresh = op7.strips_of([np.array([0, 1, 2, 3, 4, 0, 1]), np.array([2])], 4)
-    assert length.tolist() == [4, 3, 1] and fresh.tolist() == [True, False, True]
-    s, mv, e = op7.expected_counts(rows, length, fresh, start, np.array([0.5, 0.5]), move, emit)
-    assert s.sum() == pytest.approx(2) and mv.sum() == pytest.approx(3 + 2) and e.sum() == pytest.approx(8)
-    assert e.sum(axis=0).tolist() == pytest.approx([2, 2, 2, 1, 1])
+    k, m = 2, 5
+    start, move, emit = r.dirichlet(np.ones(k)), r.dirichlet(np.ones(k), k), r.dirichlet(np.ones(m), k)
+    sequences = [np.array(x) for x in ([0, 1, 2, 3, 4, 0, 1], [2], [3, 3, 1], [4, 0, 2, 2, 1, 0, 3])]
+    starts, moves, out = np.zeros(k), np.zeros((k, k)), np.zeros((k, m))
+    for seq in sequences:
+        paths = [()]
+        for _ in seq:
+            paths = [(*p, s) for p in paths for s in range(k)]
+        p = np.array([start[x[0]] * math.prod(emit[s, t] for s, t in zip(x, seq)) * math.prod(move[a, b] for a, b in zip(x, x[1:])) for x in paths])
+        for x, share in zip(paths, p / p.sum()):
+            starts[x[0]] += share
+            for a, b in zip(x, x[1:]):
+                moves[a, b] += share
+            for s, t in zip(x, seq):
+                out[s, t] += share
+    got = op7.expected_counts(sequences, start, move, emit, most)
+    for x, y in zip(got, (starts, moves, out)):
+        assert np.allclose(x, y)
+    assert got[1].sum() == pytest.approx(sum(len(s) - 1 for s in sequences))
+    assert np.allclose(op7.forward_scores(sequences, start, move, emit, most), op7.forward_scores(sequences, start, move, emit))
+
+
+def plain_scores(sequences, held, sizes, classes, states, rounds):
+    """Baum-Welch and forward scores, one text and one step at a time."""
+    model = op7.Model(states, np.array([x for x, _ in sizes]), np.array([c for _, c in sizes], float), classes)
+    for _ in range(rounds):
+        start, move, emit = model.parts()
+        starts, moves, out = np.zeros(states), np.zeros((states, states)), np.zeros((states, classes))
+        for seq in (s for s, h in zip(sequences, held) if not h):
+            alphas, betas = [start * emit[:, seq[0]]], [np.ones(states)]
+            for t in seq[1:]:
+                alphas.append(alphas[-1] / alphas[-1].sum() @ move * emit[:, t])
+            for t in seq[:0:-1]:
+                beta = move @ (emit[:, t] * betas[-1])
+                betas.append(beta / beta.sum())
+            betas.reverse()
+            for i, t in enumerate(seq):
+                g = alphas[i] * betas[i]
+                out[:, t] += g / g.sum()
+                starts += g / g.sum() if i == 0 else 0
+                if i:
+                    x = alphas[i - 1][:, None] * move * (emit[:, t] * betas[i])
+                    moves += x / x.sum()
+        model.learn([(-1, list(starts)), *((-2 - i, moves[i]) for i in range(states)), *((c, out[:, c]) for c in np.flatnonzero(out.sum(axis=0)))])
+    start, move, emit = model.parts()
+    scores = []
+    for seq in sequences:
+        a, total = start * emit[:, seq[0]], 0.0
+        for t in seq[1:]:
+            total += math.log10(a.sum())
+            a = a / a.sum() @ move * emit[:, t]
+        scores.append(total + math.log10(a.sum()))
+    return scores
+
+
+def test_scores_equal_a_plain_model(spark, monkeypatch):
+    """The scores of the operator, with words that have a class of their own and words that share one."""
+    monkeypatch.setattr(op7, "FREQUENT", 40)
+    monkeypatch.setattr(op7, "PIECE", 300)
+    rows = corpus(13, 40)
+    docs = frame(spark, rows)
+    got = {r.doc_id: r.score for r in op7.language_scores(docs, states=3, rounds=2).collect()}
+    texts = {d: [*words(lower(t)), None] for d, t in rows}
+    held = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d in texts}
+    count = Counter(w for d, t in texts.items() if not held[d] for w in t)
+    # the class of each word: read off the rewritten texts, which must agree with each other
+    done, sizes, _, _ = op7.classed_documents(docs)
+    kind = {}
+    for r in done.collect():
+        seq = np.frombuffer(r.classes, np.uint16).tolist()
+        for w, c in zip(texts[r.doc_id], seq, strict=True):
+            assert kind.setdefault(w, c) == c
+    own = [w for w, c in kind.items() if c < 40]
+    assert len(own) == len({kind[w] for w in own}) == 40
+    assert min(count[w] for w in own) >= max(count[w] for w in kind if kind[w] >= 40)
+    mass, types = Counter(), Counter()
+    for w, n in count.items():
+        mass[kind[w]] += n
+        types[kind[w]] += 1
+    assert dict(sizes) == mass
+    order = sorted(texts)
+    want = plain_scores([[kind[w] for w in texts[d]] for d in order], [held[d] for d in order], sizes, 40 + op7.SHAPES, 3, 2)
+    for d, score in zip(order, want):
+        within = sum(math.log10((count[w] + 0.5) / (mass[kind[w]] + 0.5 * (types[kind[w]] + 1))) for w in texts[d] if kind[w] >= 40)
+        assert got[d] == pytest.approx(score + within, rel=1e-4)
 
 
 def test_language_scores(spark):
@@ -123,6 +203,19 @@ def test_language_scores(spark):
         assert r.score < 0
 
 
+def test_words_in_many_chunks_are_broadcast(spark, monkeypatch):
+    """The counts come out the same whichever way a word goes."""
+    rows = corpus(9, 30)
+    docs = frame(spark, rows)
+    want = {r.doc_id: (r.n_known, r.base_score) for r in op7.classed_documents(docs)[0].collect()}
+    monkeypatch.setattr(op7, "CHUNK", 2000)
+    for often in (1 << 20, 600, 1):
+        monkeypatch.setattr(op7, "OFTEN", often)
+        got = {r.doc_id: (r.n_known, r.base_score) for r in op7.classed_documents(docs)[0].collect()}
+        assert got.keys() == want.keys()
+        assert all(got[d] == pytest.approx(want[d]) for d in want)
+
+
 def test_model_beats_the_unigram_base_on_held_out_texts(spark):
     rows = [r for r in op7.query(spark, SF).collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
