@@ -176,12 +176,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     del df
+    out = spark.read.parquet(path)
     jvm, folder = _folder(spark, path)
     if jvm is not None:
         folder[0].deleteOnExit(folder[1])
-        # shuffle files of the finished job go when the JVM notices that nobody holds them
+        # shuffle files of the finished job go when the JVM notices that nobody holds them, which is so once another plan is at hand
         jvm.System.gc()
-    return spark.read.parquet(path)
+    return out
 
 
 def discarded(df: DataFrame) -> None:

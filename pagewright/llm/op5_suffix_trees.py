@@ -2,11 +2,11 @@
 
 Suffixes that may begin a repeat are dealt by prefixes of variable length: the
 suffixes that begin with each word are counted, and a prefix that too many
-begin with is taken one word longer, until all groups are of the size that a
-task is to have. Each group is one subtree of the suffix tree, read off its
-sorted suffixes and the common prefixes of neighbours; the nodes of depth
-`width` are the repeats, and the smallest document below such a node decides
-which of its leaves are covered. What repeats within one batch of texts is
+begin with is taken one word longer, until each has as many as fit in memory;
+rare prefixes share a group. The suffixes of a prefix are one subtree of the
+suffix tree, read off sorted suffixes and the common prefixes of neighbours; the
+nodes of depth `width` are the repeats, and the smallest document below such a
+node decides which of its leaves are covered. What repeats within one batch of texts is
 found by the same trees, built in memory, before anything is dealt.
 
 Defined results: a null text has no words; a text of fewer words than the
@@ -22,12 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .blocks import BLOCK, U, block_words, hash_ranges, mix, spans, staged, text_buffer, typed, words_of
-from .repeats import RANGES, covered, equal_neighbours, found_repeats, range_lists, repeat_rows, slices, with_texts
+from .repeats import RANGES, covered, found_repeats, range_lists, repeat_rows, slices, with_texts
 
 WIDTH, SEED = 13, 5
 GROUP = 1 << 18  # suffixes of a prefix group, some 20 MB
@@ -160,42 +161,91 @@ def prefixes(stretches: DataFrame, width: int, most: int) -> list[np.ndarray]:
     return crowded
 
 
-def _suffixes(batches, width: int, crowded: list[np.ndarray]):
-    """Each suffix to the depth of width under the label of its prefix."""
+def _suffixes(batches, width: int, crowded: list[np.ndarray], groups: int):
+    """Suffixes to the depth of width, as one compressed block for each group of prefixes and batch."""
+    pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
         doc, pos = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         for data, ws, we, row, start, off, label, _ in _labelled(batch, width, crowded):
-            for at in range(0, len(start), 1 << 15):
-                x = slice(at, at + (1 << 15))
-                s = start[x]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(label[x].view(np.int64)), slices(data, ws[s], we[s + width - 1]), pa.array(doc[row[s]]), pa.array(pos[row[s]] + off[x])], names=["label", "suffix", "doc_id", "pos"]
-                )
-
+            group = (label % U(groups)).astype(np.int64)
+            order = np.argsort(group, kind="stable")
+            bounds = np.flatnonzero(np.diff(group[order], prepend=-1))
+            out: list[list] = [[], [], []]
+            for lo, hi in zip(bounds.tolist(), [*bounds[1:].tolist(), len(order)]):
+                x = order[lo:hi]
+                begin, end = ws[start[x]], we[start[x] + width - 1]
+                suffixes = slices(data, begin, end)
+                raw = (end - begin).astype("<u4").tobytes() + doc[row[start[x]]].astype("<i8").tobytes() + (pos[row[start[x]]] + off[x]).astype("<i8").tobytes() + suffixes.buffers()[2].to_pybytes()
+                for column, value in zip(out, (group[x[0]], len(x), pack(raw)), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["bin", "n", "block"])
+
+
+def _unpacked(n: int, raw: bytes) -> pa.RecordBatch:
+    size = np.frombuffer(raw, "<u4", n).astype(np.int32)
+    off = np.concatenate((np.zeros(1, np.int32), np.cumsum(size, dtype=np.int32)))
+    suffixes = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(off), pa.py_buffer(raw[20 * n :])])
+    return pa.RecordBatch.from_arrays([suffixes, pa.array(np.frombuffer(raw, "<i8", n, 4 * n)), pa.array(np.frombuffer(raw, "<i8", n, 12 * n))], names=["suffix", "doc_id", "pos"])
+
+
+def _grown(rows: pa.Table, width: int, most: int) -> np.ndarray:
+    """Which suffixes of a group are leaves below a deep node of its subtrees and not of that node's smallest document."""
+    buf, offsets = text_buffer(rows["suffix"])
+    ws, we, _ = block_words(buf[: int(offsets[-1])], offsets)
+    words = slices(buf, ws, we).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int32)
+    doc = rows["doc_id"].to_numpy()
+    gone = np.zeros(len(doc), bool)
+    for group, depth in prefix_groups(words, np.arange(len(doc)) * width, width, most):
+        leaf, node = deep_nodes(*subtree(words, group, depth, width), width)
+        leaf //= width
+        if len(leaf):
+            starts = np.flatnonzero(np.diff(node, prepend=node[0] - 1))
+            least = np.repeat(np.minimum.reduceat(doc[leaf], starts), np.diff(np.append(starts, len(node))))
+            gone[leaf[doc[leaf] != least]] = True
+    return gone
+
+
+def _subtrees(batches, width: int, most: int):
+    """Blocks in order of their groups: leaves that do not belong to the smallest document below their node.
+
+    What is found to be a repeat stays one whatever else comes, so a group that
+    is larger than memory allows, as all its suffixes are equal, is thinned out
+    on the way.
+    """
+    unpack = zstandard.ZstdDecompressor().decompress
+    now, held, limit = None, [], 0
 
-def _below_nodes(batches):
-    """Subtrees as they pass, suffixes in order: leaves below a deep node that do not belong to the node's smallest document.
+    def thinned():
+        rows = pa.Table.from_batches(held).combine_chunks()
+        gone = _grown(rows, width, most)
+        found = rows.filter(pa.array(gone))
+        return rows.filter(pa.array(~gone)).combine_chunks().to_batches(), repeat_rows(found["doc_id"].to_numpy(), found["pos"].to_numpy(), np.ones(len(found), np.int64))
 
-    Suffixes are cut at the width, so neighbours that are equal are below one
-    node of that depth; its leaves come in order of documents.
-    """
-    last, owner = None, 0
     for batch in batches:
-        doc, pos = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-        deep = equal_neighbours(batch.column(1), last)
-        at = np.maximum.accumulate(np.where(deep, -1, np.arange(len(deep))))
-        least = np.where(at < 0, owner, doc[at])
-        last, owner = batch.column(1)[-1].as_py(), least[-1]
-        yield repeat_rows(doc[doc != least], pos[doc != least], np.ones(int((doc != least).sum()), np.int64))
+        for group, n, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if group != now and held:
+                yield thinned()[1]
+                held = []
+            if group != now:
+                now, limit = group, 4 * most
+            held.append(_unpacked(n, unpack(block)))
+            if sum(map(len, held)) > limit:
+                held, found = thinned()
+                limit = 4 * most + sum(map(len, held))
+                yield found
+    if held:
+        yield thinned()[1]
 
 
 def repeated_ranges(docs: DataFrame, width: int, seed: int, size: int, most: int) -> DataFrame:
     """(doc_id, pos, n): runs of n windows from pos on that also start in a document of smaller id."""
     found = found_repeats(docs, "word", width, seed, True, lambda c: equal_windows(c, width), size)
-    stretches = staged(with_texts(docs.select("doc_id", "text"), found.where("h is not null").select("doc_id", "pos", "n"), "inner").mapInArrow(lambda it: _stretches(it, width), "doc_id long, pos long, content binary"), "stretches")
+    open_ = found.where("h is not null")
+    stretches = staged(with_texts(docs.select("doc_id", "text"), open_.select("doc_id", "pos", "n"), "inner").mapInArrow(lambda it: _stretches(it, width), "doc_id long, pos long, content binary"), "stretches")
+    groups = -(-2 * (open_.agg(F.sum("n")).first()[0] or 1) // most)  # half full on average, so that prefixes of up to `most` suffixes fit in
     crowded = prefixes(stretches, width, most)
-    dealt = stretches.mapInArrow(lambda it: _suffixes(it, width, crowded), "label long, suffix binary, doc_id long, pos long").repartition("label")
-    leaves = dealt.sortWithinPartitions("label", "suffix", "doc_id").mapInArrow(_below_nodes, RANGES)
+    blocks = stretches.mapInArrow(lambda it: _suffixes(it, width, crowded, groups), "bin long, n long, block binary")
+    leaves = blocks.repartition("bin").sortWithinPartitions("bin").mapInArrow(lambda it: _subtrees(it, width, most), RANGES)
     return staged(found.where("h is null").select("doc_id", "pos", "n").unionByName(leaves), "ranges")
 
 
