@@ -213,6 +213,21 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def counted_join(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """rows with the other columns of table, left where table lacks the key; count: how many of the rows have each key.
+
+    Keys with more than a BROADCAST_ROWS-th of all rows are fewer than
+    BROADCAST_ROWS, so they are broadcast; only keys of few rows are dealt, and
+    no key is hot.
+    """
+    least = (table.agg(F.sum(count)).first()[0] or 0) // BROADCAST_ROWS
+    often, seldom = table.where(F.col(count) > least).drop(count), table.where(F.col(count) <= least).drop(count)
+    if not least:  # so few rows in all that each key is among them
+        return rows.join(F.broadcast(often), key, "left")
+    apart = rows.join(F.broadcast(often.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(often), key).unionByName(apart.join(seldom, key, "left"))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; only a local session, as in tests, may be without it and then uses a folder below the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -1,18 +1,20 @@
 """MinHash near-dedup with an LSH forest.
 
 Each document's set of word shingles gives one MinHash signature; a tree of the
-forest is an order of the signatures by its own sequence of values. Documents
-that share a tree's first `DEPTH` values are in one region. In each region,
-neighbours with the longest common prefix (twice as deep) and the region's
-first document are compared first. What these links leave in different
-components is then compared with all others of the region: in a sparse region
-as pairs, in a dense one in blocks of bounded size inside a task, which sends on
-at most one link from a document to a component. Pairs are looked at only if
-their sizes allow the similarity and their signatures' last bits do not rule it
-out.
-
-The chance that a link of the least similarity is never compared is below 1e-6; there
-is no cap on partners or candidates.
+forest is an order of the signatures by its own sequence of values. All orders
+are sorted, over ranges, so that no key is in one task alone; neighbours' common
+prefixes are measured on the way. Candidates are each document's neighbours and
+the first documents of the runs that share its prefix of half and of full
+length. Connected components of the confirmed links settle most regions (runs
+that share DEPTHS[0] values) for good. A region that still has several
+components is compared across them if it is sparse; if it is crowded, its
+documents are ordered anew by longer prefixes, with as many trees as make up for
+the length, until regions are sparse or the last depth is reached. Pairs are
+looked at only if their sizes allow the similarity and their signatures' last
+bits do not rule it out.
+
+The chance that a link of the least similarity is never compared is below 1e-6
+at each depth; there is no cap on partners or candidates.
 
 Equal sets are one class from the start. Links are confirmed on full shingle
 sets (64-bit hashes of shingles, no signature estimate).
@@ -20,8 +22,9 @@ sets (64-bit hashes of shingles, no signature estimate).
 Defined results: a null or empty text, or one of white space alone, has an
 empty set and is linked with nothing; with fewer words than a shingle the
 whole sequence is the one shingle; rows with a null id are returned as their
-own, unlinked, with a null component; repeated rows of one id share their
-component; an empty table gives an empty result; further columns are ignored.
+own, unlinked, with a null component; rows of one id are one document, which is
+linked with what any of its texts is similar to, and share their component; an
+empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,16 +34,16 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import LOWER, U, block_words, hash_ranges, mix, spans, staged, text_buffer, typed
+from .blocks import LOWER, U, block_words, counted_join, discarded, hash_ranges, mix, spans, staged, text_buffer, typed
 
 NAME = "op6_lsh_forest_dedup"
 SHINGLE, VALUES = 3, 256
-DEPTH, MISS = 4, 4e-7  # values of a region's key; chance that a pair of the least similarity shares no region
-DENSE = 32  # regions of more documents are compared in blocks
-BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1 << 20  # of a block, on average
+DEPTHS, MISS = (4, 8, 16), 4e-7  # values that a region shares, deeper where it is crowded; chance that a pair of the least similarity shares no region
+PATH = 8  # values of the first orders that are sorted by
+DENSE = 32  # documents of a region that is not crowded
 _rng = np.random.default_rng(6)
 _MUL = _rng.integers(0, 2**32, VALUES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _XOR = _rng.integers(0, 2**32, VALUES, dtype=np.uint64).astype(np.uint32)
@@ -48,10 +51,14 @@ _XOR = _rng.integers(0, 2**32, VALUES, dtype=np.uint64).astype(np.uint32)
 
 
 
-def orders(percent: int) -> list[list[int]]:
-    """The trees' orders of signature values: as many as the chance to miss asks for, 20 at 85 per cent and 28 at 80."""
-    trees = math.ceil(math.log(MISS) / math.log(1 - (min(percent, 99) / 100) ** DEPTH))
-    return [[(t * DEPTH + j) % VALUES for j in range(2 * DEPTH)] for t in range(trees)]
+def orders(percent: int, depth: int = DEPTHS[0], length: int | None = None) -> np.ndarray:
+    """The trees' orders of signature values, one a row: as many trees as the chance to miss asks for, at depth 4 20 for 85 per cent and 28 for 80."""
+    trees = math.ceil(math.log(MISS) / math.log(1 - (min(percent, 99) / 100) ** depth))
+    length = length or depth
+    if depth == DEPTHS[0]:  # each value is a region's once before any is so again
+        return np.array([[(t * depth + j) % VALUES for j in range(length)] for t in range(trees)])
+    draw = np.random.default_rng(depth)
+    return np.array([draw.permutation(VALUES)[:length] for _ in range(trees)])
 
 
 def most_odd_bits(percent: int) -> int:
@@ -131,22 +138,77 @@ def _signed(batches, k: int):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, m), pa.array(count.astype(np.int64)), fps, sigs, *map(pa.array, bits.T.copy())], names=names)
 
 
-def _planted(batches, orders: list[list[int]]):
-    """A row for each tree: the keys of the region at half the depth of its order and at all of it."""
+def _signatures(column: pa.Array) -> np.ndarray:
+    buf, offsets = text_buffer(column)
+    return buf[offsets[0] : offsets[-1]].view(np.uint16).reshape(len(column), -1)
+
+
+def _planted(batches, trees: np.ndarray):
+    """A row for each tree: its number and the signature's values in its order, so that rows sort as the tree does."""
     for batch in batches:
-        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(len(batch), -1).astype(np.uint64)
+        sig = _signatures(batch.column(1)).astype(">u2")
         rep = batch.column(0).to_numpy(zero_copy_only=False)
-        out = []
-        for t, order in enumerate(orders):
-            h = np.full(len(rep), t + 1, np.uint64)
-            keys = []
-            for j, value in enumerate(order):
-                h = mix(h * U(0x9FB21C651E98DF25) + sig[:, value])
-                if j in (len(order) // 2 - 1, len(order) - 1):
-                    keys.append(h)
-            out.append(keys)
-        region, deep = (np.concatenate([x[i] for x in out]).view(np.int64) for i in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(np.tile(rep, len(orders))), pa.array(region), pa.array(deep)], names=["rep", "region", "deep"])
+        for first in range(0, len(trees), 8):
+            rows = trees[first : first + 8]
+            path = np.empty((len(rows), len(rep), 1 + trees.shape[1]), ">u2")
+            path[:, :, 0] = np.arange(first, first + len(rows))[:, None]
+            for i, order in enumerate(rows):
+                path[i, :, 1:] = sig[:, order]
+            yield pa.RecordBatch.from_arrays([_binary(path.reshape(-1, path.shape[2]), 2 * path.shape[2]), pa.array(np.tile(rep, len(rows)))], names=["path", "rep"])
+
+
+def _neighbours(batches, depth: int):
+    """Candidates of a range of sorted orders, rows (a, b, null, null); one row of its first and last documents and their paths.
+
+    The common prefix with the document before is measured; runs that share
+    `depth` values, and within them runs that share all, have a first document.
+    """
+    ends, before, heads = None, None, np.zeros(2, np.int64)
+    for batch in batches:
+        path, rep = _signatures(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
+        if not len(rep):
+            continue
+        if ends is None:
+            ends = [rep[0], batch.column(0)[0].as_py()]
+        ahead = np.concatenate((path[:1] if before is None else before[0], path[:-1]))
+        same = np.cumprod(ahead == path, axis=1).sum(axis=1) - 1  # values shared below the tree's root
+        if before is None:
+            same[0] = -1
+        prev = np.concatenate((rep[:1] if before is None else before[1], rep[:-1]))
+        at = np.arange(len(rep))
+        runs = []
+        for i, least in enumerate((depth, path.shape[1] - 1)):
+            head = np.maximum.accumulate(np.where(same >= least, -1, at))
+            runs.append(np.where(head < 0, heads[i], rep[head]))
+            heads[i] = runs[i][-1]
+        outer, inner = runs
+        starts = same < path.shape[1] - 1  # the first of an inner run goes with the first of the outer one
+        a = np.concatenate((prev[same >= depth], inner, outer[starts]))
+        b = np.concatenate((rep[same >= depth], rep, rep[starts]))
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        a, b = a[a != b], b[a != b]
+        pairs = np.unique(np.stack((a, b), axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        yield _near_rows(pairs[:, 0], pairs[:, 1])
+        before = path[-1:].copy(), rep[-1:].copy()
+        last = batch.column(0)[-1].as_py()
+    if ends is not None:
+        yield _near_rows(np.array([ends[0]]), np.array([before[1][0]]), [ends[1]], [last])
+
+
+def _near_rows(a, b, head=None, tail=None) -> pa.RecordBatch:
+    none = pa.nulls(len(a), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none if head is None else pa.array(head, pa.binary()), none if tail is None else pa.array(tail, pa.binary())], names=["a", "b", "head", "tail"])
+
+
+def near_pairs(forest: DataFrame, depth: int) -> DataFrame:
+    """(a, b): candidates from the sorted orders; forest: path, rep."""
+    dealt = forest.repartitionByRange("path", "rep").sortWithinPartitions("path", "rep")
+    near = staged(dealt.mapInArrow(lambda it: _neighbours(it, depth), "a long, b long, head binary, tail binary"), "near")
+    # one row a range, not a document: the last of each with the first of the next
+    ends = sorted((bytes(r["head"]), r["a"], bytes(r["tail"]), r["b"]) for r in near.where("head is not null").collect())
+    across = [(min(b, a), max(b, a)) for (_, _, tail, b), (head, a, _, _) in zip(ends, ends[1:]) if a != b and tail[: 2 * depth + 2] == head[: 2 * depth + 2]]
+    pairs = near.where("head is null").select("a", "b")
+    return pairs.unionByName(forest.sparkSession.createDataFrame(across, "a long, b long")) if across else pairs
 
 
 def _confirmed(batches, k: int, percent: int):
@@ -171,70 +233,6 @@ def _confirmed(batches, k: int, percent: int):
         yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
 
-def _compared(batches, k: int, percent: int):
-    """Rows of one block pair after another: links between documents of different components, one for a document and a component."""
-    columns: list | None = None
-    for batch in batches:
-        at = batch.schema.get_field_index
-        now = [batch.column(at(x)).to_numpy(zero_copy_only=False) for x in ("group", "i", "j", "block", "rep", "c", "n_shingles", *_BITS)]
-        now.append(np.array(batch.column(at("text")).to_pylist(), dtype=object))
-        columns = now if columns is None else [np.concatenate(x) for x in zip(columns, now)]
-        key = columns[0], columns[1], columns[2]
-        cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in key], axis=0)) + 1
-        for lo, hi in zip([0, *cuts[:-1]], cuts):
-            yield _block_pair([x[lo:hi] for x in columns], k, percent)
-        if len(cuts):
-            columns = [x[cuts[-1] :] for x in columns]
-    if columns is not None and len(columns[0]):
-        yield _block_pair(columns, k, percent)
-
-
-def _block_pair(rows: list[np.ndarray], k: int, percent: int) -> pa.RecordBatch:
-    _, i, j, block, rep, c, n, *bits, text = rows
-    buf, offsets = text_buffer(pa.array(text, pa.string()))
-    found: list[np.ndarray] = []
-    for first, end, row, h in shingle_sets(buf, offsets, k):
-        cut = np.searchsorted(row, np.arange(end - first + 1))
-        found += [h[cut[x] : cut[x + 1]] for x in range(end - first)]
-    known, count = np.unique(c, return_counts=True)
-    main = known[np.argmax(count)]
-    two = i[0] != j[0]
-    links: set[tuple[int, int]] = set()
-    bits = np.stack(bits, axis=1)
-    for x in np.flatnonzero(c != main):
-        y = (c != c[x]) & ((c == main) | (rep > rep[x])) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
-        if two:
-            y &= block != block[x]
-        y = np.flatnonzero(y)
-        y = y[np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1) <= most_odd_bits(percent)]
-        done = set()
-        for other in y:
-            if c[other] not in done:
-                inter = len(np.intersect1d(found[x], found[other], assume_unique=True))
-                if 100 * inter >= percent * (len(found[x]) + len(found[other]) - inter):
-                    done.add(c[other])
-                    links.add((min(rep[x], rep[other]), max(rep[x], rep[other])))
-    a, b = zip(*links) if links else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def _block_links(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links across components within groups of regions that share documents.
-
-    A group is split into blocks and each pair of blocks meets in one task, so
-    a task's size is bounded whatever the size of a group.
-    """
-    groups = components(members.select(F.col("first").alias("a"), F.col("rep").alias("b")), "groups")
-    reps = members.dropDuplicates(["rep"]).drop("region", "crowd", "first").join(groups, F.col("rep") == F.col("node"), "left").withColumn("group", F.coalesce("component", "rep")).drop("node", "component")
-    sizes = reps.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
-    rows = reps.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
-    with_text = docs.withColumnRenamed("doc_id", "rep").join(rows.hint("shuffle_hash"), "rep")
-    dealt = with_text.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
-    return dealt.mapInArrow(lambda it: _compared(it, k, percent), "a long, b long")
-
-
 def _links(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose documents' sets are similar; the texts are dealt by id once for both sides."""
     left = pairs.hint("shuffle_hash").join(docs.withColumnRenamed("doc_id", "b").withColumnRenamed("text", "text_b"), "b")
@@ -258,6 +256,7 @@ def components(links: DataFrame, name: str) -> DataFrame:
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         new = staged(small.select("e.*").where("u <> v").distinct(), name)
         moved = new.join(edges, ["u", "v"], "left_anti").limit(1).count()
+        discarded(edges)
         edges = new
         if not moved:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -280,43 +279,72 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
     return x.join(y, wanted).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
 
 
+def _regions(forest: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (region, rep, c) and those regions that have several components, with their crowd; forest: region, rep."""
+    placed = forest.join(comp, F.col("rep") == F.col("node"), "left").select("region", "rep", F.coalesce("component", "rep").alias("c"))
+    placed = staged(placed, "placed")
+    open_ = placed.groupBy("region").agg(F.count("*").alias("crowd"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+    return placed, open_.select("region", "crowd")
+
+
+def _open_pairs(first: DataFrame, reps: DataFrame, comp: DataFrame, percent: int) -> list[DataFrame]:
+    """Pairs across the components of each region, by longer prefixes where it is crowded; first: the regions of the first depth."""
+    size = reps.select("rep", "n_shingles", *_BITS)
+    forest, found = first, []
+    for level, depth in enumerate(DEPTHS):
+        placed, open_ = _regions(forest, comp)
+        open_ = staged(open_, "open")
+        last = depth == DEPTHS[-1]
+        sparse = open_ if last else open_.where(F.col("crowd") <= DENSE)
+        members = placed.join(sparse.select("region"), "region").join(size, "rep").select("region", "rep", "c", "n_shingles", *_BITS)
+        found.append(staged(_across(staged(members, "members"), percent), "cross"))
+        crowded = open_.where(F.col("crowd") > DENSE)
+        if last or crowded.isEmpty():
+            break
+        dense = placed.join(crowded.select("region"), "region").select("rep").distinct()
+        trees = orders(percent, DEPTHS[level + 1])
+        planted = reps.select("rep", "sig").join(dense, "rep", "left_semi").mapInArrow(lambda it, trees=trees: _planted(it, trees), "path binary, rep long")
+        forest = planted.select(F.xxhash64("path").alias("region"), "rep")
+    return found
+
+
 def near_dedup(docs: DataFrame, k: int = SHINGLE, percent: int = 85) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept, and set_id, equal for documents of equal sets.
 
-    The number of trees follows from percent; from 65 on they use each signature
-    value once.
+    The number of trees follows from percent; from 65 on the first ones use
+    each signature value once.
     """
     texts = typed(docs, doc_id="bigint", text="string")
     schema = "doc_id long, n_shingles long, fp binary, sig binary, " + ", ".join(f"{x} long" for x in _BITS)
     signed = staged(texts.mapInArrow(lambda it: _signed(it, k), schema), "signatures")
     known = signed.where("fp is not null and doc_id is not null")
-    classes = known.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    reps = known.withColumnRenamed("doc_id", "rep").join(classes, ["fp", "rep"], "left_semi").dropDuplicates(["rep"])
-    schema = "rep long, region long, deep long"
-    forest = reps.select("rep", "sig").mapInArrow(lambda it: _planted(it, orders(percent)), schema)
-    crowd = forest.groupBy("region").agg(F.count("*").alias("crowd"), F.min("rep").alias("first")).where("crowd > 1")
-    regions = staged(forest.join(crowd, "region"), "regions")
-    near = regions.select("rep", "first", F.lead("rep").over(Window.partitionBy("deep").orderBy("rep")).alias("next"))
-    both = near.select("first", "rep").unionAll(near.select("rep", "next")).toDF("a", "b")
-    pairs = staged(both.where("a <> b").distinct(), "pairs")
+    classes = staged(known.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
+    reps = known.withColumnRenamed("doc_id", "rep").join(classes.select("fp", "rep"), ["fp", "rep"], "left_semi").dropDuplicates(["fp"])
+    trees = orders(percent, length=PATH)
+    forest = staged(reps.select("rep", "sig").mapInArrow(lambda it: _planted(it, trees), "path binary, rep long"), "forest")
+    pairs = staged(near_pairs(forest, DEPTHS[0]).distinct(), "pairs")
     ids = texts.where(F.col("doc_id").isNotNull())
-    links = staged(_links(pairs, ids, k, percent), "links")
+    # ids with several texts: all their classes are one document's
+    several = known.groupBy("doc_id").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
+    same = several.select("doc_id", F.explode("fps").alias("fp")).join(classes.select("fp", "rep"), "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    links = staged(_links(pairs, ids, k, percent).unionByName(same.where("a <> b")), "links")
     comp = components(links, "stars")
-    size = reps.select("rep", "n_shingles", *_BITS)
-    placed = regions.select("region", "rep", "crowd", "first").join(comp, F.col("rep") == F.col("node"), "left").withColumn("c", F.coalesce("component", "rep"))
-    mixed = placed.groupBy("region").agg((F.min("c") < F.max("c")).alias("mixed")).where("mixed").select("region")
-    placed = staged(placed.join(mixed, "region").join(size, "rep").select("region", "rep", "crowd", "first", "c", "n_shingles", *_BITS), "placed")
-    cross = _across(placed.where(F.col("crowd") <= DENSE), percent)
-    dense = placed.where(F.col("crowd") > DENSE)
-    found = _links(cross.join(pairs, ["a", "b"], "left_anti"), ids, k, percent)
-    if not dense.isEmpty():
-        found = found.unionByName(_block_links(dense, ids, k, percent))
-    more = staged(found, "links")
+    regions = forest.select(F.xxhash64(F.substring("path", 1, 2 * DEPTHS[0] + 2)).alias("region"), "rep")
+    found = _open_pairs(regions, reps, comp, percent)
+    cross = found[0]
+    for more in found[1:]:
+        cross = cross.unionByName(more)
+    more = staged(_links(cross.distinct().join(pairs, ["a", "b"], "left_anti"), ids, k, percent), "links")
     if not more.isEmpty():
         comp = components(links.unionByName(more), "stars")
-    place = classes.join(comp, F.col("rep") == F.col("node"), "left").select("fp", F.col("rep").alias("set_id"), F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "fp").join(place, "fp", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), F.coalesce("set_id", "doc_id").alias("set_id"))
+    place = classes.join(comp, F.col("rep") == F.col("node"), "left").select("fp", "n", F.col("rep").alias("set_id"), F.coalesce("component", "rep").alias("component"))
+    place = staged(place, "place")
+    out = counted_join(signed.where("fp is not null").select("doc_id", "n_shingles", "fp"), place, "fp", "n")
+    empty = signed.where("fp is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component"), F.col("doc_id").alias("set_id"))
+    # a class that has rows without an id takes no part through them
+    mine = lambda c: F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c)
+    out = out.select("doc_id", "n_shingles", mine("component"), mine("set_id")).unionByName(empty)
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"), "set_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

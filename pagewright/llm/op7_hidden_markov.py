@@ -34,13 +34,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .blocks import LOWER, U, block_words, hash_ranges, spans, staged, text_buffer, typed
+from .blocks import LOWER, U, block_words, counted_join, hash_ranges, spans, staged, text_buffer, typed
 
 NAME = "op7_hidden_markov"
 STATES, ROUNDS, FREQUENT, SHAPES = 8, 6, 2048, 4096
 CHUNK = 12 << 20  # bytes of text whose distinct words are counted together
 PIECE = 1 << 19  # tokens whose forward and backward values are held at once
-OFTEN = 1 << 20  # words that are in so many chunks that their counts are broadcast: at most so many
 _END = U(1)
 
 
@@ -341,15 +340,7 @@ def classed_documents(docs: DataFrame) -> tuple[DataFrame, list, int, int]:
     class_c, class_v = np.zeros(FREQUENT + SHAPES), np.zeros(FREQUENT + SHAPES)
     for kind, c, n in known:
         class_c[kind], class_v[kind] = c, n
-    # words in more than an OFTEN-th of all rows are fewer than OFTEN: they are broadcast, so that only words of few rows are dealt by word
-    least = (totals.agg(F.sum("chunks")).first()[0] or 0) // OFTEN
-    table = kinds.select("word", "c", "kind", "chunks")
-    often, seldom = (table.where(F.col("chunks") > least).drop("chunks"), table.where(F.col("chunks") <= least).drop("chunks")) if least else (None, table.drop("chunks"))
-    words = words.select("chunk", "word", "place")
-    if often is None:
-        placed = words.join(F.broadcast(seldom), "word")
-    else:
-        placed = words.join(F.broadcast(often), "word").unionByName(words.join(F.broadcast(often.select("word")), "word", "left_anti").join(seldom, "word"))
+    placed = counted_join(words.select("chunk", "word", "place"), kinds, "word", "chunks")
     blocks = placed.select("chunk", "place", "kind", "c").mapInArrow(_packed_words, "chunk long, words binary")
     null = {x: F.lit(None).cast(t).alias(x) for x, t in (("words", "binary"), ("doc_id", "long"), ("held_out", "boolean"), ("places", "binary"))}
     both = blocks.select("chunk", "words", null["doc_id"], null["held_out"], null["places"])

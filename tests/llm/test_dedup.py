@@ -144,19 +144,61 @@ def test_near_dedup(spark, seed):
     assert all(r.kept == (r.doc_id == r.component_id) for r in out)
 
 
-def test_near_dedup_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(op6_lsh_forest, "DENSE", 2)
-    monkeypatch.setattr(op6_lsh_forest, "BLOCK_DOCS", 5)
+def test_near_dedup_of_crowded_regions(spark, monkeypatch):
+    """All regions are crowded, so all comparisons across components are made at the last depth."""
+    monkeypatch.setattr(op6_lsh_forest, "DENSE", 1)
     rows = corpus(4, 80)
     out = op6_lsh_forest.near_dedup(frame(spark, rows)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == near_components(rows)
 
 
+def test_links_that_only_the_second_search_finds(spark, monkeypatch):
+    """Without any candidate from neighbours, comparing across components finds every link."""
+    monkeypatch.setattr(op6_lsh_forest, "near_pairs", lambda forest, depth: spark.createDataFrame([], "a long, b long"))
+    rows = corpus(6, 60)
+    for dense in (32, 2):
+        monkeypatch.setattr(op6_lsh_forest, "DENSE", dense)
+        out = op6_lsh_forest.near_dedup(frame(spark, rows)).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == near_components(rows)
+
+
 def test_near_dedup_of_five_words(spark):
     rows = corpus(5)
     out = op6_lsh_forest.near_dedup(frame(spark, rows), k=5, percent=80).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == near_components(rows, 80, 5)
     assert len(op6_lsh_forest.orders(85)) == 20 and len(op6_lsh_forest.orders(80)) == 28
+    assert [len(op6_lsh_forest.orders(85, d)) for d in (8, 16)] == [47, 191]
+
+
+def test_near_dedup_of_ids_with_several_texts(spark):
+    """Rows of one id are one document, in whatever order they come."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a), (7, a + " z"), (7, b), (8, b), (9, c), (4, c + " y"), (4, c)]
+    want = {5: 5, 7: 5, 8: 5, 9: 4, 4: 4}
+    for order in (rows, rows[::-1]):
+        out = op6_lsh_forest.near_dedup(frame(spark, order)).collect()
+        assert len(out) == 7 and all(r.component_id == want[r.doc_id] and r.kept == (r.doc_id in (4, 5)) for r in out)
+
+
+def test_neighbours_of_sorted_orders():
+    r = np.random.default_rng(8)
+    paths = np.concatenate((np.zeros((60, 1), int), r.integers(0, 2, (60, 4))), axis=1)
+    paths = paths[np.lexsort(paths.T[::-1])]
+    rep = r.permutation(60)
+    rows = pa.RecordBatch.from_arrays([op6_lsh_forest._binary(paths.astype(">u2"), 10), pa.array(rep)], names=["path", "rep"])
+    for size in (60, 7):
+        got = pa.Table.from_batches(op6_lsh_forest._neighbours((rows.slice(i, size) for i in range(0, 60, size)), 2)).to_pylist()
+        pairs = {(x["a"], x["b"]) for x in got if x["head"] is None}
+        want = set()
+        for i in range(60):
+            for least in (2, 4):
+                first = next(j for j in range(60) if (paths[j, : least + 1] == paths[i, : least + 1]).all())
+                if least == 4 or first == i or (paths[i] != paths[i - 1]).any():
+                    want.add(tuple(sorted((rep[first], rep[i]))))
+            if i and (paths[i, :3] == paths[i - 1, :3]).all():
+                want.add(tuple(sorted((rep[i - 1], rep[i]))))
+        assert pairs == {p for p in want if p[0] != p[1]}
+        assert [(x["a"], x["b"]) for x in got if x["head"] is not None] == [(rep[0], rep[-1])]
 
 
 def test_components_of_a_chain(spark):
