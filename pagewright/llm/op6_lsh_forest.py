@@ -3,9 +3,9 @@
 Each document's set of word shingles gives one MinHash signature; a tree of the
 forest is an order of the signatures by its own sequence of values. All orders
 are sorted, over ranges, so that no key is in one task alone; neighbours' common
-prefixes are measured on the way. Candidates are each document's neighbours and
-the first documents of the runs that share its prefix of half and of full
-length. Connected components of the confirmed links settle most regions (runs
+prefixes are measured on the way. Candidates are, for each document, the one of
+its neighbours in all trees that shares the longest prefix, and the least
+document of each of its regions. Connected components of the confirmed links settle most regions (runs
 that share DEPTHS[0] values) for good. A region that still has several
 components is compared across them if it is sparse; if it is crowded, its
 documents are ordered anew by longer prefixes, with as many trees as make up for
@@ -158,57 +158,59 @@ def _planted(batches, trees: np.ndarray):
 
 
 def _neighbours(batches, depth: int):
-    """Candidates of a range of sorted orders, rows (a, b, null, null); one row of its first and last documents and their paths.
+    """Over a range of sorted orders, rows (a, b, shared): each document's neighbours with the values shared (depth or more), and with shared null its region's least document.
 
-    The common prefix with the document before is measured; runs that share
-    `depth` values, and within them runs that share all, have a first document.
+    A region is a run that shares `depth` values; where it does not end with a
+    batch, its pieces' least documents are linked. One further row of the first
+    and last documents' pieces and paths.
     """
-    ends, before, heads = None, None, np.zeros(2, np.int64)
+    ends, before, head = None, None, 0
     for batch in batches:
         path, rep = _signatures(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
         if not len(rep):
             continue
+        known = before is not None
+        ahead = np.concatenate((before[0] if known else path[:1], path[:-1]))
+        prev = np.concatenate((before[1] if known else rep[:1], rep[:-1]))
+        shared = np.cumprod(ahead == path, axis=1).sum(axis=1) - 1  # values below the tree's root
+        if not known:
+            shared[0] = -1
+        starts = np.flatnonzero(np.concatenate(([True], shared[1:] < depth)))
+        least = np.minimum.reduceat(rep, starts)
+        a, b = [np.repeat(least, np.diff(np.append(starts, len(rep))))], [rep]
+        if known and shared[0] >= depth:
+            a.append(least[:1])
+            b.append(np.array([head]))
         if ends is None:
-            ends = [rep[0], batch.column(0)[0].as_py()]
-        ahead = np.concatenate((path[:1] if before is None else before[0], path[:-1]))
-        same = np.cumprod(ahead == path, axis=1).sum(axis=1) - 1  # values shared below the tree's root
-        if before is None:
-            same[0] = -1
-        prev = np.concatenate((rep[:1] if before is None else before[1], rep[:-1]))
-        at = np.arange(len(rep))
-        runs = []
-        for i, least in enumerate((depth, path.shape[1] - 1)):
-            head = np.maximum.accumulate(np.where(same >= least, -1, at))
-            runs.append(np.where(head < 0, heads[i], rep[head]))
-            heads[i] = runs[i][-1]
-        outer, inner = runs
-        starts = same < path.shape[1] - 1  # the first of an inner run goes with the first of the outer one
-        a = np.concatenate((prev[same >= depth], inner, outer[starts]))
-        b = np.concatenate((rep[same >= depth], rep, rep[starts]))
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        a, b = a[a != b], b[a != b]
-        pairs = np.unique(np.stack((a, b), axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        yield _near_rows(pairs[:, 0], pairs[:, 1])
-        before = path[-1:].copy(), rep[-1:].copy()
-        last = batch.column(0)[-1].as_py()
+            ends = [least[0], batch.column(0)[0].as_py()]
+        a, b = np.concatenate(a), np.concatenate(b)
+        star = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1)[a != b], axis=0)
+        near = (shared >= depth) & (prev != rep)
+        yield _near_rows(star[:, 0], star[:, 1])
+        yield _near_rows(np.concatenate((rep[near], prev[near])), np.concatenate((prev[near], rep[near])), np.tile(shared[near], 2))
+        before, head, last = (path[-1:].copy(), rep[-1:].copy()), least[-1], batch.column(0)[-1].as_py()
     if ends is not None:
-        yield _near_rows(np.array([ends[0]]), np.array([before[1][0]]), [ends[1]], [last])
+        yield _near_rows(np.array([ends[0]]), np.array([head]), None, [ends[1]], [last])
 
 
-def _near_rows(a, b, head=None, tail=None) -> pa.RecordBatch:
+def _near_rows(a, b, shared=None, head=None, tail=None) -> pa.RecordBatch:
     none = pa.nulls(len(a), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none if head is None else pa.array(head, pa.binary()), none if tail is None else pa.array(tail, pa.binary())], names=["a", "b", "head", "tail"])
+    shared = pa.nulls(len(a), pa.int32()) if shared is None else pa.array(shared, pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), shared, none if head is None else pa.array(head, pa.binary()), none if tail is None else pa.array(tail, pa.binary())], names=["a", "b", "shared", "head", "tail"])
 
 
 def near_pairs(forest: DataFrame, depth: int) -> DataFrame:
-    """(a, b): candidates from the sorted orders; forest: path, rep."""
+    """(a, b): each document with the one that shares the longest prefix with it in any tree, and with the least ones of its regions; forest: path, rep."""
     dealt = forest.repartitionByRange("path", "rep").sortWithinPartitions("path", "rep")
-    near = staged(dealt.mapInArrow(lambda it: _neighbours(it, depth), "a long, b long, head binary, tail binary"), "near")
-    # one row a range, not a document: the last of each with the first of the next
+    near = staged(dealt.mapInArrow(lambda it: _neighbours(it, depth), "a long, b long, shared int, head binary, tail binary"), "near")
+    # one row a range, not a document: the last piece of each with the first of the next
     ends = sorted((bytes(r["head"]), r["a"], bytes(r["tail"]), r["b"]) for r in near.where("head is not null").collect())
-    across = [(min(b, a), max(b, a)) for (_, _, tail, b), (head, a, _, _) in zip(ends, ends[1:]) if a != b and tail[: 2 * depth + 2] == head[: 2 * depth + 2]]
-    pairs = near.where("head is null").select("a", "b")
-    return pairs.unionByName(forest.sparkSession.createDataFrame(across, "a long, b long")) if across else pairs
+    across = [(a, b) for (_, _, tail, b), (head, a, _, _) in zip(ends, ends[1:]) if a != b and tail[: 2 * depth + 2] == head[: 2 * depth + 2]]
+    best = near.where("shared is not null").groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
+    pairs = near.where("shared is null and head is null").select("a", "b").unionByName(best)
+    if across:
+        pairs = pairs.unionByName(forest.sparkSession.createDataFrame(across, "a long, b long"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _confirmed(batches, k: int, percent: int):

@@ -188,17 +188,23 @@ def test_neighbours_of_sorted_orders():
     rows = pa.RecordBatch.from_arrays([op6_lsh_forest._binary(paths.astype(">u2"), 10), pa.array(rep)], names=["path", "rep"])
     for size in (60, 7):
         got = pa.Table.from_batches(op6_lsh_forest._neighbours((rows.slice(i, size) for i in range(0, 60, size)), 2)).to_pylist()
-        pairs = {(x["a"], x["b"]) for x in got if x["head"] is None}
+        rows_ = [x for x in got if x["head"] is None]
+        near = {(x["a"], x["b"], x["shared"]) for x in rows_ if x["shared"] is not None}
         want = set()
+        for i in range(1, 60):
+            lcp = next((j for j in range(4) if paths[i, j + 1] != paths[i - 1, j + 1]), 4)
+            if lcp >= 2:
+                want |= {(rep[i], rep[i - 1], lcp), (rep[i - 1], rep[i], lcp)}
+        assert near == want
+        # the least documents and the links between pieces connect each region, and nothing else
+        root = {x: x for x in rep}
+        find = lambda x: x if root[x] == x else find(root[x])
+        for x in rows_:
+            if x["shared"] is None:
+                root[max(find(x["a"]), find(x["b"]))] = min(find(x["a"]), find(x["b"]))
         for i in range(60):
-            for least in (2, 4):
-                first = next(j for j in range(60) if (paths[j, : least + 1] == paths[i, : least + 1]).all())
-                if least == 4 or first == i or (paths[i] != paths[i - 1]).any():
-                    want.add(tuple(sorted((rep[first], rep[i]))))
-            if i and (paths[i, :3] == paths[i - 1, :3]).all():
-                want.add(tuple(sorted((rep[i - 1], rep[i]))))
-        assert pairs == {p for p in want if p[0] != p[1]}
-        assert [(x["a"], x["b"]) for x in got if x["head"] is not None] == [(rep[0], rep[-1])]
+            assert find(rep[i]) == min(rep[j] for j in range(60) if (paths[j, :3] == paths[i, :3]).all())
+        assert len([x for x in got if x["head"] is not None]) == 1
 
 
 def test_components_of_a_chain(spark):
