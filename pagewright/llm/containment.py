@@ -7,9 +7,12 @@ the rarest among the items and then the least by hash, and no match is missed.
 Candidates are verified by counting the item's distinct shingles in the whole
 text; the work grows with the candidates, not with all items that share a shingle.
 
+An item of fewer than k words is one shingle of its own length and is looked for
+as it stands.
+
 Only for the place of a match, items are partitioned by the number of their
-shingle positions into classes [size / 2, size) of powers of two, and texts are
-cut into windows of twice the size, one at every multiple of the size.
+shingle positions into classes of powers of two, and texts are cut into windows
+of twice a class's size, one at every multiple of the size.
 
 Texts are reduced to shingles that some item has first: text that shares
 nothing with any item costs one lookup a shingle.
@@ -17,8 +20,6 @@ nothing with any item costs one lookup a shingle.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,16 +36,6 @@ def shingles(w: Column, k: int) -> Column:
     return F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(*[w[i + j] for j in range(k)]))).otherwise(F.array().cast("array<bigint>"))
 
 
-def bands(threshold: float, miss: float) -> int:
-    """How many bands of one value find an item contained to the threshold but for the chance `miss`.
-
-    A window has at most 2 size shingles and the item at least size / 2, of which
-    threshold lie in it. The search itself has no chance of a miss and draws no bands.
-    """
-    least = 0.5 * threshold / (2 + 0.5 * (1 - threshold))
-    return math.ceil(math.log(miss) / math.log(1 - least))
-
-
 def sketched(own: DataFrame, percent: int) -> DataFrame:
     """(key, h): of each item as many shingles as make sure that a text with percent of them has one; own: key, h."""
     held = own.groupBy("h").agg(F.count("*").alias("n_items"))
@@ -58,32 +49,35 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80)
 
     docs: doc_id, text; items: item_id, text. n_shingles: distinct shingles of
     the item; n_found: those that stand anywhere in the text; first_word: the
-    word of the text at which the matches of the first window with the most of
-    them begin. A null text has no words; an item of fewer than k words has no
-    shingle and matches nothing; rows of one doc_id or item_id are taken
+    word of the text at which the item's matches begin in the window that has
+    the most of them, of several such the first. A null text has no words; an
+    item without words matches nothing; rows of one doc_id or item_id are taken
     together; ids may be null.
     """
     # the outer forms of explode keep Spark from pushing a filter on the generated array, and with it the array's computation, into the scan
-    own = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") >= k).select("item_id", shingles(F.col("w"), k).alias("h"))
+    own = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).withColumn("length", F.least(F.size("w"), F.lit(k)))
+    lengths = sorted(r.length for r in own.select("length").distinct().collect())  # k at most
+    own = own.select("item_id", F.coalesce(*[F.when(F.col("length") == n, shingles(F.col("w"), n)) for n in lengths or [k]]).alias("h"))
     own = own.select("item_id", F.array_distinct("h").alias("item"), F.pow(F.lit(2), F.floor(F.log2(F.size("h"))) + 1).cast("long").alias("size"))
     # ids may be null or repeated, keys are neither
     own = staged(own.withColumn("key", F.xxhash64("item_id", "item", "size")).dropDuplicates(["key"]), "items")
     single = own.select("key", "size", F.explode_outer("item").alias("h"))
     vocabulary = single.groupBy("h").agg(F.collect_set("size").alias("sizes"))
+    places = [F.transform(shingles(F.col("w"), n), lambda h, i: F.struct(i.alias("pos"), h.alias("h"))) for n in lengths or [k]]
     found = (
         docs.select("doc_id", words(F.col("text")).alias("w"))
-        .select("doc_id", shingles(F.col("w"), k).alias("h"))
-        .select("doc_id", F.posexplode_outer("h").alias("pos", "h"))
+        .select("doc_id", F.explode_outer(F.concat(*places)).alias("at"))
+        .select("doc_id", "at.pos", "at.h")
         .join(bounded(vocabulary), "h")
         .select("doc_id", "pos", "h", F.explode("sizes").alias("size"))
         .select("doc_id", "pos", "h", "size", F.explode(F.array(F.floor(F.col("pos") / F.col("size")), F.floor(F.col("pos") / F.col("size")) - 1)).alias("window"))
     )
-    windows = staged(found.groupBy("doc_id", "size", "window").agg(F.collect_set("h").alias("has"), F.min("pos").alias("first_word")), "windows")
-    at = windows.select(F.struct("doc_id").alias("doc"), "size", "window", "first_word", F.explode_outer("has").alias("h"))
+    windows = staged(found.groupBy("doc_id", "size", "window", "h").agg(F.min("pos").alias("pos")), "windows")
+    at = windows.select(F.struct("doc_id").alias("doc"), "size", "window", "h", "pos")
     sketch = sketched(single, percent).join(own.select("key", "size"), "key")
     candidates = at.select("doc", "size", "h").join(bounded(sketch), ["size", "h"]).select("doc", "key").distinct()
     hits = candidates.join(bounded(single), "key").join(at, ["doc", "size", "h"])
-    pairs = hits.groupBy("doc", "key", "window").agg(F.collect_list("h").alias("has"), F.min("first_word").alias("first_word"))
+    pairs = hits.groupBy("doc", "key", "window").agg(F.collect_list("h").alias("has"), F.min("pos").alias("first_word"))
     pairs = pairs.groupBy("doc", "key").agg(F.size(F.array_distinct(F.flatten(F.collect_list("has")))).alias("n_found"), F.min_by("first_word", F.struct(-F.size("has"), "first_word")).alias("first_word"))
     pairs = pairs.join(bounded(own.select("key", "item_id", F.size("item").alias("n_shingles"))), "key").where(F.col("n_found") * 100 >= F.col("n_shingles") * percent)
     return pairs.groupBy(F.col("doc.doc_id").alias("doc_id"), "item_id").agg(

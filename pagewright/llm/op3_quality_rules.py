@@ -3,11 +3,9 @@
 Each document is measured once. Failures of the rules are counted by host
 (the source column); failure rates are shrunk towards all hosts by a beta prior
 whose parameters are fitted to the hosts' rates by moments; hosts whose shrunk
-rate is above the limit are rejected, and the verdict is joined back.
-
-The query judges by base_failed alone, as its SQL has it. The pipeline's stage
-(passing) also fails texts with many symbols or many repeated lines, itself and
-in the failures by host.
+rate is above the limit are rejected, and the verdict is joined back. A document
+fails with few words or many repeated windows (base_failed), and with many
+symbols or many repeated lines.
 
 Defined results: a null text has no words, so it fails; a null source is the
 host ''; rows with null or repeated ids are judged row by row; an empty table
@@ -74,40 +72,42 @@ def host_rates(rows: DataFrame) -> DataFrame:
     sums = hosts.agg(F.sum("n").alias("all"), (F.sum("failed") / F.sum("n")).alias("m"), (F.sum(F.col("failed") * F.col("failed") / F.col("n")) / F.sum("n")).alias("square"))
     spread = F.col("square") - F.col("m") * F.col("m")
     strength = F.when(spread > 1e-9, F.least(F.lit(1e6), F.greatest(F.lit(1.0), F.col("m") * (1 - F.col("m")) / spread - 1))).otherwise(F.lit(1e6))
-    prior = sums.select(F.lit(1).alias("one"), "m", strength.alias("strength"))
-    # the prior is a single row
-    return hosts.withColumn("one", F.lit(1)).join(F.broadcast(prior), "one").select("host", "n", "failed", ((F.col("failed") + F.col("m") * F.col("strength")) / (F.col("n") + F.col("strength"))).alias("rate"))
+    m, k = sums.select("m", strength).first()  # a single row; without documents there is neither
+    return hosts.select("host", "n", "failed", ((F.col("failed") + F.lit(m or 0.0) * F.lit(k or 1.0)) / (F.col("n") + F.lit(k or 1.0))).alias("rate"))
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
 
-def stage_failed() -> Column:
+def failed() -> Column:
     """base_failed, or too many symbols or repeated lines."""
     return base_failed() | (100 * F.col("n_symbols") > MOST_SYMBOLS * F.col("word_chars")) | (100 * F.col("n_dup_lines") > MOST_DUP_LINES * F.col("n_lines"))
 
 
-def rejected_hosts(rows: DataFrame, most_failing: float, failed: str = "base_failed") -> DataFrame:
-    rates = host_rates(rows.select("host", F.col(failed).alias("failed")))
+def rejected_hosts(rows: DataFrame, most_failing: float) -> DataFrame:
+    """(host, host_rejected): hosts whose documents fail too often; rows: host, failed."""
+    rates = host_rates(rows.select("host", "failed"))
     return rates.where(F.col("rate") > most_failing).select("host", F.lit(True).alias("host_rejected"))
 
 
 def quality_rules(docs: DataFrame, most_failing: float = MOST_FAILING) -> DataFrame:
-    """Per row: doc_id, the measures, base_failed, kept, host and host_rejected."""
-    rows = staged(measures(docs).withColumn("base_failed", base_failed()), "measures")
+    """Per row: doc_id, the measures, base_failed, failed, kept, host and host_rejected."""
+    rows = staged(measures(docs).withColumn("base_failed", base_failed()).withColumn("failed", failed()), "measures")
     # rejected hosts are few: broadcast, rows of a host with a third of all need no deal
     out = rows.join(bounded(staged(rejected_hosts(rows, most_failing), "rejected")), "host", "left").withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
+    return out.withColumn("kept", ~F.col("failed") & ~F.col("host_rejected"))
 
 
 def passing(docs: DataFrame, most_failing: float = MOST_FAILING) -> DataFrame:
-    """The rows of docs, with all their columns, that the stage's rules keep. Texts are measured twice rather than written."""
-    rejected = staged(rejected_hosts(measures(docs).withColumn("failed", stage_failed()), most_failing, "failed"), "rejected")
-    rows = measures(docs.withColumn("__row", F.struct(*docs.columns)), ("__row",))
-    # the id keeps Spark from moving the filter, and with it the measures, below the steps that share their parts
-    rows = rows.select("__row", "host", stage_failed().alias("failed"), F.monotonically_increasing_id().alias("fence"))
-    return rows.where("not failed and fence >= 0").join(bounded(rejected), "host", "left_anti").select("__row.*")
+    """The rows of docs, with all their columns, that the rules keep.
+
+    Each row is measured once and written with its verdict; of a row that fails, nothing but the host.
+    """
+    rows = measures(docs.withColumn("__row", F.struct(*docs.columns)), ("__row",)).withColumn("failed", failed())
+    rows = staged(rows.select(F.when(~F.col("failed"), F.col("__row")).alias("__row"), "host", "failed"), "judged")
+    rejected = staged(rejected_hosts(rows, most_failing), "rejected")
+    return rows.where("not failed").join(bounded(rejected), "host", "left_anti").select("__row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,15 +126,16 @@ hit AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS c FR
 gap AS (SELECT r, i, coalesce(lead(i) OVER (PARTITION BY r ORDER BY i) - i, 8) AS g FROM hit),
 rep AS (SELECT r, sum(least(8, g)) AS n FROM gap GROUP BY r),
 lin AS (SELECT r, l FROM (SELECT r, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^ \t\n\x0b\f\r]')),
-dup AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM lin GROUP BY r),
+dup AS (SELECT r, count(*) - count(DISTINCT l) AS n, count(*) AS l FROM lin GROUP BY r),
 m AS (SELECT d.r, doc_id, host, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
              length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
-             coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+             coalesce(dup.n, 0) AS n_dup_lines, coalesce(dup.l, 0) AS n_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
       FROM d LEFT JOIN rep USING (r) LEFT JOIN dup USING (r)),
-b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
-h AS (SELECT host, count(*) AS n, count(*) FILTER (base_failed) AS x FROM b GROUP BY host),
+a AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+b AS (SELECT *, base_failed OR 100 * n_symbols > 10 * word_chars OR 100 * n_dup_lines > 40 * n_lines AS failed FROM a),
+h AS (SELECT host, count(*) AS n, count(*) FILTER (failed) AS x FROM b GROUP BY host),
 p AS (SELECT sum(x) / sum(n) AS mean, sum(x * x / n) / sum(n) - (sum(x) / sum(n)) ** 2 AS spread FROM h),
 q AS (SELECT mean, CASE WHEN spread > 1e-9 THEN least(1e6, greatest(1.0, mean * (1 - mean) / spread - 1)) ELSE 1e6 END AS k FROM p),
 v AS (SELECT host, (x + mean * k) / (n + k) > 0.5 AS rejected FROM h, q)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM b JOIN v USING (host)"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT failed AND NOT rejected AS kept FROM b JOIN v USING (host)"""
 }

@@ -16,7 +16,7 @@ def plan(df):
 @pytest.mark.parametrize("module", [op1_license_scan, op3_quality_rules, op9_decontamination])
 def test_native_operators_run_no_python(spark, module):
     text = plan(module.query(spark, SF))
-    assert not re.search("Python|Pandas|Arrow", text) and "CartesianProduct" not in text
+    assert not re.search("Python|Pandas|Arrow", text) and "CartesianProduct" not in text and "NestedLoop" not in text
 
 
 @pytest.mark.parametrize("module", [op2_suffix_array, op5_suffix_trees])
@@ -34,5 +34,4 @@ def test_quality_measures_split_each_text_once(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     text = plan(op3_quality_rules.measures(docs).where("n_repeat_words >= 0").select("doc_id"))
     assert text.count("split(") >= 1
-    kept = plan(op3_quality_rules.passing(docs))
-    assert all(line.count("split(") <= 2 for line in kept.splitlines() if "Filter" in line)
+    assert "split(" not in plan(op3_quality_rules.passing(docs))  # the measures are written once, with the rows that pass
