@@ -5,13 +5,13 @@ forest is an order of the signatures by its own sequence of values. All orders
 are sorted, over ranges, so that no key is in one task alone; neighbours' common
 prefixes are measured on the way. Candidates are, for each document, the one of
 its neighbours in all trees that shares the longest prefix, and the least
-document of each of its regions. Connected components of the confirmed links settle most regions (runs
+document of all its regions. Connected components of the confirmed links settle most regions (runs
 that share DEPTHS[0] values) for good. A region that still has several
 components is compared across them if it is sparse; if it is crowded, its
 documents are ordered anew by longer prefixes, with as many trees as make up for
 the length, until regions are sparse or the last depth is reached. Pairs are
 looked at only if their sizes allow the similarity and their signatures' last
-bits do not rule it out.
+bits, and in crowded regions their least shingle hashes, do not rule it out.
 
 The chance that a link of the least similarity is never compared is below 1e-6
 at each depth; there is no cap on partners or candidates.
@@ -34,16 +34,17 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import LOWER, U, block_words, counted_join, discarded, hash_ranges, mix, spans, staged, text_buffer, typed
+from .blocks import LOWER, U, block_words, bounded, counted_join, discarded, hash_ranges, mix, spans, staged, text_buffer, typed
 
 NAME = "op6_lsh_forest_dedup"
 SHINGLE, VALUES = 3, 256
 DEPTHS, MISS = (4, 8, 16), 4e-7  # values that a region shares, deeper where it is crowded; chance that a pair of the least similarity shares no region
 PATH = 8  # values of the first orders that are sorted by
 DENSE = 32  # documents of a region that is not crowded
+SKETCH = 1024  # least shingle hashes by which documents of crowded regions are compared; most documents have fewer in all
 _rng = np.random.default_rng(6)
 _MUL = _rng.integers(0, 2**32, VALUES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _XOR = _rng.integers(0, 2**32, VALUES, dtype=np.uint64).astype(np.uint32)
@@ -200,14 +201,15 @@ def _near_rows(a, b, shared=None, head=None, tail=None) -> pa.RecordBatch:
 
 
 def near_pairs(forest: DataFrame, depth: int) -> DataFrame:
-    """(a, b): each document with the one that shares the longest prefix with it in any tree, and with the least ones of its regions; forest: path, rep."""
+    """(a, b): each document with the one that shares the longest prefix with it in any tree, and with the least one of all its regions; forest: path, rep."""
     dealt = forest.repartitionByRange("path", "rep").sortWithinPartitions("path", "rep")
     near = staged(dealt.mapInArrow(lambda it: _neighbours(it, depth), "a long, b long, shared int, head binary, tail binary"), "near")
     # one row a range, not a document: the last piece of each with the first of the next
     ends = sorted((bytes(r["head"]), r["a"], bytes(r["tail"]), r["b"]) for r in near.where("head is not null").collect())
     across = [(a, b) for (_, _, tail, b), (head, a, _, _) in zip(ends, ends[1:]) if a != b and tail[: 2 * depth + 2] == head[: 2 * depth + 2]]
     best = near.where("shared is not null").groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
-    pairs = near.where("shared is null and head is null").select("a", "b").unionByName(best)
+    least = near.where("shared is null and head is null").groupBy("b").agg(F.min("a").alias("a"))
+    pairs = least.select("a", "b").unionByName(best)
     if across:
         pairs = pairs.unionByName(forest.sparkSession.createDataFrame(across, "a long, b long"))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -264,20 +266,52 @@ def components(links: DataFrame, name: str) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+def _sketched(batches, k: int):
+    """The least SKETCH shingle hashes of each document, cut to 32 bits, and the number of all."""
+    for batch in batches:
+        rep = batch.column(0)
+        buf, offsets = text_buffer(batch.column(1))
+        for first, end, row, h in shingle_sets(buf, offsets, k):
+            m = end - first
+            value = (h >> U(32)).astype(np.uint32).view(np.int32)
+            order = np.lexsort((value, row))
+            row, value = row[order], value[order]
+            count = np.bincount(row, minlength=m)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            keep = place < SKETCH
+            bounds = np.concatenate(([0], np.cumsum(np.minimum(count, SKETCH)))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([rep.slice(first, m), pa.array(count.astype(np.int64)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(value[keep]))], names=["rep", "n", "sketch"])
+
+
+def _sketch_alike(percent: int) -> Column:
+    """Whether the sketches of x and y allow the similarity: exactly so if both hold whole sets, else but for 5.65 deviations of the estimate."""
+    x, y = F.col("x_sketch"), F.col("y_sketch")
+    common = F.array_intersect(x, y)
+    n = F.size(common)
+    margin = math.ceil(100 * 5.65 * math.sqrt(percent / 100 * (1 - percent / 100) / SKETCH))
+    least = F.slice(F.sort_array(F.array_union(x, y)), 1, SKETCH)
+    whole = (F.col("x_n") <= SKETCH) & (F.col("y_n") <= SKETCH)
+    return F.when(whole, 100 * n >= percent * (F.col("x_n") + F.col("y_n") - n)).otherwise(100 * F.size(F.array_intersect(least, common)) >= (percent - margin) * F.size(least))
+
+
 def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components within a region; members: region, rep, c, n_shingles and bits.
+    """Pairs (a, b) of different components within a region; members: region, rep, c, n_shingles, bits, and where regions are crowded n and sketch.
 
     What is outside a region's largest component is paired with all others in
-    it: pairs within a component need no comparison.
+    it: pairs within a component need no comparison. What cannot be similar is
+    ruled out in the join, so that no pairs but likely links come out of it.
     """
-    sizes = members.groupBy("region", "c").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("region").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    sizes = members.groupBy("region", "c").agg(F.count("*").alias("rows"))
+    main = sizes.groupBy("region").agg(F.max_by("c", F.struct("rows", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     open_ = members.join(main.select("region", "main"), "region")
-    x = open_.where("c <> main").select("region", *[F.col(k).alias(f"x_{k}") for k in ("rep", "c", "n_shingles", *_BITS)])
-    y = open_.select("region", "main", *[F.col(k).alias(f"y_{k}") for k in ("rep", "c", "n_shingles", *_BITS)])
+    names = [c for c in members.columns if c != "region"]
+    x = open_.where("c <> main").select("region", *[F.col(k).alias(f"x_{k}") for k in names])
+    y = open_.select("region", "main", *[F.col(k).alias(f"y_{k}") for k in names])
     odd = sum((F.bit_count(F.col(f"x_{k}").bitwiseXOR(F.col(f"y_{k}"))) for k in _BITS), F.lit(0))
     alike = F.least("x_n_shingles", "y_n_shingles") * 100 >= F.greatest("x_n_shingles", "y_n_shingles") * percent
     wanted = (x["region"] == y["region"]) & (F.col("x_c") != F.col("y_c")) & ((F.col("y_c") == F.col("main")) | (F.col("x_rep") < F.col("y_rep"))) & alike & (odd <= most_odd_bits(percent))
+    if "sketch" in names:
+        wanted &= _sketch_alike(percent)
     return x.join(y, wanted).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
 
 
@@ -289,21 +323,26 @@ def _regions(forest: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed, open_.select("region", "crowd")
 
 
-def _open_pairs(first: DataFrame, reps: DataFrame, comp: DataFrame, percent: int) -> list[DataFrame]:
+def _open_pairs(first: DataFrame, reps: DataFrame, docs: DataFrame, comp: DataFrame, k: int, percent: int) -> list[DataFrame]:
     """Pairs across the components of each region, by longer prefixes where it is crowded; first: the regions of the first depth."""
     size = reps.select("rep", "n_shingles", *_BITS)
-    forest, found = first, []
+    forest, found, sketch = first, [], None
     for level, depth in enumerate(DEPTHS):
         placed, open_ = _regions(forest, comp)
         open_ = staged(open_, "open")
         last = depth == DEPTHS[-1]
         sparse = open_ if last else open_.where(F.col("crowd") <= DENSE)
         members = placed.join(sparse.select("region"), "region").join(size, "rep").select("region", "rep", "c", "n_shingles", *_BITS)
+        if sketch is not None:
+            members = members.join(sketch, "rep")
         found.append(staged(_across(staged(members, "members"), percent), "cross"))
         crowded = open_.where(F.col("crowd") > DENSE)
         if last or crowded.isEmpty():
             break
-        dense = placed.join(crowded.select("region"), "region").select("rep").distinct()
+        dense = staged(placed.join(crowded.select("region"), "region").select("rep").distinct(), "dense")
+        if sketch is None:  # of what is crowded at the first depth; what is so later is among it
+            texts = docs.withColumnRenamed("doc_id", "rep").join(bounded(dense), "rep", "left_semi")
+            sketch = staged(texts.mapInArrow(lambda it: _sketched(it, k), "rep long, n long, sketch array<int>"), "sketch")
         trees = orders(percent, DEPTHS[level + 1])
         planted = reps.select("rep", "sig").join(dense, "rep", "left_semi").mapInArrow(lambda it, trees=trees: _planted(it, trees), "path binary, rep long")
         forest = planted.select(F.xxhash64("path").alias("region"), "rep")
@@ -332,7 +371,7 @@ def near_dedup(docs: DataFrame, k: int = SHINGLE, percent: int = 85) -> DataFram
     links = staged(_links(pairs, ids, k, percent).unionByName(same.where("a <> b")), "links")
     comp = components(links, "stars")
     regions = forest.select(F.xxhash64(F.substring("path", 1, 2 * DEPTHS[0] + 2)).alias("region"), "rep")
-    found = _open_pairs(regions, reps, comp, percent)
+    found = _open_pairs(regions, reps, ids, comp, k, percent)
     cross = found[0]
     for more in found[1:]:
         cross = cross.unionByName(more)
