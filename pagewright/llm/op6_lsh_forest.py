@@ -315,37 +315,45 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
     return x.join(y, wanted).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
 
 
-def _regions(forest: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (region, rep, c) and those regions that have several components, with their crowd; forest: region, rep."""
-    placed = forest.join(comp, F.col("rep") == F.col("node"), "left").select("region", "rep", F.coalesce("component", "rep").alias("c"))
-    placed = staged(placed, "placed")
-    open_ = placed.groupBy("region").agg(F.count("*").alias("crowd"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-    return placed, open_.select("region", "crowd")
+def _replanted(batches, trees: np.ndarray):
+    """For each tree the region of each document, by the values that it has to share, with all that is known of the document."""
+    for batch in batches:
+        names = [n for n in batch.schema.names if n != "sig"]
+        sig = _signatures(batch.column(batch.schema.get_field_index("sig"))).astype(np.uint64)
+        for first in range(0, len(trees), 8):
+            rows = trees[first : first + 8]
+            region = []
+            for t, order in enumerate(rows, first + 1):
+                h = np.full(len(sig), t, np.uint64)
+                for value in order:
+                    h = mix(h * U(0x9FB21C651E98DF25) + sig[:, value])
+                region.append(h.view(np.int64))
+            known = [batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(region)), *(pa.array(np.tile(x, len(rows))) for x in known)], names=["region", *names])
 
 
 def _open_pairs(first: DataFrame, reps: DataFrame, docs: DataFrame, comp: DataFrame, k: int, percent: int) -> list[DataFrame]:
-    """Pairs across the components of each region, by longer prefixes where it is crowded; first: the regions of the first depth."""
-    size = reps.select("rep", "n_shingles", *_BITS)
-    forest, found, sketch = first, [], None
+    """Pairs across the components of each region, by longer prefixes where it is crowded; first: the regions (region, rep) of the first depth."""
+    known = ["rep", "c", "n_shingles", *_BITS]
+    placed = staged(first.join(comp, F.col("rep") == F.col("node"), "left").select("region", "rep", F.coalesce("component", "rep").alias("c")), "placed")
+    found, sketch = [], None
     for level, depth in enumerate(DEPTHS):
-        placed, open_ = _regions(forest, comp)
-        open_ = staged(open_, "open")
+        open_ = placed.groupBy("region").agg(F.count("*").alias("crowd"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+        open_ = staged(open_.select("region", "crowd"), "open")
         last = depth == DEPTHS[-1]
-        sparse = open_ if last else open_.where(F.col("crowd") <= DENSE)
-        members = placed.join(sparse.select("region"), "region").join(size, "rep").select("region", "rep", "c", "n_shingles", *_BITS)
-        if sketch is not None:
-            members = members.join(sketch, "rep")
+        members = placed.join((open_ if last else open_.where(F.col("crowd") <= DENSE)).select("region"), "region")
+        members = members.join(sketch, "rep") if level else members.join(reps.select("rep", "n_shingles", *_BITS), "rep")
         found.append(staged(_across(staged(members, "members"), percent), "cross"))
         crowded = open_.where(F.col("crowd") > DENSE)
         if last or crowded.isEmpty():
             break
-        dense = staged(placed.join(crowded.select("region"), "region").select("rep").distinct(), "dense")
+        dense = staged(placed.join(crowded.select("region"), "region").select("rep", "c").distinct(), "dense")
         if sketch is None:  # of what is crowded at the first depth; what is so later is among it
-            texts = docs.withColumnRenamed("doc_id", "rep").join(bounded(dense), "rep", "left_semi")
+            texts = docs.withColumnRenamed("doc_id", "rep").join(bounded(dense.select("rep")), "rep", "left_semi")
             sketch = staged(texts.mapInArrow(lambda it: _sketched(it, k), "rep long, n long, sketch array<int>"), "sketch")
         trees = orders(percent, DEPTHS[level + 1])
-        planted = reps.select("rep", "sig").join(dense, "rep", "left_semi").mapInArrow(lambda it, trees=trees: _planted(it, trees), "path binary, rep long")
-        forest = planted.select(F.xxhash64("path").alias("region"), "rep")
+        schema = "region long, " + ", ".join(f"{x} long" for x in known)
+        placed = staged(reps.join(dense, "rep").select(*known, "sig").mapInArrow(lambda it, trees=trees: _replanted(it, trees), schema), "placed")
     return found
 
 
