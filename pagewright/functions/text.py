@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import html
 import re
-import unicodedata
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,16 +30,18 @@ LOOKALIKES = (
     ("kķĸқҡҟҝќ", "к"), ("KĶҚҠҞҜЌ", "К"),
     ("ґғ", "г"), ("ҐҒ", "Г"),
 )
-_ALIKE = {ord(c): target for chars, target in LOOKALIKES for c in chars}
-_CYRILLIC = re.compile("[\u0400-\u04ff]")
-_WORD = re.compile(r"\w+")
 MOST_WARNINGS = 200
 
 
 @F.pandas_udf(T.StringType())
-def nfc(s: pd.Series) -> pd.Series:
-    """Composed Unicode form; null becomes ''."""
-    return s.map(lambda x: unicodedata.normalize("NFC", x or ""))
+def _composed(s: pd.Series) -> pd.Series:
+    return s.str.normalize("NFC")
+
+
+def nfc(c: Column | str) -> Column:
+    """Composed Unicode form; null becomes ''. Only texts with a character beyond ASCII go to Python."""
+    text = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+    return F.coalesce(_composed(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def fold_quotes(c: Column) -> Column:
@@ -136,75 +137,94 @@ def list_line(c: Column, indent: Column) -> Column:
     return F.when(text == "", text).otherwise(F.regexp_replace(line, r"(?U)\s+$", ""))
 
 
-def outside_code(line: str) -> list[tuple[str, int]]:
-    """Parts of a line outside of back-tick spans, with their places; an unclosed run is dropped alone."""
-    out, at = [], 0
-    while (tick := line.find("`", at)) >= 0:
-        if tick > at:
-            out.append((line[at:tick], at))
-        run = len(line) - tick - len(line[tick:].lstrip("`"))
-        close = line.find("`" * run, tick + run)
-        at = tick + run if close < 0 else close + run
-    if at < len(line):
-        out.append((line[at:], at))
-    return out
-
-
-def lookalike_warnings(text: str, most: int = MOST_WARNINGS) -> list[dict]:
-    """Words with letters that only look like those of their alphabet, outside of code."""
-    found: list[dict] = []
-    fence = ""
-    if not text or not _CYRILLIC.search(text):  # every warning needs a Cyrillic letter near
-        return found
-    for n, line in enumerate(unicodedata.normalize("NFC", text).splitlines()):
-        mark = re.match(r"`{3,}|~{3,}", line)
-        if mark:
-            if not fence:
-                fence = mark[0]
-            elif line.startswith(fence):
-                fence = ""
-            continue
-        if fence:
-            continue
-        for part, at in outside_code(line):
-            if not _CYRILLIC.search(part):
-                continue
-            for m in _WORD.finditer(part):
-                word = m[0]
-                plain = word.translate(_ALIKE)
-                if plain == word:
-                    continue
-                if _CYRILLIC.search(word) or sum(map(str.isalpha, word)) == 1:
-                    swaps = [{"from": a, "to": b} for a, b in zip(word, plain) if a != b]
-                    found.append({"line_index": n, "token": word, "normalized_token": plain, "token_start": at + m.start(), "token_end": at + m.end(), "replacements": swaps})
-                    if len(found) >= most:
-                        return found
-    return found
-
-
-_SWAPS = T.ArrayType(T.StructType([T.StructField("from", T.StringType()), T.StructField("to", T.StringType())]))
-WARNINGS = T.ArrayType(
-    T.StructType(
-        [T.StructField(n, t) for n, t in (("line_index", T.IntegerType()), ("token", T.StringType()), ("normalized_token", T.StringType()), ("token_start", T.IntegerType()), ("token_end", T.IntegerType()), ("replacements", _SWAPS))]
+#: Where lines end.
+_LINE_END = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x85\u2028\u2029]"
+_CYRILLIC = r"[\u0400-\u04FF]"
+#: A span between equal runs of back-ticks, a run that nothing closes, or a stretch without back-ticks.
+_PIECE = r"(`++)(?:.*?\1)?|[^`]+"
+_TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
+_FENCE = r"^(?:`{3,}|~{3,})"
+
+
+def _placed(parts: Column) -> Column:
+    """Each part of a text with the number of characters before it."""
+    return F.transform(
+        parts, lambda x, i: F.struct(x.alias("text"), F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda n, y: n + F.length(y)).alias("at"))
     )
-)
 
 
-@F.pandas_udf(WARNINGS)
-def lookalikes(s: pd.Series) -> pd.Series:
-    return s.map(lookalike_warnings)
+def outside_code(line: Column) -> Column:
+    """The parts (text, at) of a line outside of back-tick spans."""
+    return F.filter(_placed(F.regexp_extract_all(line, F.lit(_PIECE), 0)), lambda p: ~p["text"].startswith("`"))
+
+
+def code_lines(lines: Column) -> Column:
+    """One character a line: 1 for fences and what is between a fence and the next that it begins, else 0."""
+
+    def step(a: Column, line: Column) -> Column:
+        mark = F.regexp_extract(line, _FENCE, 0)
+        opens, closes = (a["fence"] == "") & (mark != ""), (a["fence"] != "") & line.startswith(a["fence"])
+        fence = F.when(opens, mark).when(closes, "").otherwise(a["fence"])
+        return F.struct(fence.alias("fence"), F.concat(a["flags"], F.when((a["fence"] != "") | opens, "1").otherwise("0")).alias("flags"))
+
+    start = F.struct(F.lit("").alias("fence"), F.lit("").alias("flags"))
+    return F.when(F.exists(lines, lambda x: x.rlike(_FENCE)), F.aggregate(lines, start, step)["flags"]).otherwise(F.repeat(F.lit("0"), F.size(lines)))
+
+
+_PLAIN = "".join(target * len(chars) for chars, target in LOOKALIKES)
+_ODD = "".join(chars for chars, _ in LOOKALIKES)
+
 
+def lookalikes(df: DataFrame, column: str, name: str = "warnings", most: int | None = MOST_WARNINGS) -> DataFrame:
+    """df with the words that have letters which only look like those of their alphabet, outside of code: an array of
+    (line_index, token, normalized_token, token_start, token_end, replacements), at most `most`, which a screen is to show; all if None.
 
-def html_text(c: Column, most: int = 4000) -> Column:
-    """Readable text of an HTML fragment; named references are limited to the five of XML and the space."""
-    text = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)<br\s*/?>", "\n")
-    text = F.regexp_replace(text, r"(?i)</(?:p|tr|li|div|h[1-6])\s*>", "\n")
-    text = F.regexp_replace(text, r"<[^>]+>", " ")
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(char))
-    text = F.regexp_replace(text, r"[ \t\r\f\x0B\u00a0]+", " ")
-    text = F.regexp_replace(text, r" ?\n[ \n]*", "\n")
-    return F.substring(strip(text), 1, most)
+    A word counts if it has a Cyrillic letter itself, or is a single letter in a part of a line that has one.
+    """
+
+    def plain(word: Column) -> Column:
+        return F.translate(word, _ODD, _PLAIN)
+
+    def odd(token: Column) -> Column:
+        word = token["text"]
+        return (plain(word) != word) & (word.rlike(_CYRILLIC) | (F.length(F.regexp_replace(word, r"[^\p{L}]+", "")) == 1))
+
+    def warning(token: Column, part: Column, line: Column) -> Column:
+        word, start = token["text"], part["at"] + token["at"]
+        pairs = F.zip_with(F.split(word, ""), F.split(plain(word), ""), lambda a, b: F.struct(a.alias("from"), b.alias("to")))
+        return F.struct(
+            line["n"].alias("line_index"), word.alias("token"), plain(word).alias("normalized_token"), start.alias("token_start"), (start + F.length(word)).alias("token_end"), F.filter(pairs, lambda x: x["from"] != x["to"]).alias("replacements")
+        )
+
+    def of_line(line: Column) -> Column:
+        parts = F.filter(outside_code(line["text"]), lambda p: p["text"].rlike(_CYRILLIC))
+        return F.flatten(F.transform(parts, lambda p: F.transform(F.filter(_placed(F.regexp_extract_all(p["text"], F.lit(_TOKEN), 0)), odd), lambda t: warning(t, p, line))))
+
+    # texts without a Cyrillic letter have no lines to look at
+    rows = df.withColumn("__text", nfc(column)).withColumn("__lines", F.when(F.col("__text").rlike(_CYRILLIC), F.split("__text", _LINE_END)).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn("__flags", code_lines(F.col("__lines")))
+    numbered = F.transform("__lines", lambda x, i: F.struct(x.alias("text"), i.alias("n")))
+    open_ = F.filter(numbered, lambda x: x["text"].rlike(_CYRILLIC) & (F.substring(F.col("__flags"), x["n"] + 1, F.lit(1)) == "0"))
+    rows = rows.withColumn("__open", open_)
+    found = F.flatten(F.transform("__open", of_line))
+    return rows.withColumn(name, found if most is None else F.slice(found, 1, most)).drop("__text", "__lines", "__flags", "__open")
+
+
+@F.pandas_udf(T.StringType())
+def _unescaped(s: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else html.unescape(x) for x in s])
+
+
+def html_text(c: Column, output_format: Column | None = None, most: int = 4000) -> Column:
+    """Readable text of content: markup of the html format (which null stands for) is taken out, other formats stay as they are."""
+    text = F.coalesce(c, F.lit(""))
+    plain = F.regexp_replace(text, r"(?i)<\s*br\s*/?\s*>", "\n")
+    plain = F.regexp_replace(plain, r"(?i)</\s*(?:p|tr|li|div|h[1-6])\s*>", "\n")
+    plain = F.regexp_replace(plain, r"<[^>]+>", " ")
+    plain = F.coalesce(_unescaped(F.when(plain.contains("&"), plain)), plain)
+    plain = strip(F.regexp_replace(F.regexp_replace(plain, r"[ \t]+", " "), r" ?\n ?", "\n"))
+    is_html = F.lit(True) if output_format is None else F.lower(strip(output_format)) == "html"
+    return F.substring(F.when(is_html, plain).otherwise(text), 1, most)
 
 
 def first_table(c: Column) -> Column:

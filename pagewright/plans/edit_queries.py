@@ -42,29 +42,29 @@ def swapped_orders(spark, sf):
     return _ids(spark, sf).select("page_id", orders.swapped(F.col("ids"), F.col("ids")[0], 99).alias("ids"))
 
 
-@query("script_marks", "SELECT layout_id, concat('a<sup>', CAST(layout_id AS STRING), '</sup> b<sub></sub> c') AS text FROM {d_layouts}")
+@query("script_marks", r"SELECT layout_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '(?i)<sup\s*/>([^\s<]+)', '<sup>\1</sup>', 'g'), '(?i)<sup\s*/>', '<sup></sup>', 'g'), '(?i)<sub\s*/>([^\s<]+)', '<sub>\1</sub>', 'g'), '(?i)<sub\s*/>', '<sub></sub>', 'g') AS text FROM {d_outputs}")
 def script_marks(spark, sf):
-    c = F.concat(F.lit("a<SUP />"), F.col("layout_id").cast("string"), F.lit(" b<sub/> c"))
-    return frame(spark, sf, "d_layouts").select("layout_id", markup.script_tags(c).alias("text"))
+    return frame(spark, sf, "d_outputs").select("layout_id", markup.script_tags(F.col("content")).alias("text"))
+
+
+_ATTRIBUTE = r'<(\w+) (\w+)="([^"]*)"'
 
 
 @query(
     "table_attributes",
-    """SELECT layout_id, CASE layout_id % 5 WHEN 0 THEN CASE WHEN layout_id % 1500 BETWEEN 1 AND 1000 THEN CAST(layout_id % 1500 AS STRING) END WHEN 1 THEN 'row' WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE '7' END AS value FROM {d_layouts}""",
+    rf"""SELECT layout_id, n, CASE WHEN tag IN ('td', 'th') AND name IN ('colspan', 'rowspan') OR tag IN ('col', 'colgroup') AND name = 'span' THEN CASE WHEN TRY_CAST(v AS BIGINT) BETWEEN 1 AND 1000 THEN v END WHEN tag = 'th' AND name = 'scope' AND v IN ('row', 'col', 'rowgroup', 'colgroup') THEN v END AS value
+FROM (SELECT layout_id, n, lower(regexp_extract(t, '{_ATTRIBUTE}', 1)) AS tag, lower(regexp_extract(t, '{_ATTRIBUTE}', 2)) AS name, lower(trim(regexp_extract(t, '{_ATTRIBUTE}', 3))) AS v FROM (SELECT layout_id, generate_subscripts(l, 1) - 1 AS n, unnest(l) AS t FROM (SELECT layout_id, regexp_extract_all(content, '{_ATTRIBUTE}') AS l FROM {{d_outputs}})))""",
 )
 def table_attributes(spark, sf):
-    k = F.col("layout_id") % 5
-    tag = F.when(k == 0, " TD ").when(k == 1, "th").when(k == 2, "td").when(k == 3, "div").otherwise("col")
-    name = F.when(k == 0, "colspan").when(k == 1, "Scope").when(k == 2, "style").when(k == 3, "colspan").otherwise("span")
-    value = F.when(k == 0, (F.col("layout_id") % 1500).cast("string")).when(k == 1, " ROW ").when(k == 2, "x").when(k == 3, "2").otherwise("7")
-    return frame(spark, sf, "d_layouts").select("layout_id", markup.table_attribute(tag, name, value).alias("value"))
+    """What is kept of each tag's first attribute, where that has a value."""
+    tags = frame(spark, sf, "d_outputs").select("layout_id", F.posexplode(F.regexp_extract_all("content", F.lit(_ATTRIBUTE), F.lit(0))).alias("n", "t"))
+    part = lambda i: F.regexp_extract("t", _ATTRIBUTE, i)
+    return tags.select("layout_id", F.col("n").cast("long").alias("n"), markup.table_attribute(part(1), part(2), part(3)).alias("value"))
 
 
-@query("inline_math", "SELECT layout_id, layout_id % 4 < 2 AS has_math FROM {d_layouts}")
+@query("inline_math", r"SELECT layout_id, len(list_filter(regexp_extract_all(regexp_replace(regexp_replace(content, '(?s)\\.', '__', 'g'), '[$]{{2,}}', '__', 'g'), '[$]([^$]*)[$]', 1), lambda x: regexp_matches(x, '\S'))) > 0 AS has_math FROM {d_outputs}")
 def inline_math(spark, sf):
-    k = F.col("layout_id") % 4
-    c = F.when(k == 0, "a $x$ b").when(k == 1, r"\$5 and $y_1$").when(k == 2, r"$$z$$ and \$5").otherwise("$ $ open $")
-    return frame(spark, sf, "d_layouts").select("layout_id", markup.has_inline_math(c).alias("has_math"))
+    return frame(spark, sf, "d_outputs").select("layout_id", markup.has_inline_math(F.col("content")).alias("has_math"))
 
 
 @query("prompt_sheet", """SELECT string_agg(concat('## ', cls, chr(10), '- format: ', f, chr(10), CASE WHEN f = 'skip' THEN 'not sent' ELSE concat('Transcribe the ', replace(cls, '_', ' '), ' as ', f, '.') END), chr(10) ORDER BY n) AS sheet

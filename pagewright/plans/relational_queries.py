@@ -136,19 +136,24 @@ def latest(spark, sf):
 @query(
     "leaderboard_grid",
     f"""SELECT model, image_size, count(*) AS page_count, round(avg(score), 9) AS mean, min(score) AS least, max(score) AS most, round(sqrt(greatest(0, avg(score * score) - avg(score) ** 2)), 6) AS spread,
-round(avg(CASE WHEN h.page_id IS NOT NULL THEN score END), 9) AS hard_mean, count(h.page_id) AS hard_count, CAST(row_number() OVER (ORDER BY round(avg(score), 9) DESC, round(avg(CASE WHEN h.page_id IS NOT NULL THEN score END), 9) DESC NULLS LAST, model, image_size) AS INT) AS place
+round(avg(CASE WHEN h.page_id IS NOT NULL THEN score END), 9) AS hard_mean, count(h.page_id) AS hard_count, CAST(row_number() OVER (ORDER BY round(avg(score), 9) DESC, round(avg(CASE WHEN h.page_id IS NOT NULL THEN score END), 9) DESC NULLS LAST, round(sqrt(greatest(0, avg(score * score) - avg(score) ** 2)), 6), min(score) DESC, count(*) DESC, model, image_size) AS INT) AS place
 FROM {_LATEST} r LEFT JOIN {_HARD} h ON h.page_id = r.page_id GROUP BY model, image_size""",
 )
 def leaderboard_grid(spark, sf):
     """Scores of each setting over its pages, with the mean over hard pages, in order of merit."""
     rows = latest_results(frame(spark, sf, "d_results")).join(hard_page_ids(frame(spark, sf, "d_layouts_n")).withColumn("hard", F.lit(True)), "page_id", "left")
+    # one row a setting, a bounded grid
+    merit = [F.desc("mean"), F.desc_nulls_last("hard_mean"), "spread", F.desc("least"), F.desc("page_count"), "model", "image_size"]
+    return score_grid(rows).withColumn("place", F.row_number().over(Window.orderBy(*merit)))
+
+
+def score_grid(rows, keys=("model", "image_size")):
+    """Scores of each setting; rows: score, and hard, true for hard pages."""
     s = F.col("score")
-    grid = rows.groupBy("model", "image_size").agg(
+    return rows.groupBy(*keys).agg(
         F.count("*").alias("page_count"), F.round(F.avg(s), 9).alias("mean"), F.min(s).alias("least"), F.max(s).alias("most"),
         F.round(F.sqrt(F.greatest(F.lit(0.0), F.avg(s * s) - F.avg(s) * F.avg(s))), 6).alias("spread"), F.round(F.avg(F.when(F.col("hard"), s)), 9).alias("hard_mean"), F.count_if("hard").alias("hard_count"),
     )
-    # one row a setting, a bounded grid
-    return grid.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mean"), F.desc_nulls_last("hard_mean"), "model", "image_size")))
 
 
 def hard_page_ids(layouts):
@@ -213,13 +218,17 @@ def canonical_files(spark, sf):
     return canonical(with_known_suffix(frame(spark, sf, "d_scan")))
 
 
-@query(
-    "discovery_upsert",
-    r"""WITH s AS (SELECT rel_path, file_hash FROM (SELECT *, row_number() OVER (PARTITION BY file_hash ORDER BY rel_path) AS n FROM {d_scan} WHERE regexp_matches(lower(rel_path), '[^/]\.(png|jpg|jpeg|webp|tif|tiff)$')) WHERE n = 1),
-m AS (SELECT s.rel_path, s.file_hash, coalesce(h.page_id, p.page_id) AS page_id, CASE WHEN h.page_id IS NOT NULL THEN CASE WHEN h.rel_path <> s.rel_path THEN 'renamed' WHEN h.is_missing THEN 'revived' ELSE 'unchanged' END WHEN p.page_id IS NOT NULL THEN 'rehashed' ELSE 'inserted' END AS action
- FROM s LEFT JOIN {d_known} h ON h.file_hash = s.file_hash LEFT JOIN {d_known} p ON p.rel_path = s.rel_path)
-SELECT page_id, rel_path, file_hash, action FROM m UNION ALL SELECT page_id, rel_path, file_hash, 'missing' FROM {d_known} WHERE NOT is_missing AND page_id NOT IN (SELECT page_id FROM m WHERE page_id IS NOT NULL)""",
-)
+_FILES = r"(SELECT rel_path, file_hash, row_number() OVER (PARTITION BY file_hash ORDER BY rel_path) AS n FROM {d_scan} WHERE regexp_matches(lower(rel_path), '[^/]\.(png|jpg|jpeg|webp|tif|tiff)$'))"
+# files whose page is taken over by a file that comes before them, one step after the other
+_TURNS = f"""RECURSIVE s AS (SELECT rel_path, file_hash FROM {_FILES} WHERE n = 1),
+u(file_hash) AS (SELECT file_hash FROM s WHERE file_hash NOT IN (SELECT file_hash FROM {{d_known}}) UNION SELECT x.file_hash FROM u JOIN s y ON y.file_hash = u.file_hash JOIN {{d_known}} k ON k.rel_path = y.rel_path JOIN s x ON x.file_hash = k.file_hash WHERE y.file_hash < x.file_hash),
+m AS (SELECT s.rel_path, s.file_hash, CASE WHEN h.page_id IS NOT NULL AND u.file_hash IS NULL THEN h.page_id WHEN p.page_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s z WHERE z.file_hash = p.file_hash AND z.file_hash < s.file_hash) THEN p.page_id END AS page_id,
+ CASE WHEN h.page_id IS NOT NULL AND u.file_hash IS NULL THEN CASE WHEN h.rel_path <> s.rel_path THEN 'renamed' WHEN h.is_missing THEN 'revived' ELSE 'unchanged' END
+      WHEN p.page_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s z WHERE z.file_hash = p.file_hash AND z.file_hash < s.file_hash) THEN 'rehashed' ELSE 'inserted' END AS action
+ FROM s LEFT JOIN {{d_known}} h ON h.file_hash = s.file_hash LEFT JOIN u ON u.file_hash = s.file_hash LEFT JOIN {{d_known}} p ON p.rel_path = s.rel_path)"""
+
+
+@query("discovery_upsert", f"WITH {_TURNS} SELECT page_id, rel_path, file_hash, action FROM m UNION ALL SELECT page_id, rel_path, file_hash, 'missing' FROM {{d_known}} WHERE NOT is_missing AND page_id NOT IN (SELECT page_id FROM m WHERE page_id IS NOT NULL)")
 def discovery_upsert(spark, sf):
     from ..sources.inventory import canonical, reconcile, with_known_suffix
 
@@ -227,12 +236,17 @@ def discovery_upsert(spark, sf):
     return reconcile(scan, frame(spark, sf, "d_known"))
 
 
-@query("duplicate_files", r"SELECT d.rel_path, d.file_hash, k.page_id AS canonical_page_id FROM (SELECT *, row_number() OVER (PARTITION BY file_hash ORDER BY rel_path) AS n FROM {d_scan}) d JOIN {d_known} k ON k.file_hash = d.file_hash WHERE n > 1")
+@query(
+    "duplicate_files",
+    f"""WITH {_TURNS}, d AS (SELECT f.rel_path, f.file_hash, m.page_id AS canonical_page_id FROM {_FILES} f JOIN m ON m.file_hash = f.file_hash WHERE f.n > 1)
+SELECT rel_path, file_hash, canonical_page_id, true AS active FROM d UNION ALL SELECT rel_path, file_hash, canonical_page_id, false FROM {{d_duplicates}} WHERE rel_path NOT IN (SELECT rel_path FROM d)""",
+)
 def duplicate_files(spark, sf):
-    from ..sources.inventory import canonical
+    from ..sources.inventory import canonical, duplicates, reconcile, with_known_suffix
 
-    extra = canonical(frame(spark, sf, "d_scan")).where("NOT canonical").select("rel_path", "file_hash")
-    return extra.join(frame(spark, sf, "d_known").select("file_hash", F.col("page_id").alias("canonical_page_id")), "file_hash")
+    files = with_known_suffix(frame(spark, sf, "d_scan"))
+    matched = reconcile(canonical(files).where("canonical").select("rel_path", "file_hash"), frame(spark, sf, "d_known"))
+    return duplicates(files, matched, frame(spark, sf, "d_duplicates"))
 
 
 @query("rejected_results", """SELECT reason, count(*) AS n FROM (SELECT CASE WHEN p.page_id IS NULL THEN 'page not eligible' WHEN r.page_fingerprint <> 'fp-1' THEN 'stale fingerprint' ELSE 'rescored' END AS reason

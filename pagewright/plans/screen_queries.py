@@ -9,6 +9,7 @@ from ..functions import geometry as G
 from ..functions import normalise as N
 from ..operators import matching
 from .registry import query
+from .text_queries import _NORMAL
 from .views import frame
 
 LINE_CLASSES = ("text", "section_header", "list_item", "caption", "footnote", "page_header", "page_footer", "picture_text")
@@ -113,14 +114,15 @@ def normalised_predictions(spark, sf):
     return rows.where("cls IS NOT NULL AND cls <> ''")
 
 
-@query("stored_predictions", """SELECT result_id, p LIKE '[%' IS TRUE AS valid, CASE WHEN p LIKE '[%' THEN len(CAST(json(p) AS JSON[])) ELSE 0 END AS n FROM (SELECT result_id, CASE result_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '[]' WHEN 2 THEN '{{"a":1}}' ELSE '[{{"class_name":"text"}}]' END AS p FROM {d_results})""")
+@query("stored_predictions", """SELECT r.result_id, p.n IS NOT NULL OR r.result_id % 2 = 0 AS valid, coalesce(p.n, 0) AS n FROM {d_results} r LEFT JOIN (SELECT page_id, cfg, count(*) AS n FROM {d_predictions} GROUP BY 1, 2) p ON p.page_id = r.page_id AND p.cfg = r.cfg""")
 def stored_predictions(spark, sf):
-    """A stored list is valid even when empty; anything else is none."""
-    k = F.col("result_id") % 4
-    p = F.when(k == 1, "[]").when(k == 2, '{"a":1}').when(k == 3, '[{"class_name":"text"}]')
+    """A stored list is valid even when empty; anything else is none. Results without predictions hold an empty list or an object."""
+    lists = frame(spark, sf, "d_predictions").groupBy("page_id", "cfg").agg(F.to_json(F.collect_list(F.struct(F.col("cls").alias("class_name"), "confidence", "x1", "y1", "x2", "y2"))).alias("p"))
+    rows = frame(spark, sf, "d_results").join(lists, ["page_id", "cfg"], "left")
+    p = F.coalesce("p", F.when(F.col("result_id") % 2 == 0, "[]").otherwise('{"a":1}'))
     is_list = F.coalesce(F.ltrim(p).startswith("["), F.lit(False))
-    rows = F.from_json(F.when(is_list, p), "array<struct<class_name:string>>")
-    return frame(spark, sf, "d_results").select("result_id", is_list.alias("valid"), F.coalesce(F.size(rows), F.lit(0)).cast("long").alias("n")).withColumn("n", F.greatest(F.lit(0), F.col("n")))
+    found = F.from_json(F.when(is_list, p), "array<struct<class_name:string>>")
+    return rows.select("result_id", is_list.alias("valid"), F.greatest(F.lit(0), F.coalesce(F.size(found), F.lit(0))).cast("long").alias("n"))
 
 
 @query("detection_chain")
@@ -149,11 +151,11 @@ def migrated_outputs(spark, sf):
     return frame(spark, sf, "d_outputs").select("layout_id", s.alias("extraction_status"), F.when(s == "failed", F.col("error_message")).alias("error_message"))
 
 
-@query("edited_outputs", "SELECT layout_id, 'manual' AS extraction_status, CAST(NULL AS STRING) AS error_message, translate(nfc_normalize(content), '’', '''') AS content FROM {d_outputs} WHERE output_format = 'html'")
+@query("edited_outputs", f"SELECT layout_id, 'manual' AS extraction_status, CAST(NULL AS STRING) AS error_message, {_NORMAL} AS content FROM {{d_outputs}}")
 def edited_outputs(spark, sf):
     from ..functions.text import normalised_content
 
-    rows = frame(spark, sf, "d_outputs").where("output_format = 'html'")
+    rows = frame(spark, sf, "d_outputs")
     return rows.select("layout_id", F.lit("manual").alias("extraction_status"), F.lit(None).cast("string").alias("error_message"), normalised_content(F.col("content"), F.col("output_format")).alias("content"))
 
 

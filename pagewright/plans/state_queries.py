@@ -10,10 +10,13 @@ from ..operators import review as R
 from .registry import query
 from .views import frame
 
-_JUDGED = """(SELECT l.page_id, l.layout_id, l.cls, CASE WHEN l.cls = 'picture' THEN 'not needed' WHEN o.layout_id IS NULL THEN 'missing' WHEN lower(trim(o.extraction_status)) = 'failed' THEN 'failed'
-WHEN NOT (o.output_format = f AND o.class_name = l.cls) AND NOT (f = 'markdown' AND CASE o.class_name WHEN 'table' THEN 'html' WHEN 'formula' THEN 'latex' WHEN 'picture' THEN 'skip' ELSE 'markdown' END = f AND o.output_format = f) THEN 'mismatch'
-WHEN l.updated_at > o.updated_at THEN 'stale' ELSE 'ok' END AS state
-FROM (SELECT *, CASE cls WHEN 'table' THEN 'html' WHEN 'formula' THEN 'latex' WHEN 'picture' THEN 'skip' ELSE 'markdown' END AS f FROM {d_layouts_n}) l LEFT JOIN {d_outputs} o ON o.layout_id = l.layout_id)"""
+# what the rules say of each layout's output, by cases: class and format of both sides first, then what follows
+_FORMAT = "CASE {} WHEN 'table' THEN 'html' WHEN 'formula' THEN 'latex' WHEN 'picture' THEN 'skip' ELSE 'markdown' END"
+_PAIRS = f"""(SELECT l.page_id, l.layout_id, l.cls, l.updated_at, o.layout_id IS NOT NULL AS made, lower(trim(o.extraction_status)) AS s, o.updated_at AS o_at,
+{_FORMAT.format('l.cls')} <> 'skip' AS needed, {_FORMAT.format('l.cls')} <> 'skip' AND o.class_name = l.cls AND o.output_format = {_FORMAT.format('l.cls')} AS fits,
+o.output_format = 'markdown' AND {_FORMAT.format('o.class_name')} = 'markdown' AND {_FORMAT.format('l.cls')} = 'markdown' AS alike
+FROM {{d_layouts_n}} l LEFT JOIN {{d_outputs}} o ON o.layout_id = l.layout_id)"""
+_JUDGED = f"""(SELECT page_id, layout_id, cls, needed, CASE WHEN NOT made THEN 'none' WHEN s = 'failed' THEN 'failed' WHEN fits AND updated_at > o_at THEN 'stale' WHEN fits THEN 'ok' WHEN alike THEN 'preserved' ELSE 'mismatch' END AS state FROM {_PAIRS})"""
 
 
 def _layouts(spark, sf):
@@ -27,21 +30,27 @@ def judged_outputs(spark, sf):
 
 @query(
     "layout_reviews",
-    f"""SELECT page_id, count(*) AS n_layouts, count(*) FILTER (cls = 'caption' AND b.caption_layout_id IS NULL) AS unbound, count(*) FILTER (state IN ('failed', 'mismatch', 'stale')) AS invalid, count(*) FILTER (state = 'missing') AS missing,
-CASE WHEN count(*) FILTER (cls = 'caption' AND b.caption_layout_id IS NULL) > 0 THEN NULL WHEN count(*) FILTER (state IN ('failed', 'mismatch', 'stale', 'missing')) = 0 THEN 'ocr_done' ELSE 'layout_reviewed' END AS next_status
-FROM {_JUDGED} j LEFT JOIN (SELECT DISTINCT caption_layout_id FROM {{d_bindings}}) b ON b.caption_layout_id = j.layout_id GROUP BY page_id""",
+    f"""WITH j AS (SELECT * FROM {_JUDGED}),
+u AS (SELECT c.page_id, count(*) AS n FROM {{d_layouts_n}} c WHERE c.cls = 'caption' AND NOT EXISTS (SELECT 1 FROM {{d_bindings}} b JOIN {{d_layouts_n}} t ON t.layout_id = b.target_layout_id WHERE b.caption_layout_id = c.layout_id AND t.page_id = c.page_id AND t.cls IN ('table', 'picture', 'formula')) GROUP BY 1),
+p AS (SELECT page_id, count(*) AS n_layouts, count(*) FILTER (state IN ('failed', 'mismatch', 'stale')) AS invalid, count(*) FILTER (needed AND state NOT IN ('ok', 'preserved')) AS missing, count(*) FILTER (needed) AS needed FROM j GROUP BY 1),
+v AS (SELECT g.page_id, lower(g.status) AS s, coalesce(n_layouts, 0) AS n_layouts, invalid, missing, needed, CASE WHEN g.is_missing THEN 'page missing' WHEN n_layouts IS NULL THEN 'no layouts' WHEN u.n > 0 THEN 'unbound captions' ELSE 'accepted' END AS verdict
+ FROM {{d_pages}} g LEFT JOIN p USING (page_id) LEFT JOIN u USING (page_id))
+SELECT page_id, verdict, n_layouts, CASE verdict WHEN 'accepted' THEN invalid END AS invalid, CASE verdict WHEN 'accepted' THEN missing END AS missing,
+CASE WHEN verdict = 'accepted' THEN CASE WHEN missing > 0 THEN 'layout_reviewed' WHEN s = 'ocr_reviewed' THEN s WHEN s = 'ocr_done' THEN s WHEN needed = 0 THEN 'layout_reviewed' ELSE 'ocr_done' END END AS next_status FROM v""",
 )
 def layout_reviews(spark, sf):
-    return R.layout_reviews(_layouts(spark, sf), frame(spark, sf, "d_outputs"), frame(spark, sf, "d_bindings"))
+    return R.layout_reviews(frame(spark, sf, "d_pages").select("page_id", "status", "is_missing"), _layouts(spark, sf), frame(spark, sf, "d_outputs"), frame(spark, sf, "d_bindings"))
 
 
 @query(
     "output_reviews",
-    f"""SELECT p.page_id, p.status, failed, open, CASE WHEN lower(p.status) NOT IN ('ocr_done', 'ocr_failed', 'ocr_reviewed') THEN 'state' WHEN failed > 0 THEN 'failed outputs' WHEN open > 0 THEN 'open outputs' ELSE 'accepted' END AS verdict
-FROM {{d_pages}} p JOIN (SELECT page_id, count(*) FILTER (state = 'failed') AS failed, count(*) FILTER (state IN ('missing', 'mismatch')) AS open FROM {_JUDGED} GROUP BY page_id) s ON s.page_id = p.page_id""",
+    f"""WITH s AS (SELECT page_id, count(*) AS n, count(*) FILTER (needed AND made AND s = 'failed') AS failed, count(*) FILTER (needed AND NOT (made AND fits AND s NOT IN ('failed', 'skip'))) AS open FROM {_PAIRS} GROUP BY 1)
+SELECT p.page_id, p.status, coalesce(failed, 0) AS failed, coalesce(open, 0) AS open, CASE WHEN p.is_missing THEN 'page missing' WHEN p.status NOT IN ('layout_reviewed', 'ocr_done', 'ocr_reviewed', 'ocr_failed') THEN 'state' WHEN n IS NULL THEN 'no layouts'
+WHEN p.page_id NOT IN (SELECT page_id FROM {{d_outputs}}) THEN 'no outputs' WHEN failed > 0 THEN 'failed outputs' WHEN open > 0 THEN 'open outputs' ELSE 'accepted' END AS verdict
+FROM {{d_pages}} p LEFT JOIN s ON s.page_id = p.page_id""",
 )
 def output_reviews(spark, sf):
-    return R.output_reviews(frame(spark, sf, "d_pages").select("page_id", "status"), _layouts(spark, sf), frame(spark, sf, "d_outputs"))
+    return R.output_reviews(frame(spark, sf, "d_pages").select("page_id", "status", "is_missing"), _layouts(spark, sf), frame(spark, sf, "d_outputs"))
 
 
 @query("binding_targets", "SELECT c.page_id, c.layout_id AS caption_layout_id, coalesce(list_sort(list(DISTINCT t.layout_id) FILTER (t.layout_id IS NOT NULL)), []) AS targets, count(t.layout_id) > 0 AS bound FROM {d_layouts_n} c LEFT JOIN {d_bindings} b ON b.caption_layout_id = c.layout_id LEFT JOIN {d_layouts_n} t ON t.layout_id = b.target_layout_id AND t.page_id = c.page_id AND t.cls IN ('table', 'picture', 'formula') WHERE c.cls = 'caption' GROUP BY c.page_id, c.layout_id")

@@ -22,19 +22,28 @@ def folded_quotes(spark, sf):
     return frame(spark, sf, "d_outputs").select("layout_id", T.fold_quotes(T.nfc(c)).alias("folded"))
 
 
-@query("normalised_content", """SELECT layout_id, CASE WHEN output_format = 'latex' THEN nfc_normalize(c) WHEN output_format = 'markdown' THEN concat('’'' ', CASE WHEN true THEN '' END, nfc_normalize(content), ' $a’b$ ''') ELSE translate(nfc_normalize(c), '’', '''') END AS content
-FROM (SELECT layout_id, output_format, content, concat('’’ ', content, ' $a’b$ ’') AS c FROM (SELECT layout_id, output_format, replace(replace(content, '$', ''), '`', '') AS content FROM {d_outputs})) WHERE output_format <> 'markdown'""")
+_FOLD_FROM, _FOLD_TO = "`´‘’‚‛ʼʹʻ′＇‹›“”„‟″＂", "concat(repeat('''', 13), repeat('\"', 6))"
+
+
+def _sql_folded(c: str) -> str:
+    """DuckDB: quotes folded outside of math, by walking over delimiters, escaped characters and what is between them."""
+    step = f"""{{{{'o': CASE WHEN x.s IN ('$', '$$') THEN CASE WHEN a.o = '' THEN x.s WHEN a.o = x.s THEN '' ELSE a.o END ELSE a.o END,
+    's': concat(a.s, CASE WHEN a.o <> '' OR x.s IN ('$', '$$') THEN x.s ELSE translate(x.s, '{_FOLD_FROM}', {_FOLD_TO}) END)}}}}"""
+    tokens = rf"list_transform(regexp_extract_all({c}, '\\.|[$][$]|[$]|[^\\$]+|\\', 0, 's'), lambda t: {{{{'o': '', 's': t}}}})"
+    return f"list_reduce(list_concat([{{{{'o': '', 's': ''}}}}], {tokens}), lambda a, x: {step}).s"
+
+
+_NORMAL = f"CASE output_format WHEN 'latex' THEN nfc_normalize(content) WHEN 'markdown' THEN {_sql_folded('nfc_normalize(content)')} ELSE translate(nfc_normalize(content), '{_FOLD_FROM}', {_FOLD_TO}) END"
+
+
+@query("normalised_content", f"SELECT layout_id, {_NORMAL} AS content FROM {{d_outputs}}")
 def normalised_content(spark, sf):
-    rows = frame(spark, sf, "d_outputs").where("output_format <> 'markdown'")
-    c = F.concat(F.lit("’’ "), F.replace(F.replace("content", F.lit("$"), F.lit("")), F.lit("`"), F.lit("")), F.lit(" $a’b$ ’"))
-    return rows.select("layout_id", T.normalised_content(c, F.col("output_format")).alias("content"))
+    return frame(spark, sf, "d_outputs").select("layout_id", T.normalised_content(F.col("content"), F.col("output_format")).alias("content"))
 
 
-@query("math_aware_quotes", "SELECT layout_id, concat('''q'' $a’b$ ''', replace(replace(nfc_normalize(content), '$', ''), '`', ''), ''' $$“x”$$ \"y\" $tail’') AS folded FROM {d_outputs} WHERE NOT regexp_matches(content, '[\\\\´‘’‚‛ʼʹʻ′＇‹›“”„‟″＂]')")
+@query("math_aware_quotes", f"SELECT layout_id, {_sql_folded('nfc_normalize(content)')} AS folded FROM {{d_outputs}}")
 def math_aware_quotes(spark, sf):
-    body = F.replace(F.replace("content", F.lit("$"), F.lit("")), F.lit("`"), F.lit(""))
-    c = F.concat(F.lit("‘q’ $a’b$ ’"), T.nfc(body), F.lit("’ $$“x”$$ “y” $tail’"))
-    return frame(spark, sf, "d_outputs").where(~F.col("content").rlike(r"[\\´‘’‚‛ʼʹʻ′＇‹›“”„‟″＂]")).select("layout_id", T.fold_quotes_outside_math(c).alias("folded"))
+    return frame(spark, sf, "d_outputs").select("layout_id", T.fold_quotes_outside_math(T.nfc("content")).alias("folded"))
 
 
 @query("heading_text", f"SELECT layout_id, {_sql_strip('regexp_replace(content, ' + chr(39) + '^\\s{{0,3}}#{{1,6}}\\s*' + chr(39) + ', ' + chr(39) + chr(39) + ')')} AS heading FROM {{d_outputs}}")
@@ -42,17 +51,20 @@ def heading_text(spark, sf):
     return frame(spark, sf, "d_outputs").select("layout_id", T.without_heading_mark(F.col("content")).alias("heading"))
 
 
-@query("headed_content", "SELECT layout_id, concat('### ', split_part(b, chr(10), 1), CASE WHEN contains(b, chr(10)) THEN substr(b, length(split_part(b, chr(10), 1)) + 1) ELSE '' END) AS headed FROM (SELECT layout_id, concat('Part ', CAST(layout_id AS STRING), chr(10), 'body') AS b FROM {d_outputs})")
+@query("headed_content")
 def headed_content(spark, sf):
-    c = F.concat(F.lit("  # **Part "), F.col("layout_id").cast("string"), F.lit("**\nbody "))
-    return frame(spark, sf, "d_outputs").select("layout_id", T.with_heading_level(c, F.lit(3)).alias("headed"))
+    """Contents with their first line as a heading; the rules of emphasis have no SQL, tests hold them against plain ones."""
+    return frame(spark, sf, "d_outputs").select("layout_id", T.with_heading_level(F.col("content"), F.lit(3)).alias("headed"))
+
 
+_PLAIN_LATEX = "content"
+for _pattern in (r"(?s)^(?:```[^\n]*|~~~[^\n]*)\n(.*?)\n?[ \t]*(?:```|~~~)$", r"(?s)^\\\[(.+)\\\]$", r"(?s)^[$][$](.+)[$][$]$", r"(?s)^[$](.+)[$]$"):
+    _PLAIN_LATEX = "regexp_replace(" + _sql_strip(_PLAIN_LATEX) + f", '{_pattern}', '\\1')"
 
-@query("plain_formulas", "SELECT layout_id, CASE layout_id % 5 WHEN 4 THEN '$$' ELSE concat('x_', CAST(layout_id AS STRING)) END AS latex FROM {d_outputs}")
+
+@query("plain_formulas", f"SELECT layout_id, {_sql_strip(_PLAIN_LATEX)} AS latex FROM {{d_outputs}}")
 def plain_formulas(spark, sf):
-    k, x = F.col("layout_id") % 5, F.concat(F.lit("x_"), F.col("layout_id").cast("string"))
-    c = F.when(k == 0, F.concat(F.lit("```latex\n$$ "), x, F.lit(" $$\n```"))).when(k == 1, F.concat(F.lit(r"\[ "), x, F.lit(r" \]"))).when(k == 2, F.concat(F.lit(" $"), x, F.lit("$ "))).when(k == 3, x).otherwise("$$$$")
-    return frame(spark, sf, "d_outputs").select("layout_id", T.plain_latex(c).alias("latex"))
+    return frame(spark, sf, "d_outputs").select("layout_id", T.plain_latex(F.col("content")).alias("latex"))
 
 
 @query(
@@ -69,52 +81,79 @@ _FROM = "".join(c for chars, _ in T.LOOKALIKES for c in chars)
 _TO = "".join(t * len(chars) for chars, t in T.LOOKALIKES)
 
 
-@query(
-    "lookalike_words",
-    rf"""WITH l AS (SELECT layout_id, generate_subscripts(x, 1) - 1 AS n, unnest(x) AS line FROM (SELECT layout_id, string_split(nfc_normalize(content), chr(10)) AS x FROM {{d_outputs}} WHERE NOT contains(content, '`') AND NOT contains(content, '~~~'))),
-w AS (SELECT layout_id, n, regexp_matches(line, '[\x{{{{0400}}}}-\x{{{{04FF}}}}]') AS around, unnest(regexp_extract_all(line, '[\p{{{{L}}}}\p{{{{N}}}}\p{{{{M}}}}_]+')) AS token FROM l)
-SELECT layout_id, n AS line_index, token, translate(token, '{_FROM}', '{_TO}') AS normalized_token FROM w
-WHERE translate(token, '{_FROM}', '{_TO}') <> token AND (regexp_matches(token, '[\x{{{{0400}}}}-\x{{{{04FF}}}}]') OR around AND length(regexp_replace(token, '[^\p{{{{L}}}}]', '', 'g')) = 1)""",
-)
+# fences are followed line by line; of spans in back-ticks, which these contents close and do not nest, what is outside is kept
+_LINES = r"""c AS (SELECT layout_id, output_format, lower(trim(extraction_status)) AS s, string_split(nfc_normalize(content), chr(10)) AS x FROM {d_outputs}),
+k AS (SELECT *, list_reduce(list_concat([{{'f': '', 'g': ''}}], list_transform(x, lambda t: {{'f': t, 'g': regexp_extract(t, '^(`{{3,}}|~{{3,}})', 1)}})), lambda a, t: {{'f': CASE WHEN a.f = '' THEN t.g WHEN starts_with(t.f, a.f) THEN '' ELSE a.f END, 'g': concat(a.g, CASE WHEN a.f <> '' OR t.g <> '' THEN '1' ELSE '0' END)}}).g AS code FROM c),
+l AS (SELECT layout_id, output_format, s, generate_subscripts(x, 1) - 1 AS n, unnest(x) AS line, code FROM k),
+p AS (SELECT layout_id, output_format, s, n, unnest(list_filter(regexp_extract_all(line, '`[^`]*`|[^`]+'), lambda t: NOT starts_with(t, '`'))) AS part FROM l WHERE code[n + 1] = '0'),
+w AS (SELECT layout_id, output_format, s, n, unnest(regexp_extract_all(part, '[\p{{L}}\p{{N}}_]+')) AS token FROM p WHERE regexp_matches(part, '[\x{{0400}}-\x{{04FF}}]'))"""
+_IS_ODD = rf"translate(token, '{_FROM}', '{_TO}') <> token AND (regexp_matches(token, '[\x{{{{0400}}}}-\x{{{{04FF}}}}]') OR length(regexp_replace(token, '[^\p{{{{L}}}}]', '', 'g')) = 1)"
+
+
+@query("lookalike_words", f"WITH {_LINES}, r AS (SELECT layout_id, n, token FROM w WHERE {_IS_ODD}) SELECT layout_id, n AS line_index, token, translate(token, '{_FROM}', '{_TO}') AS normalized_token FROM r")
 def lookalike_words(spark, sf):
-    rows = frame(spark, sf, "d_outputs").where(~F.col("content").contains("`") & ~F.col("content").contains("~~~"))
-    found = rows.select("layout_id", F.explode(T.lookalikes("content")).alias("w"))
+    """All odd words of all outputs."""
+    found = T.lookalikes(frame(spark, sf, "d_outputs"), "content", most=None).select("layout_id", F.explode("warnings").alias("w"))
     return found.select("layout_id", F.col("w.line_index").cast("long").alias("line_index"), "w.token", "w.normalized_token")
 
 
-@query("lookalike_lines")
+@query(
+    "lookalike_lines",
+    f"""WITH {_LINES}, r AS (SELECT layout_id, n, row_number() OVER (PARTITION BY layout_id ORDER BY n) AS nth FROM w WHERE {_IS_ODD})
+SELECT c.layout_id, count(r.n) AS n, coalesce(list_sort(list(DISTINCT r.n) FILTER (r.n IS NOT NULL)), []) AS lines FROM c LEFT JOIN r ON r.layout_id = c.layout_id AND nth <= 200 WHERE output_format = 'markdown' AND c.s NOT IN ('failed', 'skip') GROUP BY c.layout_id""",
+)
 def lookalike_lines(spark, sf):
     """Warnings of outputs in use, with the lines that hold them."""
     rows = frame(spark, sf, "d_outputs").where((F.col("output_format") == "markdown") & N.extraction_status(F.col("extraction_status")).isin("ok", "manual"))
-    rows = rows.select("layout_id", T.lookalikes("content").alias("w"))
-    return rows.select("layout_id", F.size("w").alias("n"), F.array_sort(F.array_distinct(F.col("w.line_index"))).alias("lines"))
+    rows = T.lookalikes(rows, "content")
+    lines = F.array_sort(F.array_distinct(F.transform("warnings", lambda w: w["line_index"].cast("long"))))
+    return rows.select("layout_id", F.size("warnings").cast("long").alias("n"), lines.alias("lines"))
 
 
-@query(
-    "html_texts",
-    """SELECT page_id, substr(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<br\\s*/?>', chr(10), 'gi'), '</(?:p|tr|li|div|h[1-6])\\s*>', chr(10), 'gi'), '<[^>]+>', ' ', 'g'),
-'&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', chr(160)), '&amp;', '&'), concat('[ \\t\\r\\f\\v', chr(160), ']+'), ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), '^\\s+|\\s+$', '', 'g'), 1, 4000) AS text FROM pages""",
-)
+_TEXT = "coalesce(html, '')"
+for _old, _new in ((r"(?i)<\s*br\s*/?\s*>", "chr(10)"), (r"(?i)</\s*(?:p|tr|li|div|h[1-6])\s*>", "chr(10)"), (r"<[^>]+>", "' '")):
+    _TEXT = f"regexp_replace({_TEXT}, '{_old}', {_new}, 'g')"
+for _old, _new in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&nbsp;", "chr(160)"), ("&copy;", "'©'"), ("&middot;", "'·'"), ("&amp;", "'&'")):  # the references of these pages
+    _TEXT = f"replace({_TEXT}, '{_old}', {_new})"
+for _old, _new in ((r"[ \t]+", "' '"), (r" ?\n ?", "chr(10)")):
+    _TEXT = f"regexp_replace({_TEXT}, '{_old}', {_new}, 'g')"
+_TEXT = rf"substr(regexp_replace({_TEXT}, '^[\s\x{{{{00A0}}}}]+|[\s\x{{{{00A0}}}}]+$', '', 'g'), 1, 4000)"
+
+
+@query("html_texts", f"SELECT page_id, {_TEXT} AS text FROM pages")
 def html_texts(spark, sf):
     return frame(spark, sf, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))
 
 
-@query("first_tables", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN concat('<TABLE a=1><tr><td>', CAST(page_id AS STRING), '</td></tr></Table>') ELSE '' END AS fragment FROM pages")
+_TABLE = r"regexp_extract(content, '(?is)<table\b.*?</table>')"
+
+
+@query("first_tables", f"SELECT layout_id, {_TABLE} AS fragment FROM {{d_outputs}}")
 def first_tables(spark, sf):
-    table = F.concat(F.lit("<p>x<TABLE a=1><tr><td>"), F.col("page_id").cast("string"), F.lit("</td></tr></Table><table></table>"))
-    return frame(spark, sf, "pages").select("page_id", T.first_table(F.when(F.col("page_id") % 2 == 0, table).otherwise(F.lit("<tables>"))).alias("fragment"))
+    return frame(spark, sf, "d_outputs").select("layout_id", T.first_table(F.col("content")).alias("fragment"))
 
 
-@query("clean_tables", "SELECT page_id, concat('<table><tr><td rowspan=\"', CAST(least(200, greatest(1, page_id)) AS STRING), '\">a &lt; b</td></tr></table>') AS fragment FROM pages")
+@query(
+    "clean_tables",
+    rf"""SELECT layout_id, CASE WHEN t <> '' THEN concat('<table><tr><td colspan="', CAST(least(200, greatest(1, CAST(regexp_extract(t, 'colspan="(\d+)"', 1) AS BIGINT))) AS STRING), '">', regexp_extract(t, '<i>(.*)</i>', 1), '</td></tr></table>') END AS fragment
+FROM (SELECT layout_id, {_TABLE} AS t FROM {{d_outputs}})""",
+)
 def clean_tables(spark, sf):
-    raw = F.concat(F.lit('<table onclick="x"><tr><td rowspan="'), F.col("page_id").cast("string"), F.lit('" style="y"><i>a &lt; b</i></table>'))
-    return frame(spark, sf, "pages").select("page_id", T.sanitised_table(raw).alias("fragment"))
+    return frame(spark, sf, "d_outputs").select("layout_id", T.sanitised_table(F.col("content")).alias("fragment"))
+
 
+_NO_DOUBLE = _sql_strip(r"regexp_replace(raw, '(?s)^[$][$](.*)[$][$]$', '\1')")
+_NO_SINGLE = _sql_strip(r"regexp_replace(no_double, '(?s)^[$](.*)[$]$', '\1')")
 
-@query("formula_forms", "SELECT layout_id, [concat('$$x', chr(10), CAST(layout_id AS STRING), '$$'), concat('x', chr(10), CAST(layout_id AS STRING)), concat('x\\\\', CAST(layout_id AS STRING)), concat('x ', CAST(layout_id AS STRING))] AS forms FROM {d_outputs}")
+
+@query(
+    "formula_forms",
+    rf"""SELECT layout_id, list_filter(l, lambda x, i: x <> '' AND list_position(l, x) = i) AS forms
+FROM (SELECT layout_id, [raw, no_double, plain, replace(plain, chr(10), repeat(chr(92), 2)), regexp_replace(plain, '\s*\n\s*', ' ', 'g')] AS l
+FROM (SELECT *, {_NO_SINGLE} AS plain FROM (SELECT *, {_NO_DOUBLE} AS no_double FROM (SELECT layout_id, {_sql_strip('content')} AS raw FROM {{d_outputs}}))))""",
+)
 def formula_forms(spark, sf):
-    c = F.concat(F.lit("$$x\n"), F.col("layout_id").cast("string"), F.lit("$$"))
-    return frame(spark, sf, "d_outputs").select("layout_id", T.formula_candidates(c).alias("forms"))
+    return frame(spark, sf, "d_outputs").select("layout_id", T.formula_candidates(F.col("content")).alias("forms"))
 
 
 @query("line_layout", r"SELECT layout_id, CASE output_format WHEN 'latex' THEN 1.1 WHEN 'html' THEN 1.02 ELSE 1.08 END::DOUBLE AS height, length(content) - length(replace(content, ' ', '')) AS spaces, greatest(0, length(content) - 1) AS glyphs, regexp_matches(content, '\p{{M}}') AS combining FROM {d_outputs}")
@@ -123,32 +162,37 @@ def line_layout(spark, sf):
     return frame(spark, sf, "d_outputs").select("layout_id", T.line_height(F.col("output_format")).cast("double").alias("height"), s["spaces"].cast("long").alias("spaces"), s["glyphs"].cast("long").alias("glyphs"), s["combining"].alias("combining"))
 
 
-@query("content_issues", """SELECT layout_id, layout_id % 3 = 0 AS has_table, layout_id % 2 = 1 AS odd_fences, layout_id % 5 = 0 AS unbalanced FROM {d_outputs}""")
+@query(
+    "content_issues",
+    r"""SELECT layout_id, regexp_matches(content, '(?m)^[ \t]*\|.*\|[ \t]*\r?\n[ \t]*\|[ \t:|-]*-[ \t:|-]*\|[ \t]*$') AS has_table, len(regexp_extract_all(content, '(?m)^[ \t]*(?:```|~~~)')) % 2 = 1 AS odd_fences, walk.d <> 0 OR walk.low < 0 AS unbalanced
+FROM (SELECT layout_id, content, list_reduce(list_concat([{{'d': 0, 'low': 0}}], list_transform(regexp_extract_all(regexp_replace(content, '(?s)\\.', '', 'g'), '[{{}}]'), lambda t: {{'d': CASE t WHEN '{{' THEN 1 ELSE -1 END, 'low': 0}})), lambda a, x: {{'d': a.d + x.d, 'low': least(a.low, a.d + x.d)}}) AS walk FROM {d_outputs})""",
+)
 def content_issues(spark, sf):
-    k = F.col("layout_id")
-    c = F.concat(F.when(k % 3 == 0, F.lit("| a | b |\n| --- | :-: |\n| 1 | 2 |\n")).otherwise("text\n"), F.when(k % 2 == 1, "```\n").otherwise("```\n```\n"), F.when(k % 5 == 0, r"\frac{a}{b\}").otherwise(r"\{ {a} {{b}}"))
+    c = F.col("content")
     return frame(spark, sf, "d_outputs").select("layout_id", T.has_markdown_table(c).alias("has_table"), T.odd_fences(c).alias("odd_fences"), T.unbalanced_braces(c).alias("unbalanced"))
 
 
-@query("response_texts", """SELECT id, CASE WHEN id % 3 = 0 THEN NULL ELSE concat('text ', CAST(id AS STRING)) END AS text FROM {d_events}""")
+@query("response_texts", f"SELECT layout_id, CASE WHEN {_sql_strip('content')} <> '' AND layout_id % 3 <> 0 THEN content END AS text FROM {{d_outputs}}")
 def response_texts(spark, sf):
-    """Text of the first candidate of a provider's response that has any."""
+    """Text of the first candidate of a provider's response that has any; a third of the responses has none."""
     from ..sources.providers import response_text
 
-    k = F.col("id")
-    text = F.when(k % 3 == 0, " ").otherwise(F.concat(F.lit("text "), k.cast("string")))
-    raw = F.to_json(F.struct(F.array(F.struct(F.struct(F.array(F.struct(F.lit("").alias("text"))).alias("parts")).alias("content")), F.struct(F.struct(F.array(F.struct(text.alias("text")))  .alias("parts")).alias("content"))).alias("candidates")))
-    return frame(spark, sf, "d_events").select("id", response_text(raw).alias("text"))
+    part = lambda c: F.struct(F.struct(F.array(F.struct(c.alias("text"))).alias("parts")).alias("content"))
+    text = F.when(F.col("layout_id") % 3 == 0, " ").otherwise(F.col("content"))
+    raw = F.to_json(F.struct(F.array(part(F.lit("")), part(text)).alias("candidates")))
+    return frame(spark, sf, "d_outputs").select("layout_id", response_text(raw).alias("text"))
 
 
-@query("response_contents", """SELECT id, CASE id % 5 WHEN 0 THEN concat('c', CAST(id AS STRING)) END AS content, CASE id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'not JSON' WHEN 2 THEN 'not an object' WHEN 3 THEN 'unexpected keys' ELSE 'content is not a string' END AS error FROM {d_events}""")
+@query("response_contents", """SELECT layout_id, CASE WHEN layout_id % 5 IN (0, 1) THEN content END AS content, CASE layout_id % 5 WHEN 2 THEN 'not JSON' WHEN 3 THEN 'unexpected keys' WHEN 4 THEN 'not an object' END AS error FROM {d_outputs}""")
 def response_contents(spark, sf):
+    """Contents of responses; some are cut short, have a further key or are lists."""
     from ..sources.providers import content_of
 
-    k = F.col("id")
-    raw = F.when(k % 5 == 0, F.concat(F.lit('{"content":"c'), k.cast("string"), F.lit('"}'))).when(k % 5 == 1, "{oops").when(k % 5 == 2, "[1]").when(k % 5 == 3, '{"content":"a","x":1}').otherwise('{"content":5}')
+    k, whole = F.col("layout_id") % 5, F.to_json(F.struct("content"))
+    cut = F.substring(whole, F.lit(1), F.length(whole) - 1)
+    raw = F.when(k == 2, cut).when(k == 3, F.to_json(F.struct("content", F.lit(1).alias("x")))).when(k == 4, F.concat(F.lit("["), whole, F.lit("]"))).otherwise(whole)
     found = content_of(raw)
-    return frame(spark, sf, "d_events").select("id", found["content"].alias("content"), found["error"].alias("error"))
+    return frame(spark, sf, "d_outputs").select("layout_id", found["content"].alias("content"), found["error"].alias("error"))
 
 
 @query("prompt_rows", "SELECT layout_id, CASE WHEN cls = 'picture' THEN '' ELSE concat('Transcribe the ', replace(cls, '_', ' '), ' as ', CASE cls WHEN 'table' THEN 'html' WHEN 'formula' THEN 'latex' ELSE 'markdown' END, '.') END AS prompt FROM {d_layouts_n}")

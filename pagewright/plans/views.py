@@ -58,15 +58,29 @@ FROM (SELECT l.*, cfg, CAST((seed*11+cfg*17)%60-30 AS DOUBLE)/1000 AS d
       FROM {d_layouts_n} l CROSS JOIN (SELECT 0 AS cfg UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) c
       WHERE (seed+cfg*7)%5<>0) t"""
 
+# Each document is the whole content of one output, the first that is dealt to it; the others have short contents of all kinds.
 VIEWS["d_outputs"] = """
 SELECT layout_id, page_id, CASE WHEN seed % 11 = 0 THEN 'text' ELSE cls END AS class_name,
        CASE WHEN seed % 19 = 0 THEN 'markdown' WHEN cls = 'table' THEN 'html' WHEN cls = 'formula' THEN 'latex' WHEN cls = 'picture' THEN 'skip' ELSE 'markdown' END AS output_format,
-       concat(CASE seed % 6 WHEN 0 THEN '## ' WHEN 1 THEN '- ' WHEN 2 THEN '12. ' WHEN 3 THEN '$x_1$ ' ELSE '' END, translate(body, CASE WHEN seed % 4 = 0 THEN 'aeo' ELSE '' END, CASE WHEN seed % 4 = 0 THEN 'аео' ELSE '' END)) AS content,
+       CASE WHEN body IS NOT NULL THEN concat(CASE seed % 6 WHEN 0 THEN '## ' WHEN 1 THEN '- ' WHEN 2 THEN '12. ' WHEN 3 THEN '$x_1$ ' ELSE '' END, translate(body, CASE WHEN seed % 4 = 0 THEN 'aeo' ELSE '' END, CASE WHEN seed % 4 = 0 THEN 'аео' ELSE '' END))
+       ELSE CASE seed % 12
+         WHEN 0 THEN concat('“', cls, '” it’s $x’_', CAST(seed AS STRING), '$ ‘q’ $$y“$$ ’ $open ’')
+         WHEN 1 THEN concat('```', chr(10), 'кoд ', CAST(seed AS STRING), chr(10), '```', chr(10), 'Бу сeр ', CAST(seed AS STRING))
+         WHEN 2 THEN concat('| a | b |', chr(10), '| --- | :-: |', chr(10), '| 1 | ', CAST(seed AS STRING), ' |')
+         WHEN 3 THEN concat(' $$ x_', CAST(seed AS STRING), ' $$')
+         WHEN 4 THEN concat('  # **Part ', CAST(seed AS STRING), '**.', chr(10), 'body ')
+         WHEN 5 THEN concat('<p>x<TABLE a="1"><tr><td colspan="', CAST(seed AS STRING), '" style="y"><i>a &amp; b</i></Table><table></table>')
+         WHEN 6 THEN concat('<th scope=" ROW ">a<SUP />', CAST(seed AS STRING), ' b<sub/> `code сe` бу a')
+         WHEN 7 THEN concat(chr(92), 'frac{{a}}{{', CAST(seed AS STRING), chr(92), '}} ', chr(92), '$5 ’ $z$ ’')
+         WHEN 8 THEN concat('text', chr(10), '~~~', chr(10), 'кoд ’', CAST(seed AS STRING))
+         WHEN 9 THEN concat(chr(92), '[ x', chr(10), CAST(seed AS STRING), ' ', chr(92), ']')
+         WHEN 10 THEN concat('```latex', chr(10), '$y', chr(10), CAST(seed AS STRING), '$', chr(10), '```')
+         ELSE concat(' ', CAST(seed % 90 AS STRING), ') word ', CAST(seed AS STRING), ' ') END END AS content,
        CASE seed % 8 WHEN 0 THEN 'failed' WHEN 1 THEN 'manual' WHEN 2 THEN ' OK ' WHEN 3 THEN 'odd' ELSE 'ok' END AS extraction_status,
        CASE WHEN seed % 8 = 0 THEN 'timeout' ELSE NULL END AS error_message,
        concat('2024-01-', lpad(CAST(1 + (seed * 3) % 28 AS STRING), 2, '0'), 'T00:00:00+00:00') AS updated_at
-FROM (SELECT l.*, substr(d.text, 1, 400) AS body FROM (SELECT *, layout_id % (SELECT count(*) FROM {documents}) AS k FROM {d_layouts_n} WHERE seed % 7 <> 0) l
-      JOIN {documents} d ON d.doc_id = l.k) t"""
+FROM (SELECT l.*, d.text AS body FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY deal ORDER BY layout_id) = 1 THEN deal END AS k FROM (SELECT *, page_id % (SELECT count(*) FROM {documents}) AS deal FROM {d_layouts_n} WHERE seed % 7 <> 0) n) l
+      LEFT JOIN {documents} d ON d.doc_id = l.k) t"""
 
 VIEWS["d_bindings"] = """
 SELECT layout_id AS caption_layout_id, target AS target_layout_id FROM (
@@ -104,14 +118,20 @@ SELECT event_id AS id, ts, user_id AS page_id,
        event_id % 5 = 0 AS skipped, concat('message ', CAST(event_id AS STRING)) AS message
 FROM {events}"""
 
+# every document is a file; names do not depend on contents
 VIEWS["d_scan"] = """
-SELECT concat(source, '/', CAST(doc_id AS STRING), CASE doc_id % 4 WHEN 0 THEN '.PNG' WHEN 1 THEN '.jpg' WHEN 2 THEN '.tiff' ELSE '.txt' END) AS rel_path, sha256_of_text AS file_hash
-FROM (SELECT doc_id, source, {sha256}(text) AS sha256_of_text FROM {documents} WHERE doc_id % 6 <> 0 AND text IS NOT NULL) t"""
+SELECT concat('box', CAST(doc_id % 10 AS STRING), '/', CAST(doc_id AS STRING), CASE doc_id % 4 WHEN 0 THEN '.PNG' WHEN 1 THEN '.jpg' WHEN 2 THEN '.tiff' ELSE '.txt' END) AS rel_path, {sha256}(text) AS file_hash
+FROM (SELECT doc_id, coalesce(text, '') AS text FROM {documents}) t"""
 
+# pages of an earlier scan: some under other names, some under the name that is another file's now, some with other contents
 VIEWS["d_known"] = """
-SELECT doc_id AS page_id, concat(CASE WHEN doc_id % 5 = 0 THEN 'old/' ELSE '' END, source, '/', CAST(doc_id AS STRING), CASE doc_id % 4 WHEN 0 THEN '.PNG' WHEN 1 THEN '.jpg' WHEN 2 THEN '.tiff' ELSE '.txt' END) AS rel_path,
+SELECT doc_id AS page_id, concat(CASE WHEN doc_id % 5 = 0 OR doc_id % 8 = 5 THEN 'old/' ELSE '' END, 'box', CAST(place % 10 AS STRING), '/', CAST(place AS STRING), CASE place % 4 WHEN 0 THEN '.PNG' WHEN 1 THEN '.jpg' WHEN 2 THEN '.tiff' ELSE '.txt' END) AS rel_path,
        CASE WHEN doc_id % 7 = 0 THEN concat('stale-', CAST(doc_id AS STRING)) ELSE {sha256}(text) END AS file_hash, doc_id % 9 = 0 AS is_missing
-FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS copy FROM {documents} WHERE doc_id % 4 <> 1 AND text IS NOT NULL) t WHERE copy = 1"""
+FROM (SELECT *, CASE WHEN doc_id % 8 = 4 THEN doc_id + 1 ELSE doc_id END AS place FROM (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id) AS copy FROM {documents}) d) t WHERE copy = 1"""
+
+VIEWS["d_duplicates"] = """
+SELECT concat(CASE WHEN doc_id % 3 = 0 THEN 'gone/' ELSE '' END, 'box', CAST(doc_id % 10 AS STRING), '/', CAST(doc_id AS STRING), CASE doc_id % 4 WHEN 0 THEN '.PNG' WHEN 1 THEN '.jpg' WHEN 2 THEN '.tiff' ELSE '.txt' END) AS rel_path, 'before' AS file_hash, doc_id AS canonical_page_id
+FROM {documents} WHERE doc_id % 4 <> 3"""
 
 _NAME = re.compile(r"(?<!\{)\{(\w+)\}(?!\})")
 

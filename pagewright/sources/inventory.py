@@ -36,23 +36,60 @@ def canonical(files: DataFrame) -> DataFrame:
     return files.select("rel_path", "file_hash", (F.col("rel_path") == first).alias("canonical"), first.alias("first_path"))
 
 
+def _taken(found: DataFrame, known: DataFrame) -> DataFrame:
+    """file_hash of the files that no page answers to by content when their turn comes.
+
+    Files are taken in order of their hashes. A file without a page of its hash
+    takes over the page that stands at its path, if it comes before the file of
+    that page's own hash; that file then is without a page itself, and so on up
+    the order. Each round follows all such steps at once.
+    """
+    at = known.select("rel_path", F.col("file_hash").alias("page_hash"))
+    step = found.join(at, "rel_path").where("file_hash < page_hash").select("file_hash", F.col("page_hash").alias("next_hash"))
+    step = step.join(found.select(F.col("file_hash").alias("next_hash")), "next_hash", "left_semi")
+    out = front = found.select("file_hash").join(known.select("file_hash"), "file_hash", "left_anti")
+    while not (front := front.join(step, "file_hash").select(F.col("next_hash").alias("file_hash")).join(out, "file_hash", "left_anti").distinct()).isEmpty():
+        out = out.unionByName(front)
+    return out
+
+
 def reconcile(found: DataFrame, known: DataFrame) -> DataFrame:
     """(page_id, rel_path, file_hash, action) for each canonical file and each page that was not found.
 
-    A file is matched by its content first (renamed, revived, unchanged), then by
-    its path (rehashed); else it is inserted with a null id.
+    Files are matched one after the other in order of their hashes: by content
+    (renamed, revived, unchanged), else by path (rehashed) if a page is still
+    there, which has not been renamed before; else they are inserted with a null
+    id. Hashes and paths of found and of known are distinct.
     """
     by_hash = known.select("file_hash", F.col("page_id").alias("h_id"), F.col("rel_path").alias("h_path"), F.col("is_missing").alias("h_missing"))
-    by_path = known.select("rel_path", F.col("page_id").alias("p_id"))
-    rows = found.join(by_hash, "file_hash", "left").join(by_path, "rel_path", "left")
+    without = _taken(found, known).withColumn("without", F.lit(True))
+    own = found.select(F.col("file_hash").alias("p_hash"), F.lit(True).alias("p_found"))
+    by_path = known.select("rel_path", F.col("page_id").alias("p_id"), F.col("file_hash").alias("p_hash")).join(own, "p_hash", "left")
+    rows = found.join(by_hash, "file_hash", "left").join(without, "file_hash", "left").join(by_path, "rel_path", "left")
+    mine = F.col("h_id").isNotNull() & F.col("without").isNull()
+    # a page whose own file came before has been matched by it and has left the path
+    there = F.col("p_id").isNotNull() & (F.col("p_found").isNull() | (F.col("p_hash") > F.col("file_hash")))
     action = (
-        F.when(F.col("h_id").isNotNull() & (F.col("h_path") != F.col("rel_path")), "renamed")
-        .when(F.col("h_id").isNotNull() & F.col("h_missing"), "revived")
-        .when(F.col("h_id").isNotNull(), "unchanged")
-        .when(F.col("p_id").isNotNull(), "rehashed")
+        F.when(mine & (F.col("h_path") != F.col("rel_path")), "renamed")
+        .when(mine & F.col("h_missing"), "revived")
+        .when(mine, "unchanged")
+        .when(there, "rehashed")
         .otherwise("inserted")
     )
-    matched = rows.select(F.coalesce("h_id", "p_id").alias("page_id"), "rel_path", "file_hash", action.alias("action"))
+    matched = rows.select(F.when(mine, F.col("h_id")).when(there, F.col("p_id")).alias("page_id"), "rel_path", "file_hash", action.alias("action"))
     seen = matched.where("page_id IS NOT NULL").select("page_id")
     gone = known.where("NOT is_missing").join(seen, "page_id", "left_anti").select("page_id", "rel_path", "file_hash", F.lit("missing").alias("action"))
     return matched.unionByName(gone)
+
+
+def duplicates(files: DataFrame, matched: DataFrame, recorded: DataFrame) -> DataFrame:
+    """(rel_path, file_hash, canonical_page_id, active) after a scan.
+
+    files: all that were found; matched: what reconcile gave, with the ids of
+    inserted pages where they are known; recorded: duplicates of scans before,
+    which stay, inactive, if they were not found again.
+    """
+    pages = matched.where("action <> 'missing'").select("file_hash", F.col("page_id").alias("canonical_page_id"))
+    now = canonical(files).where("NOT canonical").select("rel_path", "file_hash").join(pages, "file_hash").select("rel_path", "file_hash", "canonical_page_id", F.lit(True).alias("active"))
+    old = recorded.join(now.select("rel_path"), "rel_path", "left_anti").select("rel_path", "file_hash", "canonical_page_id", F.lit(False).alias("active"))
+    return now.unionByName(old)

@@ -80,14 +80,46 @@ def test_quotes_outside_math():
     assert T._fold_outside_math("’ $open’") == "' $open’"
 
 
-def test_lookalikes_skip_code_and_need_company():
-    warn = T.lookalike_warnings
-    assert [w["normalized_token"] for w in warn("Бу сeр")] == ["сер"]
-    assert warn("hello") == []
-    assert [w["token"] for w in warn("бу a китап")] == ["a"]
-    assert warn("```\nБу сeр\n```\n`сeр`") == []
-    assert [w["line_index"] for w in warn("``` \nсeр\n~~~\n```\nсeр")] == [4]
-    assert T.outside_code("a `b` ``c` d`` e") == [("a ", 0), (" ", 5), (" e", 14)]
+LOOKALIKE_TEXTS = (
+    ("Бу сeр", [(0, "сeр", "сер", 3)]),
+    ("hello", []),
+    ("бу a китап", [(0, "a", "а", 3)]),
+    ("```\nБу сeр\n```\n`сeр`", []),
+    ("``` \nсeр\n~~~\n```\nсeр", [(4, "сeр", "сер", 0)]),
+    ("````\nсeр\n```\nсeр\n````\n\nсeр\n", [(6, "сeр", "сер", 0)]),
+    ("~~~ open\nсeр", []),
+    ("сeр ` сeр ``сeр` сeр`` б", [(0, "сeр", "сер", 0), (0, "сeр", "сер", 17)]),
+    ("``` бу a", []),
+    ("a ``` сeр", [(0, "сeр", "сер", 6)]),
+    ("`x` a\r\nбу a_1 o2\x0bo бу", [(1, "a_1", "а_1", 3), (1, "o2", "о2", 7), (2, "o", "о", 0)]),
+    ("сe\u0301р", [(0, "сéр", "сер", 0)]),
+    (None, []),
+    ("", []),
+)
+
+
+def test_lookalikes_skip_code_and_need_company(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(LOOKALIKE_TEXTS)], "i int, t string")
+    got = {r.i: [(w.line_index, w.token, w.normalized_token, w.token_start) for w in r.w] for r in T.lookalikes(df, "t", "w").collect()}
+    for i, (text, want) in enumerate(LOOKALIKE_TEXTS):
+        assert got[i] == want, text
+    one = T.lookalikes(spark.createDataFrame([("x сeo",)], "t string"), "t").first().warnings
+    assert [(w.token_start, w.token_end, [tuple(x) for x in w.replacements]) for w in one] == [(0, 1, [("x", "х")]), (2, 5, [("e", "е"), ("o", "о")])]
+    many = len(T.lookalikes(spark.createDataFrame([("сe " * 300,)], "t string"), "t").first().warnings)
+    assert many == 200
+    parts = spark.range(1).select(T.outside_code(F.lit("a `b` ``c` d`` e")).alias("p")).first().p
+    assert [tuple(p) for p in parts] == [("a ", 0), (" ", 5), (" e", 14)]
+
+
+def test_html_text(spark):
+    rows = [
+        ("<p>a &eacute;&#233;&amp;lt;</p>< BR / >b\u00a0 c<td>d</td>\n\n  e", " HTML ", "a éé&lt;\n\nb\u00a0 c d \n\n e".replace("d \n", "d\n")),
+        ("<b>x</b> &amp;", "markdown", "<b>x</b> &amp;"),
+        (None, "html", ""),
+        ("y" * 5000, "html", "y" * 4000),
+    ]
+    got = spark.createDataFrame(rows, "c string, f string, want string").select("want", T.html_text(F.col("c"), F.col("f")).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
 
 
 def test_tables_are_cleaned():
