@@ -83,6 +83,10 @@ def _scores(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([*fixed, pa.array(ap[:, 0]), pa.array(ap.mean(axis=1))], names=[*batch.schema.names[:-2], "ap50", "ap"])
 
 
+#: A grid of settings has at most so many.
+MOST_SETTINGS = 4096
+
+
 def class_scores(truth: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, page_id, cls, ap50, ap): truth: page_id, layout_id, cls and box; found: keys, page_id, pred_id, cls, confidence and box.
 
@@ -93,9 +97,13 @@ def class_scores(truth: DataFrame, found: DataFrame, keys: list[str]) -> DataFra
     ordered = F.struct((-F.coalesce("confidence", F.lit(0.0))).alias("rank"), "pred_id", "x1", "y1", "x2", "y2")
     p = found.groupBy(*keys, "page_id", "cls").agg(F.array_sort(F.collect_list(ordered)).alias("found"))
     empty_t, empty_p = F.array().cast("array<struct<layout_id:bigint,x1:double,y1:double,x2:double,y2:double>>"), F.array().cast("array<struct<rank:double,pred_id:bigint,x1:double,y1:double,x2:double,y2:double>>")
-    pages = found.select(*keys).distinct()
-    # settings are a small grid: each page and class of the truth is scored under each
-    wide = t.withColumn("one", F.lit(1)).join(F.broadcast(pages.withColumn("one", F.lit(1))), "one").drop("one")
+    # each page and class of the truth is scored under each setting; settings are a small grid, which is checked
+    kinds = dict(found.select(*keys).dtypes)
+    settings = found.select(*keys).distinct().limit(MOST_SETTINGS + 1).collect()
+    if len(settings) > MOST_SETTINGS:
+        raise ValueError(f"more than {MOST_SETTINGS} settings: score them in parts")
+    grid = F.array(*[F.struct(*[F.lit(r[k]).cast(kinds[k]).alias(k) for k in keys]) for r in settings]) if settings else F.array().cast("array<struct<" + ",".join(f"{k}:{kinds[k]}" for k in keys) + ">>")
+    wide = t.withColumn("__grid", F.explode(grid)).select("__grid.*", *t.columns)
     both = wide.join(p, [*keys, "page_id", "cls"], "full").withColumn("truth", F.coalesce("truth", empty_t)).withColumn("found", F.coalesce("found", empty_p))
     kinds = dict(both.dtypes)
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in [*keys, "page_id", "cls"]), "ap50 double", "ap double"])

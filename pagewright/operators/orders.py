@@ -22,15 +22,24 @@ def shifted(order: Column, inserted: int) -> Column:
 
 
 def applied(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Orders from an explicit list of ids a page, of which repeats count once; adds new_order and changed."""
-    places = wanted.select("page_id", F.posexplode(F.array_distinct("ids")).alias("at", "layout_id"))
-    return rows.join(places, ["page_id", "layout_id"]).withColumn("new_order", F.col("at") + 1).withColumn("changed", F.col("new_order") != F.col("reading_order"))
+    """Orders from an explicit list of ids a page, of which repeats count once; adds new_order and changed.
+
+    A list that does not have just the ids of its page is refused: the page's rows stay as they are, with accepted false.
+    """
+    lists = wanted.select("page_id", F.array_distinct("ids").alias("ids"))
+    have = rows.groupBy("page_id").agg(F.collect_set("layout_id").alias("have"))
+    fits = (F.size("ids") == F.size("have")) & (F.size(F.array_except("ids", "have")) == 0)
+    lists = lists.join(have, "page_id").select("page_id", "ids", fits.alias("accepted"))
+    both = rows.join(lists, "page_id")
+    new = F.when(F.col("accepted"), F.array_position("ids", F.col("layout_id")).cast("int")).otherwise(F.col("reading_order"))
+    return both.withColumn("new_order", new).withColumn("changed", F.col("new_order") != F.col("reading_order")).drop("ids")
 
 
 def natural_key(c: Column) -> Column:
-    """A key by which names sort without regard to case and runs of digits by their value."""
+    """A key by which names sort without regard to case and runs of digits by their value, however long: a run's length stands before it."""
     parts = F.regexp_extract_all(F.lower(c), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), 20, "0")).otherwise(p)), "")
+    digits = lambda p: F.regexp_replace(p, "^0+(?=.)", "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.length(digits(p)).cast("string"), 10, "0"), digits(p))).otherwise(p)), "")
 
 
 def visit_history(visits: DataFrame, user: str, page: str, at: str, most: int = 200) -> DataFrame:

@@ -25,7 +25,7 @@ def stage_membership(spark, sf):
     return frame(spark, sf, "d_pages").agg(*[F.count_if(live & (s == v)).alias(k) for k, v in pending.items()], *[F.count_if(s.isin(*v)).alias(k) for k, v in seen.items()])
 
 
-@query("natural_page_keys", "SELECT page_id, array_to_string(list_transform(regexp_extract_all(lower(rel_path), '(\\d+|\\D+)'), lambda x: CASE WHEN regexp_matches(x, '^\\d') THEN lpad(x, 20, '0') ELSE x END), '') AS key FROM {d_pages}")
+@query("natural_page_keys", "SELECT page_id, array_to_string(list_transform(regexp_extract_all(lower(rel_path), '(\\d+|\\D+)'), lambda x: CASE WHEN regexp_matches(x, '^\\d') THEN concat(lpad(CAST(length(CAST(CAST(x AS BIGINT) AS STRING)) AS STRING), 10, '0'), CAST(CAST(x AS BIGINT) AS STRING)) ELSE x END), '') AS key FROM {d_pages}")
 def natural_page_keys(spark, sf):
     """Keys by which names sort in natural order: without regard to case, runs of digits by value."""
     from ..operators.orders import natural_key

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.normalise import FORMATS, strip
+from ..functions.normalise import DAILY_TERMS, FORMATS, QUOTA_TERMS, strip
 
 PLACEHOLDERS = ("class_rule", "format_rule")
 
@@ -62,27 +62,68 @@ def detected(pages: DataFrame, make: Callable[[], Callable[[str, dict], list[dic
     return pages.select("page_id", "rel_path").mapInArrow(run, schema)
 
 
-def transcribed(crops: DataFrame, make: Callable[[], Callable[[str], str]], retries: int = 2) -> DataFrame:
-    """(layout_id, raw, error, requests) for each crop's prompt; a call that fails is repeated so many times."""
-    schema = "layout_id long, raw string, error string, requests int"
+class KeyRing:
+    """The keys of one worker, taken in turn. Keys whose day is used up stay out, until the whole pool is tried once more."""
+
+    def __init__(self, keys: tuple[str, ...], exhausted: tuple[str, ...] = ()):
+        self.keys, self.exhausted = list(dict.fromkeys(keys)), set(exhausted)
+        self.turn, self.tried_again = 0, False
+
+    def pick(self, refused: set[str]) -> str | None:
+        """The next key that may be used, or None; refused keys are out for this crop."""
+        free = [k for k in self.keys if k not in self.exhausted and k not in refused]
+        if not free and self.exhausted and not self.tried_again:
+            self.tried_again = True
+            self.exhausted.clear()
+            refused.clear()
+            free = self.keys
+        if not free:
+            return None
+        self.turn += 1
+        return free[(self.turn - 1) % len(free)]
+
+
+def _transcript(call: Callable[[str, str], str], prompt: str, ring: KeyRing, attempts: int) -> tuple[str | None, str | None, str | None, int]:
+    """(text, error, key, calls) of one prompt. A key that is over its quota is left for the next one; other failures count as attempts."""
+    refused: set[str] = set()
+    error, failures, calls = None, 0, 0
+    while failures < attempts:
+        key = ring.pick(refused)
+        if key is None:
+            return None, error or "no usable key", None, calls
+        calls += 1
+        try:
+            return call(key, prompt), None, key, calls
+        except Exception as e:  # noqa: BLE001  any failure of a provider is data here
+            error = str(e)
+        low = error.lower()
+        if any(t in low for t in QUOTA_TERMS):
+            refused.add(key)
+            if any(t in low for t in DAILY_TERMS):
+                ring.exhausted.add(key)
+        else:
+            failures += 1
+    return None, error, None, calls
+
+
+def transcribed(crops: DataFrame, make: Callable[[], Callable[[str, str], str]], keys: tuple[str, ...] = ("",), exhausted: tuple[str, ...] = (), attempts: int = 2) -> DataFrame:
+    """(layout_id, raw, error, used_key, calls) for each crop's prompt; make builds call(key, prompt) once in each worker."""
+    kinds = [("layout_id", pa.int64()), ("raw", pa.string()), ("error", pa.string()), ("used_key", pa.string()), ("calls", pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        call = make()
+        call, ring = make(), KeyRing(keys, exhausted)
         for batch in batches:
-            rows = []
-            for i, prompt in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                raw, error, n = None, None, 0
-                while n <= retries:
-                    n += 1
-                    try:
-                        raw, error = call(prompt), None
-                        break
-                    except Exception as e:  # noqa: BLE001  any failure of a provider is data here
-                        error = str(e)
-                rows.append((i, raw, error, n))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.int32()))], names=["layout_id", "raw", "error", "requests"]) if rows else pa.RecordBatch.from_pylist([], schema=pa.schema([("layout_id", pa.int64()), ("raw", pa.string()), ("error", pa.string()), ("requests", pa.int32())]))
-
-    return crops.select("layout_id", "prompt").mapInArrow(run, schema)
+            rows = [(i, *_transcript(call, prompt, ring, attempts)) for i, prompt in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)], names=[n for n, _ in kinds])
+
+    return crops.select("layout_id", "prompt").mapInArrow(run, "layout_id long, raw string, error string, used_key string, calls int")
+
+
+def exhausted_keys(text: str) -> list[str]:
+    """Keys of a file of used-up keys: one a line, blank lines and comments left out, each once."""
+    lines = (line.split("#", 1)[0].strip() for line in text.splitlines())
+    return list(dict.fromkeys(x for x in lines if x))
 
 
 def prompt_sheet(spark, template: str) -> DataFrame:

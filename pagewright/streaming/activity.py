@@ -34,7 +34,10 @@ def to_table(df: DataFrame, name: str, checkpoint: str, mode: str = "update", on
 
 
 def upsert_batches(df: DataFrame, path: str, key: str, checkpoint: str) -> StreamingQuery:
-    """Keep a Parquet table with the last row of each key; each batch rewrites a new version folder, so a repeated batch changes nothing."""
+    """Keep a Parquet table with the last row of each key; each batch writes a new version folder, so a repeated batch changes nothing.
+
+    The version before stays, for a batch that is repeated; older ones go.
+    """
 
     def write(batch: DataFrame, version: int) -> None:
         spark = batch.sparkSession
@@ -44,5 +47,8 @@ def upsert_batches(df: DataFrame, path: str, key: str, checkpoint: str) -> Strea
             kept = spark.read.schema(batch.schema).parquet(old).join(batch.select(key), key, "left_anti")
             rows = kept.unionByName(batch)
         rows.write.mode("overwrite").parquet(f"{path}/v={version}")
+        if version > 1 and (jvm := getattr(spark, "_jvm", None)) is not None:
+            old = jvm.org.apache.hadoop.fs.Path(f"{path}/v={version - 2}")
+            old.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(old, True)
 
     return df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

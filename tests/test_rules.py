@@ -113,7 +113,7 @@ def test_lookalikes_skip_code_and_need_company(spark):
 
 def test_html_text(spark):
     rows = [
-        ("<p>a &eacute;&#233;&amp;lt;</p>< BR / >b\u00a0 c<td>d</td>\n\n  e", " HTML ", "a éé&lt;\n\nb\u00a0 c d \n\n e".replace("d \n", "d\n")),
+        ("<p>a &eacute;&#233;&amp;lt;</p>< BR / >b\u00a0 c<td>d</td>\n\n  e", " HTML ", "a éé&lt;\n\nb\u00a0 c d\n\ne"),
         ("<b>x</b> &amp;", "markdown", "<b>x</b> &amp;"),
         (None, "html", ""),
         ("y" * 5000, "html", "y" * 4000),
@@ -158,18 +158,25 @@ def test_providers(spark):
     assert [r.page_id for r in found.collect()] == [1]
 
     def make():
-        seen = []
+        left = {"k1": 1, "k2": 0}  # calls before a key is over its quota
 
-        def call(prompt):
-            seen.append(prompt)
-            if prompt == "bad" or len(seen) == 1:
+        def call(key, prompt):
+            if prompt == "bad":
                 raise RuntimeError("503")
+            if key in left and left[key] == 0:
+                raise RuntimeError("429: quota per day" if key == "k2" else "rate limit")
+            left[key] = left.get(key, 9) - 1
             return prompt.upper()
 
         return call
 
-    crops = spark.createDataFrame([(1, "ok"), (2, "bad")], "layout_id long, prompt string").coalesce(1)
-    assert {r.layout_id: (r.raw, r.error, r.requests) for r in providers.transcribed(crops, make).collect()} == {1: ("OK", None, 2), 2: (None, "503", 3)}
+    crops = spark.createDataFrame([(1, "ok"), (2, "bad"), (3, "more")], "layout_id long, prompt string").coalesce(1)
+    got = {r.layout_id: (r.raw, r.error, r.calls) for r in providers.transcribed(crops, make, ("k1", "k2")).collect()}
+    assert got == {1: ("OK", None, 1), 2: (None, "503", 2), 3: (None, "rate limit", got[3][2])}
+    got = {r.layout_id: (r.raw, r.used_key) for r in providers.transcribed(crops.where("layout_id <> 2"), make, ("k1", "k2", "k3"), exhausted=("k3",)).collect()}
+    assert got == {1: ("OK", "k1"), 3: ("MORE", "k3")}  # the pool is tried again once all others are out
+    assert providers.transcribed(crops.where("layout_id = 1"), make, ()).first().error == "no usable key"
+    assert providers.exhausted_keys("a\n\n b # old\n#c\na\n") == ["a", "b"]
     with pytest.raises(ValueError, match="placeholders"):
         providers.rendered_prompt("{what}", F.lit(""), F.lit(""), F.lit(""))
 
@@ -212,3 +219,138 @@ def test_dataset_lines(spark, tmp_path):
     dataset.write_dataset(pages, str(tmp_path / "out"))
     lines = [json.loads(x) for f in (tmp_path / "out").glob("*.json") for x in f.read_text().splitlines()]
     assert len(lines) == 3 and all([i["order"] for i in p["items"]] == sorted(i["order"] for i in p["items"]) for p in lines)
+
+
+def test_discovery_takes_files_one_after_the_other(spark):
+    """Renames free a path for new files only if they come first in the order of hashes."""
+    known = spark.createDataFrame([(1, "a.png", "X", False), (2, "b.png", "M", True), (3, "c.png", "Q", False)], "page_id long, rel_path string, file_hash string, is_missing boolean")
+
+    def actions(*files):
+        found = spark.createDataFrame(files, "rel_path string, file_hash string")
+        return {(r.page_id, r.rel_path, r.action) for r in inventory.reconcile(found, known).collect()}
+
+    late = actions(("b2.png", "X"), ("a.png", "Y"))
+    assert late == {(1, "b2.png", "renamed"), (None, "a.png", "inserted"), (3, "c.png", "missing")}
+    early = actions(("b2.png", "X"), ("a.png", "A"))
+    assert early == {(1, "a.png", "rehashed"), (None, "b2.png", "inserted"), (3, "c.png", "missing")}
+    # A takes page 1; X is without a page and takes page 2 at b.png only if M's file, which is page 2's own, comes later; M < X, so page 2 has gone to z.png
+    assert actions(("a.png", "A"), ("b.png", "X"), ("z.png", "M"), ("c.png", "Q")) == {(1, "a.png", "rehashed"), (None, "b.png", "inserted"), (2, "z.png", "renamed"), (3, "c.png", "unchanged")}
+    assert actions(("b.png", "M")) == {(2, "b.png", "revived"), (1, "a.png", "missing"), (3, "c.png", "missing")}
+
+
+def test_discovery_equals_taking_files_in_turn(spark):
+    import random
+
+    r = random.Random(5)
+    for _ in range(6):
+        n = 12
+        hashes, paths = [f"h{i:02d}" for i in range(n)], [f"p{i:02d}" for i in range(n)]
+        known = [(i, p, h, r.random() < 0.3) for i, (p, h) in enumerate(zip(r.sample(paths, 8), r.sample(hashes, 8)), 1)]
+        files = list(zip(r.sample(paths, 9), r.sample(hashes, 9)))
+        pages = {i: [p, h] for i, p, h, _ in known}
+        by_hash, by_path = {h: i for i, _, h, _ in known}, {p: i for i, p, _, _ in known}
+        want = set()
+        for path, h in sorted(files, key=lambda f: f[1]):
+            if h in by_hash:
+                i = by_hash[h]
+                if pages[i][0] != path:
+                    by_path.pop(pages[i][0], None)
+                pages[i][0] = path
+                by_path[path] = i
+            elif path in by_path:
+                i = by_path[path]
+                by_hash.pop(pages[i][1], None)
+                pages[i][1] = h
+                by_hash[h] = i
+            else:
+                i = None
+            want.add((i, path, h))
+        seen = {i for i, _, _ in want}
+        want |= {(i, p, h) for i, p, h, gone in known if i not in seen and not gone}
+        got = inventory.reconcile(spark.createDataFrame(files, "rel_path string, file_hash string"), spark.createDataFrame(known, "page_id long, rel_path string, file_hash string, is_missing boolean"))
+        assert {(x.page_id, x.rel_path, x.file_hash) for x in got.collect()} == want
+
+
+def test_duplicates_stay_recorded(spark):
+    files = spark.createDataFrame([("a.png", "X"), ("b.png", "X"), ("c.png", "X")], "rel_path string, file_hash string")
+    matched = spark.createDataFrame([(7, "a.png", "X", "unchanged")], "page_id long, rel_path string, file_hash string, action string")
+    recorded = spark.createDataFrame([("b.png", "old", 1), ("z.png", "Z", 2)], "rel_path string, file_hash string, canonical_page_id long")
+    got = {tuple(r) for r in inventory.duplicates(files, matched, recorded).collect()}
+    assert got == {("b.png", "X", 7, True), ("c.png", "X", 7, True), ("z.png", "Z", 2, False)}
+
+
+def test_reviews_by_cases(spark):
+    from pagewright.operators import review
+
+    pages = spark.createDataFrame([(1, "layout_detected", False), (2, "ocr_reviewed", False), (3, "new", False), (4, "ocr_done", True), (5, "layout_detected", False), (6, "LAYOUT_REVIEWED", False)], "page_id long, status string, is_missing boolean")
+    layouts = spark.createDataFrame(
+        [(1, 11, "text", "2"), (1, 12, "picture", "2"), (2, 21, "text", "1"), (2, 22, "caption", "1"), (2, 23, "table", "1"), (4, 41, "text", "1"), (5, 51, "picture", "1"), (6, 61, "caption", "1"), (6, 62, "text", "1")],
+        "page_id long, layout_id long, cls string, updated_at string",
+    )
+    outputs = spark.createDataFrame(
+        [(1, 11, "footnote", "markdown", "ok", "1"), (1, 12, "picture", "skip", "skip", "3"), (2, 21, "text", "markdown", "manual", "1"), (2, 22, "caption", "markdown", "ok", "2"), (2, 23, "table", "html", "ok", "2"), (6, 61, "caption", "markdown", "failed", "2")],
+        "page_id long, layout_id long, class_name string, output_format string, extraction_status string, updated_at string",
+    )
+    bindings = spark.createDataFrame([(22, 23), (61, 62), (61, 23)], "caption_layout_id long, target_layout_id long")
+    states = {r.layout_id: r.state for r in review.judged_outputs(layouts, outputs).collect()}
+    assert states == {11: "preserved", 12: "mismatch", 21: "ok", 22: "ok", 23: "ok", 41: "none", 51: "none", 61: "failed", 62: "none"}
+    got = {r.page_id: (r.verdict, r.invalid, r.missing, r.next_status) for r in review.layout_reviews(pages, layouts, outputs, bindings).collect()}
+    assert got == {
+        1: ("accepted", 1, 0, "ocr_done"), 2: ("accepted", 0, 0, "ocr_reviewed"), 3: ("no layouts", None, None, None), 4: ("page missing", None, None, None),
+        5: ("accepted", 0, 0, "layout_reviewed"), 6: ("unbound captions", None, None, None),
+    }
+    got = {r.page_id: r.verdict for r in review.output_reviews(pages, layouts, outputs).collect()}
+    assert got == {1: "state", 2: "accepted", 3: "state", 4: "page missing", 5: "state", 6: "state"}
+    ready = pages.withColumn("status", F.lit("layout_reviewed")).withColumn("is_missing", F.lit(False))
+    got = {r.page_id: r.verdict for r in review.output_reviews(ready, layouts, outputs).collect()}
+    assert got == {1: "open outputs", 2: "accepted", 3: "no layouts", 4: "no outputs", 5: "no outputs", 6: "failed outputs"}
+
+
+def test_ascii_json_and_the_event_log(spark, tmp_path):
+    from pagewright.operators import lifecycle
+
+    rows = [("é\U0001f600", 1, None), ('a"b\\', 2, "x"), ("", None, None)]
+    df = spark.createDataFrame(rows, "a string, b int, c string")
+    for row, got in zip(rows, df.select(lifecycle.ascii_json(F.struct("a", "b", "c")).alias("j")).collect()):
+        assert got.j == json.dumps(dict(zip("abc", row)), ensure_ascii=True, separators=(",", ":"))
+    events = spark.createDataFrame([("t", "discovery", "scan", 5, "m", "ü")], "ts string, stage string, event_type string, page_id long, message string, d string")
+    for _ in range(2):
+        lifecycle.append_events(lifecycle.event_rows(events, F.struct("d")), str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    assert log.count() == 2 and log.first().data_json == '{"d":"\\u00fc"}'
+
+
+def test_events_move_pages_once(spark):
+    from pagewright.operators import lifecycle
+
+    pages = spark.createDataFrame([(1, "new", False), (2, "new", True)], "page_id long, status string, is_missing boolean")
+    events = spark.createDataFrame(
+        [(4, 1, "layout_detect", "job_started", False), (5, 1, "layout_detect", "job_completed", False), (6, 2, "layout_detect", "job_completed", False), (7, 1, "layout_benchmark", "job_failed", False)],
+        "id long, page_id long, stage string, event_type string, skipped boolean",
+    )
+    state = lambda last: ({r.page_id: (r.status, r.changed) for r in lifecycle.applied_events(pages, events, last)[0].collect()}, lifecycle.applied_events(pages, events, last)[1])
+    assert state(4) == ({1: ("layout_detected", True), 2: ("new", False)}, 7)
+    assert state(7) == ({1: ("new", False), 2: ("new", False)}, 7)
+    assert state(99) == ({1: ("layout_detected", True), 2: ("new", False)}, 7)  # the log was begun anew
+    tables = {"pages": pages, "events": events}
+    left = lifecycle.without_pages(tables | {"pages": pages.withColumn("rel_path", F.lit("p"))}, pages.where("page_id = 1"))
+    assert left["pages"].count() == 1 and left["events"].where("page_id IS NULL").count() == 3
+    empty, counts = lifecycle.wiped(tables)
+    assert empty["events"].count() == 0 and tuple(counts.first()) == (2, 4)
+
+
+def test_orders_of_other_ids_are_refused(spark):
+    from pagewright.operators import orders
+
+    rows = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (2, 20, 1), (2, 21, 2)], "page_id long, layout_id long, reading_order int")
+    wanted = spark.createDataFrame([(1, [11, 10, 11]), (2, [21, 20, 99])], "page_id long, ids array<long>")
+    assert {(r.layout_id, r.new_order, r.changed, r.accepted) for r in orders.applied(rows, wanted).collect()} == {(10, 2, True, True), (11, 1, True, True), (20, 1, False, False), (21, 2, False, False)}
+    keys = spark.createDataFrame([(x,) for x in ("p2", "P10", "p002b", "p" + "9" * 30, "p1" + "0" * 30)], "p string").select(orders.natural_key(F.col("p")).alias("k"), "p").orderBy("k").collect()
+    assert [r.p for r in keys] == ["p2", "p002b", "P10", "p" + "9" * 30, "p1" + "0" * 30]
+
+
+def test_headings_by_plain_rules(spark):
+    """Whole contents as headings, against rules written out."""
+    rows = [("# **Title**.\nmore",), ("\n\n *a* b",), ("__x__ \n",), (None,), ("   ",), ("### ",), ("plain\r\nnext",)]
+    got = [r.h for r in spark.createDataFrame(rows, "c string").select(T.with_heading_level(F.col("c"), F.lit(3)).alias("h")).collect()]
+    assert got == ["### Title.\nmore", "### *a* b", "### x", "", "", "### ###", "### plain\nnext"]
