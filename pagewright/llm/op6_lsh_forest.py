@@ -7,14 +7,17 @@ prefixes are measured on the way. Candidates are, for each document, the one of
 its neighbours in all trees that shares the longest prefix, and the least
 document of all its regions. Connected components of the confirmed links settle most regions (runs
 that share DEPTHS[0] values) for good. A region that still has several
-components is compared across them if it is sparse; if it is crowded, its
-documents are ordered anew by longer prefixes, with as many trees as make up for
-the length, until regions are sparse or the last depth is reached. Pairs are
-looked at only if their sizes allow the similarity and their signatures' last
-bits, and in crowded regions their least shingle hashes, do not rule it out.
-
-The chance that a link of the least similarity is never compared is below 1e-6
-at each depth; there is no cap on partners or candidates.
+components is compared across them if it is sparse; where it is crowded,
+so are the deeper runs in it, of DEPTHS[1] values, that are sparse. Documents of
+crowded regions are besides looked up in an exact index of their rarest
+shingles: two sets of the least similarity share one among as many of the rarest
+as either may have to itself. So crowding costs no link, and depth none either.
+Pairs are looked at only if their sizes allow the similarity and their
+signatures' last bits, in the index their least shingle hashes, do not rule it
+out.
+
+The chance that a link of the least similarity is never compared is below 1e-6;
+there is no cap on partners or candidates.
 
 Equal sets are one class from the start. Links are confirmed on full shingle
 sets (64-bit hashes of shingles, no signature estimate).
@@ -41,8 +44,8 @@ from .blocks import LOWER, U, block_words, bounded, counted_join, discarded, has
 
 NAME = "op6_lsh_forest_dedup"
 SHINGLE, VALUES = 3, 256
-DEPTHS, MISS = (4, 8, 16), 4e-7  # values that a region shares, deeper where it is crowded; chance that a pair of the least similarity shares no region
-PATH = 8  # values of the first orders that are sorted by
+DEPTHS, MISS = (4, 8), 4e-7  # values that a region shares, more where it is crowded; chance that a pair of the least similarity shares no region of the first depth
+COUNTERS = 1 << 20  # numbers of hashed shingles by which rare ones are told from others
 DENSE = 32  # documents of a region that is not crowded
 SKETCH = 1024  # least shingle hashes by which documents of crowded regions are compared; most documents have fewer in all
 _rng = np.random.default_rng(6)
@@ -52,14 +55,10 @@ _XOR = _rng.integers(0, 2**32, VALUES, dtype=np.uint64).astype(np.uint32)
 
 
 
-def orders(percent: int, depth: int = DEPTHS[0], length: int | None = None) -> np.ndarray:
-    """The trees' orders of signature values, one a row: as many trees as the chance to miss asks for, at depth 4 20 for 85 per cent and 28 for 80."""
-    trees = math.ceil(math.log(MISS) / math.log(1 - (min(percent, 99) / 100) ** depth))
-    length = length or depth
-    if depth == DEPTHS[0]:  # each value is a region's once before any is so again
-        return np.array([[(t * depth + j) % VALUES for j in range(length)] for t in range(trees)])
-    draw = np.random.default_rng(depth)
-    return np.array([draw.permutation(VALUES)[:length] for _ in range(trees)])
+def orders(percent: int) -> np.ndarray:
+    """The trees' orders of signature values, one a row: as many trees as the chance to miss asks for, 20 at 85 per cent and 28 at 80."""
+    trees = math.ceil(math.log(MISS) / math.log(1 - (min(percent, 99) / 100) ** DEPTHS[0]))
+    return np.array([[(t * DEPTHS[0] + j) % VALUES for j in range(DEPTHS[-1])] for t in range(trees)])
 
 
 def most_odd_bits(percent: int) -> int:
@@ -266,21 +265,44 @@ def components(links: DataFrame, name: str) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def _sketched(batches, k: int):
-    """The least SKETCH shingle hashes of each document, cut to 32 bits, and the number of all."""
+def _sets(batches, k: int):
+    """All shingle hashes of each document, cut to 32 bits, in order, and their number."""
     for batch in batches:
-        rep = batch.column(0)
-        buf, offsets = text_buffer(batch.column(1))
+        buf, offsets = text_buffer(batch.column(2))
         for first, end, row, h in shingle_sets(buf, offsets, k):
-            m = end - first
             value = (h >> U(32)).astype(np.uint32).view(np.int32)
             order = np.lexsort((value, row))
-            row, value = row[order], value[order]
-            count = np.bincount(row, minlength=m)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            keep = place < SKETCH
-            bounds = np.concatenate(([0], np.cumsum(np.minimum(count, SKETCH)))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([rep.slice(first, m), pa.array(count.astype(np.int64)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(value[keep]))], names=["rep", "n", "sketch"])
+            bounds = np.searchsorted(row, np.arange(end - first + 1)).astype(np.int32)
+            sets = pa.ListArray.from_arrays(pa.array(bounds), pa.array(value[order]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first), pa.array(np.diff(bounds).astype(np.int64)), sets], names=["rep", "c", "n", "hashes"])
+
+
+def _counter_of(value: np.ndarray) -> np.ndarray:
+    return (mix(value.astype(np.int64).view(np.uint64)) % U(COUNTERS)).astype(np.int64)
+
+
+def _tallied(batches):
+    """How many documents have a shingle of each counter."""
+    total = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        total += np.bincount(_counter_of(batch.column(0).flatten().to_numpy()), minlength=COUNTERS)
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["counter", "n"])
+
+
+def _rarest(batches, percent: int, total: np.ndarray):
+    """A row for each of a document's rarest shingles: as many as make sure that any set of the least similarity has one of them among its own."""
+    for batch in batches:
+        flat = batch.column(3).flatten().to_numpy()
+        size = pa.compute.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(batch)), size)
+        order = np.lexsort((flat, total[_counter_of(flat)], row))
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        own = (size - (size * percent + 99) // 100 + 1)[row]
+        keep = place < own
+        rows = pa.array(row[keep])
+        sketch = pa.compute.list_slice(batch.column(3), 0, SKETCH)
+        yield pa.RecordBatch.from_arrays([pa.array(flat[order][keep].astype(np.int64)), *(batch.column(i).take(rows) for i in (0, 1, 2)), sketch.take(rows)], names=["region", "rep", "c", "n", "sketch"])
 
 
 def _sketch_alike(percent: int) -> Column:
@@ -295,7 +317,7 @@ def _sketch_alike(percent: int) -> Column:
 
 
 def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components within a region; members: region, rep, c, n_shingles, bits, and where regions are crowded n and sketch.
+    """Pairs (a, b) of different components within a region; members: region, rep, c, and n_shingles and bits, or n and sketch.
 
     What is outside a region's largest component is paired with all others in
     it: pairs within a component need no comparison. What cannot be similar is
@@ -307,53 +329,43 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
     names = [c for c in members.columns if c != "region"]
     x = open_.where("c <> main").select("region", *[F.col(k).alias(f"x_{k}") for k in names])
     y = open_.select("region", "main", *[F.col(k).alias(f"y_{k}") for k in names])
-    odd = sum((F.bit_count(F.col(f"x_{k}").bitwiseXOR(F.col(f"y_{k}"))) for k in _BITS), F.lit(0))
-    alike = F.least("x_n_shingles", "y_n_shingles") * 100 >= F.greatest("x_n_shingles", "y_n_shingles") * percent
-    wanted = (x["region"] == y["region"]) & (F.col("x_c") != F.col("y_c")) & ((F.col("y_c") == F.col("main")) | (F.col("x_rep") < F.col("y_rep"))) & alike & (odd <= most_odd_bits(percent))
+    wanted = (x["region"] == y["region"]) & (F.col("x_c") != F.col("y_c")) & ((F.col("y_c") == F.col("main")) | (F.col("x_rep") < F.col("y_rep")))
+    n = "n" if "sketch" in names else "n_shingles"
+    wanted &= F.least(f"x_{n}", f"y_{n}") * 100 >= F.greatest(f"x_{n}", f"y_{n}") * percent
     if "sketch" in names:
         wanted &= _sketch_alike(percent)
+    else:
+        wanted &= sum((F.bit_count(F.col(f"x_{k}").bitwiseXOR(F.col(f"y_{k}"))) for k in _BITS), F.lit(0)) <= most_odd_bits(percent)
     return x.join(y, wanted).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
 
 
-def _replanted(batches, trees: np.ndarray):
-    """For each tree the region of each document, by the values that it has to share, with all that is known of the document."""
-    for batch in batches:
-        names = [n for n in batch.schema.names if n != "sig"]
-        sig = _signatures(batch.column(batch.schema.get_field_index("sig"))).astype(np.uint64)
-        for first in range(0, len(trees), 8):
-            rows = trees[first : first + 8]
-            region = []
-            for t, order in enumerate(rows, first + 1):
-                h = np.full(len(sig), t, np.uint64)
-                for value in order:
-                    h = mix(h * U(0x9FB21C651E98DF25) + sig[:, value])
-                region.append(h.view(np.int64))
-            known = [batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(region)), *(pa.array(np.tile(x, len(rows))) for x in known)], names=["region", *names])
-
-
-def _open_pairs(first: DataFrame, reps: DataFrame, docs: DataFrame, comp: DataFrame, k: int, percent: int) -> list[DataFrame]:
-    """Pairs across the components of each region, by longer prefixes where it is crowded; first: the regions (region, rep) of the first depth."""
-    known = ["rep", "c", "n_shingles", *_BITS]
-    placed = staged(first.join(comp, F.col("rep") == F.col("node"), "left").select("region", "rep", F.coalesce("component", "rep").alias("c")), "placed")
-    found, sketch = [], None
-    for level, depth in enumerate(DEPTHS):
+def _open_pairs(forest: DataFrame, reps: DataFrame, docs: DataFrame, comp: DataFrame, k: int, percent: int) -> list[DataFrame]:
+    """Pairs across the components of each region: of sparse ones as they are, of crowded ones by deeper runs and by rare shingles; forest: path, rep."""
+    size = reps.select("rep", "n_shingles", *_BITS)
+    placed = forest.join(comp, F.col("rep") == F.col("node"), "left").select("path", "rep", F.coalesce("component", "rep").alias("c"))
+    found, crowded = [], None
+    for depth in DEPTHS:
+        placed = placed.withColumn("region", F.xxhash64(F.substring("path", 1, 2 * depth + 2)))
+        if crowded is not None:
+            placed = placed.join(crowded.select(F.col("region").alias("outer")), "outer", "left_semi")
+        placed = staged(placed, "placed")
         open_ = placed.groupBy("region").agg(F.count("*").alias("crowd"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
         open_ = staged(open_.select("region", "crowd"), "open")
-        last = depth == DEPTHS[-1]
-        members = placed.join((open_ if last else open_.where(F.col("crowd") <= DENSE)).select("region"), "region")
-        members = members.join(sketch, "rep") if level else members.join(reps.select("rep", "n_shingles", *_BITS), "rep")
-        found.append(staged(_across(staged(members, "members"), percent), "cross"))
-        crowded = open_.where(F.col("crowd") > DENSE)
-        if last or crowded.isEmpty():
-            break
-        dense = staged(placed.join(crowded.select("region"), "region").select("rep", "c").distinct(), "dense")
-        if sketch is None:  # of what is crowded at the first depth; what is so later is among it
-            texts = docs.withColumnRenamed("doc_id", "rep").join(bounded(dense.select("rep")), "rep", "left_semi")
-            sketch = staged(texts.mapInArrow(lambda it: _sketched(it, k), "rep long, n long, sketch array<int>"), "sketch")
-        trees = orders(percent, DEPTHS[level + 1])
-        schema = "region long, " + ", ".join(f"{x} long" for x in known)
-        placed = staged(reps.join(dense, "rep").select(*known, "sig").mapInArrow(lambda it, trees=trees: _replanted(it, trees), schema), "placed")
+        members = placed.join(open_.where(F.col("crowd") <= DENSE).select("region"), "region").join(size, "rep")
+        found.append(staged(_across(staged(members.select("region", "rep", "c", "n_shingles", *_BITS), "members"), percent), "cross"))
+        if crowded is None:
+            crowded = open_.where(F.col("crowd") > DENSE)
+            if crowded.isEmpty():
+                return found
+            dense = staged(placed.join(crowded.select("region"), "region").select("rep", "c").distinct(), "dense")
+        placed = placed.withColumnRenamed("region", "outer")
+    texts = docs.withColumnRenamed("doc_id", "rep").join(bounded(dense), "rep").select("rep", "c", "text")
+    sets = staged(texts.mapInArrow(lambda it: _sets(it, k), "rep long, c long, n long, hashes array<int>"), "sets")
+    total = np.zeros(COUNTERS, np.int64)
+    for r in sets.select("hashes").mapInArrow(_tallied, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).collect():  # at most COUNTERS rows
+        total[r.counter] = r.n
+    rare = sets.mapInArrow(lambda it: _rarest(it, percent, total), "region long, rep long, c long, n long, sketch array<int>")
+    found.append(staged(_across(staged(rare, "rare"), percent), "cross"))
     return found
 
 
@@ -369,7 +381,7 @@ def near_dedup(docs: DataFrame, k: int = SHINGLE, percent: int = 85) -> DataFram
     known = signed.where("fp is not null and doc_id is not null")
     classes = staged(known.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
     reps = known.withColumnRenamed("doc_id", "rep").join(classes.select("fp", "rep"), ["fp", "rep"], "left_semi").dropDuplicates(["fp"])
-    trees = orders(percent, length=PATH)
+    trees = orders(percent)
     forest = staged(reps.select("rep", "sig").mapInArrow(lambda it: _planted(it, trees), "path binary, rep long"), "forest")
     pairs = staged(near_pairs(forest, DEPTHS[0]).distinct(), "pairs")
     ids = texts.where(F.col("doc_id").isNotNull())
@@ -378,8 +390,7 @@ def near_dedup(docs: DataFrame, k: int = SHINGLE, percent: int = 85) -> DataFram
     same = several.select("doc_id", F.explode("fps").alias("fp")).join(classes.select("fp", "rep"), "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = staged(_links(pairs, ids, k, percent).unionByName(same.where("a <> b")), "links")
     comp = components(links, "stars")
-    regions = forest.select(F.xxhash64(F.substring("path", 1, 2 * DEPTHS[0] + 2)).alias("region"), "rep")
-    found = _open_pairs(regions, reps, ids, comp, k, percent)
+    found = _open_pairs(forest, reps, ids, comp, k, percent)
     cross = found[0]
     for more in found[1:]:
         cross = cross.unionByName(more)
