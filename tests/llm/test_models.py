@@ -357,6 +357,44 @@ def test_odd_tables(spark, rows):
     assert op4.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+ODD = (
+    [],
+    [(None, None), *((None, " ".join(f"{x}{i}" for i in range(30))) for x in "abcd")],
+    [(3, " ".join(f"w{i}" for i in range(40))), (3, " ".join(f"w{i}" for i in range(40))), (4, " ".join(f"w{i}" for i in range(40)) + " x"), (5, ""), (6, None)],
+)
+
+
+@pytest.mark.parametrize("rows", ODD)
+def test_pipeline_stages_stand_odd_tables(spark, rows):
+    """Empty tables, null and repeated ids, empty texts, ties and columns of clashing names."""
+    import corpus_pipeline
+
+    docs = frame(spark, rows)
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = blocks.staged(stage(spark, docs, SF), name)
+        assert docs.columns == names
+    kept = [(r.doc_id, r.text) for r in docs.collect()]
+    assert len(kept) <= len(rows)
+    if rows is ODD[1]:
+        assert sorted(t for _, t in kept) == [t for _, t in rows[1:]]
+    if rows is ODD[2]:  # rows of one id are one document; the near copy of larger id goes
+        assert {d for d, _ in kept} == {3}
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert sum(p.length for p in pieces) == sum(len(t) + 1 for t in tokens([t for _, t in kept]))
+
+
+def test_very_long_texts_and_ties(spark):
+    """Whole texts are encoded and scored; documents of one key on the curve are packed one after the other."""
+    long = " ".join(f"w{i % 977}" for i in range(150_000))
+    rows = [(1, long), (2, "tie of keys"), (3, "tie of keys"), (4, "tie of keys"), (5, None)]
+    check_packing(rows, op8.pack(frame(spark, rows)).collect())
+    n = Counter(len(t) for t in tokens([t for _, t in rows]))
+    assert {r.length: r.n_docs for r in op10.length_histogram(frame(spark, rows)).collect()} == n
+    scores = {r.doc_id: (r.n_tokens, r.score) for r in op7.language_scores(frame(spark, rows), states=2, rounds=1).collect()}
+    assert scores[1][0] == 150_001 and all(s < 0 and math.isfinite(s) for _, s in scores.values()) and scores[2] == scores[3] == scores[4]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from fixtures import near_components, removed_words
