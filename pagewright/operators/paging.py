@@ -21,7 +21,10 @@ def page_after(df: DataFrame, key: str, tie: str, descending: bool = False, afte
 
 
 def all_pages(df: DataFrame, key: str, tie: str, limit: int = 200):
-    """Follow the cursors to the end, a bounded page at a time."""
+    """Follow the cursors to the end, a bounded page at a time.
+
+    A loop of a client, for as many rows as a screen can hold: each page sorts what is left of the table.
+    """
     after = None
     while True:
         rows = page_after(df, key, tie, after=after, limit=limit).collect()
@@ -39,8 +42,8 @@ def cursor(sort: str, direction: str, value: Column, tie: Column) -> Column:
 
 
 def decoded(c: Column, sort: str, direction: str) -> Column:
-    """The parts of a cursor; null if it is not valid or belongs to another order."""
+    """The parts of a cursor; null if it is not valid, has no positive id or belongs to another order."""
     padded = F.concat(c, F.repeat(F.lit("="), F.pmod(-F.length(c), F.lit(4))))
     raw = F.try_to_binary(F.translate(padded, "-_", "+/"), F.lit("base64"))
     parts = F.from_json(F.decode(raw, "UTF-8"), "s string, d string, v string, i long")
-    return F.when((parts["s"] == sort) & (parts["d"] == direction) & parts["i"].isNotNull(), parts)
+    return F.when((parts["s"] == sort) & (parts["d"] == direction) & (parts["i"] > 0), parts)

@@ -169,8 +169,8 @@ def hard_pages(spark, sf):
     return pages.where("hard_class OR many")
 
 
-@query("list_rows", "SELECT job_id, list_sort(list_distinct(list_filter(CAST(json_extract(payload_json, '$.layout_ids') AS BIGINT[]), lambda x: x > 0))) AS ids FROM {d_jobs} WHERE payload_json LIKE '{{%'")
+@query("list_rows", "SELECT job_id, list_filter(l, lambda x, i: x > 0 AND list_position(l, x) = i) AS ids FROM (SELECT job_id, list_reverse(CAST(json_extract(payload_json, '$.layout_ids') AS BIGINT[])) AS l FROM {d_jobs} WHERE payload_json LIKE '{{%')")
 def list_rows(spark, sf):
-    """Positive ids, each once; parsed from the JSON list."""
+    """Positive ids, each once where it is first seen; parsed from the JSON list, which is read from its end here so that it is not in order."""
     ids = N.json_object(F.col("payload_json"), "layout_ids array<long>")["layout_ids"]
-    return frame(spark, sf, "d_jobs").where(F.col("payload_json").startswith("{")).select("job_id", F.array_sort(F.array_distinct(F.filter(ids, lambda x: x > 0))).alias("ids"))
+    return frame(spark, sf, "d_jobs").where(F.col("payload_json").startswith("{")).select("job_id", F.array_distinct(F.filter(F.reverse(ids), lambda x: x > 0)).alias("ids"))

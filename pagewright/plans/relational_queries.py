@@ -283,7 +283,7 @@ def page_cursors(spark, sf):
     return frame(spark, sf, "d_pages").select("page_id", cursor("rel_path", "asc", F.col("rel_path"), F.col("page_id")).alias("cursor"))
 
 
-@query("decoded_cursors", "SELECT page_id, rel_path AS value, page_id AS id, true AS valid FROM {d_pages}")
+@query("decoded_cursors", "SELECT page_id, CASE WHEN page_id > 0 THEN rel_path END AS value, CASE WHEN page_id > 0 THEN page_id END AS id, page_id > 0 AS valid FROM {d_pages}")
 def decoded_cursors(spark, sf):
     from ..operators.paging import cursor, decoded
 
