@@ -291,7 +291,7 @@ def _tallied(batches):
 
 
 def _rarest(batches, percent: int, total: np.ndarray):
-    """A row for each of a document's rarest shingles: as many as make sure that any set of the least similarity has one of them among its own."""
+    """A row for each of a document's rarest shingles, with its place from the rarest on: as many as make sure that any set of the least similarity has one of them among its own."""
     for batch in batches:
         flat = batch.column(3).flatten().to_numpy()
         size = pa.compute.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -302,7 +302,7 @@ def _rarest(batches, percent: int, total: np.ndarray):
         keep = place < own
         rows = pa.array(row[keep])
         sketch = pa.compute.list_slice(batch.column(3), 0, SKETCH)
-        yield pa.RecordBatch.from_arrays([pa.array(flat[order][keep].astype(np.int64)), *(batch.column(i).take(rows) for i in (0, 1, 2)), sketch.take(rows)], names=["region", "rep", "c", "n", "sketch"])
+        yield pa.RecordBatch.from_arrays([pa.array(flat[order][keep].astype(np.int64)), *(batch.column(i).take(rows) for i in (0, 1, 2)), pa.array(place[keep]), sketch.take(rows)], names=["region", "rep", "c", "n", "place", "sketch"])
 
 
 def _sketch_alike(percent: int) -> Column:
@@ -317,7 +317,7 @@ def _sketch_alike(percent: int) -> Column:
 
 
 def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components within a region; members: region, rep, c, and n_shingles and bits, or n and sketch.
+    """Pairs (a, b) of different components within a region; members: region, rep, c, and n_shingles and bits, or n, place and sketch.
 
     What is outside a region's largest component is paired with all others in
     it: pairs within a component need no comparison. What cannot be similar is
@@ -333,6 +333,9 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
     n = "n" if "sketch" in names else "n_shingles"
     wanted &= F.least(f"x_{n}", f"y_{n}") * 100 >= F.greatest(f"x_{n}", f"y_{n}") * percent
     if "sketch" in names:
+        # at the rarest shingle that two sets share, all that they share is still to come
+        left = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
+        wanted &= left * (100 + percent) >= percent * (F.col("x_n") + F.col("y_n"))
         wanted &= _sketch_alike(percent)
     else:
         wanted &= sum((F.bit_count(F.col(f"x_{k}").bitwiseXOR(F.col(f"y_{k}"))) for k in _BITS), F.lit(0)) <= most_odd_bits(percent)
@@ -364,7 +367,7 @@ def _open_pairs(forest: DataFrame, reps: DataFrame, docs: DataFrame, comp: DataF
     total = np.zeros(COUNTERS, np.int64)
     for r in sets.select("hashes").mapInArrow(_tallied, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).collect():  # at most COUNTERS rows
         total[r.counter] = r.n
-    rare = sets.mapInArrow(lambda it: _rarest(it, percent, total), "region long, rep long, c long, n long, sketch array<int>")
+    rare = sets.mapInArrow(lambda it: _rarest(it, percent, total), "region long, rep long, c long, n long, place long, sketch array<int>")
     found.append(staged(_across(staged(rare, "rare"), percent), "cross"))
     return found
 

@@ -193,9 +193,11 @@ def test_rare_shingles_miss_no_link(spark):
     total[tally.column(0).to_numpy()] = tally.column(1).to_numpy()
     assert total.sum() == sum(map(len, sets))
     got = next(iter(op6_lsh_forest._rarest([rows], 85, total)))
-    has = [set() for _ in range(60)]
-    for token, rep in zip(got.column(0).to_pylist(), got.column(1).to_pylist()):
+    has, tokens, place = [set() for _ in range(60)], [[] for _ in range(60)], [[] for _ in range(60)]
+    for token, rep, at in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), got.column(4).to_pylist()):
         has[rep].add(token)
+        tokens[rep].append(token)
+        place[rep].append(at)
     links = 0
     for i in range(60):
         assert len(has[i]) == len(sets[i]) - -(-85 * len(sets[i]) // 100) + 1
@@ -204,6 +206,9 @@ def test_rare_shingles_miss_no_link(spark):
             if 100 * common >= 85 * (len(sets[i]) + len(sets[j]) - common):
                 links += 1
                 assert has[i] & has[j]
+                # the rarest common one leaves room for all that they share
+                places = [dict(zip(t, p)) for t, p in ((tokens[x], place[x]) for x in (i, j))]
+                assert max(min(len(sets[x]) - at[t] for x, at in zip((i, j), places)) for t in has[i] & has[j]) >= common
     assert links > 50
 
 
