@@ -148,9 +148,9 @@ _FENCE = r"^(?:`{3,}|~{3,})"
 
 def _placed(parts: Column) -> Column:
     """Each part of a text with the number of characters before it."""
-    return F.transform(
-        parts, lambda x, i: F.struct(x.alias("text"), F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda n, y: n + F.length(y)).alias("at"))
-    )
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,at:int>>").alias("out"))
+    step = lambda a, x: F.struct((a["at"] + F.length(x)).alias("at"), F.concat(a["out"], F.array(F.struct(x.alias("text"), a["at"].alias("at")))).alias("out"))
+    return F.aggregate(parts, start, step)["out"]
 
 
 def outside_code(line: Column) -> Column:
