@@ -2,6 +2,7 @@
 
 from . import (
     op10_length_histogram,
+    op12_fill_in_middle,
     op1_license_scan,
     op2_suffix_array,
     op3_quality_rules,
@@ -24,6 +25,7 @@ _MODULES = (
     op8_hilbert_packing,
     op9_decontamination,
     op10_length_histogram,
+    op12_fill_in_middle,
 )
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in getattr(m, "ORACLES", {}).items()}
