@@ -87,3 +87,34 @@ def encoded(column: pa.Array, path: str):
     for value in column:
         text = value.as_py()
         yield encode(text) if text else np.zeros(0, np.uint32)
+
+
+@functools.lru_cache(maxsize=2)
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes that each id of a byte-level vocabulary stands for."""
+    model = whole(path)
+    byte = _byte_of()
+    tokens = [model.id_to_token(i) for i in range(model.get_vocab_size())]
+    return [bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t in tokens]
+
+
+@functools.lru_cache(maxsize=2)
+def plain_encoder(path: str) -> Callable[[str], list[int]]:
+    """A function from a text to its ids; strings of special tokens in it are plain text."""
+    from tokenizers import Tokenizer
+
+    fast, slow = ranked(path), Tokenizer.from_file(path)
+    slow.encode_special_tokens = True
+
+    def by_json(text: str) -> list[int]:
+        return slow.encode(text, add_special_tokens=False).ids
+
+    def encode(text: str) -> list[int]:
+        if len(text) >= LONG_RUN and _RUN.search(text):
+            return by_json(text)
+        try:
+            return fast.encode_ordinary(text)
+        except ValueError:
+            return by_json(text)
+
+    return by_json if fast is None else encode

@@ -3,6 +3,7 @@
 from . import (
     op10_length_histogram,
     op12_fill_in_middle,
+    op13_alignment,
     op1_license_scan,
     op2_suffix_array,
     op3_quality_rules,
@@ -26,6 +27,7 @@ _MODULES = (
     op9_decontamination,
     op10_length_histogram,
     op12_fill_in_middle,
+    op13_alignment,
 )
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in getattr(m, "ORACLES", {}).items()}
