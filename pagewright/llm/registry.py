@@ -2,6 +2,7 @@
 
 from . import (
     op10_length_histogram,
+    op11_toxicity,
     op12_fill_in_middle,
     op13_alignment,
     op1_license_scan,
@@ -26,6 +27,7 @@ _MODULES = (
     op8_hilbert_packing,
     op9_decontamination,
     op10_length_histogram,
+    op11_toxicity,
     op12_fill_in_middle,
     op13_alignment,
 )
