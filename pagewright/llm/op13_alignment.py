@@ -42,8 +42,9 @@ from .encoding import default_vocabulary, plain_encoder, token_bytes
 
 NAME = "op13_cross_tokenizer_alignment"
 CHUNK = 12 << 20  # bytes of text whose distinct units are aligned together
-MEMO = 1 << 21  # transitions that a worker remembers; beyond, it begins anew
+MEMO = 1 << 18  # transitions that a worker remembers; beyond, it begins anew
 JOINED = 1 << 16  # units whose groups are written at once
+ALIGNED = 1 << 14  # units that are aligned at once
 _WORD_MARK = "▁"
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -197,19 +198,16 @@ def _aligned(batches, vocabulary: str, model: str, size: int):
             data, start, stop, at = cut_units(buf, bounds[first : end + 1])
             _, one, place = np.unique(hash_ranges(data, start, stop), return_index=True, return_inverse=True)
             raw = data.tobytes()
-            found = align([raw[start[i] : stop[i]] for i in one.tolist()])
-            text = [x[2] if x else "" for x in found]
-            n_a, n_b, n_links = _sizes(found)
+            text, (n_a, n_b, n_links), links = _found(align, raw, start[one], stop[one])
             whole = np.diff(bounds[first : end + 1]) > 0
             whole &= ~np.logical_or.reduceat(n_links[place] == 0, at[:-1])
             of_text = np.repeat(np.arange(docs), np.diff(at))
-            uses = np.bincount(place[whole[of_text]], minlength=len(found))
-            links = np.array([p for x in found if x for p in x[3]], np.int64)
-            unit = np.repeat(np.arange(len(found)), n_links)
+            uses = np.bincount(place[whole[of_text]], minlength=len(text))
+            unit = np.repeat(np.arange(len(text)), n_links)
             pair, number = np.unique(links, return_inverse=True)
             n = np.bincount(number, weights=uses[unit], minlength=len(pair)).astype(np.int64)  # exact below 2 ** 53
             yield _rows(len(pair), chunk=np.full(len(pair), chunk), kind=np.full(len(pair), PAIR, np.int32), place=np.arange(len(pair), dtype=np.int32), pair=pair, n=n)
-            yield _rows(1, chunk=[chunk], kind=[UNITS], data=[pack(n_links.astype("<u4").tobytes() + number.astype("<u4").tobytes())], n=[len(found)])
+            yield _rows(1, chunk=[chunk], kind=[UNITS], data=[pack(n_links.astype("<u4").tobytes() + number.astype("<u4").tobytes())], n=[len(text)])
             digest, held = [], []
             for i in range(docs):
                 p = place[at[i] : at[i + 1]] if whole[i] else place[:0]
@@ -220,10 +218,16 @@ def _aligned(batches, vocabulary: str, model: str, size: int):
             chunk += 1
 
 
-def _sizes(found: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of either side and links of each unit."""
-    rows = [(x[0], x[1], len(x[3])) if x else (0, 0, 0) for x in found]
-    return tuple(np.array(rows, np.int64).reshape(-1, 3).T)
+def _found(align, raw: bytes, start: np.ndarray, stop: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(groups' text of each unit, its tokens of either side and links, all links); units without tokens have none."""
+    text: list[str] = []
+    sizes, links = [np.zeros((0, 3), np.int64)], [np.zeros(0, np.int64)]
+    for lo in range(0, len(start), ALIGNED):
+        found = align([raw[a:b] for a, b in zip(start[lo : lo + ALIGNED].tolist(), stop[lo : lo + ALIGNED].tolist())])
+        text += [x[2] if x else "" for x in found]
+        sizes.append(np.array([(x[0], x[1], len(x[3])) if x else (0, 0, 0) for x in found], np.int64))
+        links.append(np.array([p for x in found if x for p in x[3]], np.int64))
+    return text, np.concatenate(sizes).T, np.concatenate(links)
 
 
 def _digest(text: list[str], units: np.ndarray) -> str:
