@@ -12,9 +12,10 @@ so are the deeper runs in it, of DEPTHS[1] values, that are sparse. Documents of
 crowded regions are besides looked up in an exact index of their rarest
 shingles: two sets of the least similarity share one among as many of the rarest
 as either may have to itself. So crowding costs no link, and depth none either.
-Pairs are looked at only if their sizes allow the similarity and their
-signatures' last bits, in the index their least shingle hashes, do not rule it
-out.
+Pairs are looked at only if their sizes and, in the index, what is left of both
+behind the shingle allow the similarity, and their signatures' last bits do not
+rule it out. Documents of one template, each with some words of its own, are told
+apart by their places in the index before any pair is made.
 
 The chance that a link of the least similarity is never compared is below 1e-6;
 there is no cap on partners or candidates.
@@ -40,21 +41,19 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import LOWER, U, block_words, bounded, counted_join, discarded, hash_ranges, mix, spans, staged, text_buffer, typed
+from .blocks import LOWER, U, block_words, counted_join, discarded, hash_ranges, mix, spans, staged, text_buffer, typed
 
 NAME = "op6_lsh_forest_dedup"
 SHINGLE, VALUES = 3, 256
 DEPTHS, MISS = (4, 8), 4e-7  # values that a region shares, more where it is crowded; chance that a pair of the least similarity shares no region of the first depth
-COUNTERS = 1 << 20  # numbers of hashed shingles by which rare ones are told from others
 DENSE = 32  # documents of a region that is not crowded
-SKETCH = 1024  # least shingle hashes by which documents of crowded regions are compared; most documents have fewer in all
+PART = 4096  # rows of a shingle in the index that are looked up together
 _rng = np.random.default_rng(6)
 _MUL = _rng.integers(0, 2**32, VALUES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _XOR = _rng.integers(0, 2**32, VALUES, dtype=np.uint64).astype(np.uint32)
 
 
 
-
 def orders(percent: int) -> np.ndarray:
     """The trees' orders of signature values, one a row: as many trees as the chance to miss asks for, 20 at 85 per cent and 28 at 80."""
     trees = math.ceil(math.log(MISS) / math.log(1 - (min(percent, 99) / 100) ** DEPTHS[0]))
@@ -266,110 +265,114 @@ def components(links: DataFrame, name: str) -> DataFrame:
 
 
 def _sets(batches, k: int):
-    """All shingle hashes of each document, cut to 32 bits, in order, and their number."""
+    """All shingle hashes of each document, in order, and their number."""
     for batch in batches:
         buf, offsets = text_buffer(batch.column(2))
         for first, end, row, h in shingle_sets(buf, offsets, k):
-            value = (h >> U(32)).astype(np.uint32).view(np.int32)
-            order = np.lexsort((value, row))
             bounds = np.searchsorted(row, np.arange(end - first + 1)).astype(np.int32)
-            sets = pa.ListArray.from_arrays(pa.array(bounds), pa.array(value[order]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first), pa.array(np.diff(bounds).astype(np.int64)), sets], names=["rep", "c", "n", "hashes"])
-
-
-def _counter_of(value: np.ndarray) -> np.ndarray:
-    return (mix(value.astype(np.int64).view(np.uint64)) % U(COUNTERS)).astype(np.int64)
+            sets = pa.ListArray.from_arrays(pa.array(bounds), pa.array(h.view(np.int64)))
+            # tells the texts of one id apart
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h))))
+            key = total[bounds[1:]] - total[bounds[:-1]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first), pa.array(np.diff(bounds).astype(np.int64)), pa.array(key.view(np.int64)), sets], names=["rep", "c", "n", "key", "hashes"])
 
 
-def _tallied(batches):
-    """How many documents have a shingle of each counter."""
-    total = np.zeros(COUNTERS, np.int64)
-    for batch in batches:
-        total += np.bincount(_counter_of(batch.column(0).flatten().to_numpy()), minlength=COUNTERS)
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["counter", "n"])
-
-
-def _rarest(batches, percent: int, total: np.ndarray):
-    """A row for each of a document's rarest shingles, with its place from the rarest on: as many as make sure that any set of the least similarity has one of them among its own."""
-    for batch in batches:
-        flat = batch.column(3).flatten().to_numpy()
-        size = pa.compute.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False).astype(np.int64)
-        row = np.repeat(np.arange(len(batch)), size)
-        order = np.lexsort((flat, total[_counter_of(flat)], row))
-        place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-        own = (size - (size * percent + 99) // 100 + 1)[row]
-        keep = place < own
-        rows = pa.array(row[keep])
-        sketch = pa.compute.list_slice(batch.column(3), 0, SKETCH)
-        yield pa.RecordBatch.from_arrays([pa.array(flat[order][keep].astype(np.int64)), *(batch.column(i).take(rows) for i in (0, 1, 2)), pa.array(place[keep]), sketch.take(rows)], names=["region", "rep", "c", "n", "place", "sketch"])
-
-
-def _sketch_alike(percent: int) -> Column:
-    """Whether the sketches of x and y allow the similarity: exactly so if both hold whole sets, else but for 5.65 deviations of the estimate."""
-    x, y = F.col("x_sketch"), F.col("y_sketch")
-    common = F.array_intersect(x, y)
-    n = F.size(common)
-    margin = math.ceil(100 * 5.65 * math.sqrt(percent / 100 * (1 - percent / 100) / SKETCH))
-    least = F.slice(F.sort_array(F.array_union(x, y)), 1, SKETCH)
-    whole = (F.col("x_n") <= SKETCH) & (F.col("y_n") <= SKETCH)
-    return F.when(whole, 100 * n >= percent * (F.col("x_n") + F.col("y_n") - n)).otherwise(100 * F.size(F.array_intersect(least, common)) >= (percent - margin) * F.size(least))
+def _odd_bits() -> Column:
+    return sum((F.bit_count(F.col(f"x_{k}").bitwiseXOR(F.col(f"y_{k}"))) for k in _BITS), F.lit(0))
 
 
 def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components within a region; members: region, rep, c, and n_shingles and bits, or n, place and sketch.
+    """Pairs (a, b) of different components within a region; members: region, rep, c, n_shingles and bits, and of the index place.
 
     What is outside a region's largest component is paired with all others in
     it: pairs within a component need no comparison. What cannot be similar is
     ruled out in the join, so that no pairs but likely links come out of it.
+
+    In the index, rows of a shingle stand at a place in their documents' order:
+    two documents that meet at their first common shingle share no more than
+    what is left of either behind it, so each bounds the size of the other. A
+    document whose bound is below its own size is heavy: two heavy ones cannot be
+    similar and never meet. A crowded shingle's rows are dealt over parts.
     """
+    indexed = "place" in members.columns
     sizes = members.groupBy("region", "c").agg(F.count("*").alias("rows"))
-    main = sizes.groupBy("region").agg(F.max_by("c", F.struct("rows", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = members.join(main.select("region", "main"), "region")
+    main = sizes.groupBy("region").agg(F.max_by("c", F.struct("rows", "c")).alias("main"), F.count("*").alias("parts"), F.sum("rows").alias("rows")).where("parts > 1")
     names = [c for c in members.columns if c != "region"]
-    x = open_.where("c <> main").select("region", *[F.col(k).alias(f"x_{k}") for k in names])
-    y = open_.select("region", "main", *[F.col(k).alias(f"y_{k}") for k in names])
-    wanted = (x["region"] == y["region"]) & (F.col("x_c") != F.col("y_c")) & ((F.col("y_c") == F.col("main")) | (F.col("x_rep") < F.col("y_rep")))
-    n = "n" if "sketch" in names else "n_shingles"
-    wanted &= F.least(f"x_{n}", f"y_{n}") * 100 >= F.greatest(f"x_{n}", f"y_{n}") * percent
-    if "sketch" in names:
-        # at the rarest shingle that two sets share, all that they share is still to come
-        left = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
-        wanted &= left * (100 + percent) >= percent * (F.col("x_n") + F.col("y_n"))
-        wanted &= _sketch_alike(percent)
+    left, right = "c <> main", "true"
+    if indexed:
+        members = members.withColumn("bound", (F.col("n_shingles") - F.col("place")) * (100 + percent) - F.col("n_shingles") * percent)  # percent times the largest size of a partner
+        names.append("bound")
+        main = main.withColumn("parts", F.ceil(F.col("rows") / PART).cast("int"))
+        light = F.col("bound") >= F.col("n_shingles") * percent
+        # kind 0: light documents on the right, kind 1: heavy ones, which only light ones look up
+        x_kind, y_kind = F.when(light, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))), F.when(light, 0).otherwise(1)
+        x_part, y_part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     else:
-        wanted &= sum((F.bit_count(F.col(f"x_{k}").bitwiseXOR(F.col(f"y_{k}"))) for k in _BITS), F.lit(0)) <= most_odd_bits(percent)
-    return x.join(y, wanted).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
-
-
-def _open_pairs(forest: DataFrame, reps: DataFrame, docs: DataFrame, comp: DataFrame, k: int, percent: int) -> list[DataFrame]:
-    """Pairs across the components of each region: of sparse ones as they are, of crowded ones by deeper runs and by rare shingles; forest: path, rep."""
+        x_kind, y_kind, x_part, y_part = F.array(F.lit(0)), F.lit(0), F.lit(0), F.lit(0)
+    open_ = members.hint("merge").join(main.select("region", "main", "parts"), "region")
+    x = open_.where(left).select("region", F.explode(x_kind).alias("kind"), x_part.alias("part"), *[F.col(k).alias(f"x_{k}") for k in names])
+    y = open_.where(right).select("region", "main", y_kind.alias("kind"), y_part.alias("part"), *[F.col(k).alias(f"y_{k}") for k in names])
+    wanted = (F.col("x_c") != F.col("y_c")) & ((F.col("y_c") == F.col("main")) | (F.col("x_rep") < F.col("y_rep")))
+    wanted &= F.least("x_n_shingles", "y_n_shingles") * 100 >= F.greatest("x_n_shingles", "y_n_shingles") * percent
+    if indexed:
+        wanted &= (F.col("y_n_shingles") * percent <= F.col("x_bound")) & (F.col("x_n_shingles") * percent <= F.col("y_bound"))
+    wanted &= _odd_bits() <= most_odd_bits(percent)
+    same = (x["region"] == y["region"]) & (x["kind"] == y["kind"]) & (x["part"] == y["part"])
+    return x.hint("merge").join(y, same & wanted).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
+
+
+def _indexed(sets: DataFrame, size: DataFrame, percent: int) -> DataFrame:
+    """The index of crowded regions: (region, rep, c, n_shingles, place, bits), a row for each of a document's first shingles.
+
+    Shingles are ordered with those first that one component alone has, then by
+    how many documents have them. Any set of the least similarity has one of a
+    document's first shingles among its own first ones; those of one component
+    come first and cannot be it, so they have no rows but move the places.
+    """
+    tokens = sets.select("rep", "c", "key", F.explode("hashes").alias("region"))
+    held = tokens.groupBy("region").agg(F.count("*").alias("docs"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+    held = staged(held.select("region", "docs", F.col("docs").alias("weight")), "held")
+    met = counted_join(tokens.select("rep", "key", "region"), held, "region", "weight").where("docs is not null")
+    met = met.groupBy("rep", "key").agg(F.sort_array(F.collect_list(F.struct("docs", "region"))).alias("met"))
+    rows = sets.select("rep", "c", "n", "key").hint("merge").join(met, ["rep", "key"]).hint("merge").join(size.withColumn("n", F.col("n_shingles")), ["rep", "n"])
+    own = F.col("n") - F.size("met")
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - own
+    rows = rows.withColumn("own", own).where(first > 0).select("rep", "c", "n_shingles", "own", *_BITS, F.posexplode(F.slice("met", F.lit(1), first.cast("int"))).alias("nth", "at"))
+    return rows.select(F.col("at.region").alias("region"), "rep", "c", "n_shingles", (F.col("own") + F.col("nth")).alias("place"), *_BITS)
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full sets are similar."""
+    side = lambda c: sets.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("hashes").alias(f"set_{c}"))
+    both = pairs.hint("merge").join(side("b"), "b").hint("merge").join(side("a"), "a")
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    return both.where(common * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
+def _open_pairs(forest: DataFrame, reps: DataFrame, docs: DataFrame, comp: DataFrame, k: int, percent: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """(pairs to look at, links): pairs across the components of sparse regions, and of sparse deeper runs of crowded ones; links of crowded regions from the index; forest: path, rep."""
     size = reps.select("rep", "n_shingles", *_BITS)
     placed = forest.join(comp, F.col("rep") == F.col("node"), "left").select("path", "rep", F.coalesce("component", "rep").alias("c"))
     found, crowded = [], None
     for depth in DEPTHS:
         placed = placed.withColumn("region", F.xxhash64(F.substring("path", 1, 2 * depth + 2)))
         if crowded is not None:
-            placed = placed.join(crowded.select(F.col("region").alias("outer")), "outer", "left_semi")
+            placed = placed.hint("merge").join(crowded.select(F.col("region").alias("outer")), "outer", "left_semi")
         placed = staged(placed, "placed")
         open_ = placed.groupBy("region").agg(F.count("*").alias("crowd"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
         open_ = staged(open_.select("region", "crowd"), "open")
-        members = placed.join(open_.where(F.col("crowd") <= DENSE).select("region"), "region").join(size, "rep")
+        members = placed.hint("merge").join(open_.where(F.col("crowd") <= DENSE).select("region"), "region").hint("merge").join(size, "rep")
         found.append(staged(_across(staged(members.select("region", "rep", "c", "n_shingles", *_BITS), "members"), percent), "cross"))
         if crowded is None:
             crowded = open_.where(F.col("crowd") > DENSE)
             if crowded.isEmpty():
-                return found
-            dense = staged(placed.join(crowded.select("region"), "region").select("rep", "c").distinct(), "dense")
+                return found, None
+            dense = staged(placed.hint("merge").join(crowded.select("region"), "region").select("rep", "c").distinct(), "dense")
         placed = placed.withColumnRenamed("region", "outer")
-    texts = docs.withColumnRenamed("doc_id", "rep").join(bounded(dense), "rep").select("rep", "c", "text")
-    sets = staged(texts.mapInArrow(lambda it: _sets(it, k), "rep long, c long, n long, hashes array<int>"), "sets")
-    total = np.zeros(COUNTERS, np.int64)
-    for r in sets.select("hashes").mapInArrow(_tallied, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).collect():  # at most COUNTERS rows
-        total[r.counter] = r.n
-    rare = sets.mapInArrow(lambda it: _rarest(it, percent, total), "region long, rep long, c long, n long, place long, sketch array<int>")
-    found.append(staged(_across(staged(rare, "rare"), percent), "cross"))
-    return found
+    texts = docs.withColumnRenamed("doc_id", "rep").hint("merge").join(dense, "rep").select("rep", "c", "text")
+    sets = staged(texts.mapInArrow(lambda it: _sets(it, k), "rep long, c long, n long, key long, hashes array<long>"), "sets")
+    pairs = staged(_across(staged(_indexed(sets, size, percent), "index"), percent), "cross")
+    return found, staged(_similar(pairs, sets, percent).distinct(), "similar")
 
 
 def near_dedup(docs: DataFrame, k: int = SHINGLE, percent: int = 85) -> DataFrame:
@@ -393,11 +396,12 @@ def near_dedup(docs: DataFrame, k: int = SHINGLE, percent: int = 85) -> DataFram
     same = several.select("doc_id", F.explode("fps").alias("fp")).join(classes.select("fp", "rep"), "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = staged(_links(pairs, ids, k, percent).unionByName(same.where("a <> b")), "links")
     comp = components(links, "stars")
-    found = _open_pairs(forest, reps, ids, comp, k, percent)
+    found, similar = _open_pairs(forest, reps, ids, comp, k, percent)
     cross = found[0]
     for more in found[1:]:
         cross = cross.unionByName(more)
-    more = staged(_links(cross.distinct().join(pairs, ["a", "b"], "left_anti"), ids, k, percent), "links")
+    more = _links(cross.distinct().hint("merge").join(pairs, ["a", "b"], "left_anti"), ids, k, percent)
+    more = staged(more if similar is None else more.unionByName(similar), "links")
     if not more.isEmpty():
         comp = components(links.unionByName(more), "stars")
     place = classes.join(comp, F.col("rep") == F.col("node"), "left").select("fp", "n", F.col("rep").alias("set_id"), F.coalesce("component", "rep").alias("component"))

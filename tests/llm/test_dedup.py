@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from fixtures import corpus, frame, near_components, removed_bytes, removed_words
+from pyspark.sql import functions as F
 
 from pagewright.llm import blocks, op2_suffix_array, op5_suffix_trees, op6_lsh_forest, repeats
 
@@ -179,37 +180,66 @@ def test_near_dedup_of_ids_with_several_texts(spark):
         assert len(out) == 7 and all(r.component_id == want[r.doc_id] and r.kept == (r.doc_id in (4, 5)) for r in out)
 
 
-def test_rare_shingles_miss_no_link(spark):
-    """Of any two sets of the least similarity, each has a rarest shingle that is among the other's."""
+def templated(n, words, own, seed, scattered=False):
+    """Documents of one template, each with own words, in one place or scattered; similarities lie about the limit."""
+    r = np.random.default_rng(seed)
+    base, rows = [f"t{i}" for i in range(words)], []
+    for i in range(n):
+        mine = [f"d{i}w{j}" for j in range(r.integers(*own))]
+        w = list(base)
+        if scattered:
+            for at, x in zip(sorted(r.integers(0, words, len(mine)), reverse=True), mine):
+                w.insert(at, x)
+        else:
+            at = int(r.integers(0, words))
+            w[at:at] = mine
+        rows.append((i * 2 + 1, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize(("words", "own", "scattered"), [(300, (15, 45), False), (400, (5, 30), True), (1500, (90, 200), False)])
+def test_near_dedup_of_one_template(spark, words, own, scattered):
+    """Crowded regions with some links and many pairs just below the limit; the last has more than a thousand shingles a text."""
+    rows = templated(120, words, own, 3, scattered) + [(1000 + d, t) for d, t in templated(60, words, (own[1], 2 * own[1]), 4, scattered)]
+    out = op6_lsh_forest.near_dedup(frame(spark, rows)).collect()
+    want = near_components(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == want
+    assert 10 < len({c for _, c in want.values()}) < 170
+
+
+def test_first_shingles_miss_no_link(spark, monkeypatch):
+    """Of any two similar sets of different components, the index alone makes a pair, in whatever parts its rows are looked up."""
+    monkeypatch.setattr(op6_lsh_forest, "PART", 7)
     r = np.random.default_rng(9)
-    base = r.integers(0, 10**6, 200).astype(np.int32)
+    base = r.integers(0, 10**6, 200)
     sets = []
     for i in range(60):
         own = base[r.random(200) > r.choice([0.0, 0.03, 0.08, 0.12])]
-        sets.append(np.unique(np.concatenate((own, r.integers(10**6, 2 * 10**6, r.integers(0, 25)).astype(np.int32)))))
-    rows = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(range(60)), pa.array([len(x) for x in sets]), pa.array([x.tolist() for x in sets], pa.list_(pa.int32()))], names=["rep", "c", "n", "hashes"])
-    tally = next(iter(op6_lsh_forest._tallied([rows.select(["hashes"])])))
-    total = np.zeros(op6_lsh_forest.COUNTERS, np.int64)
-    total[tally.column(0).to_numpy()] = tally.column(1).to_numpy()
-    assert total.sum() == sum(map(len, sets))
-    got = next(iter(op6_lsh_forest._rarest([rows], 85, total)))
-    has, tokens, place = [set() for _ in range(60)], [[] for _ in range(60)], [[] for _ in range(60)]
-    for token, rep, at in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), got.column(4).to_pylist()):
-        has[rep].add(token)
-        tokens[rep].append(token)
-        place[rep].append(at)
-    links = 0
+        sets.append(np.unique(np.concatenate((own, r.integers(10**6, 2 * 10**6, r.integers(0, 25))))))
+    c = [i // 2 if i < 20 else i for i in range(60)]
+    table = spark.createDataFrame([(i, c[i], len(x), i, x.tolist()) for i, x in enumerate(sets)], "rep long, c long, n long, key long, hashes array<long>")
+    size = spark.createDataFrame([(i, len(x), 0, 0, 0, 0) for i, x in enumerate(sets)], "rep long, n_shingles long, bits0 long, bits1 long, bits2 long, bits3 long")
+    index = op6_lsh_forest._indexed(table, size, 85)
+    made = {tuple(p) for p in op6_lsh_forest._across(index, 85).collect()}
+    links = set()
     for i in range(60):
-        assert len(has[i]) == len(sets[i]) - -(-85 * len(sets[i]) // 100) + 1
         for j in range(i):
             common = len(np.intersect1d(sets[i], sets[j]))
-            if 100 * common >= 85 * (len(sets[i]) + len(sets[j]) - common):
-                links += 1
-                assert has[i] & has[j]
-                # the rarest common one leaves room for all that they share
-                places = [dict(zip(t, p)) for t, p in ((tokens[x], place[x]) for x in (i, j))]
-                assert max(min(len(sets[x]) - at[t] for x, at in zip((i, j), places)) for t in has[i] & has[j]) >= common
-    assert links > 50
+            if c[i] != c[j] and 100 * common >= 85 * (len(sets[i]) + len(sets[j]) - common):
+                links.add((j, i))
+    assert links <= made and 50 < len(links) and len(made) < 1770
+    assert {tuple(p) for p in op6_lsh_forest._similar(spark.createDataFrame(sorted(made), "a long, b long"), table, 85).collect()} == links
+
+
+def test_heavy_documents_make_no_pairs(spark):
+    """Documents of one template that are all too unlike each other are told apart before any pair is made."""
+    sets = [[*range(1000), *range(10_000 * (i + 1), 10_000 * (i + 1) + 120)] for i in range(50)]
+    table = spark.createDataFrame([(i, i, 1120, i, x) for i, x in enumerate(sets)], "rep long, c long, n long, key long, hashes array<long>")
+    size = spark.createDataFrame([(i, 1120, 0, 0, 0, 0) for i in range(50)], "rep long, n_shingles long, bits0 long, bits1 long, bits2 long, bits3 long")
+    index = op6_lsh_forest._indexed(table, size, 85)
+    bound = (F.col("n_shingles") - F.col("place")) * 185 - F.col("n_shingles") * 85
+    assert index.count() == 50 * (1120 - 952 + 1 - 120) and index.where(bound >= F.col("n_shingles") * 85).isEmpty()
+    assert op6_lsh_forest._across(index, 85).isEmpty()
 
 
 def test_neighbours_of_sorted_orders():
