@@ -5,7 +5,8 @@ its word count and link density, those of the blocks before and after it, and
 whether it stands below an element whose tag, class, id or role speaks for or
 against content; terms that articles use too count only outside of them. A
 decision tree, fitted to the labelled pages in `LABELLED`, of which many have no
-telling tags or classes, decides.
+telling tags or classes, decides. Classes, ids and roles are read on every element;
+an inline element that speaks against content is a block of its own.
 
 Pages are read in one pass whose time is linear in their length, whatever is
 left open in them.
@@ -40,12 +41,18 @@ _STOP = re.compile("[>\"']")
 _ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 _HOLDERS = frozenset("nav header footer aside form article main section div ul ol dl table figure details dialog fieldset head select button body menu blockquote a".split())
+#: Elements whose end tag may be left out, and which of those that are open last a start tag ends.
+_LOOSE = frozenset("p li dt dd tr td th thead tbody tfoot h1 h2 h3 h4 h5 h6".split())
+_ENDS = {"li": frozenset(("li", "p")), "dt": frozenset(("dt", "dd", "p")), "dd": frozenset(("dt", "dd", "p")), "td": frozenset(("td", "th", "p")), "th": frozenset(("td", "th", "p")), "tr": frozenset(("td", "th", "tr", "p"))}
+_ENDS |= dict.fromkeys(("thead", "tbody", "tfoot"), frozenset(("td", "th", "tr", "thead", "tbody", "tfoot", "p")))
+_PARAGRAPH = frozenset(("p",))
+_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _AGAINST_TAGS = frozenset("nav footer aside form head select button dialog menu fieldset".split())
 _FOR_TAGS = frozenset(("article", "main"))
 _AGAINST = frozenset(
     "ad ads advert adverts advertisement advertising advertorial sponsor sponsored promo cookie cookies cookiebar consent gdpr popup modal overlay nav navbar navigation sidenav menu "
     "breadcrumb breadcrumbs sidebar aside masthead topbar comment comments respond disqus related recommended share sharing social newsletter subscribe signup login "
-    "pagination pager skip copyright contentinfo teaser trending paywall toast".split()
+    "pagination pager skip copyright contentinfo teaser trending paywall toast dialog alertdialog".split()
 )
 #: These name parts of articles as well as what surrounds them.
 _AGAINST_OUTSIDE = frozenset("banner notice notices alert notification footer header reply replies discussion search widget widgets legal disclaimer toolbar tags complementary form popular subscription promotion feedback".split())
@@ -137,6 +144,13 @@ def blocks(page: str) -> list[Block]:
             out.append(Block(text, words, min(words, linked), against, inside, bool(heading)))
         parts.clear()
 
+    def leave() -> str:
+        nonlocal hidden
+        gone = open_.pop()[0]
+        count[gone] -= 1
+        hidden -= gone in _HIDDEN
+        return gone
+
     for start, end, tag, attrs, ends in tokens(page):
         if end > start and not hidden:
             parts.append((html.unescape(page[start:end]), link >= 0))
@@ -144,28 +158,42 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag == "a":
             link = -1 if ends else len(open_)
-            continue
-        if tag not in _INLINE:
+        inline = tag in _INLINE
+        if not inline:
             close()
             if tag in _HEADING:
                 heading = "" if ends else tag
-        if tag not in _HOLDERS:
-            continue
         if ends:
-            while count[tag]:
-                gone = open_.pop()[0]
-                count[gone] -= 1
-                hidden -= gone in _HIDDEN
-                if gone == tag:
-                    break
-            if link > len(open_):
-                link = -1
-        elif not attrs.rstrip().endswith("/"):
-            _, against, inside = open_[-1] if open_ else ("", False, False)
-            a, f = _speaks(tag, attrs, inside)
-            open_.append((tag, against or a, inside or f))
-            count[tag] += 1
-            hidden += tag in _HIDDEN
+            if count[tag]:
+                if inline:
+                    close()
+                while count[tag]:
+                    gone = leave()
+                    if gone == tag:
+                        break
+                if link > len(open_):
+                    link = -1
+            continue
+        if not inline:
+            ended = _ENDS.get(tag, _PARAGRAPH)
+            while open_ and open_[-1][0] in ended:
+                leave()
+        if tag in _VOID or attrs.rstrip().endswith("/"):
+            continue
+        _, against, inside = open_[-1] if open_ else ("", False, False)
+        a, f = _speaks(tag, attrs, inside)
+        if inline:
+            # one that speaks against content is a block of its own; further ones of its name are told from it by counting
+            if not (a or count[tag]):
+                continue
+            if a:
+                close()
+            f = False
+        elif tag not in _HOLDERS and tag not in _LOOSE:
+            continue
+        open_.append((tag, against or a, inside or f))
+        count[tag] += 1
+        hidden += tag in _HIDDEN
     close()
     return out
 
@@ -199,8 +227,8 @@ def features(found: list[Block]) -> np.ndarray:
     return np.concatenate((own, before[: len(own)], after[: len(own)], kind), axis=1)
 
 
-def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = 6):
-    """A binary tree (feature, threshold, left, right) or the label of a leaf, split by Gini impurity."""
+def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = 7, least: int = 3):
+    """A binary tree (feature, threshold, left, right) or the label of a leaf of at least so many blocks, split by Gini impurity."""
     share = y.mean()
     if depth == 0 or share in (0.0, 1.0):
         return bool(share >= 0.5)
@@ -209,6 +237,8 @@ def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = 6):
         values = np.unique(x[:, f])
         for cut in (values[1:] + values[:-1]) / 2:
             low = x[:, f] < cut
+            if not least <= low.sum() <= len(y) - least:
+                continue
             p, q = y[low].mean(), y[~low].mean()
             impurity = p * (1 - p) * low.sum() + q * (1 - q) * (~low).sum()
             if impurity < best[0] - 1e-12:
@@ -217,7 +247,7 @@ def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = 6):
     if f is None:
         return bool(share >= 0.5)
     low = x[:, f] < cut
-    return f, cut, fit_tree(x[low], y[low], depth - 1), fit_tree(x[~low], y[~low], depth - 1)
+    return f, cut, fit_tree(x[low], y[low], depth - 1, least), fit_tree(x[~low], y[~low], depth - 1, least)
 
 
 def apply_tree(tree, x: np.ndarray) -> np.ndarray:
@@ -255,6 +285,28 @@ LABELLED = (
     """<body><p>-Menu</p><p>+The train left at six in the morning and reached the border by noon, where it stood for two hours in the sun.</p><p>+Nobody was let off until the papers had been stamped, and by then the last connection south was gone for the day.</p></body>""",
     """<body><p><a href=/1>-Ten things that you did not know about the oldest bridge of the whole country and the many people who built it</a></p><p>+The first bridge was made of oak and stood for a hundred years until the ice of a hard winter took away its piers.</p><p>+The second was built of stone by masons who came from the other side of the mountains and stayed for good.</p><p><a href=/2>-Everything about the new tunnel below the river and the long dispute about what it may cost and who is to pay</a></p></body>""",
     """<body><article class="post"><header><h1>+Letters from the island</h1></header><p>+Rain.</p><p>+Wind.</p><p>+Fog.</p><p>+On the second day the ferry did not come, and we walked along the cliffs to the lighthouse and back.</p><blockquote>+Nobody leaves in winter, the keeper said.</blockquote><div class="share">-Share this with friends</div><div class="related"><p>-Letters from the mountain, a series of ten parts by the same writer</p></div><footer>-Filed under travel by the editors of the magazine</footer></article></body>""",
+    # link blocks within articles
+    """<article><h1>+Bees in winter</h1><p>+A colony does not sleep through the cold months but forms a ball and keeps the queen warm in the middle of it.</p><nav><a href=/1>-Older entry</a> <a href=/2>-Newer entry</a></nav><p>+The honey that they eat has to last until the willows bloom.</p><p>+Read <a href=/3>what a beekeeper does in March</a> before you open a hive.</p><ul class="related"><li><a href=/4>-Hives made of straw</a></li><li><a href=/5>-Wax and its uses</a></li></ul><div class="share"><a href=/6>-Send to a friend</a> <a href=/7>-Print</a></div><footer><a href=/8>-About us</a> <a href=/9>-Terms</a></footer></article>""",
+    """<main><h2>+The tram returns</h2><p>+After forty years the city lays rails again, and the first line is to open when the chestnuts are in bloom.</p><aside><p>-Season tickets are cheaper this month, see <a href=/1>all offers of the transport office</a> and choose yours.</p></aside><p>+It costs less than the tunnel that was planned before.</p><p><a href=/2>+The plan of the line</a></p><div class="comments"><p>-I doubt it, as <a href=/3>this study of another city</a> shows in some detail.</p><p>-Same here.</p><p><a href=/4>-Answer</a></p></div></main>""",
+    """<div class="post"><p>+Sharpen the knife first on the coarse stone and then on the fine one, always at the same angle.</p><p class="advert">-Our knives are forged by hand and come with a stone of your choice, for this week only.</p><p>+Wipe it dry.</p><p>+How steep the angle should be is told in <a href=/1>the table of blades</a> at the end of the book.</p><ul><li>+Coarse stone</li><li>+Fine stone</li><li class="promo"><a href=/2>-Stones in our shop</a></li></ul><nav class="pagination"><a href=/3>-1</a> <a href=/4>-2</a> <a href=/5>-3</a></nav></div>""",
+    """<article><p>+The comet will be seen low in the west after sunset, if the sky is clear and no lamps are near.</p><p><a href=/1>+Where to look each night</a></p><p><a href=/2>+How it got its name</a></p><section class="recommended"><h3>-You may also like</h3><p><a href=/3>-Moons of the outer planets</a></p><p><a href=/4>-A telescope for beginners</a></p></section><div class="tags sidebar"><a href=/5>-sky</a> <a href=/6>-night</a></div></article>""",
+    # prose with links outside of any telling element
+    """<p><a href=/1>-Main page</a> <a href=/2>-Contents</a> <a href=/3>-Help</a></p><p>+Peat forms where plants die in water faster than they rot, which takes <a href=/4>a thousand years a metre</a> in most bogs.</p><p>+It was cut and burnt for as long as there have been people in <a href=/5>the northern plains</a>, and the ditches of that time are still seen from the air.</p><p>+Those who want to read on may begin with <a href=/6>the survey of the bogs</a> and its maps.</p><p>+Little of it is left.</p><p>+Now the ditches are closed again, as <a href=/7>the law on moors</a> asks for, and the water comes back with the frogs.</p><p><a href=/8>-Edit this page</a></p><p>-Last changed in May</p>""",
+    """<div><a href=/1>-Catalogue</a></div><div><a href=/2>-Opening hours</a></div><div>+The museum shows clocks of <a href=/3>four centuries</a>, all of them running, so that at noon nobody understands a word in its halls.</div><div>+They were given to the town by a watchmaker who had bought them in <a href=/4>Geneva</a> and <a href=/5>Augsburg</a> and never sold a single one.</div><div>+The oldest has no hands; how time was read from it is told in <a href=/6>a leaflet that lies at the door</a>.</div><div><a href=/7>-Book a tour of the museum</a></div><div><a href=/8>-How to find us</a></div>""",
+    """<p>+If you have time for one walk only, take the one along <a href=/1>the upper dam</a> to the mill and come back through the woods.</p>""",
+    """<div>+Answers to most questions stand in <a href=/1>the handbook of the club</a>, of which each new member is given a copy in the first week.</div>""",
+    """<p>+The choir sang in <a href=/1>the old church</a> and, when it rained, in <a href=/2>the hall next to it</a>, where the sound was dry but the seats were better.</p><p>+Both were full.</p>""",
+    """<p><a href=/1>-Forum</a></p><p><a href=/2>-Rules of the house</a></p><p>+To bleed the brake, open the valve at <a href=/3>the lever</a> by half a turn and press until no more bubbles rise in the tube.</p><p>+Close it and try; a soft lever means that there still is air somewhere, most often in <a href=/4>the bend above the wheel</a>.</p><p><a href=/5>-Brakes and what belongs to them at good prices</a></p><p><a href=/6>-All workshops near you</a></p>""",
+    """<nav><a href=/1>-Back to the list</a></nav><div class="sidebar"><p>-We mend shoes of all kinds, and <a href=/2>this is what we ask for it</a> at present.</p><p><a href=/3>-Directions</a></p></div><p>+A good sole is sewn, not glued, because leather moves and glue does not, and what moves against what does not will tear.</p><p>+Thread is waxed by hand as <a href=/4>our teachers did it</a> and as we do.</p><footer>-Write to <a href=/5>the workshop</a> if anything is unclear</footer>""",
+    """<div class="cookie-banner"><p>-This page keeps small files, as <a href=/1>our notice on privacy</a> explains at some length.</p><a href=/2>-Agree</a></div><div><p>+Ink was made of oak galls and iron, and it eats the paper on which it was written a little more each year.</p><p>+How it can be stopped is shown in <a href=/3>a film of the archive</a> that lasts ten minutes.</p></div><div class="newsletter"><p>-One letter a month, and <a href=/4>no more than that</a>, we promise you.</p></div>""",
+    # prose between and behind link blocks
+    """<article><h1>+Salt roads</h1><p>+Salt was carried over the pass on mules, forty to a train, from the mines to the towns of the plain.</p><nav><a href=/1>-Mines</a> <a href=/2>-Mules</a></nav><p>+Where the trains rested for the night inns were built, and some of the inns became villages with walls.</p><div class="share"><a href=/3>-Mail</a></div><p>+The last train crossed in the year in which the railway was opened.</p></article>""",
+    """<main><p>+Willow bark was boiled and drunk against fever long before anyone knew what in it helps.</p><ul class="menu"><li><a href=/1>-Herbs from A to Z</a></li><li><a href=/2>-Teas</a></li></ul><p>+Today the same thing is pressed into tablets by the ton, and hardly anyone thinks of willows.</p></main><p><a href=/3>-Top of the page</a></p><p>-Printed on paper from old paper</p>""",
+    """<p><a href=/1>-Stories</a> <a href=/2>-Poems</a></p><p>+The lamp on the pier was lit by a woman who rowed out every evening, in any weather, for thirty years.</p><p><a href=/3>-A poem about the lamp</a></p><p>+When it was replaced by an electric one she still rowed out, she said, because the arms would not know what else to do.</p><p><a href=/4>-Sign up</a></p><p>-Made in the harbour town</p>""",
+    """<div><a href=/1>-Tests</a></div><div>+The tent stood for two weeks in rain and wind, and not a drop came through its seams or its floor.</div><div><a href=/2>-All tents</a></div><div>+It weighs more than others of its size, which one notices on the second day at the latest.</div><div><a href=/3>-Compare</a></div><div>-Prices of today</div>""",
+    """<div><a href=/1>-Contents of the volume</a></div><div>+In the spring of that year the river rose higher than any mark on the bridge, and it stayed so for nine days, in which the lower streets could be passed by boat alone, and bread was handed up to the windows on long poles.</div><div><a href=/2>-Next chapter</a></div><div>+When the water fell it left mud to the height of a man in every house, and under the mud, as the oldest of the carpenters had foretold, beams that had been sound for two hundred years and now broke like cheese.</div><div><a href=/3>-Notes</a></div>""",
+    """<p><a href=/1>-Home</a></p><p>+Whoever sets type by hand learns to read upside down and from right to left, and after some years no longer notices it, so that some compositors are said to have held even their newspaper the wrong way round at breakfast.</p><p><a href=/2>-Letters and cases</a></p><p>+The machine that ended the trade could cast a whole line at once from hot lead, and one man with it did the work of six; those five found other work or none, and their stools were sold to schools.</p><p><a href=/3>-Write a letter to the editor</a></p><p>-All texts belong to those who wrote them</p>""",
+    """<article><h1>+Apples</h1><div class="share"><a href=/1>-Share</a></div><p>+An apple grown from a pip never has the taste of its mother tree, so every named kind is one single tree that was cut and grafted again and again, some of them for longer than there have been printed books to praise them in.</p><aside><a href=/2>-Trees by mail</a></aside><p>+The cut has to be made in late winter, with a clean blade and on a dry day, and the twig is bound with bast and sealed with wax until both have grown together, which takes until the longest day of the year or a little more.</p></article>""",
 )
 
 
