@@ -116,16 +116,82 @@ def page_scores(classes: DataFrame, pages: DataFrame, keys: list[str]) -> DataFr
     return pages.join(scored, [*keys, "page_id"], "left").select(*keys, "page_id", F.coalesce("map50", F.lit(1.0)).alias("map50"), F.coalesce("map50_95", F.lit(1.0)).alias("map50_95"))
 
 
+#: Pages with more boxes are swept one by one, others are looked at together.
+CROWDED = 128
+
+
+def _hidden_by(box: np.ndarray, others: np.ndarray, most: float) -> np.ndarray:
+    """Which of others (4, ..., n) share with box (4, ..., 1) at least `most` of the smaller of the two areas."""
+    wide = np.minimum(box[2], others[2]) - np.maximum(box[0], others[0])
+    high = np.minimum(box[3], others[3]) - np.maximum(box[1], others[1])
+    common = np.where((wide > 0) & (high > 0), wide * high, 0.0)
+    area = lambda x: np.maximum(0, x[2] - x[0]) * np.maximum(0, x[3] - x[1])
+    least = np.minimum(area(box), area(others))
+    # the quotient, as the rule has it, not a product, which rounds otherwise
+    return np.where(least > 0, common / np.where(least > 0, least, 1), 0.0) >= most
+
+
+def kept_together(boxes: np.ndarray, count: np.ndarray, most: float) -> np.ndarray:
+    """(rows, n) whether each box is kept; boxes: (4, rows, n), padded, in the order in which they are taken."""
+    n = boxes.shape[2]
+    alive = np.arange(n) < count[:, None]
+    for k in range(n - 1):
+        alive[:, k + 1 :] &= ~(alive[:, k : k + 1] & _hidden_by(boxes[:, :, k : k + 1], boxes[:, :, k + 1 :], most))
+    return alive
+
+
+def kept_swept(boxes: np.ndarray, most: float) -> np.ndarray:
+    """The same for one page (4, n): a box is compared with those alone that can touch it in a sweep from left to right."""
+    by_left = np.argsort(boxes[0], kind="stable")
+    swept, rank = boxes[:, by_left], np.empty(len(by_left), np.int64)
+    rank[by_left] = np.arange(len(by_left))
+    alive = np.ones(len(by_left), bool)
+    # widths in classes of powers of two, each swept for itself, so that one wide box does not widen the sweep for all
+    width = np.maximum(swept[2] - swept[0], 0)
+    kind = np.frexp(width)[1]
+    classes = []
+    for c in np.unique(kind):
+        at = np.flatnonzero(kind == c)
+        classes.append((at, swept[0][at], width[at].max()))
+    for k in rank.tolist():
+        if not alive[k]:
+            continue
+        for at, left, widest in classes:
+            near = at[np.searchsorted(left, swept[0, k] - widest) : np.searchsorted(left, swept[2, k], side="right")]
+            near = near[alive[near] & (by_left[near] > by_left[k])]
+            if len(near):
+                alive[near[_hidden_by(swept[:, k : k + 1], swept[:, near], most)]] = False
+    return alive[rank]
+
+
+def _without(batches: Iterator[pa.RecordBatch], most: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = batch.column(batch.num_columns - 1)
+        offsets = rows.offsets.to_numpy()
+        count = np.diff(offsets)
+        keep = np.ones(int(offsets[-1]), bool)
+        todo = np.flatnonzero((count > 1) & (count <= CROWDED))
+        todo = todo[np.argsort(count[todo], kind="stable")]
+        while len(todo):
+            cells = np.maximum.accumulate(count[todo]) * np.arange(1, len(todo) + 1)
+            now, todo = np.split(todo, [max(1, int(np.searchsorted(cells, CELLS // 8)))])
+            n = int(count[now].max())
+            alive = kept_together(_padded(rows, now, n), count[now], most)
+            at = offsets[now][:, None] + np.arange(n)
+            inside = np.arange(n) < count[now][:, None]
+            keep[at[inside]] = alive[inside]
+        for i in np.flatnonzero(count > CROWDED):
+            keep[offsets[i] : offsets[i + 1]] = kept_swept(_padded(rows, np.array([i]), int(count[i]))[:, 0], most)
+        first = int(offsets[0])
+        upto = np.concatenate(([0], np.cumsum(keep[first:])))
+        values = rows.values.slice(first, len(keep) - first).filter(pa.array(keep[first:]))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(upto[offsets - first].astype(np.int32)), values)], names=batch.schema.names)
+
+
 def without_overlaps(found: DataFrame, keys: list[str], most: float = 0.85) -> DataFrame:
     """Boxes of a page kept greedily by confidence, then area: none may cover, or be covered by, most of one kept before."""
     area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     rank = F.struct((-F.coalesce("confidence", F.lit(0.0))).alias("c"), (-area).alias("a"), "pred_id", "cls", "x1", "y1", "x2", "y2")
     pages = found.groupBy(*keys).agg(F.array_sort(F.collect_list(rank)).alias("rows"))
-    from ..functions.geometry import overlap_of_smaller
-
-    def step(kept, r):
-        hidden = F.exists(kept, lambda k: overlap_of_smaller(_box(k), _box(r)) >= most)
-        return F.when(hidden, kept).otherwise(F.concat(kept, F.array(r)))
-
-    kept = F.aggregate("rows", F.filter("rows", lambda r: F.lit(False)), step)
-    return pages.select(*keys, F.inline(kept)).drop("c", "a")
+    kept = pages.mapInArrow(lambda it: _without(it, most), pages.schema)
+    return kept.select(*keys, F.inline("rows")).drop("c", "a")
