@@ -125,6 +125,9 @@ def test_html_text(spark):
 def test_tables_are_cleaned():
     assert T.clean_table("no") is None
     assert T.clean_table('<table><tr><td colspan="900" x="1">a & b<script>') is None
+    assert T.clean_table('x<table a=1><tr><th rowspan=2 colspan = "0">A<br/>B<td onclick="x>y">q</tr></tr></table></table>') == '<table><tr><th rowspan="2" colspan="1">A<br>B<td>q</td></th></tr></table>'
+    assert T.clean_table("<table><table><TABLE><td>a < b <!-- no --><b>c</b></table>") == "<table><table><table><td>a &lt; b c</td></table></table></table>"
+    assert T.clean_table('<table></br></td><td rowspan="3x" data-colspan="4">1</td></table>') == "<table><td>1</td></table>"
     assert T.clean_table('<TABLE><tr><td colspan="900">a &amp; b</table>') == '<table><tr><td colspan="200">a &amp; b</td></tr></table>'
 
 
