@@ -1,6 +1,6 @@
 """License scan: which license notices stand in which documents.
 
-Sketches of the templates retrieve them and exact shingle containment in the
+MinHash bands over overlapping windows retrieve templates and exact shingle containment in the
 whole text verifies them; see containment.contained for the method,
 null and short texts. Defined results: an empty table gives an empty result;
 further columns are ignored.
