@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.jobs import status_of_event
 
@@ -27,6 +29,35 @@ def activity(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -
     return events.withWatermark("ts", late).groupBy(F.window("ts", window), "stage", "event_type").agg(F.count("*").alias("n"), F.max("id").alias("last_id"))
 
 
+def applied_states(events: DataFrame) -> DataFrame:
+    """(page_id, id, status) of the pages whose state changes, from keyed state that survives restarts.
+
+    The state of a page is the id of the last event that it has taken and its
+    status. Events up to that id are known and do nothing, so a batch that is
+    delivered again changes nothing; if all that come have lower ids, the log was
+    begun anew and they count from its start. Events of the benchmark stage move
+    the cursor and nothing else.
+    """
+
+    def update(key, parts, state):
+        last, status = state.get if state.exists else (0, None)
+        rows = pd.concat(list(parts)).sort_values("id", kind="stable")
+        if rows["id"].max() < last:
+            last = 0
+        before = status
+        rows = rows[rows["id"] > last]
+        if len(rows):
+            last = int(rows["id"].iloc[-1])
+            implied = rows.loc[rows["status"].notna() & (rows["stage"] != "layout_benchmark"), "status"]
+            status = implied.iloc[-1] if len(implied) else status
+        state.update((last, status))
+        if status != before:
+            yield pd.DataFrame({"page_id": [key[0]], "id": [last], "status": [status]})
+
+    rows = events.where("page_id > 0 AND id > 0").select("page_id", "id", "stage", status_of_event(F.col("stage"), F.col("event_type"), F.col("skipped")).alias("status"))
+    return rows.groupBy("page_id").applyInPandasWithState(update, "page_id long, id long, status string", "id long, status string", "update", GroupStateTimeout.NoTimeout)
+
+
 def to_table(df: DataFrame, name: str, checkpoint: str, mode: str = "update", once: bool = True) -> StreamingQuery:
     """Run a stream into an in-memory table, to the end of what there is or every two seconds."""
     writer = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint)
