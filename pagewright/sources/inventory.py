@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .tables import written
+
 # Fixed value: suffixes of page images.
 SUFFIXES = (".png", ".jpg", ".jpeg", ".webp", ".tif", ".tiff")
 
@@ -29,6 +31,39 @@ def scan(spark: SparkSession, root: str, suffixes: tuple[str, ...] = SUFFIXES) -
     return with_known_suffix(files.select(rel.alias("rel_path"), F.sha2("content", 256).alias("file_hash")), suffixes)
 
 
+#: Changed files that are read by their names; if there are more, all files are read once.
+MOST_NAMED = 10_000
+
+
+def _listed(spark: SparkSession, root: str, suffixes: tuple[str, ...], paths: list[str] | None = None) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    files = reader.load(paths) if paths else reader.load(root)
+    base = "/" + root.split(":", 1)[-1].strip("/") + "/"
+    rel = F.substring(F.regexp_replace("path", r"^[a-z]+:/*", "/"), len(base) + 1, 1 << 30)
+    return with_known_suffix(files.withColumn("rel_path", rel), suffixes)
+
+
+def rescan(spark: SparkSession, root: str, recorded: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> tuple[DataFrame, int]:
+    """((rel_path, length, modified, file_hash) of all page files below a folder, how many of them were read).
+
+    recorded: what the last scan gave. A file of the same name, length and time
+    of change keeps its recorded hash and is not opened: the listing of a folder
+    reads no contents. Files that are not there any more have no row.
+    """
+    columns = ["rel_path", "length", "modified"]
+    there = _listed(spark, root, suffixes).select("path", "rel_path", "length", F.col("modificationTime").alias("modified"))
+    new = written(there.join(recorded.select(*columns), columns, "left_anti"))
+    names = [r.path for r in new.select("path").limit(MOST_NAMED + 1).collect()]
+    kept = there.join(recorded.select(*columns, "file_hash"), columns).select(*columns, "file_hash")
+    if not names:
+        return kept, 0
+    contents = _listed(spark, root, suffixes, names if len(names) <= MOST_NAMED else None)
+    hashed = contents.select("rel_path", "length", F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("file_hash"))
+    if len(names) > MOST_NAMED:
+        hashed = hashed.join(new.select("rel_path"), "rel_path", "left_semi")
+    return kept.unionByName(hashed), new.count() if len(names) > MOST_NAMED else len(names)
+
+
 def canonical(files: DataFrame) -> DataFrame:
     """Each file with the least path of its content: that copy is the canonical one."""
     same = Window.partitionBy("file_hash")
@@ -46,11 +81,12 @@ def _taken(found: DataFrame, known: DataFrame) -> DataFrame:
     """
     at = known.select("rel_path", F.col("file_hash").alias("page_hash"))
     step = found.join(at, "rel_path").where("file_hash < page_hash").select("file_hash", F.col("page_hash").alias("next_hash"))
-    step = step.join(found.select(F.col("file_hash").alias("next_hash")), "next_hash", "left_semi")
-    out = front = found.select("file_hash").join(known.select("file_hash"), "file_hash", "left_anti")
-    while not (front := front.join(step, "file_hash").select(F.col("next_hash").alias("file_hash")).join(out, "file_hash", "left_anti").distinct()).isEmpty():
+    step = written(step.join(found.select(F.col("file_hash").alias("next_hash")), "next_hash", "left_semi"))
+    out = front = written(found.select("file_hash").join(known.select("file_hash"), "file_hash", "left_anti"))
+    # hashes only rise along a chain, so none is met twice by one, and each round is as short as its front
+    while not (front := written(front.join(step, "file_hash").select(F.col("next_hash").alias("file_hash")).distinct())).isEmpty():
         out = out.unionByName(front)
-    return out
+    return out.distinct()
 
 
 def reconcile(found: DataFrame, known: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ model or a network, `recorded` serves detections and transcripts from a table.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -121,9 +122,12 @@ def transcribed(crops: DataFrame, make: Callable[[], Callable[[str, str], str]],
 
 
 def exhausted_keys(text: str) -> list[str]:
-    """Keys of a file of used-up keys: one a line, blank lines and comments left out, each once."""
-    lines = (line.split("#", 1)[0].strip() for line in text.splitlines())
-    return list(dict.fromkeys(x for x in lines if x))
+    """Keys of a file of used-up keys, a JSON list: trimmed, each once; any other file has none."""
+    try:
+        found = json.loads(text)
+    except ValueError:
+        return []
+    return list(dict.fromkeys(x for x in (str(v).strip() for v in found) if x)) if isinstance(found, list) else []
 
 
 def prompt_sheet(spark, template: str) -> DataFrame:

@@ -179,7 +179,8 @@ def test_providers(spark):
     got = {r.layout_id: (r.raw, r.used_key) for r in providers.transcribed(crops.where("layout_id <> 2"), make, ("k1", "k2", "k3"), exhausted=("k3",)).collect()}
     assert got == {1: ("OK", "k1"), 3: ("MORE", "k3")}  # the pool is tried again once all others are out
     assert providers.transcribed(crops.where("layout_id = 1"), make, ()).first().error == "no usable key"
-    assert providers.exhausted_keys("a\n\n b # old\n#c\na\n") == ["a", "b"]
+    assert providers.exhausted_keys('["k1", " k2 ", "", "k1", 7]') == ["k1", "k2", "7"]
+    assert [providers.exhausted_keys(x) for x in ("", "k1\nk2", '{"a": 1}', '"k1"')] == [[]] * 4
     with pytest.raises(ValueError, match="placeholders"):
         providers.rendered_prompt("{what}", F.lit(""), F.lit(""), F.lit(""))
 
