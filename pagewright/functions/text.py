@@ -136,42 +136,47 @@ def list_line(c: Column, indent: Column) -> Column:
     return F.when(text == "", text).otherwise(F.regexp_replace(line, r"(?U)\s+$", ""))
 
 
-#: Where lines end.
-_LINE_END = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x85\u2028\u2029]"
-_CYRILLIC = r"[\u0400-\u04FF]"
-#: A span between equal runs of back-ticks, a run that nothing closes, or a stretch without back-ticks.
-_PIECE = r"(`++)(?:.*?\1)?|[^`]+"
-_TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
-_FENCE = r"^(?:`{3,}|~{3,})"
-
-
-def _placed(parts: Column) -> Column:
-    """Each part of a text with the number of characters before it."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,at:int>>").alias("out"))
-    step = lambda a, x: F.struct((a["at"] + F.length(x)).alias("at"), F.concat(a["out"], F.array(F.struct(x.alias("text"), a["at"].alias("at")))).alias("out"))
-    return F.aggregate(parts, start, step)["out"]
-
-
-def outside_code(line: Column) -> Column:
-    """The parts (text, at) of a line outside of back-tick spans."""
-    return F.filter(_placed(F.regexp_extract_all(line, F.lit(_PIECE), 0)), lambda p: ~p["text"].startswith("`"))
-
-
-def code_lines(lines: Column) -> Column:
-    """One character a line: 1 for fences and what is between a fence and the next that it begins, else 0."""
-
-    def step(a: Column, line: Column) -> Column:
-        mark = F.regexp_extract(line, _FENCE, 0)
-        opens, closes = (a["fence"] == "") & (mark != ""), (a["fence"] != "") & line.startswith(a["fence"])
-        fence = F.when(opens, mark).when(closes, "").otherwise(a["fence"])
-        return F.struct(fence.alias("fence"), F.concat(a["flags"], F.when((a["fence"] != "") | opens, "1").otherwise("0")).alias("flags"))
-
-    start = F.struct(F.lit("").alias("fence"), F.lit("").alias("flags"))
-    return F.when(F.exists(lines, lambda x: x.rlike(_FENCE)), F.aggregate(lines, start, step)["flags"]).otherwise(F.repeat(F.lit("0"), F.size(lines)))
-
-
-_PLAIN = "".join(target * len(chars) for chars, target in LOOKALIKES)
-_ODD = "".join(chars for chars, _ in LOOKALIKES)
+#: Where lines end, fences of code, and a span between equal runs of back-ticks or a run that nothing closes.
+_LINE_END = re.compile("\r\n|[\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]")
+_FENCE = re.compile("`{3,}|~{3,}")
+_CODE_SPAN = re.compile("(`++)(?:.*?\\1)?")
+_CYRILLIC = "[\u0400-\u04ff]"
+_MASK = "\0"  # no letter and no back-tick: stands for each character of code
+_PLAIN = str.maketrans({odd: target for chars, target in LOOKALIKES for odd in chars})
+_WARNING = "array<struct<line_index:int,token:string,normalized_token:string,token_start:int,token_end:int,replacements:array<struct<`from`:string,`to`:string>>>>"
+
+
+def without_spans(line: str) -> str:
+    """A line of the same length in which code between back-ticks is masked."""
+    return _CODE_SPAN.sub(lambda m: _MASK * len(m[0]), line) if "`" in line else line
+
+
+def _odd_words(text: str, most: int | None) -> list[tuple]:
+    """Words of a text in reading order that look like others; each character is looked at a fixed number of times."""
+    import regex
+
+    cyrillic, part, word = regex.compile(_CYRILLIC), regex.compile(f"[^{_MASK}]+"), regex.compile(r"[\p{L}\p{N}_]+")
+    out: list[tuple] = []
+    fence = ""
+    for n, line in enumerate(_LINE_END.split(text)):
+        if fence:
+            fence = "" if line.startswith(fence) else fence
+            continue
+        if mark := _FENCE.match(line):
+            fence = mark[0]
+            continue
+        for piece in part.finditer(without_spans(line)) if cyrillic.search(line) else ():
+            if not cyrillic.search(piece[0]):
+                continue
+            for m in word.finditer(piece[0]):
+                plain = m[0].translate(_PLAIN)
+                if plain == m[0] or not cyrillic.search(m[0]) and len(regex.findall(r"\p{L}", m[0])) != 1:
+                    continue
+                at = piece.start() + m.start()
+                out.append((n, m[0], plain, at, at + len(plain), [(x, y) for x, y in zip(m[0], plain) if x != y]))
+                if len(out) == most:
+                    return out
+    return out
 
 
 def lookalikes(df: DataFrame, column: str, name: str = "warnings", most: int | None = MOST_WARNINGS) -> DataFrame:
@@ -181,32 +186,13 @@ def lookalikes(df: DataFrame, column: str, name: str = "warnings", most: int | N
     A word counts if it has a Cyrillic letter itself, or is a single letter in a part of a line that has one.
     """
 
-    def plain(word: Column) -> Column:
-        return F.translate(word, _ODD, _PLAIN)
-
-    def odd(token: Column) -> Column:
-        word = token["text"]
-        return (plain(word) != word) & (word.rlike(_CYRILLIC) | (F.length(F.regexp_replace(word, r"[^\p{L}]+", "")) == 1))
-
-    def warning(token: Column, part: Column, line: Column) -> Column:
-        word, start = token["text"], part["at"] + token["at"]
-        pairs = F.zip_with(F.split(word, ""), F.split(plain(word), ""), lambda a, b: F.struct(a.alias("from"), b.alias("to")))
-        return F.struct(
-            line["n"].alias("line_index"), word.alias("token"), plain(word).alias("normalized_token"), start.alias("token_start"), (start + F.length(word)).alias("token_end"), F.filter(pairs, lambda x: x["from"] != x["to"]).alias("replacements")
-        )
-
-    def of_line(line: Column) -> Column:
-        parts = F.filter(outside_code(line["text"]), lambda p: p["text"].rlike(_CYRILLIC))
-        return F.flatten(F.transform(parts, lambda p: F.transform(F.filter(_placed(F.regexp_extract_all(p["text"], F.lit(_TOKEN), 0)), odd), lambda t: warning(t, p, line))))
-
-    # texts without a Cyrillic letter have no lines to look at
-    rows = df.withColumn("__text", nfc(column)).withColumn("__lines", F.when(F.col("__text").rlike(_CYRILLIC), F.split("__text", _LINE_END)).otherwise(F.array().cast("array<string>")))
-    rows = rows.withColumn("__flags", code_lines(F.col("__lines")))
-    numbered = F.transform("__lines", lambda x, i: F.struct(x.alias("text"), i.alias("n")))
-    open_ = F.filter(numbered, lambda x: x["text"].rlike(_CYRILLIC) & (F.substring(F.col("__flags"), x["n"] + 1, F.lit(1)) == "0"))
-    rows = rows.withColumn("__open", open_)
-    found = F.flatten(F.transform("__open", of_line))
-    return rows.withColumn(name, found if most is None else F.slice(found, 1, most)).drop("__text", "__lines", "__flags", "__open")
+    @F.pandas_udf(_WARNING)
+    def found(s: pd.Series) -> pd.Series:
+        return pd.Series([_odd_words(x, most) for x in s])
+
+    # texts without a Cyrillic letter are not looked at: they are empty for the function
+    rows = df.withColumn("__text", nfc(column))
+    return rows.withColumn(name, found(F.when(F.col("__text").rlike(_CYRILLIC), F.col("__text")).otherwise(""))).drop("__text")
 
 
 @F.pandas_udf(T.StringType())

@@ -12,7 +12,9 @@ SIGNALS = {"yellowed": 30, "low_contrast": 20, "skewed": 20, "table_heavy": 15,
 
 
 def coverage(rows: DataFrame, column: str, kept: str, targets: dict[str, int]) -> DataFrame:
-    """(column, n, target, met) for each target that has kept rows; targets are a small fixed table."""
-    quota = F.create_map(*[F.lit(x) for kv in targets.items() for x in kv])
-    out = rows.where(F.col(kept) & F.col(column).isin(*targets)).groupBy(column).agg(F.count("*").alias("n"))
-    return out.withColumn("target", quota[F.col(column)]).withColumn("met", F.col("n") >= F.col("target"))
+    """(column, n, target, met) for each target, also those that no kept row counts for; targets are a small fixed table."""
+    cells = F.array(*[F.struct(F.lit(k).alias(column), F.lit(n).alias("target")) for k, n in targets.items()])
+    wanted = rows.sparkSession.range(1).select(F.inline(cells))
+    found = rows.where(F.col(kept) & F.col(column).isin(*targets)).groupBy(column).agg(F.count("*").alias("n"))
+    n = F.coalesce("n", F.lit(0).cast("long"))
+    return wanted.join(found, column, "left").select(column, n.alias("n"), "target", (n >= F.col("target")).alias("met"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import tokens
-from ..operators import history
+from ..operators import drafts, history, rounds, sorting
 from .registry import query
 from .views import frame
 
@@ -54,3 +54,67 @@ def branched_histories(spark, sf):
         F.col("user").alias("user_id"), "history", F.col("place").cast("long").alias("place"), history.neighbour(F.col("history"), F.col("place"), -1).alias("previous"), history.neighbour(F.col("history"), F.col("place"), 1).alias("following"),
         filtered["place"].cast("long").alias("even_place"),
     )
+
+
+def _provider():
+    """A provider whose first key is used up, whose second refuses odd boxes, and which fails boxes of five."""
+
+    def call(key, prompt):
+        n = int(prompt.rsplit(" ", 1)[1])
+        if key == "first":
+            raise RuntimeError("429: daily quota exceeded, limit per day")
+        if n % 5 == 0:
+            raise RuntimeError("500 internal")
+        if key == "second" and n % 2:
+            raise RuntimeError("429 resource exhausted")
+        return f"text of {n}"
+
+    return call
+
+
+@query(
+    "extraction_rounds",
+    """SELECT layout_id, CASE WHEN output_format = 'skip' THEN 'skipped' WHEN layout_id % 5 = 0 THEN 'failed' ELSE 'extracted' END AS state, CASE WHEN output_format <> 'skip' AND layout_id % 5 <> 0 THEN concat('text of ', CAST(layout_id AS VARCHAR)) END AS raw,
+CASE WHEN output_format <> 'skip' AND layout_id % 5 <> 0 THEN 1 ELSE 0 END AS requests FROM {d_outputs}""",
+)
+def extraction_rounds(spark, sf):
+    """Every output transcribed anew in rounds, by three keys of which one is used up and one refuses some boxes."""
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/staging"
+    prompt = F.when(F.col("output_format") == "skip", "").otherwise(F.concat(F.lit("transcribe "), F.col("layout_id").cast("string")))
+    crops = frame(spark, sf, "d_outputs").select("layout_id", prompt.alias("prompt"))
+    return rounds.extracted(crops, _provider, ["first", "second", "third"], f"{shared}/extraction-{uuid.uuid4().hex}").select("layout_id", "state", "raw", "requests")
+
+
+@query(
+    "overlaid_drafts",
+    """SELECT layout_id, CASE WHEN seed % 3 = 0 THEN 'table' WHEN seed % 4 = 0 THEN 'caption' ELSE cls END AS class_name, CAST(CASE WHEN seed % 5 = 0 THEN reading_order + 2 ELSE reading_order END AS BIGINT) AS reading_order,
+round(CASE WHEN seed % 7 = 0 THEN x1 + 0.125 ELSE x1 END, 9) AS x1, list_filter([CASE WHEN seed % 12 = 0 AND cls <> 'table' AND cls <> 'caption' THEN 'class_name' END, CASE WHEN seed % 15 = 0 THEN 'reading_order' END], lambda v: v IS NOT NULL) AS conflicts
+FROM (SELECT * FROM {d_layouts_n}) WHERE seed % 17 <> 0""",
+)
+def overlaid_drafts(spark, sf):
+    """Drafts of boxes that were changed by others meanwhile; some boxes were taken away in the draft."""
+    s = F.col("seed")
+    base = frame(spark, sf, "d_layouts_n").select("layout_id", "seed", F.col("cls").alias("class_name"), F.lit("horizontal").alias("orientation"), "reading_order", "x1", "y1", "x2", "y2")
+    stored = base.withColumn("class_name", F.when(s % 4 == 0, "caption").otherwise(F.col("class_name"))).withColumn("reading_order", F.when(s % 15 == 0, F.col("reading_order") + 1).otherwise(F.col("reading_order")))
+    draft = base.select(
+        "layout_id", F.when(s % 3 == 0, "table").otherwise(F.col("class_name")).alias("class_name"), "orientation", F.when(s % 5 == 0, F.col("reading_order") + 2).otherwise(F.col("reading_order")).alias("reading_order"),
+        F.when(s % 7 == 0, F.col("x1") + 0.125).otherwise(F.col("x1") + 0.000001).alias("x1"), "y1", "x2", "y2", *[F.col(f).alias(f"base_{f}") for f in drafts.FIELDS],
+    )
+    out = drafts.overlaid(stored, draft, base.where(s % 17 == 0))
+    return out.select("layout_id", "class_name", F.col("reading_order").cast("long").alias("reading_order"), F.round("x1", 9).alias("x1"), "conflicts")
+
+
+@query("pages_by_path", "SELECT page_id, row_number() OVER (ORDER BY regexp_extract(rel_path, '^([^/]*)/', 1), page_id) AS place FROM {d_pages}")
+def pages_by_path(spark, sf):
+    """Places of pages in the order of their paths, in which numbers count as such: a page's number follows the folder's name."""
+    from pyspark.sql import Window
+
+    rows = frame(spark, sf, "d_pages")
+    # places over the ordered ranges of a window without partitions would be one task's work: each folder is ordered for itself
+    folder = F.regexp_extract("rel_path", "^([^/]*)/", 1)
+    counts = rows.groupBy(folder.alias("folder")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("folder").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("folder").orderBy(sorting.text_key(F.col("rel_path")), "page_id"))
+    return rows.withColumn("folder", folder).join(F.broadcast(counts.select("folder", before.alias("before"))), "folder").select("page_id", (own + F.col("before")).alias("place"))

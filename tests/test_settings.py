@@ -17,7 +17,7 @@ def test_settings_from_file_and_environment(tmp_path):
 
 def test_quotas(spark):
     rows = spark.createDataFrame([("book", True)] * 50 + [("legal", True)] * 3 + [("book", False), ("other", True)], "kind string, kept boolean")
-    assert {r.kind: (r.n, r.met) for r in quotas.coverage(rows, "kind", "kept", quotas.TYPES).collect()} == {"book": (50, True), "legal": (3, False)}
+    assert {r.kind: (r.n, r.met) for r in quotas.coverage(rows, "kind", "kept", quotas.TYPES).collect()} == {"book": (50, True), "legal": (3, False), "periodical": (0, False), "misc": (0, False)}
 
 
 def test_history_drops_repeats_and_keeps_the_last(spark):
