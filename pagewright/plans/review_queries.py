@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import tokens
-from ..operators import drafts, history, rounds, sorting
+from ..operators import creation, drafts, history, rounds, sorting
 from .registry import query
 from .views import frame
 
@@ -118,3 +118,33 @@ def pages_by_path(spark, sf):
     before = F.coalesce(F.sum("n").over(Window.orderBy("folder").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     own = F.row_number().over(Window.partitionBy("folder").orderBy(sorting.text_key(F.col("rel_path")), "page_id"))
     return rows.withColumn("folder", folder).join(F.broadcast(counts.select("folder", before.alias("before"))), "folder").select("page_id", (own + F.col("before")).alias("place"))
+
+
+@query("created_boxes")
+def created_boxes(spark, sf):
+    """Orders of all boxes after a new one was asked for on each page: some at a place of their own, some not valid."""
+    k = F.col("page_id") % 10
+    x1, y1 = (F.col("page_id") * 7 % 80) / 100, (F.col("page_id") * 3 % 90) / 100
+    pages = frame(spark, sf, "d_pages")
+    requests = pages.select(
+        F.col("page_id").alias("request_id"), "page_id", F.lit("Title").alias("class_name"), F.lit(None).cast("string").alias("orientation"), F.when(k == 3, 2).when(k == 7, 0).cast("int").alias("reading_order"),
+        x1.alias("x1"), y1.alias("y1"), F.when(k == 5, x1).otherwise(x1 + 0.1).alias("x2"), (y1 + 0.05).alias("y2"),
+    )
+    layouts = frame(spark, sf, "d_layouts_n").select("layout_id", "page_id", "reading_order", F.col("cls").alias("class_name"), "orientation", "x1", "y1", "x2", "y2")
+    out, _ = creation.created(layouts, pages, requests)
+    return out.select("page_id", "layout_id", "request_id", F.col("reading_order").cast("long").alias("reading_order"), "class_name")
+
+
+@query(
+    "replaced_detections",
+    """SELECT page_id, count(*) AS n, sum(reading_order) AS orders FROM (
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY y1, x1, pred_id) AS reading_order FROM (SELECT page_id, pred_id, greatest(0, x1 - 0.1) AS x1, y1, least(1, x2 - 0.1) AS x2, y2 FROM {d_predictions} WHERE cfg = 0 AND pred_id % 100 = 1) WHERE x2 > x1 AND y2 > y1 AND page_id % 2 = 0
+UNION ALL SELECT page_id, reading_order FROM {d_layouts} WHERE page_id % 2 = 1) GROUP BY page_id""",
+)
+def replaced_detections(spark, sf):
+    """Boxes after every other page was detected anew, with the first box of each page, moved beyond the edge."""
+    found = frame(spark, sf, "d_predictions").where("cfg = 0 AND pred_id % 100 = 1").select("page_id", "pred_id", F.col("cls").alias("class_name"), "confidence", (F.col("x1") - 0.1).alias("x1"), "y1", (F.col("x2") - 0.1).alias("x2"), "y2")
+    layouts = frame(spark, sf, "d_layouts_n").select("layout_id", "page_id", "reading_order", F.col("cls").alias("class_name"), "x1", "y1", "x2", "y2")
+    pages = frame(spark, sf, "d_pages").where("page_id % 2 = 0").select("page_id")
+    out = creation.with_detections(layouts, creation.cleaned(found, ["page_id"]), pages, True)
+    return out.groupBy("page_id").agg(F.count("*").alias("n"), F.sum("reading_order").alias("orders"))
