@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import tokens
-from ..operators import creation, drafts, history, rounds, sorting
+from ..operators import bindings, creation, drafts, history, rounds, sorting
 from .registry import query
 from .views import frame
 
@@ -148,3 +148,36 @@ def replaced_detections(spark, sf):
     pages = frame(spark, sf, "d_pages").where("page_id % 2 = 0").select("page_id")
     out = creation.with_detections(layouts, creation.cleaned(found, ["page_id"]), pages, True)
     return out.groupBy("page_id").agg(F.count("*").alias("n"), F.sum("reading_order").alias("orders"))
+
+
+_DRAFTED = "SELECT caption_layout_id, target_layout_id FROM {d_bindings} UNION ALL SELECT caption_layout_id, caption_layout_id FROM {d_bindings} UNION ALL SELECT caption_layout_id, target_layout_id + 100 FROM {d_bindings} UNION ALL SELECT caption_layout_id, caption_layout_id - 1 FROM {d_bindings}"
+_KEPT = f"""k AS (SELECT c.page_id, c.layout_id AS caption_layout_id, list_sort(list(DISTINCT t.layout_id)) AS targets FROM ({_DRAFTED}) b JOIN {{d_layouts_n}} c ON c.layout_id = b.caption_layout_id AND c.cls = 'caption'
+JOIN {{d_layouts_n}} t ON t.layout_id = b.target_layout_id AND t.page_id = c.page_id AND t.layout_id <> c.layout_id AND t.cls IN ('table', 'picture', 'formula') GROUP BY 1, 2)"""
+
+
+def _sanitised(spark, sf):
+    """Bindings with each caption bound to itself, to the box before it and to a box of another page besides."""
+    b = frame(spark, sf, "d_bindings")
+    c, t = F.col("caption_layout_id"), F.col("target_layout_id")
+    drafted = b.select(c, F.explode(F.array(t, c, t + 100, c - 1)).alias("target_layout_id"))
+    return bindings.sanitised(drafted, frame(spark, sf, "d_layouts_n").select("page_id", "layout_id", "cls"))
+
+
+@query("sanitised_bindings", f"WITH {_KEPT} SELECT * FROM k")
+def sanitised_bindings(spark, sf):
+    return _sanitised(spark, sf)[0]
+
+
+@query("unbound_captions", f"WITH {_KEPT} SELECT page_id, list_sort(list(layout_id)) AS unbound FROM {{d_layouts_n}} WHERE cls = 'caption' AND layout_id NOT IN (SELECT caption_layout_id FROM k) GROUP BY page_id")
+def unbound_captions(spark, sf):
+    return _sanitised(spark, sf)[1]
+
+
+@query(
+    "offered_configs",
+    """SELECT model, CAST(image_size AS BIGINT) AS image_size, mean FROM (SELECT model, image_size, arg_min(score, result_id) AS mean, min(result_id) AS first FROM (SELECT concat('m', CAST(page_id % 5 AS VARCHAR)) AS model, 16 * (1 + page_id % 7) AS image_size, score, result_id FROM {d_results}) WHERE image_size >= 32 GROUP BY 1, 2) ORDER BY mean DESC, first LIMIT 3""",
+)
+def offered_configs(spark, sf):
+    """The three settings that a screen offers, of rows of which the first of each setting counts."""
+    rows = frame(spark, sf, "d_results").select(F.concat(F.lit(" m"), (F.col("page_id") % 5).cast("string")).alias("model"), (16 * (1 + F.col("page_id") % 7)).cast("string").alias("image_size"), F.col("score").alias("mean"), "result_id")
+    return bindings.offered(rows, "result_id")

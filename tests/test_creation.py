@@ -46,3 +46,11 @@ def test_detector_rows_are_cleaned(spark):
     assert sorted((r.page_id, r.layout_id or 0, r.reading_order) for r in new.collect()) == [(1, 0, 1), (1, 0, 2), (1, 0, 3), (3, 3, 1)]
     more = creation.with_detections(layouts, out, pages, False)
     assert sorted((r.page_id, r.layout_id or 0, r.reading_order) for r in more.collect()) == [(1, 0, 5), (1, 0, 6), (1, 0, 7), (1, 1, 4), (2, 2, 1), (3, 3, 1)]
+
+
+def test_settings_that_are_offered(spark):
+    from pagewright.operators import bindings
+
+    rows = [(1, "a", "512", 0.5), (2, " a ", "512.0", 0.9), (3, "b", "512", None), (4, "c", "31", 0.9), (5, "", "512", 0.9), (6, "d", "512.5", 0.9), (7, "e", "big", 0.9), (8, "f", "64", 0.5), (9, "g", "64", float("nan")), (10, None, "64", 1.0)]
+    df = spark.createDataFrame(rows, "n int, model string, image_size string, mean double")
+    assert [tuple(r) for r in bindings.offered(df, "n").collect()] == [("a", 512, 0.5), ("f", 64, 0.5), ("b", 512, 0.0)]
