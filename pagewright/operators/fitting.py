@@ -10,6 +10,7 @@ largest is found by halving the range of sizes.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,14 +35,17 @@ class Text:
     def __init__(self, text: str, table: np.ndarray):
         self.text = text
         codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-        self.upto = np.concatenate(([0], np.cumsum(table[codes], dtype=np.int64)))
-        self.hard: list[tuple[int, np.ndarray, np.ndarray]] = []  # (start, starts of words, ends of words) of each line of the text
-        at = 0
+        self.upto: list[int] = [0, *np.cumsum(table[codes], dtype=np.int64).tolist()]
+        spaces = np.flatnonzero(codes == 32).tolist()
+        self.hard: list[tuple[list[int], list[int], list[int]]] = []  # starts of words, ends, and sums up to those, of each line of the text
+        at = nth = 0
         pieces = [(m.start(), m.end()) for m in _LINE_ENDS.finditer(text)]
         for start, after in [*pieces, (len(text), len(text))]:
             if start > at or after > start or not text:
-                space = np.flatnonzero(codes[at:start] == 32) + at
-                self.hard.append((at, np.concatenate(([at], space + 1)), np.append(space, start)))
+                last = bisect_left(spaces, start, nth)
+                own, nth = spaces[nth:last], last
+                ends = [*own, start]
+                self.hard.append(([at, *(x + 1 for x in own)], ends, [self.upto[x] for x in ends]))
             at = after
 
     def lines(self, limit: int, most: int | None = None) -> list[tuple[int, int]] | None:
@@ -52,24 +56,23 @@ class Text:
         """
         out: list[tuple[int, int]] = []
         upto = self.upto
-        for at, starts, ends in self.hard:
+        for starts, ends, sums in self.hard:
             if starts[0] == ends[-1]:
-                out.append((at, at))
+                out.append((starts[0], starts[0]))
             k, n = 0, len(starts)
-            sums = upto[ends]
             while k < n:
                 if most is not None and len(out) > most:
                     return None
-                begin = int(starts[k])
+                begin = starts[k]
                 if begin == ends[k]:  # a space at the start of a line
                     k += 1
                     continue
-                fits = int(np.searchsorted(sums, upto[begin] + limit, side="right"))
+                fits = bisect_right(sums, upto[begin] + limit, k)
                 if fits > k:
-                    out.append((begin, int(ends[fits - 1])))
+                    out.append((begin, ends[fits - 1]))
                     k = fits
                 if k < n:
-                    self._pieces(int(starts[k]), int(ends[k]), limit, out, most)  # an empty one is an empty line
+                    self._pieces(starts[k], ends[k], limit, out, most)  # an empty one is an empty line
                     k += 1
         out = out or [(0, 0)]
         return None if most is not None and len(out) > most else out
@@ -78,13 +81,13 @@ class Text:
         if at == end:
             out.append((at, at))
         while at < end and (most is None or len(out) <= most):
-            stop = int(np.searchsorted(self.upto, self.upto[at] + limit, side="right")) - 1
-            stop = min(end, max(at + 1, stop))
+            stop = bisect_right(self.upto, self.upto[at] + limit, at, end + 1) - 1
+            stop = max(at + 1, stop)
             out.append((at, stop))
             at = stop
 
     def widest(self, lines: list[tuple[int, int]]) -> int:
-        return max(int(self.upto[b] - self.upto[a]) for a, b in lines)
+        return max(self.upto[b] - self.upto[a] for a, b in lines)
 
 
 def fits(text: Text, units: int, size: int, ratio: float, width: int, height: int) -> bool:
@@ -115,7 +118,7 @@ def _fitted(batches: Iterator[pa.RecordBatch], font: Metrics) -> Iterator[pa.Rec
             found = text.lines(width * font.units // size)
             high = max(1, round(size * ratio))
             whole = high * len(found) <= height and text.widest(found) * size <= width * font.units
-            rows = [{"text": text.text[a:b], "width": int(text.upto[b] - text.upto[a]) * size / font.units} for a, b in found]
+            rows = [{"text": text.text[a:b], "width": (text.upto[b] - text.upto[a]) * size / font.units} for a, b in found]
             for column, value in zip(out, (size, high, whole, rows)):
                 column.append(value)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.bool_()), pa.array(out[3], pa.list_(line))], names=names)
