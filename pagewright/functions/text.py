@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,15 +35,44 @@ LOOKALIKES = (
 MOST_WARNINGS = 200
 
 
+#: Characters of a text that its functions hold results of at once, as those may be many times as large as the text.
+PIECE = 1 << 18
+#: Characters that composing may change or join with those before them, and others near those; none of them is below U+0300.
+_UNSETTLED = (
+    r"\u0300-\u036F\u0374\u037E\u0387\u0483-\u0487\u0591-\u1FFF\u2000\u2001\u20D0-\u20FF\u2126\u212A\u212B\u2329\u232A\u2ADC\u2CEF-\u2CF1\u2D7F\u2DE0-\u2DFF"
+    r"\u302A-\u302F\u3099\u309A\uA66F-\uA6FF\uA802-\uABFF\uF900-\uFAFF\uFB1D-\uFB4F\uFE20-\uFE2F\x{10000}-\x{10FFFF}"
+)
+
+
+def pieces(batches: Iterator[pa.Array], most: int = PIECE) -> Iterator[list[str | None]]:
+    """The texts of batches in runs of about so many characters, or of one text."""
+    for batch in batches:
+        held, size = [], 0
+        for x in batch:
+            held.append(x.as_py())
+            size += len(held[-1] or "")
+            if size >= most:
+                yield held
+                held, size = [], 0
+        if held:
+            yield held
+
+
+def lists(sizes: list[int], **fields: pa.Array) -> pa.ListArray:
+    """An array of lists of structs from the sizes of the lists and the fields of all structs."""
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(list(fields.values()), names=list(fields)))
+
+
 @F.pandas_udf(T.StringType())
 def _composed(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFC")
 
 
 def nfc(c: Column | str) -> Column:
-    """Composed Unicode form; null becomes ''. Only texts with a character beyond ASCII go to Python."""
+    """Composed Unicode form; null becomes ''. Only texts with a character that may not be settled go to Python."""
     text = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
-    return F.coalesce(_composed(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+    return F.coalesce(_composed(F.when(text.rlike(rf"[\u0300-\x{{10FFFF}}&&[{_UNSETTLED}]]"), text)), text)
 
 
 def fold_quotes(c: Column) -> Column:
@@ -67,8 +99,15 @@ def _fold_outside_math(text: str) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def fold_quotes_outside_math(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: _fold_outside_math(x or ""))
+def _folded_outside_math(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else _fold_outside_math(x))
+
+
+def fold_quotes_outside_math(c: Column) -> Column:
+    """Quotes folded outside of math; null becomes ''. Only texts with both a dollar sign and such a quote go to Python."""
+    text = F.coalesce(c, F.lit(""))
+    mixed = text.contains("$") & text.rlike(f"[{SINGLE_QUOTES}{DOUBLE_QUOTES}]")
+    return F.coalesce(_folded_outside_math(F.when(mixed, text)), fold_quotes(text))
 
 
 def normalised_content(content: Column, output_format: Column) -> Column:
@@ -186,9 +225,17 @@ def lookalikes(df: DataFrame, column: str, name: str = "warnings", most: int | N
     A word counts if it has a Cyrillic letter itself, or is a single letter in a part of a line that has one.
     """
 
-    @F.pandas_udf(_WARNING)
-    def found(s: pd.Series) -> pd.Series:
-        return pd.Series([_odd_words(x, most) for x in s])
+    @F.arrow_udf(_WARNING)
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in pieces(batches):
+            words = [_odd_words(x, most) for x in texts]
+            line, token, plain, start, end, pairs = zip(*(w for of in words for w in of)) if any(words) else ((),) * 6
+            replaced = lists([len(x) for x in pairs], **{"from": pa.array([x for of in pairs for x, _ in of], pa.string()), "to": pa.array([y for of in pairs for _, y in of], pa.string())})
+            places = {name: pa.array(values, pa.int32()) for name, values in (("line_index", line), ("token_start", start), ("token_end", end))}
+            yield lists(
+                [len(of) for of in words], line_index=places["line_index"], token=pa.array(token, pa.string()), normalized_token=pa.array(plain, pa.string()),
+                token_start=places["token_start"], token_end=places["token_end"], replacements=replaced,
+            )
 
     # texts without a Cyrillic letter are not looked at: they are empty for the function
     rows = df.withColumn("__text", nfc(column))
@@ -213,7 +260,7 @@ def html_text(c: Column, output_format: Column | None = None, most: int = MOST_S
     """
     text = F.coalesce(c, F.lit(""))
     bare = F.regexp_replace(F.regexp_replace(text, _LINE_TAGS, "\n"), "<[^>]+>", " ")
-    shown = F.when(bare.contains("&"), _unescaped(bare)).otherwise(bare)
+    shown = F.coalesce(_unescaped(F.when(bare.contains("&"), bare)), bare)
     for pattern, to in ((r"[ \t]*\n[ \t]*", "\n"), (r"[ \t]+", " ")):
         shown = F.regexp_replace(shown, pattern, to)
     marked = F.lit(True) if output_format is None else F.lower(strip(output_format)) == "html"

@@ -7,11 +7,16 @@ white space.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import lists, pieces
+
 # What words are made of, and white space.
 WORD = r"\p{L}\p{N}\p{M}_"
 SPACE = r"\s\x{0B}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
@@ -49,13 +54,21 @@ def token_at(text: Column, offset: Column) -> Column:
 _PLACES = T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("word", T.StringType())]))
 
 
-@F.pandas_udf(_PLACES)
-def word_places(text: pd.Series) -> pd.Series:
-    """The positional index of a text: all words with their places, in one pass."""
+@F.arrow_udf(_PLACES)
+def word_places(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The positional index of a text: all words with their places, in one pass; some texts at a time, as it is larger than they are."""
     import regex
 
     words = regex.compile(rf"[{WORD}]+")
-    return pd.Series([[(m.start(), m[0]) for m in words.finditer(x or "")] for x in text])
+    for texts in pieces(batches):
+        sizes, at, found = [], [], []
+        for x in texts:
+            before = len(at)
+            for m in words.finditer(x or ""):
+                at.append(m.start())
+                found.append(m[0])
+            sizes.append(len(at) - before)
+        yield lists(sizes, at=pa.array(at, pa.int32()), word=pa.array(found, pa.string()))
 
 
 def nearest_word(index: Column, word: Column, offset: Column) -> Column:

@@ -29,6 +29,8 @@ def post_processed(layouts: DataFrame, transcripts: DataFrame) -> DataFrame:
     )
     rows = rows.where(N.requires_text(F.col("cls"))).join(transcripts.select("layout_id", "content"), "layout_id")
     c, cls = F.col("content"), F.col("cls")
-    shaped = F.when(cls == "section_header", T.with_heading_level(c, F.col("level"))).when(cls == "list_item", T.list_line(c, F.col("indent"))).when(cls == "formula", T.plain_latex(c)).otherwise(c)
+    # a function in Python runs for all rows, so others than headings are empty for it
+    heading = F.when(cls == "section_header", c)
+    shaped = F.when(cls == "section_header", T.with_heading_level(heading, F.col("level"))).when(cls == "list_item", T.list_line(c, F.col("indent"))).when(cls == "formula", T.plain_latex(c)).otherwise(c)
     rows = rows.select("layout_id", "cls", N.expected_format(cls).alias("output_format"), shaped.alias("shaped"))
     return rows.select("layout_id", F.col("cls").alias("class_name"), "output_format", T.normalised_content(F.col("shaped"), F.col("output_format")).alias("content"))

@@ -1,8 +1,15 @@
 """What a task holds at once stays bounded, with the same results."""
 
+import re
+import sys
+import unicodedata
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from pagewright.functions import text as T
+from pagewright.functions import tokens
 from pagewright.plans.views import VIEWS, frame, select
 
 SF = "/root/testdata/sf0.001"
@@ -24,3 +31,33 @@ def test_outputs_are_spread_over_tasks(spark, plain_joins):
     sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
     assert max(sizes) < 0.5 * sum(sizes)
     assert rows.exceptAll(select(spark, SF, VIEWS["d_outputs"])).isEmpty() and select(spark, SF, VIEWS["d_outputs"]).exceptAll(rows).isEmpty()
+
+
+def test_what_composing_may_change_goes_to_python(spark):
+    unsettled = re.compile("[" + re.sub(r"\\x\{(\w+)\}", lambda m: f"\\U{m[1]:0>8}", T._UNSETTLED) + "]")
+    second = {int(d.split()[1], 16) for d in map(unicodedata.decomposition, map(chr, range(sys.maxunicode + 1))) if d and d[0] != "<" and " " in d}
+    moved = second | {c for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and (unicodedata.combining(chr(c)) or not unicodedata.is_normalized("NFC", chr(c)))}
+    assert not [hex(c) for c in moved | set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3)) if not unsettled.match(chr(c))]
+    assert not unsettled.search("“а” é ’ ё")
+    texts = ["e\u0301 “а”", "\u212b", "и\u0306", "가", "ẛ\u0323", "\U0001d15e", "plain “é”", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.nfc("t").alias("n")).collect()
+    assert {r.i: r.n for r in got} == {i: unicodedata.normalize("NFC", t or "") for i, t in enumerate(texts)}
+
+
+def test_only_quotes_beside_math_go_to_python(spark):
+    texts = ["‘a’ $x’$ ’", "no quote $x$", "“only”", r"\$ ’ $open ’", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    seen = df.select(T.fold_quotes_outside_math(F.col("t")).alias("f"), "t")
+    assert [r.f for r in seen.collect()] == [T._fold_outside_math(t or "") for t in texts]
+    assert "CASE WHEN" in seen._jdf.queryExecution().optimizedPlan().toString().split("ArrowEvalPython")[1].split("]")[0]
+
+
+def test_results_of_texts_are_held_in_pieces(spark):
+    runs = list(T.pieces(iter([pa.array(["ab", None, "abcd", "x" * 50, "y"])]), 5))
+    assert runs == [["ab", None, "abcd"], ["x" * 50], ["y"]]
+    texts = ["сe x " * 20_000, "", None, "a b a", "`e` сo\nу e"] * 3
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    found = T.lookalikes(df, "t", most=None).select("i", F.size("warnings").alias("n"), tokens.word_places("t").alias("p"), "warnings").orderBy("i").collect()
+    assert [r.n for r in found][:5] == [len(T._odd_words(t or "", None)) for t in texts[:5]]
+    assert [(w.line_index, w.token, w.normalized_token, w.token_start, w.token_end, [tuple(x) for x in w.replacements]) for w in found[4].warnings] == T._odd_words(texts[4], None)
+    assert [(p.at, p.word) for p in found[3].p] == [(0, "a"), (2, "b"), (4, "a")] and len(found[0].p) == 40_000
