@@ -242,25 +242,34 @@ def lookalikes(df: DataFrame, column: str, name: str = "warnings", most: int | N
     return rows.withColumn(name, found(F.when(F.col("__text").rlike(_CYRILLIC), F.col("__text")).otherwise(""))).drop("__text")
 
 
+_CLOSED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
 @F.pandas_udf(T.StringType())
 def _unescaped(s: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else html.unescape(x) for x in s])
 
 
+@F.pandas_udf(T.StringType())
+def _unescaped_closed(s: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else _CLOSED.sub(lambda m: html.unescape(m[0]), x) for x in s])
+
+
 # Tags that end a line, and the length of what is shown.
 _LINE_TAGS = r"(?i)<\s*br\s*/?\s*>|</\s*(?:p|tr|li|div|h[1-6])\s*>"
 MOST_SHOWN = 4000
 
 
-def html_text(c: Column, output_format: Column | None = None, most: int = MOST_SHOWN) -> Column:
+def html_text(c: Column, output_format: Column | None = None, most: int = MOST_SHOWN, open_references: bool = True) -> Column:
     """Readable text of content: markup of the html format (which null stands for) is taken out, other formats stay as they are.
 
     A line ends where a tag says so, other tags are blanks; blanks are one space
-    within a line and none at its ends.
+    within a line and none at its ends. open_references: whether a character
+    reference counts without its semicolon too, as in HTML5 (`&amp` but not `&am`).
     """
     text = F.coalesce(c, F.lit(""))
     bare = F.regexp_replace(F.regexp_replace(text, _LINE_TAGS, "\n"), "<[^>]+>", " ")
-    shown = F.coalesce(_unescaped(F.when(bare.contains("&"), bare)), bare)
+    shown = F.coalesce((_unescaped if open_references else _unescaped_closed)(F.when(bare.contains("&"), bare)), bare)
     for pattern, to in ((r"[ \t]*\n[ \t]*", "\n"), (r"[ \t]+", " ")):
         shown = F.regexp_replace(shown, pattern, to)
     marked = F.lit(True) if output_format is None else F.lower(strip(output_format)) == "html"

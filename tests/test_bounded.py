@@ -4,10 +4,12 @@ import re
 import sys
 import unicodedata
 
+import duckdb
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from pagewright.catalog import ORACLES, QUERIES
 from pagewright.functions import text as T
 from pagewright.functions import tokens
 from pagewright.plans.views import VIEWS, frame, select
@@ -33,6 +35,16 @@ def test_outputs_are_spread_over_tasks(spark, plain_joins):
     assert rows.exceptAll(select(spark, SF, VIEWS["d_outputs"])).isEmpty() and select(spark, SF, VIEWS["d_outputs"]).exceptAll(rows).isEmpty()
 
 
+def test_texts_of_pages_keep_open_references(spark, tmp_path):
+    page = "<title>a &amp;&amp</title><p>b &lt; &copy c &amp;lt; &am</p>"
+    spark.createDataFrame([(1, "u", page), (2, "u", None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.text for r in QUERIES["html_texts"](spark, str(tmp_path)).collect()}
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == dict(c.sql(ORACLES["html_texts"]).fetchall()) and "&&amp" in got[1]
+    assert spark.range(1).select(T.html_text(F.lit("a &amp b"))).first()[0] == "a & b"
+
+
 def test_what_composing_may_change_goes_to_python(spark):
     unsettled = re.compile("[" + re.sub(r"\\x\{(\w+)\}", lambda m: f"\\U{m[1]:0>8}", T._UNSETTLED) + "]")
     second = {int(d.split()[1], 16) for d in map(unicodedata.decomposition, map(chr, range(sys.maxunicode + 1))) if d and d[0] != "<" and " " in d}
