@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fonts import Metrics, metrics
-from ..functions.text import line_height
+from ..functions.text import line_height, lists, pieces
 
 # Sizes, limits of spacing for one line and for several, shares of the width below which a gap is left, and the range of scales.
 SMALLEST, LARGEST = 6, 72
@@ -106,26 +106,34 @@ def largest_size(text: Text, units: int, ratio: float, width: int, height: int)
 
 
 def _fitted(batches: Iterator[pa.RecordBatch], font: Metrics) -> Iterator[pa.RecordBatch]:
+    """Lines are gathered as flat columns, for few texts at a time."""
     table = font.table()
-    names = ["layout_id", "size", "line_height", "fits", "lines"]
-    line = pa.struct([("text", pa.string()), ("width", pa.float64())])
-    for batch in batches:
-        ids, texts, ratios, widths, heights = (batch.column(i).to_pylist() for i in range(5))
-        out: list[list] = [[], [], [], []]
-        for raw, ratio, width, height in zip(texts, ratios, widths, heights):
-            text = Text(raw or "", table)
-            size = largest_size(text, font.units, ratio, width, height)
-            found = text.lines(width * font.units // size)
-            high = max(1, round(size * ratio))
-            whole = high * len(found) <= height and text.widest(found) * size <= width * font.units
-            rows = [{"text": text.text[a:b], "width": (text.upto[b] - text.upto[a]) * size / font.units} for a, b in found]
-            for column, value in zip(out, (size, high, whole, rows)):
-                column.append(value)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.bool_()), pa.array(out[3], pa.list_(line))], names=names)
-
-
-def fitted_texts(boxes: DataFrame, font: Metrics | None = None) -> DataFrame:
-    """(layout_id, size, line_height, fits, lines) for boxes: layout_id, content, output_format, width and height in pixels.
+    for whole in batches:
+        start = 0
+        for held in pieces(iter([whole.column(0)])):
+            batch = whole.slice(start, len(held))
+            start += len(held)
+            ratios, widths, heights = (batch.column(i).to_pylist() for i in (1, 2, 3))
+            out: list[list] = [[], [], []]
+            sizes, lines, wide = [], [], []
+            for raw, ratio, width, height in zip(held, ratios, widths, heights):
+                text = Text(raw or "", table)
+                size = largest_size(text, font.units, ratio, width, height)
+                found = text.lines(width * font.units // size)
+                high = max(1, round(size * ratio))
+                for column, value in zip(out, (size, high, high * len(found) <= height and text.widest(found) * size <= width * font.units)):
+                    column.append(value)
+                sizes.append(len(found))
+                lines += [text.text[a:b] for a, b in found]
+                wide += [(text.upto[b] - text.upto[a]) * size / font.units for a, b in found]
+            kept = list(range(4, batch.num_columns))
+            columns = [pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.bool_()), lists(sizes, text=pa.array(lines, pa.string()), width=pa.array(wide, pa.float64()))]
+            names = [batch.schema.names[i] for i in kept]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *columns], names=[*names, "size", "line_height", "fits", "lines"])
+
+
+def fitted_texts(boxes: DataFrame, font: Metrics | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(layout_id, keep, size, line_height, fits, lines) for boxes: layout_id, content, output_format, width and height in pixels; keep: further columns of theirs.
 
     lines: the text and the width in pixels of each. A null or empty content is
     one empty line; a text that does not fit in the smallest size has all of its
@@ -134,29 +142,41 @@ def fitted_texts(boxes: DataFrame, font: Metrics | None = None) -> DataFrame:
     font = font or metrics()
     high = line_height(F.lower(F.trim("output_format"))).cast("double")
     whole = lambda c: F.greatest(F.lit(1), F.col(c).cast("int"))
-    rows = boxes.select(F.col("layout_id").cast("long"), F.col("content").cast("string"), F.coalesce(high, F.lit(1.08)).alias("ratio"), whole("width").alias("width"), whole("height").alias("height"))
-    return rows.mapInArrow(lambda it: _fitted(it, font), "layout_id long, size int, line_height int, fits boolean, lines array<struct<text:string,width:double>>")
+    kept = [F.col("layout_id").cast("long"), *(F.col(c).alias(f"__{c}") for c in keep)]
+    rows = boxes.select(F.col("content").cast("string"), F.coalesce(high, F.lit(1.08)).alias("ratio"), whole("width").alias("width"), whole("height").alias("height"), *kept)
+    kinds = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes[4:])
+    found = rows.mapInArrow(lambda it: _fitted(it, font), f"{kinds}, size int, line_height int, fits boolean, lines array<struct<text:string,width:double>>")
+    return found.withColumnsRenamed({f"__{c}": c for c in keep})
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What is made of a value that it names several times, which is found once: as the one element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _median(values: Column) -> Column:
-    ranked, n = F.array_sort(values), F.size(values)
-    low = F.get(ranked, ((n - 1) / 2).cast("int"))
-    return (low + F.get(ranked, (n / 2).cast("int"))) / 2
+    def middle(ranked: Column) -> Column:
+        n = F.size(ranked)
+        return (F.get(ranked, ((n - 1) / 2).cast("int")) + F.get(ranked, (n / 2).cast("int"))) / 2
+
+    return _once(F.array_sort(values), middle)
 
 
 def _clamped(c: Column) -> Column:
     return F.greatest(F.lit(SCALES[0]), F.least(F.lit(SCALES[1]), c))
 
 
-def _measures(line: Column) -> dict[str, Column]:
-    """Spaces, characters that are none, and combining marks of a line."""
+def _measured(line: Column) -> Column:
+    """Width, spaces, characters that are none, combining marks and blankness of a line."""
     text = line["text"]
-    return {"spaces": F.length(text) - F.length(F.translate(text, " ", "")), "glyphs": F.length(F.translate(text, " \n\r\t", "")), "combining": text.rlike(r"\p{M}")}
+    return F.struct(
+        line["width"].alias("width"), (F.length(text) - F.length(F.translate(text, " ", ""))).alias("spaces"), F.length(F.translate(text, " \n\r\t", "")).alias("glyphs"),
+        text.rlike(r"\p{M}").alias("combining"), (F.trim(text) == "").alias("blank"),
+    )
 
 
-def _stretched(line: Column, spread: Column, word: Column, letter: Column) -> Column:
-    m = _measures(line)
-    return line["width"] + F.when(spread, m["spaces"] * word + F.greatest(F.lit(0), m["glyphs"] - 1) * letter).otherwise(F.lit(0.0))
+def _stretched(m: Column, spread: Column, word: Column, letter: Column) -> Column:
+    return m["width"] + F.when(spread, m["spaces"] * word + F.greatest(F.lit(0), m["glyphs"] - 1) * letter).otherwise(F.lit(0.0))
 
 
 def line_plans(lines: Column, output_format: Column, width: Column) -> Column:
@@ -171,30 +191,51 @@ def line_plans(lines: Column, output_format: Column, width: Column) -> Column:
     several, target = F.size(lines) > 1, width.cast("double")
     limit = lambda pair: F.when(markdown & several, F.lit(pair[1])).otherwise(F.lit(pair[0]))
 
-    def alone(line: Column) -> Column:
-        m = _measures(line)
-        spread = markdown & ~m["combining"] & (line["width"] > 0)
-        gap = target - line["width"]
+    # one array after the other, so that each value of a line is found once
+    def spread_words(m: Column) -> Column:
+        spread, gap = markdown & ~m["combining"] & (m["width"] > 0), target - m["width"]
         word = F.when(spread & (m["spaces"] > 0) & (gap > target * WORD_GAP), F.least(limit(WORD_SPACE), gap / F.nullif(m["spaces"], F.lit(0)))).otherwise(F.lit(0.0))
-        left = target - line["width"] - m["spaces"] * word
-        letter = F.when(spread & (m["glyphs"] > 1) & (left > target * LETTER_GAP), F.least(limit(LETTER_SPACE), left / F.nullif(m["glyphs"] - 1, F.lit(0)))).otherwise(F.lit(0.0))
-        scale = target / F.nullif(_stretched(line, F.lit(True), word, letter), F.lit(0.0))
-        scale = F.when(markdown & m["combining"], F.least(F.lit(1.0), scale)).otherwise(scale)
-        return F.struct(word.alias("word_spacing"), letter.alias("letter_spacing"), F.when(html | scale.isNull(), F.lit(1.0)).otherwise(_clamped(scale)).alias("horizontal_scale"))
+        return F.struct(m.alias("m"), spread.alias("spread"), word.alias("word_spacing"))
+
+    def left_over(x: Column) -> Column:
+        return F.struct(x["m"].alias("m"), x["spread"].alias("spread"), x["word_spacing"].alias("word_spacing"), (target - x["m"]["width"] - x["m"]["spaces"] * x["word_spacing"]).alias("left"))
+
+    def spread_letters(x: Column) -> Column:
+        glyphs = x["m"]["glyphs"]
+        letter = F.when(x["spread"] & (glyphs > 1) & (x["left"] > target * LETTER_GAP), F.least(limit(LETTER_SPACE), x["left"] / F.nullif(glyphs - 1, F.lit(0)))).otherwise(F.lit(0.0))
+        return F.struct(x["m"].alias("m"), x["word_spacing"].alias("word_spacing"), letter.alias("letter_spacing"))
+
+    def full_width(x: Column) -> Column:
+        return F.struct(x["m"].alias("m"), x["word_spacing"].alias("word_spacing"), x["letter_spacing"].alias("letter_spacing"), _stretched(x["m"], F.lit(True), x["word_spacing"], x["letter_spacing"]).alias("full"))
+
+    def scaled(x: Column) -> Column:
+        scale = target / F.nullif(x["full"], F.lit(0.0))
+        scale = F.when(markdown & x["m"]["combining"], F.least(F.lit(1.0), scale)).otherwise(scale)
+        return F.struct(x["m"].alias("m"), x["word_spacing"].alias("word_spacing"), x["letter_spacing"].alias("letter_spacing"), F.when(html | scale.isNull(), F.lit(1.0)).otherwise(_clamped(scale)).alias("horizontal_scale"))
 
     def last(plans: Column) -> Column:
-        line, before = F.element_at(lines, -1), F.slice(plans, F.lit(1), F.size(plans) - 1)
-        spread = ~_measures(line)["combining"]
+        before, m = F.slice(plans, F.lit(1), F.size(plans) - 1), F.element_at(plans, -1)["m"]
         # an array of structs gives the array of a field
-        word, letter, scale = (_median(before[c]) for c in ("word_spacing", "letter_spacing", "horizontal_scale"))
-        own = F.struct(F.when(spread, word).otherwise(F.lit(0.0)).alias("word_spacing"), F.when(spread, letter).otherwise(F.lit(0.0)).alias("letter_spacing"))
-        full = _stretched(line, spread, word, letter)
-        fit = _clamped(target / F.nullif(full, F.lit(0.0)))
-        wide = F.when(fit < 1, fit).when(~spread, F.lit(1.0)).otherwise(F.greatest(F.lit(1.0), F.least(F.greatest(F.lit(SCALES[0]), scale), fit)))
-        plan = F.struct(own["word_spacing"].alias("word_spacing"), own["letter_spacing"].alias("letter_spacing"), _clamped(wide).alias("horizontal_scale"))
-        # a blank last line, or one without width, stays as it is
-        return F.when((full <= 0) | (F.trim(line["text"]) == ""), F.element_at(plans, -1)).otherwise(plan)
-
-    # an array of one, so that the plans of all lines are made once
-    plans = F.array(F.transform(lines, alone))
-    return F.get(F.transform(plans, lambda p: F.when(markdown & several, F.concat(F.slice(p, F.lit(1), F.size(p) - 1), F.array(last(p)))).otherwise(p)), F.lit(0))
+        medians = F.struct(m.alias("m"), (~m["combining"]).alias("spread"), *(_median(before[c]).alias(c) for c in ("word_spacing", "letter_spacing", "horizontal_scale")))
+
+        def fitted(x: Column) -> Column:
+            return F.struct(x.alias("x"), _stretched(x["m"], x["spread"], x["word_spacing"], x["letter_spacing"]).alias("full"))
+
+        def planned(y: Column) -> Column:
+            x, full = y["x"], y["full"]
+            fit = _clamped(target / F.nullif(full, F.lit(0.0)))
+            wide = F.when(fit < 1, fit).when(~x["spread"], F.lit(1.0)).otherwise(F.greatest(F.lit(1.0), F.least(F.greatest(F.lit(SCALES[0]), x["horizontal_scale"]), fit)))
+            own = [F.when(x["spread"], x[c]).otherwise(F.lit(0.0)).alias(c) for c in ("word_spacing", "letter_spacing")]
+            # a blank last line, or one without width, stays as it is
+            return F.when((full <= 0) | x["m"]["blank"], _plan(F.element_at(plans, -1))).otherwise(F.struct(*own, _clamped(wide).alias("horizontal_scale")))
+
+        return _once(_once(medians, fitted), planned)
+
+    plans = lines
+    for step in (_measured, spread_words, left_over, spread_letters, full_width, scaled):
+        plans = F.transform(plans, step)
+    return _once(plans, lambda p: F.when(markdown & several, F.concat(F.transform(F.slice(p, F.lit(1), F.size(p) - 1), _plan), F.array(last(p)))).otherwise(F.transform(p, _plan)))
+
+
+def _plan(x: Column) -> Column:
+    return F.struct(*(x[c].alias(c) for c in ("word_spacing", "letter_spacing", "horizontal_scale")))

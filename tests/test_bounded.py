@@ -94,3 +94,8 @@ def test_images_are_read_and_measured_together():
 
 def test_images_are_not_joined_to_their_boxes(spark, plain_joins):
     assert "Join" not in QUERIES["ink_ratios"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_boxes_are_read_once_for_their_lines(spark, plain_joins):
+    plan = QUERIES["line_stretches"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"ReadSchema: struct<doc_id:bigint,text:string>", plan)) == 1
