@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Closed vocabularies of the data model.
 STATUSES = ("new", "layout_detecting", "layout_detected", "layout_reviewed", "ocr_extracting", "ocr_done", "ocr_reviewed", "ocr_failed")
 CLASSES = ("section_header", "text", "list_item", "table", "picture", "picture_text", "caption", "footnote", "formula", "page_header", "page_footer")
+EXCLUDED = ("picture_text",)  # classes that take no part in a benchmark
 CAPTION_TARGETS = ("table", "picture", "formula")
 HARD_CLASSES = ("table", "formula", "caption", "picture", "footnote", "list_item")
 FORMATS = {"table": "html", "formula": "latex", "picture": "skip"}
@@ -26,8 +27,9 @@ def strip(c: Column) -> Column:
 
 
 def class_core(c: Column) -> Column:
-    """Class name: each - and / is an underscore, then each run of white space is one."""
-    return F.regexp_replace(F.translate(F.lower(strip(c)), "-/", "__"), r"(?U)\s+", "_")
+    """Class name: each - and / is an underscore, then each run of white space is one. Names without white space skip the patterns."""
+    plain = lambda x: F.translate(F.lower(x), "-/", "__")
+    return F.when(c.rlike(r"(?U)\s"), F.regexp_replace(plain(strip(c)), r"(?U)\s+", "_")).otherwise(plain(F.coalesce(c, F.lit(""))))
 
 
 def class_loose(c: Column) -> Column:
@@ -36,9 +38,10 @@ def class_loose(c: Column) -> Column:
 
 
 def remapped(c: Column, **names: str) -> Column:
+    """c with other names for some; by patterns, as a condition on c would compute it once more for each name."""
     out = c
     for old, new in names.items():
-        out = F.when(c == old, F.lit(new)).otherwise(out)
+        out = F.regexp_replace(out, rf"\A{old}\z", new)
     return out
 
 
@@ -53,7 +56,7 @@ def class_persisted(c: Column) -> Column:
 def class_benchmark(c: Column) -> Column:
     """Null for a class that takes no part in a benchmark."""
     name = class_persisted(c)
-    return F.when(name != "picture_text", name)
+    return F.when(~name.isin(*EXCLUDED), name)
 
 
 def order_mode(c: Column) -> Column:

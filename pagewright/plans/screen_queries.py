@@ -110,8 +110,10 @@ def normalised_predictions(spark, sf):
     """Stored predictions as far as they can be used: a bad confidence is none, an excluded or blank class drops the row."""
     k = F.col("pred_id") % 4
     raw = F.when(k == 0, "bad").when(k == 1, "0.5").when(k == 3, "1")
-    rows = frame(spark, sf, "d_predictions").select("page_id", "cfg", "pred_id", N.class_benchmark(F.col("cls")).alias("cls"), raw.try_cast("double").alias("confidence"))
-    return rows.where("cls IS NOT NULL AND cls <> ''")
+    # the name comes out of an array, below which no filter moves: it would be computed for each of its uses otherwise
+    name = F.explode_outer(F.array(N.class_persisted(F.col("cls"))))
+    rows = frame(spark, sf, "d_predictions").select("page_id", "cfg", "pred_id", name.alias("cls"), raw.try_cast("double").alias("confidence"))
+    return rows.where(~F.col("cls").isin(*N.EXCLUDED, ""))
 
 
 @query("stored_predictions", """SELECT r.result_id, p.n IS NOT NULL OR r.result_id % 2 = 0 AS valid, coalesce(p.n, 0) AS n FROM {d_results} r LEFT JOIN (SELECT page_id, cfg, count(*) AS n FROM {d_predictions} GROUP BY 1, 2) p ON p.page_id = r.page_id AND p.cfg = r.cfg""")

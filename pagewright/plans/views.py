@@ -133,9 +133,11 @@ VIEWS["d_duplicates"] = """
 SELECT concat(CASE WHEN doc_id % 3 = 0 THEN 'gone/' ELSE '' END, 'box', CAST(doc_id % 10 AS STRING), '/', CAST(doc_id AS STRING), CASE doc_id % 4 WHEN 0 THEN '.PNG' WHEN 1 THEN '.jpg' WHEN 2 THEN '.tiff' ELSE '.txt' END) AS rel_path, 'before' AS file_hash, doc_id AS canonical_page_id
 FROM {documents} WHERE doc_id % 4 <> 3"""
 
-#: Spark's own form of views. The join of d_outputs is by the deal, by which the rows lie together already, and the first row alone takes
+#: Spark's own form of views. The order of d_layouts ends with the last column that a row of it is made of: lines that agree up to there give
+#: equal rows in either order, so the others need not be sorted and shuffled. The join of d_outputs is by the deal, by which the rows lie together already, and the first row alone takes
 #: the text: by k, which is null for all rows but one of a deal, these would meet in one task.
 IN_SPARK = {
+    "d_layouts": VIEWS["d_layouts"].replace(",l_discount,l_tax,l_returnflag,l_linestatus,l_shipdate", ""),
     "d_outputs": VIEWS["d_outputs"]
     .replace("CASE WHEN row_number() OVER (PARTITION BY deal ORDER BY layout_id) = 1 THEN deal END AS k", "row_number() OVER (PARTITION BY deal ORDER BY layout_id) AS nth")
     .replace("d.doc_id = l.k", "d.doc_id = l.deal AND l.nth = 1")

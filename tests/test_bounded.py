@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright.catalog import ORACLES, QUERIES
+from pagewright.functions import normalise as N
 from pagewright.functions import raster
 from pagewright.functions import text as T
 from pagewright.functions import tokens
@@ -99,3 +100,25 @@ def test_images_are_not_joined_to_their_boxes(spark, plain_joins):
 def test_boxes_are_read_once_for_their_lines(spark, plain_joins):
     plan = QUERIES["line_stretches"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"ReadSchema: struct<doc_id:bigint,text:string>", plan)) == 1
+
+
+def test_boxes_are_sorted_by_what_they_are_made_of(spark, tmp_path):
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").limit(300)
+    # lines that agree in all or in some of the columns of the order
+    others = lines.withColumn("l_discount", F.col("l_discount") + 1).withColumn("l_shipdate", F.lit(None).cast("timestamp"))
+    lines.unionByName(others).unionByName(lines.withColumn("l_quantity", F.col("l_quantity") + 1)).write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows, want = frame(spark, str(tmp_path), "d_layouts"), select(spark, str(tmp_path), VIEWS["d_layouts"])
+    assert rows.exceptAll(want).isEmpty() and want.exceptAll(rows).isEmpty() and rows.count() == 900
+    assert "l_shipdate" not in rows._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]
+
+
+def test_names_of_predictions_are_computed_once(spark):
+    rows = QUERIES["normalised_predictions"](spark, SF)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") <= 4
+    names = ["Title", " title ", "PICTURE-text", "Picture  Text", "a/b-c", "title\n", "x title", "", " ", None, "List  item", "İ A"]
+    seen = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").select("i", N.class_core(F.col("n")).alias("c"), N.class_benchmark(F.col("n")).alias("b"), N.class_detected(F.col("n")).alias("d"))
+    got = {r.i: (r.c, r.b, r.d) for r in seen.collect()}
+    core = [re.sub(r"\s+", "_", (n or "").strip().lower().replace("-", "_").replace("/", "_")) for n in names]
+    head = ["section_header" if c == "title" else c for c in core]
+    assert got == {i: (c, None if h == "picture_text" else h, "text" if c == "list_item" else h) for i, (c, h) in enumerate(zip(core, head))}
