@@ -1,9 +1,10 @@
 """Scores of detected boxes against true ones: greedy matching and interpolated average precision.
 
-A page's boxes of one class meet in arrays, whose length is bounded by the
-boxes of a page; nothing but the grouping by page and class is shuffled. The
-arrays of a whole Arrow batch are then matched together, box by box in order of
-confidence, under all thresholds at once, without a loop over rows.
+A page's boxes meet in arrays, whose length is bounded by the boxes of a page
+and the settings; nothing but the grouping by page is shuffled. The boxes of a
+whole Arrow batch are then dealt to classes and settings and matched together,
+box by box in order of confidence, under all thresholds at once, without a loop
+over rows.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ THRESHOLDS = tuple(x / 100 for x in range(50, 100, 5))
 CELLS = 1 << 21  # found x true boxes that are compared at once
 
 
-def _box(s: Column):
-    return tuple(s[c] for c in ("x1", "y1", "x2", "y2"))
+def _doubles() -> list[Column]:
+    return [F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]
 
 
 def _padded(column: pa.ListArray, rows: np.ndarray, width: int) -> np.ndarray:
@@ -66,48 +67,123 @@ def precisions(found: np.ndarray, truth: np.ndarray, n_found: np.ndarray, n_true
     return ((best * steps).sum(axis=0) + best[0]) / 101
 
 
-def _scores(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+def _laid(fields: list[np.ndarray], start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """(4, rows, width) corners of runs of boxes, padded with empty boxes."""
+    at = start[:, None] + np.arange(int(count.max()))
+    inside = at < (start + count)[:, None]
+    return np.stack([np.where(inside, f[np.minimum(at, len(f) - 1)], 0.0) for f in fields])
+
+
+def _order(group: np.ndarray, *by: np.ndarray) -> np.ndarray:
+    """Places of boxes by group, then by two columns; the others settle ties, which are rare."""
+    order = np.lexsort((*by[1::-1], group))
+    tied = np.ones(max(0, len(order) - 1), bool)
+    for x in (group, *by[:2]):
+        x = x[order]
+        tied &= x[1:] == x[:-1]
+    return np.lexsort((*by[::-1], group)) if tied.any() else order
+
+
+def _runs(group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Value, start and length of each run of a sorted array."""
+    start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
+    return group[start], start, np.diff(np.r_[start, len(group)])
+
+
+def _coded(columns: list[pa.Array]) -> np.ndarray:
+    """One number for each combination of values; null is a value."""
+    out = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        code = c.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        out = np.unique(out * (int(code.max(initial=0)) + 1) + code, return_inverse=True)[1]
+    return out
+
+
+def _page_classes(batch: pa.RecordBatch, grid: pa.Table, keys: list[str]) -> list[pa.Array]:
+    """(keys, page_id, cls, ap50, ap) of pages with all their boxes: each class of the truth under each setting, and what else was found."""
+    page, truth, found = batch.columns
+    parts = [(c.flatten(), np.repeat(np.arange(len(batch)), c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))) for c in (truth, found)]
+    (t, t_row), (f, f_row) = parts
+    number = lambda c, null: c.fill_null(null).to_numpy(zero_copy_only=False)
+    n_t, n_grid = len(t), grid.num_rows
+    names = pa.concat_arrays([t.field("cls"), f.field("cls")]).dictionary_encode()
+    # a null class or setting meets none, not even another null one: those that were found have codes of their own
+    code = number(names.indices, -1).astype(np.int64)
+    most = len(names.dictionary)
+    cls_t, cls_f = np.where(code[:n_t] < 0, most, code[:n_t]), np.where(code[n_t:] < 0, most + 1, code[n_t:])
+    columns = [pa.concat_arrays([*grid.column(k).chunks, f.field(k).cast(grid.schema.field(k).type)]) for k in keys]
+    whole = np.logical_and.reduce([c.is_valid().to_numpy(zero_copy_only=False) for c in columns])
+    combined = _coded(columns)
+    place = np.zeros(int(combined.max(initial=0)) + 1, np.int64)
+    place[combined[:n_grid]] = np.arange(n_grid)
+    setting = place[combined[n_grid:]] + np.where(whole[n_grid:], 0, n_grid)
+    kinds = most + 2
+    boxes = lambda x: [number(x.field(c), np.nan) for c in ("x1", "y1", "x2", "y2")]
+    low = np.iinfo(np.int64).min
+    group, fields = t_row * kinds + cls_t, boxes(t)
+    order = _order(group, number(t.field("layout_id"), low), *fields)
+    fields_t = [x[order] for x in fields]
+    of_t, start_t, n_true = _runs(group[order])
+    group, fields = (f_row * (2 * n_grid) + setting) * kinds + cls_f, boxes(f)
+    order = _order(group, number(f.field("rank"), -np.inf), number(f.field("pred_id"), low), *fields)
+    fields_f = [x[order] for x in fields]
+    of_f, start_f, n_found = _runs(group[order])
+    row_f, setting_f, kind_f = of_f // (2 * n_grid * kinds), of_f // kinds % (2 * n_grid), of_f % kinds
+    wanted = row_f * kinds + kind_f
+    at = np.searchsorted(of_t, wanted)
+    met = (at < len(of_t)) & (setting_f < n_grid)
+    met[met] = of_t[at[met]] == wanted[met]
+    ap = np.zeros((2, len(of_t) * n_grid))
+    todo = np.flatnonzero(met)
+    todo = todo[np.argsort(n_true[at[todo]] * n_found[todo], kind="stable")]
+    while len(todo):
+        # groups of like size together; at least one
+        cells = np.maximum.accumulate(n_true[at[todo]]) * np.maximum.accumulate(n_found[todo]) * np.arange(1, len(todo) + 1)
+        now, todo = np.split(todo, [max(1, int(np.searchsorted(cells, CELLS)))])
+        own = at[now]
+        got = precisions(_laid(fields_f, start_f[now], n_found[now]), _laid(fields_t, start_t[own], n_true[own]), n_found[now], n_true[own])
+        ap[:, own * n_grid + setting_f[now]] = got[:, 0], got.mean(axis=1)
+    alone = np.flatnonzero(~met)
+    none = np.zeros(len(alone))
+    setting = np.r_[np.tile(np.arange(n_grid), len(of_t)), setting_f[alone] % max(1, n_grid)]
+    # of settings with a null the whole values are the same
+    row, kind = np.r_[np.repeat(of_t // kinds, n_grid), row_f[alone]], np.r_[np.repeat(of_t % kinds, n_grid), kind_f[alone]]
+    cls = names.dictionary.take(pa.array(kind, mask=kind >= most))
+    return [*(pa.concat_arrays(grid.column(k).chunks).take(pa.array(setting)) for k in keys), page.take(pa.array(row)), cls, *(pa.array(np.r_[x, none]) for x in ap)]
+
+
+#: A grid of settings has at most so many, and so many pages and settings are scored at once.
+MOST_SETTINGS, AT_ONCE = 4096, 1 << 16
+
+
+def _scores(batches: Iterator[pa.RecordBatch], grid: pa.Table, keys: list[str]) -> Iterator[pa.RecordBatch]:
+    step = max(1, AT_ONCE // max(1, grid.num_rows))
     for batch in batches:
-        truth, found = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
-        n_true, n_found = (np.diff(c.offsets.to_numpy()) for c in (truth, found))
-        ap = np.zeros((len(batch), len(THRESHOLDS)))
-        todo = np.flatnonzero((n_true > 0) & (n_found > 0))
-        todo = todo[np.argsort(n_true[todo] * n_found[todo], kind="stable")]
-        while len(todo):
-            # rows of like size together; at least one
-            cells = np.maximum.accumulate(n_true[todo]) * np.maximum.accumulate(n_found[todo]) * np.arange(1, len(todo) + 1)
-            take = max(1, int(np.searchsorted(cells, CELLS)))
-            now, todo = todo[:take], todo[take:]
-            ap[now] = precisions(_padded(found, now, n_found[now].max()), _padded(truth, now, n_true[now].max()), n_found[now], n_true[now])
-        fixed = [batch.column(i) for i in range(batch.num_columns - 2)]
-        yield pa.RecordBatch.from_arrays([*fixed, pa.array(ap[:, 0]), pa.array(ap.mean(axis=1))], names=[*batch.schema.names[:-2], "ap50", "ap"])
-
-
-#: A grid of settings has at most so many.
-MOST_SETTINGS = 4096
+        # without settings nothing was found, nor is anything scored
+        for first in range(0, len(batch) if grid.num_rows else 0, step):
+            yield pa.RecordBatch.from_arrays(_page_classes(batch.slice(first, step), grid, keys), names=[*keys, "page_id", "cls", "ap50", "ap"])
 
 
 def class_scores(truth: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, page_id, cls, ap50, ap): truth: page_id, layout_id, cls and box; found: keys, page_id, pred_id, cls, confidence and box.
 
     Found boxes are taken by confidence, null last as 0, the earlier id first. A
-    class without true boxes scores 0, as does one without found boxes.
+    class without true boxes scores 0, as does one without found boxes. A page's
+    boxes under all settings meet in one row.
     """
-    t = truth.groupBy("page_id", "cls").agg(F.array_sort(F.collect_list(F.struct("layout_id", "x1", "y1", "x2", "y2"))).alias("truth"))
-    ordered = F.struct((-F.coalesce("confidence", F.lit(0.0))).alias("rank"), "pred_id", "x1", "y1", "x2", "y2")
-    p = found.groupBy(*keys, "page_id", "cls").agg(F.array_sort(F.collect_list(ordered)).alias("found"))
-    empty_t, empty_p = F.array().cast("array<struct<layout_id:bigint,x1:double,y1:double,x2:double,y2:double>>"), F.array().cast("array<struct<rank:double,pred_id:bigint,x1:double,y1:double,x2:double,y2:double>>")
-    # each page and class of the truth is scored under each setting; settings are a small grid, which is checked
-    kinds = dict(found.select(*keys).dtypes)
-    settings = found.select(*keys).distinct().limit(MOST_SETTINGS + 1).collect()
-    if len(settings) > MOST_SETTINGS:
+    types = dict(found.select(*keys).dtypes)
+    # no zero with a sign, as in grouping
+    named = [(F.col(k) + F.lit(0).cast(types[k]) if types[k] in ("float", "double") else F.col(k)).alias(k) for k in keys]
+    settings = found.select(*named).distinct().limit(MOST_SETTINGS + 1).toArrow()
+    if settings.num_rows > MOST_SETTINGS:
         raise ValueError(f"more than {MOST_SETTINGS} settings: score them in parts")
-    grid = F.array(*[F.struct(*[F.lit(r[k]).cast(kinds[k]).alias(k) for k in keys]) for r in settings]) if settings else F.array().cast("array<struct<" + ",".join(f"{k}:{kinds[k]}" for k in keys) + ">>")
-    wide = t.withColumn("__grid", F.explode(grid)).select("__grid.*", *t.columns)
-    both = wide.join(p, [*keys, "page_id", "cls"], "full").withColumn("truth", F.coalesce("truth", empty_t)).withColumn("found", F.coalesce("found", empty_p))
-    kinds = dict(both.dtypes)
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in [*keys, "page_id", "cls"]), "ap50 double", "ap double"])
-    return both.select(*keys, "page_id", "cls", "truth", "found").mapInArrow(lambda it: _scores(it, keys), schema)
+    t = truth.groupBy("page_id").agg(F.collect_list(F.struct("cls", F.col("layout_id").cast("long").alias("layout_id"), *_doubles())).alias("truth"))
+    rank = (-F.coalesce("confidence", F.lit(0.0))).cast("double").alias("rank")
+    p = found.groupBy("page_id").agg(F.collect_list(F.struct(*named, "cls", rank, F.col("pred_id").cast("long").alias("pred_id"), *_doubles())).alias("found"))
+    # by the page alone: rows that lie by page already stay where they are
+    both = t.join(p, "page_id", "full")
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), f"page_id {dict(both.dtypes)['page_id']}", "cls string", "ap50 double", "ap double"])
+    return both.select("page_id", "truth", "found").mapInArrow(lambda it: _scores(it, settings, keys), schema)
 
 
 def page_scores(classes: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:

@@ -15,6 +15,7 @@ from pagewright.functions import normalise as N
 from pagewright.functions import raster
 from pagewright.functions import text as T
 from pagewright.functions import tokens
+from pagewright.operators import matching
 from pagewright.plans.views import VIEWS, frame, select
 
 SF = "/root/testdata/sf0.001"
@@ -122,3 +123,22 @@ def test_names_of_predictions_are_computed_once(spark):
     core = [re.sub(r"\s+", "_", (n or "").strip().lower().replace("-", "_").replace("/", "_")) for n in names]
     head = ["section_header" if c == "title" else c for c in core]
     assert got == {i: (c, None if h == "picture_text" else h, "text" if c == "list_item" else h) for i, (c, h) in enumerate(zip(core, head))}
+
+
+def test_scores_shuffle_boxes_by_page_alone(spark, plain_joins):
+    plan = QUERIES["class_average_precision"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
+    assert keys and all(re.fullmatch(r"(l_orderkey|page_id)#\d+L", k) for k in keys)
+
+
+def test_null_classes_and_settings_meet_none(spark):
+    box = (0.1, 0.1, 0.6, 0.6)
+    truth = spark.createDataFrame([(1, 1, "a", *box), (1, 2, "a", *box), (1, 3, None, *box), (2, 4, "b", *box)], "page_id long, layout_id long, cls string, x1 double, y1 double, x2 double, y2 double")
+    rows = [(0.0, "m", 1, 1, "a", None, *box), (-0.0, "m", 1, 2, "a", 0.5, *box), (0.0, None, 1, 3, "a", 0.9, *box), (0.0, "m", 1, 4, None, 0.9, *box), (float("nan"), "m", 2, 5, "b", 0.9, *box), (0.0, "m", 3, 6, "c", 0.9, *box)]
+    found = spark.createDataFrame(rows, "conf double, model string, page_id long, pred_id long, cls string, confidence double, x1 double, y1 double, x2 double, y2 double")
+    got = sorted((str(r.conf), str(r.model), r.page_id, str(r.cls), r.ap50, r.ap) for r in matching.class_scores(truth, found, ["conf", "model"]).collect())
+    # three settings with each class of the truth; two boxes of no class, one of a setting without a model, one of a page without truth
+    want = [(c, m, p, k, float(one), float(one)) for c, m in (("0.0", "m"), ("0.0", "None"), ("nan", "m")) for p, k, one in ((1, "a", c == "0.0" and m == "m"), (1, "None", 0), (2, "b", c == "nan"))]
+    want += [("0.0", "m", 1, "None", 0.0, 0.0), ("0.0", "None", 1, "a", 0.0, 0.0), ("0.0", "m", 3, "c", 0.0, 0.0)]
+    assert got == sorted(want)
+    assert matching.class_scores(truth, found.limit(0), ["conf", "model"]).collect() == []
