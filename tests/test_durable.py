@@ -2,6 +2,7 @@
 
 import os
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,6 +79,21 @@ def test_a_run_goes_on_after_its_last_round_and_tries_the_pool_once_more(spark,
     assert rounds.extracted(crops.limit(0), provider(str(log)), ["k3"], str(tmp_path / "empty")).collect() == []
 
 
+def test_crops_of_a_key_are_called_from_many_tasks(spark, tmp_path):
+    def make():
+        from pyspark import TaskContext
+
+        return lambda key, prompt: f"{TaskContext.get().partitionId()}"
+
+    crops = spark.range(1, 400, 1, 4).select(F.col("id").alias("layout_id"), F.concat(F.lit("crop "), F.col("id").cast("string")).alias("prompt"))
+    state = str(tmp_path / "state")
+    out = rounds.extracted(crops.unionByName(crops.where("layout_id <= 2")), make, ["k"], state).collect()
+    # copies of an id are crops of their own
+    assert len(out) == 401 and {r.state for r in out} == {"extracted"} and max(Counter(r.raw for r in out).values()) < 300
+    # closed crops are in one round
+    assert spark.read.parquet(f"{state}/round=1").where("state <> 'open'").count() == 401 and loaded_json(spark, f"{state}/progress")["round"] == 1
+
+
 def test_merges_write_the_touched_buckets_alone(spark, tmp_path):
     path, r, want = str(tmp_path / "t"), random.Random(3), {}
     schema = "page long, model string, score double, at long"
