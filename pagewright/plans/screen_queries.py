@@ -119,9 +119,14 @@ def normalised_predictions(spark, sf):
 @query("stored_predictions", """SELECT r.result_id, p.n IS NOT NULL OR r.result_id % 2 = 0 AS valid, coalesce(p.n, 0) AS n FROM {d_results} r LEFT JOIN (SELECT page_id, cfg, count(*) AS n FROM {d_predictions} GROUP BY 1, 2) p ON p.page_id = r.page_id AND p.cfg = r.cfg""")
 def stored_predictions(spark, sf):
     """A stored list is valid even when empty; anything else is none. Results without predictions hold an empty list or an object."""
-    lists = frame(spark, sf, "d_predictions").groupBy("page_id", "cfg").agg(F.to_json(F.collect_list(F.struct(F.col("cls").alias("class_name"), "confidence", "x1", "y1", "x2", "y2"))).alias("p"))
-    rows = frame(spark, sf, "d_results").join(lists, ["page_id", "cfg"], "left")
-    p = F.coalesce("p", F.when(F.col("result_id") % 2 == 0, "[]").otherwise('{"a":1}'))
+    box = F.struct(F.col("cls").alias("class_name"), "confidence", "x1", "y1", "x2", "y2")
+    # in the order of their ids, by which the boxes are numbered page by page: rows lie by page from there on
+    boxes = F.transform(F.array_sort(F.collect_list(F.struct("pred_id", box.alias("box")))), lambda r: r["box"])
+    lists = frame(spark, sf, "d_predictions").groupBy("page_id", "cfg").agg(F.to_json(boxes).alias("p"))
+    # joined by page, a page's lists stay where they are
+    lists = lists.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("cfg", "p"))).alias("lists"))
+    rows = frame(spark, sf, "d_results").join(lists, "page_id", "left")
+    p = F.coalesce(F.col("lists")[F.col("cfg")], F.when(F.col("result_id") % 2 == 0, "[]").otherwise('{"a":1}'))
     is_list = F.coalesce(F.ltrim(p).startswith("["), F.lit(False))
     found = F.from_json(F.when(is_list, p), "array<struct<class_name:string>>")
     return rows.select("result_id", is_list.alias("valid"), F.greatest(F.lit(0), F.coalesce(F.size(found), F.lit(0))).cast("long").alias("n"))

@@ -142,3 +142,9 @@ def test_null_classes_and_settings_meet_none(spark):
     want += [("0.0", "m", 1, "None", 0.0, 0.0), ("0.0", "None", 1, "a", 0.0, 0.0), ("0.0", "m", 3, "c", 0.0, 0.0)]
     assert got == sorted(want)
     assert matching.class_scores(truth, found.limit(0), ["conf", "model"]).collect() == []
+
+
+def test_stored_lists_are_not_shuffled(spark):
+    plan = QUERIES["stored_predictions"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
+    assert keys and all(re.fullmatch(r"(l_orderkey|page_id)#\d+L", k) for k in keys)
