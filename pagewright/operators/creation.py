@@ -2,39 +2,39 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import geometry as G
 from ..functions import normalise as N
 from .matching import without_overlaps
-from .reading_order import Item, insertion_place
+from .reading_order import Item, insertion_place, pages_of
 
 _NEW = 1 << 60  # ids of boxes of the same run come after all others
-_ORDERS = T.ArrayType(T.StructType([T.StructField("layout_id", T.LongType()), T.StructField("request_id", T.LongType()), T.StructField("reading_order", T.IntegerType())]))
 
 
-def _placed(boxes, requests, mode: str) -> list[tuple]:
+def _placed(items: list[Item], requests: list[dict], mode: str) -> list[tuple]:
     """Orders of a page's boxes after its requests, one after another; orders are closed up first."""
-    items = [Item(b["layout_id"], b["x1"], b["y1"], b["x2"], b["y2"]) for b in boxes]
     asked: dict[int, int] = {}
     for r in requests:
-        items = [replace(x, order=k + 1) for k, x in enumerate(items)]
+        items = [Item(x.id, x.x1, x.y1, x.x2, x.y2, k + 1) for k, x in enumerate(items)]
         own = r["reading_order"]
-        at = insertion_place(items, Item(-1, r["x1"], r["y1"], r["x2"], r["y2"]), mode) if own is None or own != own else int(own)
+        at = insertion_place(items, Item(-1, r["x1"], r["y1"], r["x2"], r["y2"]), mode) if own is None else own
         new = Item(_NEW + r["request_id"], r["x1"], r["y1"], r["x2"], r["y2"])
         asked[new.id] = r["request_id"]
         items.insert(min(at, len(items) + 1) - 1, new)
     return [(None if x.id in asked else x.id, asked.get(x.id), k + 1) for k, x in enumerate(items)]
 
 
-@F.pandas_udf(_ORDERS)
-def _page_orders(boxes: pd.Series, requests: pd.Series, mode: pd.Series) -> pd.Series:
-    return pd.Series([_placed(b, r, m) for b, r, m in zip(boxes, requests, mode)])
+def _page_orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        boxes, requests, mode = batch.columns
+        rows = [row for page in zip(pages_of(boxes), requests.to_pylist(), mode.to_pylist()) for row in _placed(*page)]
+        columns = zip(*rows) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32()))], names=["layout_id", "request_id", "reading_order"])
 
 
 def refused(pages: DataFrame, requests: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ def created(layouts: DataFrame, pages: DataFrame, requests: DataFrame) -> tuple[
     have = layouts.join(asked.select("page_id"), "page_id").groupBy("page_id").agg(F.array_sort(F.collect_list(box("reading_order", "layout_id"))).alias("boxes"))
     none = F.array().cast("array<struct<reading_order:int,layout_id:bigint,x1:double,y1:double,x2:double,y2:double>>")
     rows = asked.join(have, "page_id", "left").join(pages.select("page_id", N.order_mode(F.col("order_mode")).alias("mode")), "page_id")
-    rows = rows.select("page_id", F.inline(_page_orders(F.coalesce("boxes", none), "requests", "mode")))
+    rows = rows.select(F.coalesce("boxes", none).alias("boxes"), "requests", "mode").mapInArrow(_page_orders, "layout_id long, request_id long, reading_order int")
     moved = rows.where("layout_id IS NOT NULL").select("layout_id", F.col("reading_order").alias("__order"))
     columns = ["layout_id", "page_id", "reading_order", "class_name", "orientation", "x1", "y1", "x2", "y2", "request_id"]
     old = layouts.join(moved, "layout_id", "left").withColumn("reading_order", F.coalesce("__order", F.col("reading_order").cast("int"))).withColumn("request_id", F.lit(None).cast("long"))

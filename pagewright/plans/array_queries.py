@@ -59,19 +59,19 @@ def predictions_without_overlaps(spark, sf):
     return matching.without_overlaps(frame(spark, sf, "d_predictions"), ["page_id", "cfg"]).select("page_id", "cfg", "pred_id", "cls")
 
 
-def _orders(spark, sf):
+def _orders(spark, sf, *parts):
     pages = frame(spark, sf, "d_pages").select("page_id", N.order_mode(F.col("order_mode")).alias("mode"))
-    return reading_order.page_orders(frame(spark, sf, "d_layouts"), pages)
+    return reading_order.page_orders(frame(spark, sf, "d_layouts"), pages, parts)
 
 
 @query("reading_orders")
 def reading_orders(spark, sf):
-    return _orders(spark, sf).select("page_id", "mode", "inferred", "ids")
+    return _orders(spark, sf, "inferred", "ids").select("page_id", "mode", "inferred", "ids")
 
 
 @query("insertion_places")
 def insertion_places(spark, sf):
-    return _orders(spark, sf).select("page_id", "mode", "place")
+    return _orders(spark, sf, "place").select("page_id", "mode", "place")
 
 
 @query(
@@ -79,7 +79,7 @@ def insertion_places(spark, sf):
     "SELECT l.page_id, list(layout_id ORDER BY (y1 + y2) / 2, (x1 + x2) / 2, layout_id) AS ids FROM {d_layouts} l JOIN {d_pages} p ON p.page_id = l.page_id WHERE p.order_mode = 'Single_Column' GROUP BY l.page_id",
 )
 def single_orders(spark, sf):
-    return _orders(spark, sf).where("mode = 'single'").select("page_id", "ids")
+    return _orders(spark, sf, "ids").where("mode = 'single'").select("page_id", "ids")
 
 
 @query(

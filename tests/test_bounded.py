@@ -15,7 +15,7 @@ from pagewright.functions import normalise as N
 from pagewright.functions import raster
 from pagewright.functions import text as T
 from pagewright.functions import tokens
-from pagewright.operators import matching
+from pagewright.operators import matching, reading_order
 from pagewright.plans.views import VIEWS, frame, select
 
 SF = "/root/testdata/sf0.001"
@@ -148,3 +148,30 @@ def test_stored_lists_are_not_shuffled(spark):
     plan = QUERIES["stored_predictions"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     keys = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
     assert keys and all(re.fullmatch(r"(l_orderkey|page_id)#\d+L", k) for k in keys)
+
+
+def test_orders_give_what_is_asked_for_alone(spark):
+    rng = np.random.default_rng(3)
+    rows = [(p, 10 * p + k, k + 1, *(float(v) for v in (x, y, x + w, y + h))) for p in range(60) for k, (x, y, w, h) in enumerate(rng.integers(1, 9, (1 + p % 7, 4)) / 20)]
+    layouts = spark.createDataFrame(rows, "page_id long, layout_id long, reading_order int, x1 double, y1 double, x2 double, y2 double")
+    modes = {p: list(reading_order.ORDERS)[p // 7 % 4] for p in range(60)}
+    pages = spark.createDataFrame(list(modes.items()), "page_id long, mode string")
+    place = reading_order.page_orders(layouts, pages, ("place",))
+    assert place.columns == ["page_id", "mode", "place"]
+    new = reading_order.Item(-1, 0.4, 0.45, 0.6, 0.5)
+    for r in place.collect():
+        items = [reading_order.Item(i, x1, y1, x2, y2, o) for p, i, o, x1, y1, x2, y2 in rows if p == r.page_id]
+        base = [i for i in items if i.width < reading_order.wide_from(items)]
+        base = base if len(base) > 1 else items
+        if r.mode != "multi-column" and not (r.mode == "auto" and len(base) > 1 and len(reading_order.Columns(base)) > 1):
+            continue
+        # the same rule over arrays
+        left, right, mid, cy, order, ids = np.array([(i.x1, i.x2, i.cx, i.cy, i.order, i.id) for i in base], float).T
+        sizes, apart = np.maximum(np.stack([right - left, np.full(len(left), new.width)]), 1e-6), np.abs(mid - new.cx)
+        near = (np.minimum(right, new.x2) - np.maximum(left, new.x1) >= 0.2 * sizes.min(axis=0)) | (apart <= np.clip(0.7 * sizes.max(axis=0), 0.03, 0.22))
+        near |= ((left <= new.cx) & (new.cx <= right)) | ((new.x1 <= mid) & (mid <= new.x2))
+        near[np.lexsort((ids, cy, apart))[0]] |= not near.any()
+        cy, order, ids = cy[near], order[near], ids[near]
+        below = cy > new.cy
+        k = np.lexsort((np.where(below, ids, -ids), np.where(below, cy, -order), np.where(below, order, -cy), below))[0]
+        assert r.place == (max(1, order[k]) if below[k] else min(len(items), order[k]) + 1)
