@@ -22,8 +22,8 @@ SERVER_TERMS = ("500", "502", "503", "504", "unavailable", "internal error")
 
 
 def strip(c: Column) -> Column:
-    """Without white space of any kind at both ends; null becomes ''."""
-    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+    """Without white space of any kind at both ends; null becomes ''. Values without any skip the slower pattern."""
+    return F.when(c.rlike(r"(?U)\s"), F.regexp_replace(c, r"(?U)^\s+|\s+$", "")).otherwise(F.coalesce(c, F.lit("")))
 
 
 def class_core(c: Column) -> Column:
@@ -78,8 +78,8 @@ def status_lower(c: Column) -> Column:
 
 
 def extraction_status(c: Column) -> Column:
-    known = F.lower(strip(c))
-    return F.when(known.isin("ok", "manual", "failed", "skip"), known).otherwise("ok")
+    # one pattern instead of a condition, which would compute the name twice
+    return F.regexp_replace(F.lower(strip(c)), r"\A(?!(?:ok|manual|failed|skip)\z)(?s:.*)\z", "ok")
 
 
 def qa_status(c: Column) -> Column:
@@ -102,13 +102,22 @@ def requires_text(cls: Column) -> Column:
 
 
 def output_matches(output_class: Column, output_format: Column, layout_class: Column) -> Column:
-    want = expected_format(class_core(layout_class))
-    return (want != "skip") & (F.lower(strip(output_format)) == want) & (class_core(output_class) == class_core(layout_class))
+    return cores_match(class_core(output_class), F.lower(strip(output_format)), class_core(layout_class))
 
 
 def can_preserve(previous: Column, following: Column, output_format: Column) -> Column:
-    new = expected_format(class_core(following))
-    return (new == "markdown") & (expected_format(class_core(previous)) == new) & (F.lower(strip(output_format)) == new)
+    return cores_preserve(class_core(previous), class_core(following), F.lower(strip(output_format)))
+
+
+def cores_match(output_class: Column, output_format: Column, layout_class: Column) -> Column:
+    """output_matches of names that are canonical already; they are used several times, so they should be columns."""
+    want = expected_format(layout_class)
+    return (want != "skip") & (output_format == want) & (output_class == layout_class)
+
+
+def cores_preserve(previous: Column, following: Column, output_format: Column) -> Column:
+    new = expected_format(following)
+    return (new == "markdown") & (expected_format(previous) == new) & (output_format == new)
 
 
 def config_key(model: Column, size: Column, conf: Column, iou: Column) -> Column:

@@ -18,13 +18,16 @@ def judged_outputs(layouts: DataFrame, outputs: DataFrame) -> DataFrame:
     classes are written as markdown. layouts: cls, updated_at; timestamps are
     texts of one form.
     """
-    o = outputs.select("layout_id", F.col("class_name").alias("o_class"), F.col("output_format").alias("o_format"), N.extraction_status(F.col("extraction_status")).alias("o_status"), F.col("updated_at").alias("o_at"))
-    rows = layouts.join(o, "layout_id", "left")
+    # names are made canonical once for each row, before the join
+    o = outputs.select(
+        "layout_id", N.class_core(F.col("class_name")).alias("o_class"), F.lower(N.strip(F.col("output_format"))).alias("o_format"), N.extraction_status(F.col("extraction_status")).alias("o_status"), F.col("updated_at").alias("o_at")
+    )
+    rows = layouts.withColumn("__core", N.class_core(F.col("cls"))).join(o, "layout_id", "left")
     state = (
         F.when(F.col("o_status").isNull(), "none")
         .when(F.col("o_status") == "failed", "failed")
-        .when(N.output_matches(F.col("o_class"), F.col("o_format"), F.col("cls")), F.when(F.col("updated_at") > F.col("o_at"), "stale").otherwise("ok"))
-        .when(N.can_preserve(F.col("o_class"), F.col("cls"), F.col("o_format")), "preserved")
+        .when(N.cores_match(F.col("o_class"), F.col("o_format"), F.col("__core")), F.when(F.col("updated_at") > F.col("o_at"), "stale").otherwise("ok"))
+        .when(N.cores_preserve(F.col("o_class"), F.col("__core"), F.col("o_format")), "preserved")
         .otherwise("mismatch")
     )
     return rows.select("page_id", "layout_id", "cls", N.requires_text(F.col("cls")).alias("needed"), state.alias("state"))

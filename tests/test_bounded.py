@@ -175,3 +175,12 @@ def test_orders_give_what_is_asked_for_alone(spark):
         below = cy > new.cy
         k = np.lexsort((np.where(below, ids, -ids), np.where(below, cy, -order), np.where(below, order, -cy), below))[0]
         assert r.place == (max(1, order[k]) if below[k] else min(len(items), order[k]) + 1)
+
+
+def test_names_are_canonical_before_outputs_are_judged(spark):
+    plan = QUERIES["judged_outputs"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan.split("Join LeftOuter")[0] and "regexp_replace" in plan
+    kinds = [" OK ", "manual", "\tFAILED", "odd", "", None, "skip\n", "ok\nx", " skip"]
+    got = spark.createDataFrame(list(enumerate(kinds)), "i int, s string").select("i", N.extraction_status(F.col("s")).alias("e"), N.strip(F.col("s")).alias("t")).collect()
+    want = [(s or "").strip() for s in kinds]
+    assert {r.i: (r.e, r.t) for r in got} == {i: (t.lower() if t.lower() in ("ok", "manual", "failed", "skip") else "ok", t) for i, t in enumerate(want)}
