@@ -260,11 +260,12 @@ _LINE_TAGS = r"(?i)<\s*br\s*/?\s*>|</\s*(?:p|tr|li|div|h[1-6])\s*>"
 MOST_SHOWN = 4000
 
 
-def html_text(c: Column, output_format: Column | None = None, most: int = MOST_SHOWN, open_references: bool = True) -> Column:
+def html_text(c: Column, output_format: Column | None = None, most: int | None = MOST_SHOWN, open_references: bool = True) -> Column:
     """Readable text of content: markup of the html format (which null stands for) is taken out, other formats stay as they are.
 
     A line ends where a tag says so, other tags are blanks; blanks are one space
-    within a line and none at its ends. open_references: whether a character
+    within a line and none at its ends. most: characters that are shown, all if
+    None. open_references: whether a character
     reference counts without its semicolon too, as in HTML5 (`&amp` but not `&am`).
     """
     text = F.coalesce(c, F.lit(""))
@@ -273,7 +274,8 @@ def html_text(c: Column, output_format: Column | None = None, most: int = MOST_S
     for pattern, to in ((r"[ \t]*\n[ \t]*", "\n"), (r"[ \t]+", " ")):
         shown = F.regexp_replace(shown, pattern, to)
     marked = F.lit(True) if output_format is None else F.lower(strip(output_format)) == "html"
-    return F.left(F.when(marked, strip(shown)).otherwise(text), F.lit(most))
+    whole = F.when(marked, strip(shown)).otherwise(text)
+    return whole if most is None else F.left(whole, F.lit(most))
 
 
 def first_table(c: Column) -> Column:

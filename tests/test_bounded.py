@@ -49,6 +49,16 @@ def test_texts_of_pages_keep_open_references(spark, tmp_path):
     assert spark.range(1).select(T.html_text(F.lit("a &amp b"))).first()[0] == "a & b"
 
 
+def test_texts_of_pages_are_whole(spark, tmp_path):
+    page = "<p>a &amp; b</p>" + "<div>word &lt; x</div>\n" * 900 + "<b>end</b> "
+    spark.createDataFrame([(1, "u", page), (2, "u", "y" * 70_000)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.text for r in QUERIES["html_texts"](spark, str(tmp_path)).collect()}
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == dict(c.sql(ORACLES["html_texts"]).fetchall())
+    assert got[1].startswith("a & b\nword < x\n") and got[1].endswith("end") and len(got[1]) > 9000 and got[2] == "y" * 70_000
+
+
 def test_what_composing_may_change_goes_to_python(spark):
     unsettled = re.compile("[" + re.sub(r"\\x\{(\w+)\}", lambda m: f"\\U{m[1]:0>8}", T._UNSETTLED) + "]")
     second = {int(d.split()[1], 16) for d in map(unicodedata.decomposition, map(chr, range(sys.maxunicode + 1))) if d and d[0] != "<" and " " in d}
