@@ -7,7 +7,7 @@ white space.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -22,33 +22,56 @@ WORD = r"\p{L}\p{N}\p{M}_"
 SPACE = r"\s\x{0B}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 
 
-def _run(kind: Column, text: Column, end: bool) -> Column:
-    """Length of the run of one kind of characters that a text begins or ends with."""
-    word, punct = ((f"[{c}]+\\z" if end else f"\\A[{c}]+") for c in (WORD, f"^{WORD}{SPACE}"))
-    return F.length(F.when(kind == "word", F.regexp_extract(text, word, 0)).otherwise(F.regexp_extract(text, punct, 0)))
+#: White space at the start of a text and the token behind it.
+_AHEAD = rf"\A[{SPACE}]*(?:[{WORD}]+|[^{WORD}{SPACE}]+)?"
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What is made of a value that it names several times, which is found once: as the one element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _ahead(text: Column) -> Column:
+    """(gap, token, kind) at the start of a text: the length of its white space, and what is behind it, empty at the end of the text."""
+
+    def parted(found: Column) -> Column:
+        return _once(F.length(F.regexp_extract(found, f"\\A[{SPACE}]+", 0)), lambda gap: F.struct(gap.alias("gap"), F.substring(found, gap + 1, F.length(found)).alias("token")))
+
+    kind = lambda p: F.when(p["token"].rlike(f"\\A[{WORD}]"), "word").otherwise("punct").alias("kind")
+    return _once(_once(F.regexp_extract(text, _AHEAD, 0), parted), lambda p: F.struct(p["gap"].alias("gap"), p["token"].alias("token"), kind(p)))
 
 
 def token_at(text: Column, offset: Column) -> Column:
     """(start, end, token, kind) of the token at an offset, kept within the text; null without any token.
 
     An offset in white space counts as the nearer of the tokens beside it, the one before on ties.
+    What lies before the offset is read backwards, so that either side is read up to the end of its token only.
     """
-    c = F.coalesce(text, F.lit(""))
-    at = F.greatest(F.lit(0), F.least(F.coalesce(offset, F.lit(0)).cast("int"), F.length(c) - 1))
-    before, behind = F.left(c, at), F.substring(c, at + 1, F.length(c))
-    left = F.length(F.regexp_replace(before, f"[{SPACE}]+\\z", "")) - 1
-    gap = F.length(F.regexp_extract(behind, f"\\A[{SPACE}]+", 0))
-    right = at + gap
-    none_left, none_right = left < 0, right >= F.length(c)
-    near = F.when(F.length(c) == 0, None).when(gap == 0, at).when(none_left & none_right, None).when(none_left, right).when(none_right, left).otherwise(F.when(right - at < at - left, right).otherwise(left))
-
-    # arrays of one hold what is used several times, so that it is found once
-    def of(i: Column) -> Column:
-        kind = F.when(F.substring(c, i + 1, F.lit(1)).rlike(f"[{WORD}]"), "word").otherwise("punct")
-        return F.get(F.transform(F.array(kind), lambda k: F.struct((i - _run(k, F.left(c, i), True)).alias("start"), (i + _run(k, F.substring(c, i + 1, F.length(c)), False)).alias("end"), k.alias("kind"))), F.lit(0))
-
-    found = F.get(F.transform(F.filter(F.array(near), lambda i: i.isNotNull()), of), F.lit(0))
-    return F.when(found.isNotNull(), F.struct(found["start"].alias("start"), found["end"].alias("end"), F.substring(c, found["start"] + 1, found["end"] - found["start"]).alias("token"), found["kind"].alias("kind")))
+
+    def placed(s: Column) -> Column:
+        at, behind = s["at"], _ahead(F.substring(s["text"], s["at"] + 1, s["size"]))
+        return F.struct(at.alias("at"), behind.alias("behind"), _ahead(F.reverse(F.left(s["text"], at))).alias("before"))
+
+    def token(start: Column, end: Column, of: Column, kind: Column) -> Column:
+        return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), of.alias("token"), kind.alias("kind"))
+
+    def nearest(p: Column) -> Column:
+        at, behind, before = p["at"], p["behind"], p["before"]
+        whole = (before["gap"] == 0) & (before["token"] != "") & (before["kind"] == behind["kind"])
+        left = F.when(whole, F.reverse(before["token"])).otherwise("")
+        inside = token(at - F.length(left), at + F.length(behind["token"]), F.concat(left, behind["token"]), behind["kind"])
+        last = token(at - before["gap"] - F.length(before["token"]), at - before["gap"], F.reverse(before["token"]), before["kind"])
+        following = token(at + behind["gap"], at + behind["gap"] + F.length(behind["token"]), behind["token"], behind["kind"])
+        none_left, none_right = before["token"] == "", behind["token"] == ""
+        # the last character of the token before is one further away than its white space is long
+        nearer = F.when(behind["gap"] < before["gap"] + 1, following).otherwise(last)
+        return F.when(none_left & none_right, None).when((behind["gap"] == 0) & ~none_right, inside).when(none_left, following).when(none_right, last).otherwise(nearer)
+
+    def sized(c: Column) -> Column:
+        size = F.length(c)
+        return F.struct(c.alias("text"), size.alias("size"), F.greatest(F.lit(0), F.least(F.coalesce(offset, F.lit(0)).cast("int"), size - 1)).alias("at"))
+
+    return _once(_once(_once(F.coalesce(text, F.lit("")), sized), placed), nearest)
 
 
 _PLACES = T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("word", T.StringType())]))

@@ -225,3 +225,23 @@ def test_names_are_canonical_before_outputs_are_judged(spark):
     got = spark.createDataFrame(list(enumerate(kinds)), "i int, s string").select("i", N.extraction_status(F.col("s")).alias("e"), N.strip(F.col("s")).alias("t")).collect()
     want = [(s or "").strip() for s in kinds]
     assert {r.i: (r.e, r.t) for r in got} == {i: (t.lower() if t.lower() in ("ok", "manual", "failed", "skip") else "ok", t) for i, t in enumerate(want)}
+
+
+def test_tokens_are_found_once_and_from_the_offset(spark):
+    import regex
+
+    texts = ["", " ", "ab, cd", "a  b", "  x", "y \u3000 ", "\U0001d538b!?\U0001f600 c", "e\u0301_1--é", "\n.\t,,", "а\u00a0б", "aé\U0001f600" * 3, "x" * 200_000, "-" * 100_000 + " " * 100_000 + "y", None]
+    rows = [(t, o) for t in texts for o in (*range(-1, 14), 100_000, 150_001, 10**9)]
+    got = spark.createDataFrame(rows, "t string, o int").select("t", "o", tokens.token_at(F.col("t"), F.col("o")).alias("x")).collect()
+    space = tokens.SPACE.replace(r"\s", r" \t\n\f\r")
+    space = regex.sub(r"\\x\{(\w+)\}", lambda m: f"\\u{m[1]:0>4}", space)
+    for r in got:
+        text = r.t or ""
+        at = max(0, min(r.o, len(text) - 1))
+        runs = [(m.start(), m.end(), m[0]) for m in regex.finditer(rf"[{tokens.WORD}]+|[^{tokens.WORD}{space}]+", text)]
+        far = [(0 if a <= at < b else a - at if at < a else at - b + 1, a, b, k) for a, b, k in runs]
+        want = min(far, default=None)
+        kind = want and ("word" if regex.match(f"[{tokens.WORD}]", want[3]) else "punct")
+        assert (r.x and tuple(r.x)) == (want and (*want[1:], kind)), (text[:20], r.o)
+    plan = QUERIES["tokens_at_offsets"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") <= 4 and "regexp_replace(" not in plan.split("Generate")[1].split("\n")[0]
