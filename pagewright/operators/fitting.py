@@ -29,24 +29,102 @@ SCALES = (0.18, 8.0)
 _LINE_ENDS = re.compile("\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")
 
 
-class Text:
-    """A text with the sums of its advances, wrapped again and again at other widths."""
+_TOGETHER = 1 << 12  # characters of texts whose advances are summed up together
+_SPACE, _ENDS = 32, [*map(ord, "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029")]
+
+
+class _Sums:
+    """Of a string: the sums of its advances, where its spaces are, and the sums without spaces and ends of lines."""
 
     def __init__(self, text: str, table: np.ndarray):
         self.text = text
         codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-        self.upto: list[int] = [0, *np.cumsum(table[codes], dtype=np.int64).tolist()]
-        spaces = np.flatnonzero(codes == 32).tolist()
+        advances = table[codes]
+        self.upto: list[int] = [0, *np.cumsum(advances, dtype=np.int64).tolist()]
+        self.spaces: list[int] = np.flatnonzero(codes == _SPACE).tolist()
+        self.shown = np.where((codes == _SPACE) | np.isin(codes, _ENDS), 0, advances)
+        self.ink = np.cumsum(self.shown, dtype=np.int64)
+
+    def broadest(self, sizes: np.ndarray) -> np.ndarray:
+        """The widest advance of each part of the string, which has these sizes one after the other."""
+        out, some = np.zeros(len(sizes), np.int64), np.flatnonzero(sizes)
+        if len(some):
+            out[some] = np.maximum.reduceat(self.shown, (np.cumsum(sizes) - sizes)[some])
+        return out
+
+
+class Text:
+    """A text with the sums of its advances, wrapped again and again at other widths; a part of a longer string with the sums of that."""
+
+    def __init__(self, text: str, table: np.ndarray):
+        one = next(Text.several([text], table))
+        self.__dict__ = one.__dict__
+
+    def _set(self, of: _Sums, first: int, stop: int, ink: int, broadest: int) -> None:
+        self.text, self.first, self.upto = of.text, first, of.upto
+        spaces, upto = of.spaces, of.upto
         self.hard: list[tuple[list[int], list[int], list[int]]] = []  # starts of words, ends, and sums up to those, of each line of the text
-        at = nth = 0
-        pieces = [(m.start(), m.end()) for m in _LINE_ENDS.finditer(text)]
-        for start, after in [*pieces, (len(text), len(text))]:
-            if start > at or after > start or not text:
+        at, nth = first, bisect_left(spaces, first)
+        pieces = [m.span() for m in _LINE_ENDS.finditer(of.text, first, stop)]
+        pieces.append((stop, stop))
+        for start, after in pieces:
+            if start > at or after > start or first == stop:
                 last = bisect_left(spaces, start, nth)
                 own, nth = spaces[nth:last], last
                 ends = [*own, start]
-                self.hard.append(([at, *(x + 1 for x in own)], ends, [self.upto[x] for x in ends]))
+                self.hard.append(([at, *[x + 1 for x in own]], ends, [upto[x] for x in ends]))
             at = after
+        #: Advances of all that has to stand on some line, and the widest of those.
+        self.ink, self.broadest = ink, broadest
+
+    @classmethod
+    def several(cls, texts: list[str | None], table: np.ndarray) -> Iterator[Text]:
+        """Texts of which some at a time have their advances summed up together."""
+        start = 0
+        while start < len(texts):
+            end, size = start, 0
+            while end < len(texts) and size < _TOGETHER:
+                size += len(texts[end] or "")
+                end += 1
+            some, start = [x or "" for x in texts[start:end]], end
+            of = _Sums("".join(some), table)
+            sizes = np.array([len(x) for x in some], int)
+            stops = np.cumsum(sizes)
+            ink = np.diff(np.append(0, of.ink)[np.append(0, stops)])
+            for first, stop, shown, broadest in zip((stops - sizes).tolist(), stops.tolist(), ink.tolist(), of.broadest(sizes).tolist()):
+                one = cls.__new__(cls)
+                one._set(of, first, stop, shown, broadest)
+                yield one
+
+    def fits(self, limit: int, most: int) -> bool:
+        """Whether lines() of the limit has no more than `most`, and none is wider than the limit."""
+        # no line is wider where no character is; then all advances have to go into so many lines
+        if self.broadest > limit or self.ink > most * limit:
+            return False
+        upto, out = self.upto, 0
+        for starts, ends, sums in self.hard:
+            if starts[0] == ends[-1]:
+                out += 1
+            k, n = 0, len(starts)
+            while k < n:
+                if out > most:
+                    return False
+                begin = starts[k]
+                if begin == ends[k]:
+                    k += 1
+                    continue
+                behind = bisect_right(sums, upto[begin] + limit, k)
+                if behind > k:
+                    out += 1
+                    k = behind
+                if k < n:
+                    at, end = starts[k], ends[k]
+                    out += at == end
+                    while at < end and out <= most:
+                        at = max(at + 1, bisect_right(upto, upto[at] + limit, at, end + 1) - 1)
+                        out += 1
+                    k += 1
+        return max(1, out) <= most
 
     def lines(self, limit: int, most: int | None = None) -> list[tuple[int, int]] | None:
         """(start, end) of each line where none is wider than limit, but a single character may be; None if there are more than `most`.
@@ -74,7 +152,7 @@ class Text:
                 if k < n:
                     self._pieces(starts[k], ends[k], limit, out, most)  # an empty one is an empty line
                     k += 1
-        out = out or [(0, 0)]
+        out = out or [(self.first, self.first)]
         return None if most is not None and len(out) > most else out
 
     def _pieces(self, at: int, end: int, limit: int, out: list[tuple[int, int]], most: int | None) -> None:
@@ -92,8 +170,7 @@ class Text:
 
 def fits(text: Text, units: int, size: int, ratio: float, width: int, height: int) -> bool:
     """Whether the text in this size, wrapped to the width, is no higher and no wider than the box."""
-    lines = text.lines(width * units // size, height // max(1, round(size * ratio)))
-    return lines is not None and text.widest(lines) * size <= width * units
+    return text.fits(width * units // size, height // max(1, round(size * ratio)))
 
 
 def largest_size(text: Text, units: int, ratio: float, width: int, height: int) -> int:
@@ -116,16 +193,16 @@ def _fitted(batches: Iterator[pa.RecordBatch], font: Metrics) -> Iterator[pa.Rec
             ratios, widths, heights = (batch.column(i).to_pylist() for i in (1, 2, 3))
             out: list[list] = [[], [], []]
             sizes, lines, wide = [], [], []
-            for raw, ratio, width, height in zip(held, ratios, widths, heights):
-                text = Text(raw or "", table)
+            for text, ratio, width, height in zip(Text.several(held, table), ratios, widths, heights):
                 size = largest_size(text, font.units, ratio, width, height)
                 found = text.lines(width * font.units // size)
                 high = max(1, round(size * ratio))
-                for column, value in zip(out, (size, high, high * len(found) <= height and text.widest(found) * size <= width * font.units)):
+                own = [text.upto[b] - text.upto[a] for a, b in found]
+                for column, value in zip(out, (size, high, high * len(found) <= height and max(own) * size <= width * font.units)):
                     column.append(value)
                 sizes.append(len(found))
                 lines += [text.text[a:b] for a, b in found]
-                wide += [(text.upto[b] - text.upto[a]) * size / font.units for a, b in found]
+                wide += [x * size / font.units for x in own]
             kept = list(range(4, batch.num_columns))
             columns = [pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.bool_()), lists(sizes, text=pa.array(lines, pa.string()), width=pa.array(wide, pa.float64()))]
             names = [batch.schema.names[i] for i in kept]
@@ -159,7 +236,8 @@ def _median(values: Column) -> Column:
         n = F.size(ranked)
         return (F.get(ranked, ((n - 1) / 2).cast("int")) + F.get(ranked, (n / 2).cast("int"))) / 2
 
-    return _once(F.array_sort(values), middle)
+    # none is null; sort_array compares values themselves, array_sort calls a function for each comparison
+    return _once(F.sort_array(values), middle)
 
 
 def _clamped(c: Column) -> Column:

@@ -15,7 +15,8 @@ from pagewright.functions import normalise as N
 from pagewright.functions import raster
 from pagewright.functions import text as T
 from pagewright.functions import tokens
-from pagewright.operators import matching, reading_order
+from pagewright.functions.fonts import plain_metrics
+from pagewright.operators import fitting, matching, reading_order
 from pagewright.plans.views import VIEWS, frame, select
 
 SF = "/root/testdata/sf0.001"
@@ -245,3 +246,24 @@ def test_tokens_are_found_once_and_from_the_offset(spark):
         assert (r.x and tuple(r.x)) == (want and (*want[1:], kind)), (text[:20], r.o)
     plan = QUERIES["tokens_at_offsets"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract(") <= 4 and "regexp_replace(" not in plan.split("Generate")[1].split("\n")[0]
+
+
+def test_texts_are_fitted_by_counts_of_lines(spark):
+    font, rng = plain_metrics(), np.random.default_rng(11)
+    table = font.table()
+    table[ord("|")] = 0
+    chars = list("abWi|  \n\r\x85\u2028é\U0001f600")
+    texts = ["", " ", "\n", "\r", "\n a", None, "x" * 9000, "a " * 3000] + ["".join(rng.choice(chars, int(n))) for n in rng.integers(0, 60, 300)]
+    several = list(fitting.Text.several(texts, table))
+    assert len(several) == len(texts)
+    seen = set()
+    for text, part in zip(texts, several):
+        alone = fitting.Text(text or "", table)
+        for limit, most in rng.integers(0, (1200, 12), (25, 2)).tolist() + [[55, 200], [10**6, 10**4]]:
+            lines, cut = part.lines(limit), part.lines(limit, most)
+            assert [part.text[a:b] for a, b in lines] == [alone.text[a:b] for a, b in alone.lines(limit)]
+            fits = len(lines) <= most and part.widest(lines) <= limit
+            assert part.fits(limit, most) == alone.fits(limit, most) == fits == (cut is not None and part.widest(cut) <= limit)
+            seen.add(fits)
+    assert seen == {True, False}
+    assert "array_sort(" not in QUERIES["line_stretches"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
